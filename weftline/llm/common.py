@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ BROADCAST_ROWS = 100_000
 #: Rows of an Arrow batch handed to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 256
 
+_SHIPPED: set[str] = set()
 _SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -49,8 +52,23 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip file, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def python_batches(spark: SparkSession) -> None:
-    """Bound the rows of the batches that Python workers get."""
+    """Make this package importable in Python workers and bound the rows of the batches that they get."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -76,7 +94,19 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """Join with a staged table of aggregates: broadcast while it has few rows, else by shuffle."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a staged narrow table: broadcast while it has at most ``rows`` rows, else by shuffle."""
+    few = small.limit(rows + 1).count() <= rows
     return df.join(F.broadcast(small) if few else small, on, how)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that an operator is about to add under the same names."""
+    return df.drop(*[n for n in names if n in df.columns])
+
+
+def append_arrow(batch, **columns):
+    """An Arrow batch with more columns at its end; those there keep their exact types and nulls."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, spaced, stage, words
+from .common import let, spaced, stage, without, words
 
 SYMBOLS = "#*$%&|<>"
 #: Vector entries and the least spread that each is given, so that a group whose
@@ -57,6 +57,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     One pass, no shuffle. Null and empty texts count 0 in each. Windows are told
     apart by a 64-bit hash within one text.
     """
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.replace(spaced(F.col("text")), F.lit(" "), F.lit(""))
     bare = blank
@@ -66,15 +67,15 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     word = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("rep")))
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     chars = let(blank, lambda b: F.length(b).cast("long"))
-    parts = docs.withColumns({"q_word": word, "q_line": line, "q_chars": chars, "q_bare": F.length(bare).cast("long")})
+    parts = docs.withColumns({"q__word": word, "q__line": line, "q__chars": chars, "q__bare": F.length(bare).cast("long")})
     return parts.select(
         *docs.columns,
-        F.col("q_word.n").alias("n_words"),
-        F.col("q_chars").alias("word_chars"),
-        (F.col("q_chars") - F.col("q_bare")).alias("n_symbols"),
-        F.col("q_line.dup").alias("n_dup_lines"),
-        F.col("q_line.n").alias("n_lines"),
-        F.col("q_word.rep").alias("n_repeat_words"),
+        F.col("q__word.n").alias("n_words"),
+        F.col("q__chars").alias("word_chars"),
+        (F.col("q__chars") - F.col("q__bare")).alias("n_symbols"),
+        F.col("q__line.dup").alias("n_dup_lines"),
+        F.col("q__line.n").alias("n_lines"),
+        F.col("q__word.rep").alias("n_repeat_words"),
     )
 
 
@@ -156,6 +157,7 @@ def judged(docs: DataFrame) -> DataFrame:
     base rules alone. Ties at the quantile all stay in a concentration step.
     Repeated rows are judged alike. Empty tables give no rows.
     """
+    docs = without(docs, "base_failed", "outlier_d2", "kept", "d2", *FLOORS)
     rows = stage(text_statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()), "quality-stats")
     fitted = estimates(rows.filter(~F.col("base_failed")).select("lang", "source", *FLOORS))
     far = _with_distance(rows, fitted).withColumnRenamed("d2", "outlier_d2")

@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import with_copies
 
@@ -24,7 +30,62 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs.drop("n_chars")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import read_documents, write_shards
+
+    return read_documents(write_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(), end_id=2))
+
+
+def op8_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_count import count_tokens
+
+    counted = count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op9_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_hits, is_contaminated, n_hit
+
+    found = benchmark_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derived_records, responses_from_pages
+
+    return derived_records(responses_from_pages(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block")
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join_components
+
+    return join_components(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("dedup_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, learn, score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    scored = score_texts(docs, learn(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op3_warc_derivatives": op3_warc_derivatives,
+    "op5_line_dedup": op5_line_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_toxicity": op6_toxicity,
+    "op1_wavelet_shards": op1_wavelet_shards,
+    "op8_bpe_token_counts": op8_bpe_token_counts,
+    "op9_benchmark_hits": op9_benchmark_hits,
     "op2_mix_sources": op2_mix_sources,
     "op10_quality_outliers": op10_quality_outliers,
 }
@@ -45,4 +106,67 @@ SELECT doc_id, size, source_size, target,
 FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
 """
 
-ORACLES = {"op2_mix_sources": OP2_SQL}
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bs AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, greatest(2, len(w) - 11))) AS s FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM bs),
+ds AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+dw AS (SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM ds),
+h AS (SELECT rid, s, n, item FROM dw JOIN bw USING (n, win)),
+hp AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT rid, s, n FROM h)) GROUP BY rid),
+hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hp USING (rid) LEFT JOIN hi USING (rid)
+"""
+
+def _op3_sql() -> str:
+    from .warc import BLOCK_TAGS, CRAWL_DATE, ENTITIES, SILENT_TAGS
+
+    text = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in SILENT_TAGS:
+        text = rf"regexp_replace({text}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
+    text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for entity, sign in ENTITIES.items():
+        quoted = sign.replace("'", "''")
+        text = f"replace({text}, '{entity}', '{quoted}')"
+    text = rf"regexp_replace({text}, '[ \t]+', ' ', 'g')"
+    text = rf"trim(regexp_replace(regexp_replace({text}, ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ' || chr(10))"
+    uuid = lambda x: f"'<urn:uuid:' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-' || substr({x}, 13, 4) || '-' || substr({x}, 17, 4) || '-' || substr({x}, 21, 12) || '>'"
+    return rf"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5('response' || chr(31) || coalesce(CAST(page_id AS VARCHAR), '') || chr(31) || coalesce(url, '')) AS h FROM pages),
+r AS (SELECT *, {uuid('h')} AS refers_to FROM p),
+m AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'title: ' || trim(regexp_replace(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), ''), '[ \t\r\n]+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || lower(coalesce(regexp_extract(html, '(?i)<html[^>]* lang=["'']?([A-Za-z-]+)', 1), '')) || chr(13) || chr(10)
+      || 'outlinks: ' || CAST(len(regexp_extract_all(html, '(?i)(<a\s[^>]*href=)')) AS VARCHAR) || chr(13) || chr(10) AS block FROM r
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM r),
+k AS (SELECT *, md5(warc_type || chr(31) || refers_to) AS g FROM m)
+SELECT page_id, warc_type, {uuid('g')} AS record_id, refers_to, url AS target_uri, '{CRAWL_DATE}' AS date, content_type, 'text/html; charset=utf-8' AS source_content_type,
+  CAST(strlen(html) AS BIGINT) AS source_length, 'sha256:' || sha256(html) AS source_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length
+FROM k
+"""
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+al AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS x FROM d),
+wl AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM al),
+nl AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos) AS line, sum(w) OVER (PARTITION BY rid ORDER BY pos) AS upto FROM wl WHERE w > 0),
+xs AS (SELECT rid, list(x ORDER BY pos) AS lines FROM nl GROUP BY rid),
+fw AS (SELECT s.rid, s.line AS a, min(e.line) AS b FROM nl s JOIN nl e ON s.rid = e.rid AND e.line BETWEEN s.line AND s.line + 49 AND e.upto >= s.upto - s.w + 50 GROUP BY ALL),
+bw AS (SELECT e.rid, max(s.line) AS a, e.line AS b FROM nl e JOIN nl s ON s.rid = e.rid AND s.line BETWEEN e.line - 49 AND e.line AND e.upto >= s.upto - s.w + 50 GROUP BY ALL),
+win AS (SELECT DISTINCT rid, a, b FROM (SELECT * FROM fw UNION ALL SELECT * FROM bw)),
+c AS (SELECT win.rid, a, b, md5(array_to_string(lines[a:b], chr(10))) AS h, row_number() OVER (PARTITION BY md5(array_to_string(lines[a:b], chr(10))) ORDER BY win.rid, a) AS nth FROM win JOIN xs USING (rid)),
+gone AS (SELECT DISTINCT rid, unnest(range(a, b + 1)) AS line FROM c WHERE nth > 1),
+gp AS (SELECT rid, pos FROM gone JOIN nl USING (rid, line)),
+kept AS (SELECT rid, string_agg(x, chr(10) ORDER BY pos) AS t FROM al WHERE NOT EXISTS (SELECT 1 FROM gp WHERE gp.rid = al.rid AND gp.pos = al.pos) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM nl GROUP BY rid), g AS (SELECT rid, count(*) AS n FROM gp GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_deleted, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid) LEFT JOIN g USING (rid)
+"""
+
+ORACLES = {"op3_warc_derivatives": _op3_sql(), "op5_line_dedup": OP5_SQL, "op9_benchmark_hits": OP9_SQL, "op2_mix_sources": OP2_SQL}
