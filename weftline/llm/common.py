@@ -110,3 +110,8 @@ def append_arrow(batch, **columns):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def held_out(doc_id: Column, of: int, rest: int) -> Column:
+    """True for rows whose crc32 of the id as text has this remainder; null ids are never held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == rest, F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import held_out
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +38,12 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(), end_id=2))
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_count import count_tokens
 
@@ -70,15 +78,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import held_out, learn, score_texts
+    from .toxicity import learn, score_texts
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 4, 2))
     scored = score_texts(docs, learn(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES = {
+    "op7_ppm_scores": op7_ppm_scores,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op5_line_dedup": op5_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
