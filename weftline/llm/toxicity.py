@@ -29,13 +29,13 @@ INVISIBLE = "​‌‍⁠﻿­"
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _TABLE = _FULLWIDTH | {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE}
 _INNER = re.compile(r"(?<=[^\W\d_])[0-9@$!€]+(?=[^\W\d_])|(?<![^\W\d_])[0134579@$]{1,2}(?=[^\W\d_]{2})")
-_NOT_LETTERS = re.compile(r"[^\w]+|[\d_]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _DIGIT_TABLE = {ord(k): v for k, v in DIGITS.items()}
 
 #: Rows with labels that the weights and the curve are fitted on, at most; chosen by a hash of the id.
 FIT_ROWS = 24_000
-#: Entries need so many toxic documents, so much log odds, and so many standard errors.
-MIN_TOXIC, MIN_WEIGHT, MIN_Z = 5, 1.2, 4.5
+#: Entries need so many toxic documents, so much log odds, and so large a likelihood ratio (twice its log).
+MIN_TOXIC, MIN_WEIGHT, MIN_G2 = 5, 1.2, 24.0
 #: Letters of word beginnings that can be entries.
 PREFIX_LETTERS = range(4, 9)
 #: A phrase with an entry is an exception if so many fitted documents hold it and less than this share is toxic.
@@ -117,6 +117,13 @@ def _document_counts(rows: DataFrame, listed) -> DataFrame:
     return rows.mapInArrow(counted, "entry string, toxic int, n long").groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
 
 
+def _likelihood_ratio(t: int, toxic: int, c: int, clean: int) -> float:
+    """Twice the log likelihood ratio of an entry's share in toxic and in clean documents being two, not one."""
+    part = lambda k, n, p: (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
+    both = (t + c) / (toxic + clean)
+    return 2 * (part(t, toxic, t / toxic) + part(c, clean, c / clean) - part(t, toxic, both) - part(c, clean, both))
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """Fit a lexicon on at most ``rows`` labelled documents (``labels``: ``doc_id, toxic``).
 
@@ -141,8 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     weights: dict[str, float] = {}
     for r in _document_counts(fit, lambda t: _entries(t) & wanted.value).collect():
         odds = math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1))
-        error = math.sqrt(1 / (r["t"] + 0.5) + 1 / (r["c"] + 0.5))
-        if r["t"] >= MIN_TOXIC and odds >= MIN_WEIGHT and odds / error >= MIN_Z:
+        if r["t"] >= MIN_TOXIC and odds >= MIN_WEIGHT and _likelihood_ratio(r["t"], toxic, r["c"], clean) >= MIN_G2:
             weights[r["entry"]] = odds
     plain = Lexicon(weights)
     entries = spark.sparkContext.broadcast(plain)
