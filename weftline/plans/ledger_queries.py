@@ -130,9 +130,14 @@ def ticks(spark, d):
     return table(spark, d, "events").selectExpr("event_type AS job_id", "ts AS tick", "CAST(event_id DIV 40 % 12 AS int) AS direct", "CAST(event_id % 997 * 6 AS long) AS oldest_wait_ms", "CAST(event_id % 90 AS int) AS current_backends", "event_id")
 
 
+def paced_ticks(spark, d):
+    """Samples five seconds apart, in waves that pause a job and let it go on."""
+    return ticks(spark, d).withColumns({"tick": F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id * 5)"), "direct": F.expr("CAST(event_id DIV 10 % 12 AS int)")})
+
+
 @query("l16_contention_states")
 def l16(spark, d):
-    return L.contention_states(ticks(spark, d))
+    return L.contention_states(paced_ticks(spark, d))
 
 
 @query("l18_exhaustion_budget", "WITH t AS (SELECT event_type AS job_id, ts AS tick, event_id % 90 AS cur, lag(event_id % 90) OVER w AS old, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER w AS secs FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)) SELECT job_id, tick, CAST(97 - cur AS INTEGER) AS headroom, CASE WHEN cur > old AND secs > 0 THEN (97 - cur)::DOUBLE / ((cur - old)::DOUBLE / secs) END AS seconds_left FROM t")
