@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +149,3 @@ def unique_covers_partition_key(constraints: DataFrame, dimensions: DataFrame) -
     dims = dimensions.groupBy("table").agg(F.array_sort(F.collect_set("dimension")).alias("dims"))
     return constraints.join(dims, "table").withColumn("missing", F.array_except("dims", "columns")).filter(F.size("missing") > 0).select("table", "name", "missing")
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,11 @@ from .registry import query
 RANGES = {"low": {"hi": 100000.0}, "mid": {"lo": 100000.0, "hi": 300000.0}}
 ROUTE = "CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice >= 100000 AND o_totalprice < 300000 THEN 'mid'"
 DAY = "date_trunc('day', ts)"
-AGGS = [F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("top")]
+
+
+def aggs():
+    return [F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 4).alias("top")]
+
 
 
 @query("p1_route_range", f"SELECT o_orderkey, {ROUTE} ELSE 'rest' END AS partition FROM orders_holes")
@@ -87,21 +91,21 @@ def p12(spark, d):
 
 @query("p13_continuous_aggregate", f"SELECT {DAY}::TIMESTAMP AS bucket, event_type, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY 1, 2")
 def p13(spark, d):
-    return P.continuous_aggregate(table(spark, d, "events"), "ts", "1 day", ["event_type"], AGGS)
+    return P.continuous_aggregate(table(spark, d, "events"), "ts", "1 day", ["event_type"], aggs())
 
 
 @query("p14_cagg_refresh", f"WITH old AS (SELECT {DAY}::TIMESTAMP AS bucket, event_type, count(*) AS n, round(max(value), 4) AS top FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), new AS (SELECT {DAY}::TIMESTAMP AS bucket, event_type, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY 1, 2) SELECT * FROM old WHERE NOT (bucket >= TIMESTAMP '2024-01-10' AND bucket + INTERVAL 1 DAY <= TIMESTAMP '2024-01-18') UNION ALL SELECT * FROM new WHERE bucket >= TIMESTAMP '2024-01-10' AND bucket + INTERVAL 1 DAY <= TIMESTAMP '2024-01-18'")
 def p14(spark, d):
     e = table(spark, d, "events")
-    old = P.continuous_aggregate(e.filter("event_id % 3 > 0"), "ts", "1 day", ["event_type"], AGGS)
-    return P.cagg_refresh(old, e, "ts", "1 day", ["event_type"], AGGS, "10 days", "2 days", "2024-01-20 00:00:00")
+    old = P.continuous_aggregate(e.filter("event_id % 3 > 0"), "ts", "1 day", ["event_type"], aggs())
+    return P.cagg_refresh(old, e, "ts", "1 day", ["event_type"], aggs(), "10 days", "2 days", "2024-01-20 00:00:00")
 
 
 @query("p15_cagg_realtime", f"SELECT {DAY}::TIMESTAMP AS bucket, event_type, count(*) AS n, round(max(value), 4) AS top FROM events GROUP BY 1, 2")
 def p15(spark, d):
     e = table(spark, d, "events")
-    old = P.continuous_aggregate(e.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), "ts", "1 day", ["event_type"], AGGS)
-    return P.cagg_realtime(old, e, "ts", "1 day", ["event_type"], AGGS, False)
+    old = P.continuous_aggregate(e.filter("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), "ts", "1 day", ["event_type"], aggs())
+    return P.cagg_realtime(old, e, "ts", "1 day", ["event_type"], aggs(), False)
 
 
 @query("p17_sliding_windows", "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR]) AS s FROM events) SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS rows FROM w GROUP BY ALL")

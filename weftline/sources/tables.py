@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.changes import Refused, insert_rows
 
@@ -26,19 +26,14 @@ def literal_rows(spark: SparkSession, columns: list[str], values: list[list], sc
         if any(isinstance(v, (list, dict)) for v in row):
             raise Refused("cells are scalars")
     text = [[None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in row] for row in values]
-    rows = spark.createDataFrame(text, StructType([StructField(c, schema_text) for c, schema_text in ((c, _text()) for c in columns)]))
+    rows = spark.createDataFrame(text, StructType([StructField(c, StringType()) for c in columns]))
     return rows.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in columns])
 
 
-def _text():
-    from pyspark.sql.types import StringType
-
-    return StringType()
-
-
 def copy_rows(target: DataFrame, path: str, schema: StructType, form: str = "csv", **options) -> DataFrame:
     """Bulk append of files with named columns; a malformed row fails the whole copy."""
-    rows = target.sparkSession.read.schema(schema).options(mode="FAILFAST", header="true", enforceSchema="false", **options).format(form).load(path) if form == "csv" else target.sparkSession.read.schema(schema).options(mode="FAILFAST", **options).format(form).load(path)
+    named = {"header": "true", "enforceSchema": "false"} if form == "csv" else {}
+    rows = target.sparkSession.read.schema(schema).options(mode="FAILFAST", **named, **options).format(form).load(path)
     return insert_rows(target, rows)
 
 
