@@ -89,3 +89,38 @@ def deleted_lines(rows, least=50):
                     if seen.setdefault(key, (i, a)) < (i, a):
                         gone[i] |= set(range(a, b + 1))
     return gone
+
+
+def vector(text):
+    import math
+
+    n, chars, symbols, dup, repeat, _ = quality(text)
+    lines = len([x for x in (text or "").split("\n") if words(x)])
+    return [math.log(max(chars, 1) / max(n, 1)), math.sqrt(symbols / max(chars, 1)), math.sqrt(dup / max(lines, 1)), math.sqrt(repeat / max(n, 1))]
+
+
+def kept(rows, floors, keep, steps, consistency, inner, outer):
+    """Ids that pass the base rules and the robust distance, of (doc_id, text, lang, source) rows."""
+    import numpy as np
+
+    groups = defaultdict(list)
+    for r in rows:
+        if not quality(r[1])[5]:
+            groups[r[2], r[3]].append((r[0], vector(r[1])))
+    out = set()
+    floor = np.diag([v * v for v in floors])
+    for members in groups.values():
+        x = np.array([v for _, v in members])
+        dist = lambda m, c, x=x: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        cov = lambda core: np.cov(core.T, bias=True) if len(core) > 1 else np.zeros((4, 4))
+        d = dist(np.sort(x, axis=0)[(len(x) - 1) // 2], floor)
+        for _ in range(steps):
+            core = x[d <= np.sort(d)[int(np.ceil(keep * len(x))) - 1]]
+            d = dist(core.mean(0), cov(core) * consistency + floor)
+        core = x[d <= inner]
+        if not len(core):
+            out |= {i for i, _ in members}
+            continue
+        d = dist(core.mean(0), cov(core) + floor)
+        out |= {i for (i, _), v in zip(members, d, strict=True) if v <= outer}
+    return out
