@@ -239,6 +239,7 @@ def test_toxicity(spark, empty):
     from weftline.llm.toxicity import Lexicon, folded, learn, score_texts
 
     assert folded("You 1DI0T, ｉdiоt! £5 4 apples") == " you idiot idiot apples "
+    assert folded("1d10t $cum tr@sh") == " idiot scum trash " and folded("the 12 trees in 1990") == " the trees in "
     assert folded(None) == folded("") == " "
     clean = [(k, prose(k, 60, ("the", "of", "trash", "can", "tree", "walks"))) for k in range(300)]
     clean = [(i, t.replace("trash", "trash can")) for i, t in clean]

@@ -28,7 +28,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 INVISIBLE = "​‌‍⁠﻿­"
 _FULLWIDTH = {0xFF01 + i: 0x21 + i for i in range(94)}
 _TABLE = _FULLWIDTH | {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(c): None for c in INVISIBLE}
-_INNER = re.compile(r"(?<=[^\W\d_])[0-9@$!€]+(?=[^\W\d_])|(?<![^\W\d_])[0134579@$]{1,2}(?=[^\W\d_]{2})")
+_INNER = re.compile(r"(?<=[^\W\d_])[0-9@$!€]+(?=[^\W\d_])|(?<![^\W\d_])[0134579@$]{1,2}(?=[^\W\d_][^\W_])")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _DIGIT_TABLE = {ord(k): v for k, v in DIGITS.items()}
 
