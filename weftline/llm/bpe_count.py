@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,6 +116,12 @@ class MergeCounter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+@lru_cache(maxsize=2)
+def merge_counter(path: str) -> MergeCounter:
+    """The counter of a worker process; what it keeps serves later tasks too."""
+    return MergeCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens`` of each whole text.
 
@@ -126,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     docs = without(docs, "n_bytes", "n_tokens")
 
     def counted(batches):
-        counter = MergeCounter(path)
+        counter = merge_counter(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield append_arrow(batch, n_bytes=pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), n_tokens=pa.array([counter.count(t) for t in texts], pa.int64()))

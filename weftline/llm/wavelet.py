@@ -13,6 +13,8 @@ import os
 import re
 import struct
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe_count import PATTERN, byte_symbols
 from .common import join_small, python_batches, stage
 
 MAGIC = b"WVMX1\0"
@@ -29,52 +32,93 @@ STRIDE = 2048
 #: Tokens after which a shard is closed (after a whole document).
 SHARD_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker keeps, and the longest that is kept.
-KEPT_PIECES, KEPT_LENGTH = 300_000, 48
+KEPT_PIECES, KEPT_LENGTH = 700_000, 48
+#: Signs that end a word as a pre-token of their own.
+_SIGNS = (".", ",", ";", ":", "!", "?")
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: White space other than the blank and the line feed.
+_OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _has_double_space(text: str) -> bool:
+    """Whether two white-space characters stand side by side."""
+    if any(c in text for c in _OTHER_SPACES):
+        return _DOUBLE_SPACE.search(text) is not None
+    return "  " in text or "\n" in text and (" \n" in text or "\n " in text or "\n\n" in text)
+
+
+class _Kept(dict):
+    """Ids by piece; a piece that is not there is encoded, and kept unless it is long."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encode(piece)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class PieceEncoder:
     """Ids of whole texts from the tokenizers library, each recurring piece encoded once.
 
     The byte-level pre-tokenizer always begins a token at a blank between two other
-    characters, so texts without double white space are cut there; others, and those
-    that hold an added token, go to the library whole.
+    characters, and a single line feed between two is a token of its own; texts
+    without double white space are cut there, and a piece's pre-tokens go straight
+    to the library's merge model. Texts with double white space, a zero character or
+    an added token go to the library whole.
     """
 
     def __init__(self, path: str):
+        import regex
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         self.marks = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.split = regex.compile(PATTERN).findall
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.kept = _Kept(self._piece)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        return array("H", [t.id for t in self.merge(word.encode("utf-8").decode("latin-1").translate(self.symbols))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece from its pre-tokens; a blank and letters are one, a sign after them is another."""
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():
+            return self._word(piece)
+        words = [piece[:-1], piece[-1]] if body[-1:] in _SIGNS and body[:-1].isalpha() else self.split(piece)
+        get = self.kept.get
+        return b"".join([get(w) or self._word(w) for w in words])
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 16-bit integers."""
+        """The ids of a text as unsigned 16-bit integers."""
         if not text:
             return b""
-        if _DOUBLE_SPACE.search(text) or any(m in text for m in self.marks):
-            return self._ids([text])[0]
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if pieces is None:
-            return self._ids([text])[0]
+        if _has_double_space(text) or any(m in text for m in self.marks):
+            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if "\0" in text:
+            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         if not pieces[0]:
-            pieces = pieces[1:]
-        kept = self.kept
-        try:
-            return b"".join([kept[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in kept})
-        found = dict(zip(new, self._ids(new), strict=True))
-        out = b"".join([kept.get(p) or found[p] for p in pieces])
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
-        kept.update((p, i) for p, i in found.items() if len(p) <= KEPT_LENGTH)
-        return out
+            del pieces[0]
+        if not pieces[-1]:
+            del pieces[-1]
+        return b"".join(map(self.kept.__getitem__, pieces))
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of a worker process; what it keeps serves later tasks too."""
+    return PieceEncoder(path)
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -101,7 +145,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         padded[: len(packed)] = packed
         ranks = np.cumsum(np.bitwise_count(padded).reshape(-1, STRIDE // 8).sum(axis=1, dtype=np.uint32), dtype=np.uint32)
         add(_plane(len(row) - int(ranks[-1]), pack(ranks.astype("<u4").tobytes()), pack(packed.tobytes())))
-        row = np.concatenate([row[~one], row[one]])
+        row = np.concatenate([np.compress(~one, row), np.compress(one, row)])
     return MAGIC + struct.pack("<QQ", len(doc_ids), len(ids)) + b"".join(parts)
 
 
@@ -215,8 +259,8 @@ class Shard:
                 continue
             one = np.unpackbits(self._packed[level], bitorder="little", count=self.n).view(bool)
             back = np.empty_like(row)
-            back[~one] = row[: self.zeros[level]]
-            back[one] = row[self.zeros[level] :] | np.uint16(1 << (WIDTH - 1 - level))
+            back[np.flatnonzero(~one)] = row[: self.zeros[level]]
+            back[np.flatnonzero(one)] = row[self.zeros[level] :] | np.uint16(1 << (WIDTH - 1 - level))
             row = back
         return row
 
@@ -240,7 +284,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_to
     def shards(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = piece_encoder(path), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         lengths: list[int] = []
         data: list[bytes] = []
