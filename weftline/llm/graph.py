@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     folder each round. Loops and repeated edges do no harm; nodes without an edge to
     another node are not listed. No edges give no rows.
     """
-    now = stage(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stage(edges.select("a", "b").filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _print(now)
     for _ in range(most_rounds):
         if not seen[0]:

@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join by token-combination prefixes.
 
 Tokens are 64-bit hashes of word shingles. In a global order with rare tokens
-first, two sets at the threshold share part of their prefixes: rare tokens are
-indexed alone; where a set has too few of them its prefix is extended, and of
-frequent tokens pairs are indexed. Sets that share a signature meet in a candidate
+first, two sets at the threshold share part of their prefixes. Rare tokens are
+indexed alone, with prefixes extended so that partners share several of them;
+where a set has too few, its prefix goes on over the classes of frequent tokens,
+of which pairs are indexed. Sets that share enough signatures meet in a candidate
 class, whose members are compared exactly. Copies of one set are joined as one
 member, big classes are compared in blocks, and only links that join something
 are kept, so nothing grows with the square of a group.
@@ -20,22 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, python_batches, stage, without
+from .common import join_small, python_batches, stage
 from .graph import connected_components
 
 SHINGLE = 3
 #: Two sets link at ``100 * intersection >= PERCENT * union``.
 PERCENT = 90
 #: Sets in whose windows a token must be to count as frequent.
-FREQUENT = 32
+FREQUENT = 8
+#: Sets of one signature that are paired; longer lists are joined through their least set.
+SHORT_LIST = 16
 #: Frequent tokens of a prefix that fall in one subclass, about; pairs are made inside subclasses.
 SUBCLASS = 8
 #: Bytes and number of sets in one block of a candidate class, about.
-BLOCK_BYTES, BLOCK_SETS = 6 << 20, 2000
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 1000
 #: Rows of two or three numbers below which a table is broadcast.
-NARROW_ROWS = 1_000_000
+NARROW_ROWS = 300_000
+#: The same for rows that hold a list of tokens.
+WIDE_ROWS = 1000
 #: Tokens shared by more sets than this are multiplied as a matrix, others are paired.
 PAIRED = 24
+#: Columns of that matrix at a time.
+COLUMNS = 2048
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -77,37 +84,48 @@ def least_linkable(percent: int = PERCENT) -> int:
     return max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
 
 
+def needed(n: int, percent: int = PERCENT) -> int:
+    """Tokens of a prefix that cannot all be missing from a partner."""
+    return n - least_shared(n, percent) + 1
+
+
 def window_length(n: int, percent: int = PERCENT) -> int:
     """Tokens looked at first for a prefix of rare tokens."""
-    return min(n, 2 * (n - least_shared(n, percent) + 1) + 8)
+    return min(n, 2 * needed(n, percent) + 8)
 
 
-def signatures(tokens: np.ndarray, frequent: set[int], n: int, whole: bool, percent: int = PERCENT) -> np.ndarray | None:
-    """Signatures of a set from its tokens in hash order; None if they do not suffice and are not the whole set.
+def signatures(tokens: np.ndarray, frequent: dict[int, int], n: int, whole: bool, percent: int = PERCENT) -> tuple[np.ndarray, int] | None:
+    """Signatures of a set from its tokens in hash order, and how many of them a partner shares at least.
 
-    The order is rare tokens, then frequent ones, each by hash. ``need`` tokens of a
-    prefix cannot all be missing from a partner. A rare token adds one to what the
-    signatures cover, ``c`` frequent tokens of one subclass add ``c - 1`` as pairs;
-    subclasses are so few that a whole set always covers ``need``.
+    ``frequent`` gives the class of a frequent token, by its number of sets. The
+    order is rare tokens, then frequent ones by class, each by hash. A prefix of
+    ``needed + k`` rare tokens shares ``k + 1`` with a partner; a quarter more than
+    needed is taken where there are so many. With fewer than needed the prefix goes
+    on: a rare token adds one to what the signatures cover, ``c`` frequent tokens of
+    one class and subclass add ``c - 1`` as pairs; classes and subclasses are so few
+    that a whole set always covers ``need``. That takes the ``whole`` set; of a window
+    that does not suffice the result is None.
     """
-    need = n - least_shared(n, percent) + 1
-    flags = np.fromiter((int(t) in frequent for t in tokens), bool, len(tokens)) if frequent else np.zeros(len(tokens), bool)
-    rare = tokens[~flags]
+    need = needed(n, percent)
+    level = np.fromiter((frequent.get(int(t), 0) for t in tokens), np.int64, len(tokens)) if frequent else np.zeros(len(tokens), np.int64)
+    rare = tokens[level == 0]
     if len(rare) >= need:
-        return rare[:need]
+        rare = rare[: need + need // 4]
+        return rare, len(rare) - need + 1
     if not whole:
         return None
-    common = tokens[flags]
+    order = np.lexsort((tokens, level))
+    common = [(int(level[i]), int(tokens[i])) for i in order if level[i]]
     out = [rare]
     # Partners' sizes may fall in a neighbouring scale; both then index with the scale they share.
     for scale in {int(n * percent // 100).bit_length(), n.bit_length(), int(n * 100 // percent + 1).bit_length()}:
         groups = max(1, (1 << scale) // (10 * SUBCLASS))
-        inside: dict[int, list[int]] = {}
+        inside: dict[tuple[int, int], list[int]] = {}
         covered = len(rare)
-        for t in common:
-            row = inside.setdefault(int(t) % groups, [])
+        for c, t in common:
+            row = inside.setdefault((c, t % groups), [])
             covered += bool(row)
-            row.append(int(t))
+            row.append(t)
             if covered >= need:
                 break
         pairs = [p for row in inside.values() for p in combinations(row, 2)]
@@ -115,7 +133,7 @@ def signatures(tokens: np.ndarray, frequent: set[int], n: int, whole: bool, perc
             both = np.array(pairs, np.uint64)
             with np.errstate(over="ignore"):
                 out.append(_mixed(both[:, 0] * _K[0] + _mixed(both[:, 1] + np.uint64(scale))))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), 1
 
 
 def linked_roots(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -137,16 +155,19 @@ def linked_roots(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
             for i, j in combinations(range(c), 2):
                 np.add.at(flat, rows[:, i] * n + rows[:, j], 1)
     many = np.flatnonzero(counts > PAIRED)
-    for at in range(0, len(many), 4096):
-        part = many[at : at + 4096]
+    for at in range(0, len(many), COLUMNS):
+        part = many[at : at + COLUMNS]
         column = np.repeat(np.arange(len(part)), counts[part])
         places = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in part])
         matrix = np.zeros((n, len(part)), np.float32)
         matrix[owner[places], column] = 1
         shared += np.triu(matrix @ matrix.T, 1)
-    shared += shared.T
-    link = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    link &= (sizes > 0)[:, None] & (sizes > 0)[None, :]
+    link = np.zeros((n, n), bool)
+    for i in range(n):  # a row at a time, so that no second square of wide numbers is needed
+        row = shared[i, i + 1 :]
+        link[i, i + 1 :] = (row > 0) & (100 * row.astype(np.int64) >= percent * (sizes[i] + sizes[i + 1 :] - row.astype(np.int64)))
+    del shared, flat
+    link |= link.T
     root = np.full(n, -1)
     for start in range(n):
         if root[start] >= 0:
@@ -198,59 +219,98 @@ def _whole_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 
 def _signature_rows(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """``node, sig, n_shingles`` of each signature; a null ``sig`` marks a set whose window did not suffice."""
+    """``node, sig, least``: each signature, and how many a partner shares at least."""
 
     def rows(batches):
         for batch in batches:
-            nodes, sigs, sizes = [], [], []
+            nodes, sigs, shared = [], [], []
             for node, n, tokens, frequent in zip(batch.column("node").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("window"), batch.column("frequent").to_pylist(), strict=True):
                 values = np.sort(np.asarray(tokens.values, dtype=np.int64).view(np.uint64))
-                found = signatures(values, {x & ((1 << 64) - 1) for x in frequent or ()}, n, whole or len(values) == n, percent)
-                out = [None] if found is None else found.view(np.int64).tolist()
-                nodes += [node] * len(out)
-                sizes += [n] * len(out)
-                sigs += out
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "sig": pa.array(sigs, pa.int64()), "n_shingles": pa.array(sizes, pa.int64())})
+                found, least = signatures(values, {f["token"] & ((1 << 64) - 1): f["level"] for f in frequent or ()}, n, whole or len(values) == n, percent)
+                nodes.append(np.full(len(found), node, np.int64))
+                shared.append(np.full(len(found), least, np.int64))
+                sigs.append(found.view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes)), "sig": pa.array(np.concatenate(sigs)), "least": pa.array(np.concatenate(shared))})
+
+    return sets.select("node", "n_shingles", "window", "frequent").mapInArrow(rows, "node long, sig long, least long")
 
-    return sets.select("node", "n_shingles", "window", "frequent").mapInArrow(rows, "node long, sig long, n_shingles long")
+
+def _frequent(sets: DataFrame) -> DataFrame:
+    """``token, level`` of the tokens in at least ``FREQUENT`` windows; a level for each eightfold number."""
+    counts = sets.select(F.explode("window").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    return counts.select("token", F.least(F.lit(5), F.floor(F.log2(F.col("n") / FREQUENT) / 3) + 1).cast("int").alias("level"))
 
 
 def _with_frequent(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``sets`` with ``frequent``: which of its tokens are frequent (few, and at most its window)."""
+    """``sets`` with ``frequent``: which tokens of its window are frequent, with their levels."""
     tokens = sets.select("node", F.explode("window").alias("token"))
-    held = join_small(tokens, frequent.withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), rows=NARROW_ROWS).groupBy("node").agg(F.collect_set("token").alias("frequent"))
-    held = stage(held.withColumnRenamed("node", "f_node"), "join-held")
-    return join_small(sets, held, F.col("node") == F.col("f_node"), "left")
+    found = join_small(tokens, frequent.withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), rows=NARROW_ROWS)
+    held = found.groupBy("node").agg(F.collect_set(F.struct("token", "level")).alias("frequent"))
+    held = stage(held.withColumnRenamed("node", "f_node"), "join-held", codec="lz4")
+    return join_small(sets, held, F.col("node") == F.col("f_node"), "left", rows=WIDE_ROWS).drop("f_node")
 
 
-def candidate_classes(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """``node, class, hub_score`` of the sets that share signatures, directly or through others."""
-    tokens = sets.select(F.explode("window").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = stage(tokens.filter(F.col("n") >= FREQUENT).select("token"), "join-frequent")
-    first = stage(_signature_rows(_with_frequent(sets, frequent), percent, False), "join-signatures")
-    dense = first.filter(F.col("sig").isNull()).select("node", "n_shingles").distinct()
-    whole = _whole_sets(docs, stage(dense, "join-dense"), width)
+def _dense(sets: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """``node, n_shingles`` of the sets whose window has fewer rare tokens than a prefix needs."""
+    tokens = sets.select("node", F.explode("window").alias("token"))
+    found = join_small(tokens, frequent.withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), rows=NARROW_ROWS).groupBy("node").agg(F.count(F.lit(1)).alias("n_frequent"))
+    need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    sized = sets.select("node", "n_shingles", F.size("window").alias("n_window")).join(found, "node")
+    return sized.filter((F.col("n_window") - F.col("n_frequent") < need) & (F.col("n_window") < F.col("n_shingles"))).select("node", "n_shingles").distinct()
+
+
+def _whole_windows(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, n_shingles, window`` with all tokens in the window."""
 
     def unpacked(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array([np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")], pa.list_(pa.int64()))], names=["node", "n_shingles", "window"])
 
-    full = whole.select("node", "n_shingles", "tokens").mapInArrow(unpacked, "node long, n_shingles long, window array<long>")
-    second = _signature_rows(_with_frequent(stage(full, "join-whole"), frequent), percent, True)
-    rows = stage(first.filter(F.col("sig").isNotNull()).unionByName(second), "join-rows")
-    lists = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n")).filter(F.col("hub") != F.col("other"))
-    lists = stage(lists, "join-lists")
-    two = lists.filter("n = 2").select(F.explode(F.array("hub", "other")).alias("node"), "hub")
-    more = lists.filter("n > 2").select(F.col("sig").alias("l_sig"), "hub")
-    longer = join_small(rows.select("node", "sig"), more, F.col("sig") == F.col("l_sig"), rows=NARROW_ROWS).select("node", "hub")
-    met = stage(two.unionByName(longer).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")), "join-met")
-    classes = connected_components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    scores = met.groupBy("node").agg(F.sum("n").alias("n_met")).join(classes, "node")
-    sizes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    return scores.join(sizes, "node").select("node", F.col("root").alias("class"), (F.col("n_met") / F.col("n_shingles")).alias("hub_score"), "n_shingles")
+    return _whole_sets(docs, nodes, width).select("node", "n_shingles", "tokens").mapInArrow(unpacked, "node long, n_shingles long, window array<long>")
 
 
-_TASK = "task string, node long, tokens binary"
+def signature_table(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``node, sig, least`` of all ``sets`` (``node, n_shingles, window``).
+
+    Frequent tokens are counted over the windows, and once more over the whole sets
+    of those whose windows hold too few rare tokens. A token's level is the same for
+    all sets, so the order is one.
+    """
+    first = stage(_frequent(sets), "join-frequent")
+    dense = stage(_dense(sets, first, percent), "join-dense")
+    whole = stage(_whole_windows(docs, dense, width), "join-whole", codec="lz4")
+    frequent = stage(first.unionByName(_frequent(whole)).groupBy("token").agg(F.max("level").alias("level")), "join-frequent")
+    more = stage(_dense(sets, frequent, percent).join(dense, "node", "left_anti"), "join-dense")
+    wholes = whole.unionByName(_whole_windows(docs, more, width))
+    gone = stage(dense.unionByName(more).select(F.col("node").alias("d_node")).distinct(), "join-dense")
+    light = _signature_rows(join_small(_with_frequent(sets, frequent), gone, F.col("node") == F.col("d_node"), "left_anti", rows=NARROW_ROWS), percent, False)
+    return light.unionByName(_signature_rows(_with_frequent(wholes, frequent), percent, True))
+
+
+def candidate_classes(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``node, class, hub_score, n_shingles`` of the sets that may link, directly or through others.
+
+    Sets in short lists are paired, and a pair stays if it shares as many signatures
+    as one of the two demands. Long lists are joined through their least set.
+    """
+    rows = stage(signature_table(sets, docs, percent, width), "join-rows", codec="lz4")
+    ends = rows.groupBy("sig").agg(F.min(F.struct("node", "least")).alias("x"), F.max(F.struct("node", "least")).alias("y"), F.count(F.lit(1)).alias("n"))
+    lists = stage(ends.filter(F.col("x.node") != F.col("y.node")), "join-lists", codec="lz4")
+    known = lists.filter("n > 2").select(F.col("sig").alias("l_sig"), F.col("x.node").alias("hub"), "n")
+    longer = stage(join_small(rows, known, F.col("sig") == F.col("l_sig"), rows=NARROW_ROWS).drop("l_sig"), "join-longer", codec="lz4")
+    short = longer.filter(F.col("n") <= SHORT_LIST).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("node", "least"))).alias("m"))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = lists.filter("n = 2").select("x", "y").unionByName(short.select(F.explode(each).alias("p")).select("p.x", "p.y"))
+    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.least", "y.least")).alias("least"))
+    near = counted.filter((F.col("n") >= F.col("least")) & (F.col("a") != F.col("b"))).select("a", "b", "n")
+    hubs = longer.filter(F.col("n") > SHORT_LIST).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    met = stage(near.unionByName(hubs), "join-met")
+    classes = connected_components(met)
+    both = met.select(F.col("a").alias("node"), "n").unionByName(met.select(F.col("b").alias("node"), "n"))
+    sizes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    scores = both.groupBy("node").agg(F.sum("n").alias("n_met")).join(classes, "node").join(sizes, "node")
+    return scores.select("node", F.col("root").alias("class"), (F.col("n_met") / F.col("n_shingles")).alias("hub_score"), "n_shingles")
 
 
 def _links(tasks: DataFrame, percent: int) -> DataFrame:
