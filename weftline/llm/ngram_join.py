@@ -298,7 +298,7 @@ def candidate_classes(sets: DataFrame, docs: DataFrame, percent: int, width: int
     ends = rows.groupBy("sig").agg(F.min(F.struct("node", "least")).alias("x"), F.max(F.struct("node", "least")).alias("y"), F.count(F.lit(1)).alias("n"))
     lists = stage(ends.filter(F.col("x.node") != F.col("y.node")), "join-lists", codec="lz4")
     known = lists.filter("n > 2").select(F.col("sig").alias("l_sig"), F.col("x.node").alias("hub"), "n")
-    longer = stage(join_small(rows, known, F.col("sig") == F.col("l_sig"), rows=NARROW_ROWS).drop("l_sig"), "join-longer", codec="lz4")
+    longer = stage(rows.join(known, F.col("sig") == F.col("l_sig")).drop("l_sig"), "join-longer", codec="lz4")
     short = longer.filter(F.col("n") <= SHORT_LIST).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("node", "least"))).alias("m"))
     each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.filter("n = 2").select("x", "y").unionByName(short.select(F.explode(each).alias("p")).select("p.x", "p.y"))
