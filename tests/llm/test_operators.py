@@ -143,6 +143,21 @@ def test_warc(spark):
     assert derived_records(responses_from_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_references_and_headers(spark):
+    from weftline.llm.warc import derived_records, rendered
+
+    html = "<p>&copy; 2024 &middot; caf&eacute; it&#8217;s &#xE9;&#x1F600; a&nbsp;b&#160;c &amp;copy; &notaname; &hellip;&#10;x &AMP;&copy</p><p>AT&T &NotEqualTilde;</p>"
+    headers = "HTTP/1.1 203 Other\r\nServer: x\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n"
+    source = spark.createDataFrame([(1, "<r>", "http://a", "2024-01-01T00:00:00Z", headers, html)], "source_id long, record_id string, target_uri string, date string, http_headers string, payload string")
+    records = derived_records(source)
+    got = {r["warc_type"]: r for r in records.collect()}
+    assert got["conversion"]["block"] == "\u00a9 2024 \u00b7 caf\u00e9 it\u2019s \u00e9\U0001f600 a b c &copy; \u00acaname; \u2026 x &\u00a9\nAT&T \u2242\u0338"
+    assert got["metadata"]["http_headers"] == got["conversion"]["http_headers"] == headers
+    for r in rendered(records).collect():
+        head = r["record"].split("\r\n\r\n")[0].split("\r\n")
+        assert [x[25:] for x in head if x.startswith("WARC-Source-HTTP-Header: ")] == ["HTTP/1.1 203 Other", "Server: x", "Content-Type: text/html", "Set-Cookie: a=1", "Set-Cookie: b=2"]
+
+
 def check_join(spark, docs, rows):
     from weftline.llm.ngram_join import join_components
 

@@ -61,7 +61,7 @@ def op9_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derived_records, responses_from_pages
 
-    return derived_records(responses_from_pages(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block")
+    return derived_records(responses_from_pages(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block", "http_headers")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A response is a row of ``record_id, target_uri, date, http_headers, payload``. Each
 gives two records that refer to it, with the source's headers and digests kept.
-All of it is one projection: no shuffle, no Python.
+All of it is one projection without a shuffle; only character references are read in Python.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_batches
+
 #: Elements that begin a new line of text, and elements without text.
 BLOCK_TAGS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|body|html|head|blockquote|pre|form|figure"
 SILENT_TAGS = ("script", "style", "noscript", "template", "title")
+#: The names that the SQL of the query reads; :func:`decoded` reads all.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
@@ -34,6 +37,22 @@ def responses_from_pages(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
     return pages.select(F.col("page_id").alias("source_id"), record_id("response", F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), F.col("html").alias("payload"))
 
 
+def decoded(text: Column) -> Column:
+    """Each character reference of HTML once: decimal and hexadecimal numbers and all names; white space of a reference is a blank."""
+    def read(texts):
+        import html
+        import re
+        from functools import lru_cache
+
+        import pyarrow as pa
+
+        one = lru_cache(4096)(lambda ref: re.sub("[\t\n\f\r\xa0]", " ", html.unescape(ref)))
+        refs = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});?")
+        return pa.array([x if x is None or "&" not in x else refs.sub(lambda m: one(m.group()), x) for x in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(read, "string", F.ArrowUDFType.SCALAR)(text)
+
+
 def plain_text(html: Column) -> Column:
     """Text of an HTML page: silent elements and comments go, blocks begin lines, entities are read."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
@@ -42,9 +61,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
+    text = F.regexp_replace(decoded(text), r"[ \t]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n+", "\n"), F.lit(" \n"))
 
 
@@ -62,20 +79,25 @@ def derived_records(responses: DataFrame) -> DataFrame:
 
     Columns: ``source_id, warc_type, record_id, refers_to, target_uri, date,
     content_type, source_content_type, source_length, source_digest, block_digest,
-    content_length, block``. A null payload counts as empty and gives an empty
+    content_length, block, http_headers``, the last being the source's as they are. A null payload counts as empty and gives an empty
     conversion; a null address stays null; repeated rows give repeated records of
     the same ids. Other columns are not kept. An empty table gives no rows.
     """
+    python_batches(responses.sparkSession)
     content_type = F.regexp_extract("http_headers", r"(?i)content-type:[ \t]*([^\r\n]*)", 1)
-    base = responses.select("source_id", "record_id", "target_uri", "date", content_type.alias("source_content_type"), F.octet_length(F.coalesce("payload", F.lit(""))).cast("long").alias("source_length"), _digest(F.col("payload")).alias("source_digest"), "payload")
+    base = responses.select("source_id", "record_id", "target_uri", "date", content_type.alias("source_content_type"), F.octet_length(F.coalesce("payload", F.lit(""))).cast("long").alias("source_length"), _digest(F.col("payload")).alias("source_digest"), "payload", "http_headers")
     made = [F.struct(F.lit(kind).alias("warc_type"), record_id(kind, F.col("record_id")).alias("new_id"), F.lit(kind_type).alias("content_type"), block.alias("block")) for kind, kind_type, block in (("metadata", "application/warc-fields", metadata_block(F.col("payload"))), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))]
     rows = base.select("*", F.explode(F.array(*made)).alias("r"))
-    return rows.select("source_id", "r.warc_type", F.col("r.new_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "r.content_type", "source_content_type", "source_length", "source_digest", _digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block")
+    return rows.select("source_id", "r.warc_type", F.col("r.new_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "r.content_type", "source_content_type", "source_length", "source_digest", _digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block", "http_headers")
 
 
 def rendered(records: DataFrame) -> DataFrame:
-    """``record_id, record``: each derived record as WARC/1.1 text, ready to be written one after another."""
+    """``record_id, record``: each derived record as WARC/1.1 text, ready to be written one after another.
+
+    Each line of the source's headers, its status line first, is a ``WARC-Source-HTTP-Header`` of its own.
+    """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
     fields = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Content-Type", "source_content_type"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    head = F.concat(F.lit("WARC/1.1\r\n"), *[line(n, F.col(c)) for n, c in fields], F.lit("\r\n"))
+    source = F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), r"\r?\n"), lambda x: x != ""), lambda x: F.concat(F.lit("WARC-Source-HTTP-Header: "), x, F.lit("\r\n")))
+    head = F.concat(F.lit("WARC/1.1\r\n"), *[line(n, F.col(c)) for n, c in fields], F.array_join(source, ""), F.lit("\r\n"))
     return records.select("record_id", F.concat(head, "block", F.lit("\r\n\r\n")).alias("record"))
