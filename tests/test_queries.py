@@ -44,3 +44,10 @@ def test_lists_find_most_neighbours(spark):
     exact = {(r.q_id, r.id) for r in QUERIES["v7_knn_l2"](spark, DATA).collect()}
     found = {(r.q_id, r.id) for r in QUERIES["v8_ivf_search"](spark, DATA).collect()}
     assert len(exact & found) >= 0.5 * len(exact)
+
+
+def test_lists_find_nine_tenths_of_neighbours(spark):
+    large = "/root/testdata/sf0.1"
+    exact = {(r.q_id, r.id) for r in QUERIES["v7_knn_l2"](spark, large).collect()}
+    found = {(r.q_id, r.id) for r in QUERIES["v8_ivf_search"](spark, large).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)

@@ -234,7 +234,7 @@ def v7(spark, d):
 def v8(spark, d):
     q, v = _vectors(spark, d)
     centres, indexed = V.ivf(v, 16)
-    return V.ivf_search(q, indexed, centres, 5, 6).select("q_id", "id", "place")
+    return V.ivf_search(q, indexed, centres, 5, 12).select("q_id", "id", "place")
 
 
 @query("v9_quantized_knn", f"WITH s AS (SELECT q_id, id, q, v, list_sum(list_transform(list_zip(q, v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS h {PAIR}), f AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY h, id) AS n FROM s) SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place FROM f WHERE n <= 50) WHERE place <= 5")
