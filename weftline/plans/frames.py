@@ -52,7 +52,7 @@ def raw_text(spark, d):
 
 def wait_edges(spark, d):
     """Waiter n is blocked by n / 2, with a cycle between two ids; n are the ids of events from 1 on."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("waiter")).filter("waiter > 0 and waiter < 4000")
+    e = table(spark, d, "events").select(F.col("event_id").alias("waiter")).filter("waiter > 0")
     cycle = spark.range(1).select(F.lit(2).cast("long").alias("waiter"), F.lit(5).cast("long").alias("blocker"))
     return e.select("waiter", F.expr("waiter div 2").alias("blocker")).unionByName(cycle)
 

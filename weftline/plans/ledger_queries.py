@@ -19,7 +19,7 @@ def index(spark, d):
 
 
 def specs(spark, d):
-    return table(spark, d, "customer").filter("c_custkey < 1500").selectExpr("'s' || CAST(c_custkey % 500 AS string) AS spec_id", "'d' || CAST(c_custkey div 500 AS string) AS digest", "'e' || CAST(c_custkey % 500 % 3 AS string) AS epoch", "CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment", "CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS string) END AS release")
+    return table(spark, d, "customer").selectExpr("'s' || CAST(c_custkey % 500 AS string) AS spec_id", "'d' || CAST(c_custkey div 500 AS string) AS digest", "'e' || CAST(c_custkey % 500 % 3 AS string) AS epoch", "CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment", "CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS string) END AS release")
 
 
 STATUS = f"SELECT s.*, CASE WHEN list_contains(i.running, digest) THEN 'in_progress' WHEN list_contains(i.succeeded, digest) THEN 'applied' WHEN len(i.succeeded) > 0 THEN 'modified_after_apply' WHEN list_contains(i.failed, digest) THEN 'failed' ELSE 'pending' END AS status FROM ({SPEC}) s LEFT JOIN ({IDX}) i USING (epoch, spec_id)"
@@ -58,7 +58,7 @@ def l5(spark, d):
 
 @query("l6_missing_dependencies", f"WITH n AS (SELECT 's' || CAST(c_custkey AS VARCHAR) AS spec_id, unnest(['s' || CAST(c_custkey + 300 AS VARCHAR), 's' || CAST(c_custkey // 3 AS VARCHAR)]) AS depends_on FROM customer WHERE c_custkey < 500) SELECT * FROM n WHERE depends_on NOT IN (SELECT 's' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 500) AND depends_on NOT IN (SELECT spec_id FROM ({IDX}) WHERE len(succeeded) > 0)")
 def l6(spark, d):
-    s = table(spark, d, "customer").filter("c_custkey < 500").selectExpr("'s' || CAST(c_custkey AS string) AS spec_id", "array('s' || CAST(c_custkey + 300 AS string), 's' || CAST(c_custkey div 3 AS string)) AS depends_on")
+    s = table(spark, d, "customer").selectExpr("'s' || CAST(c_custkey AS string) AS spec_id", "array('s' || CAST(c_custkey + 300 AS string), 's' || CAST(c_custkey div 3 AS string)) AS depends_on")
     return L.missing_dependencies(s, index(spark, d))
 
 
@@ -123,7 +123,7 @@ def l14(spark, d):
 @query("l15_blocking_closure", "WITH RECURSIVE r(root, waiter, depth) AS (SELECT DISTINCT blocker, waiter, 1 FROM wait_edges WHERE blocker IN (1, 2, 40) UNION SELECT r.root, w.waiter, r.depth + 1 FROM r JOIN wait_edges w ON w.blocker = r.waiter WHERE r.depth < 16) SELECT root, waiter, min(depth) AS depth FROM r WHERE waiter <> root GROUP BY 1, 2")
 def l15(spark, d):
     roots = table(spark, d, "events").select(F.col("event_id").alias("root")).filter("root IN (1, 2, 40)")
-    return L.blocking_closure(wait_edges(spark, d), roots)
+    return L.blocking_closure(wait_edges(spark, d), roots, max_depth=64)
 
 
 def ticks(spark, d):
