@@ -72,3 +72,14 @@ def test_closure_from_the_first_event_has_all(spark):
     large = "/root/testdata/sf0.1"
     events = spark.read.parquet(f"{large}/events.parquet").filter("event_id > 1").count()
     assert QUERIES["l15_blocking_closure"](spark, large).filter(F.col("root") == 1).count() == events
+
+
+@pytest.mark.parametrize("search", ["knn", "quantized_knn"])
+def test_neighbours_in_blocks_of_queries(spark, search):
+    from weftline.operators import search as V
+    from weftline.plans.data_queries import _vectors
+
+    q, v = _vectors(spark, DATA)
+    rows = lambda df: sorted((r.q_id, r.id, r.dist, r.place) for r in df.collect())
+    once = rows(getattr(V, search)(q, v, 5))
+    assert len(once) == 5 * q.count() and rows(getattr(V, search)(q, v.repartition(3), 5, most_queries=3)) == once
