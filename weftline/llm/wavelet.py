@@ -9,6 +9,7 @@ are the rows of a Parquet table, so any executor reads any of them by itself.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_count import PATTERN, byte_symbols
+from .bpe_count import byte_symbols
 from .common import join_small, python_batches, stage
 
 MAGIC = b"WVMX1\0"
@@ -31,94 +32,112 @@ WIDTH = 16
 STRIDE = 2048
 #: Tokens after which a shard is closed (after a whole document).
 SHARD_TOKENS = 1 << 18
-#: Pieces of text whose ids a worker keeps, and the longest that is kept.
-KEPT_PIECES, KEPT_LENGTH = 700_000, 48
+#: Words whose ids a worker keeps, and the longest that is kept.
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 48
+#: White space other than the blank and the line feed, in ASCII and beyond.
+_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Signs that end a word as a pre-token of their own.
 _SIGNS = (".", ",", ";", ":", "!", "?")
 _DOUBLE_SPACE = re.compile(r"\s\s")
-#: White space other than the blank and the line feed.
-_OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _has_double_space(text: str) -> bool:
-    """Whether two white-space characters stand side by side."""
-    if any(c in text for c in _OTHER_SPACES):
+    """Whether two white-space characters stand side by side, or one begins or ends the text."""
+    if text[0].isspace() or text[-1].isspace():
+        return True
+    if any(c in text for c in _ASCII_SPACES) or not text.isascii() and any(c in text for c in _OTHER_SPACES):
         return _DOUBLE_SPACE.search(text) is not None
     return "  " in text or "\n" in text and (" \n" in text or "\n " in text or "\n\n" in text)
 
 
 class _Kept(dict):
-    """Ids by piece; a piece that is not there is encoded, and kept unless it is long."""
+    """Ids by word; a word that is not there is encoded, and kept unless it is long."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.encode(piece)
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
+    def __missing__(self, word: str) -> bytes:
+        found = self.encode(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
                 self.clear()
-            self[piece] = found
+            self[word] = found
         return found
 
 
-class PieceEncoder:
-    """Ids of whole texts from the tokenizers library, each recurring piece encoded once.
+class WordEncoder:
+    """Ids of whole texts from the tokenizers library, each recurring word encoded once.
 
-    The byte-level pre-tokenizer always begins a token at a blank between two other
-    characters, and a single line feed between two is a token of its own; texts
-    without double white space are cut there, and a piece's pre-tokens go straight
-    to the library's merge model. Texts with double white space, a zero character or
-    an added token go to the library whole.
+    A byte-level pre-tokenizer begins a token at a blank between two other characters
+    and makes a line feed between two a token of its own, so there a text's ids are
+    those of its words one after another. A word of letters is one pre-token and goes
+    straight to the library's merge model, another word to the whole library. Texts
+    with double white space or an added token go to the library whole, as do all
+    texts where the file has another pre-tokenizer or a normalizer.
     """
 
     def __init__(self, path: str):
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         self.merge = self.library.model.tokenize
         self.marks = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.split = regex.compile(PATTERN).findall
         self.symbols = dict(enumerate(byte_symbols()))
-        self.kept = _Kept(self._piece)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        return array("H", [t.id for t in self.merge(word.encode("utf-8").decode("latin-1").translate(self.symbols))]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece from its pre-tokens; a blank and letters are one, a sign after them is another."""
-        body = piece[1:] if piece[0] == " " else piece
-        if body.isalpha():
-            return self._word(piece)
-        words = [piece[:-1], piece[-1]] if body[-1:] in _SIGNS and body[:-1].isalpha() else self.split(piece)
-        get = self.kept.get
-        return b"".join([get(w) or self._word(w) for w in words])
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as unsigned 16-bit integers."""
+        self.blank = self.symbols[ord(" ")]
+        self.feed = self.whole("\n")
+        #: Ids of words after a blank, and of words that begin a line.
+        self.after, self.first = _Kept(lambda w: self._word(w, " ")), _Kept(lambda w: self._word(w, ""))
+
+    def whole(self, text: str) -> bytes:
+        """The library's ids of a text."""
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str, before: str) -> bytes:
+        """Ids of a word of letters alone, with the blank before it if there is one."""
+        symbols = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return array("H", [t.id for t in self.merge(self.blank + symbols if before else symbols)]).tobytes()
+
+    def _word(self, word: str, before: str) -> bytes:
+        if word.isalpha():
+            return self._letters(word, before)
+        if word[-1] in _SIGNS and word[:-1].isalpha():
+            body = (self.after if before else self.first).get(word[:-1])
+            return (body or self._letters(word[:-1], before)) + self._sign(word[-1])
+        return self.whole(before + word)
+
+    @lru_cache(maxsize=64)  # noqa: B019 - one encoder a worker
+    def _sign(self, sign: str) -> bytes:
+        return self.whole(sign)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as unsigned 16-bit integers; a null text has none."""
         if not text:
             return b""
-        if _has_double_space(text) or any(m in text for m in self.marks):
-            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if "\0" in text:
-            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if not pieces[0]:
-            del pieces[0]
-        if not pieces[-1]:
-            del pieces[-1]
-        return b"".join(map(self.kept.__getitem__, pieces))
+        if not self.by_word or _has_double_space(text) or any(m in text for m in self.marks):
+            return self.whole(text)
+        after, first, out = self.after.__getitem__, self.first.__getitem__, []
+        for line in text.split("\n"):
+            words = iter(line.split(" "))
+            out.append(first(next(words)))
+            out += map(after, words)
+            out.append(self.feed)
+        out.pop()
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
+def word_encoder(path: str) -> WordEncoder:
     """The encoder of a worker process; what it keeps serves later tasks too."""
-    return PieceEncoder(path)
+    return WordEncoder(path)
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -284,7 +303,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_to
     def shards(batches):
         from pyspark import TaskContext
 
-        encoder, part, seq = piece_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(path), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         lengths: list[int] = []
         data: list[bytes] = []
@@ -295,8 +314,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_to
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = encoder.encode(text) + end if text else end
+            for doc, one in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, batch.column("text").to_pylist()), strict=True):
+                one = one + end
                 ids.append(doc)
                 lengths.append(len(one) // 2)
                 data.append(one)
