@@ -124,3 +124,46 @@ def kept(rows, floors, keep, steps, consistency, inner, outer):
         d = dist(core.mean(0), cov(core) + floor)
         out |= {i for (i, _), v in zip(members, d, strict=True) if v <= outer}
     return out
+
+
+def ppm_stream(text):
+    """A text's bytes: words closed by a blank, and an end."""
+    return b"".join(w + b" " for w in lower_words(text)) + b"\n"
+
+
+def ppm_trie(streams, order=5):
+    """Counts by context: at the full order occurrences, below it the longer contexts in which a symbol occurs."""
+    full, longer = {}, {}
+    for s in streams:
+        s = b"\t" * order + b" " + s
+        for j in range(order + 1, len(s)):
+            row = full.setdefault(s[j - order : j], {})
+            row[s[j]] = row.get(s[j], 0) + 1
+            for k in range(order):
+                longer.setdefault(s[j - k : j], {}).setdefault(s[j], set()).add(s[j - k - 1 : j])
+    return full | {c: {x: len(found) for x, found in row.items()} for c, row in longer.items()}
+
+
+def ppm_score(stream, trie, order=5):
+    """Log10 probability of a stream by method D with symbol exclusion."""
+    import math
+
+    s, total = b"\t" * order + b" " + stream, 0.0
+    for j in range(order + 1, len(s)):
+        gone = set()
+        for k in range(order, -1, -1):
+            context = s[j - k : j]
+            if b"\t" in context:
+                continue
+            row = trie.get(context, {})
+            left = {x: c for x, c in row.items() if x not in gone}
+            mass = sum(left.values())
+            if s[j] in left:
+                total += math.log10((2 * left[s[j]] - 1) / (2 * mass))
+                break
+            if mass:
+                total += math.log10(len(left) / (2 * mass))
+            gone |= set(row)
+        else:
+            total -= math.log10(256 - len(gone))
+    return total

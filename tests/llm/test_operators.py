@@ -275,64 +275,49 @@ def test_toxicity(spark, empty):
 
 def test_ppm(spark, empty):
     import math
-    from collections import Counter, defaultdict
+    from collections import Counter
 
     from weftline.llm import ppm
 
-    rows = [(k, prose(k, 30 + k, ("the", "then", "them", "river", "x", "a\x00b", "Éa", "abcdefghijk", "abcdefghix"))) for k in range(60)] + [(90, None), (91, ""), (92, "neverseen zq " * 3)]
-    old = ppm.CHUNK_BYTES
-    ppm.CHUNK_BYTES = 2000
-    try:
-        got = {r["doc_id"]: r for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    finally:
-        ppm.CHUNK_BYTES = old
-    tokens = {i: [*brute.lower_words(t), b""] for i, t in rows}
-    count = Counter(w for i, ws in tokens.items() if not brute.held(i, 5, 1) for w in ws)
+    rows = [(k, prose(k, 30 + k, ("the", "then", "them", "river", "x", "a\x00b", "Éa", "abcdefghijk", "abcdefghix"))) for k in range(60)] + [(90, None), (91, ""), (92, "neverseen zq " * 3), (None, "the river"), (90, "the the"), (93, "long " * 3000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, keys string").repartition(3)
+    got = sorted(map(tuple, ppm.score_documents(docs, chunk_bytes=2000).collect()), key=repr)
+    streams = [(i, brute.ppm_stream(t), [*brute.lower_words(t), b""], i is not None and brute.held(i, 5, 1)) for i, t in rows]
+    count = Counter(w for *_, ws, out in streams if not out for w in ws)
     n, v = sum(count.values()), len(count)
-    trie = defaultdict(Counter)
-    line = lambda w: b" " + w + b" " if w else b" \n"
-    for w, c in count.items():
-        s = line(w)
-        for j in range(1, len(s)):
-            for k in range(min(7, j) + 1):
-                trie[s[j - k : j]][s[j]] += c
-
-    def coded(w):
-        s, total = line(w), 0.0
-        for j in range(1, len(s)):
-            gone, done = set(), False
-            for k in range(min(7, j), -1, -1):
-                left = {x: c for x, c in trie.get(s[j - k : j], {}).items() if x not in gone}
-                mass = sum(left.values())
-                if mass and s[j] in left:
-                    total += math.log10((2 * left[s[j]] - 1) / (2 * mass))
-                    done = True
-                    break
-                if mass:
-                    total += math.log10(len(left) / (2 * mass))
-                gone |= set(left)
-            if not done:
-                total -= math.log10(256 - len(gone))
-        return total
-
-    for i, ws in tokens.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (brute.held(i, 5, 1), len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert r["score"] == pytest.approx(sum(map(coded, ws)))
+    trie = brute.ppm_trie([s for _, s, _, out in streams if not out])
+    want = [(i, out, len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), brute.ppm_score(s, trie)) for i, s, ws, out in streams]
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-5)
     assert ppm.score_documents(empty).count() == 0
+    alone = ppm.score_documents(spark.createDataFrame([(1, "no training")], "doc_id long, text string"), held=lambda c, *_: c > 0).first()
+    assert alone["score"] == pytest.approx(-len("no training \n") * math.log10(256)) and alone["n_known"] == alone["train_tokens"] == 0
 
 
 def test_ppm_sums_to_one():
-    from weftline.llm.ppm import _MASKS, code_lengths, word_keys
+    from weftline.llm.ppm import _MASKS, ORDER, code_lengths, stream_keys
 
-    keys, _ = word_keys([b"abab", b"abc", b"a", b"", b"cab"])
+    streams = [b"abab abc ", b"\n", b"cab abab \n", b"a \n"]
+    keys = stream_keys(np.frombuffer(b"".join(streams), np.uint8), np.array([len(x) for x in streams]))
     keys, counts = np.unique(keys, return_counts=True)
-    low, at = np.unique(keys & _MASKS[1], return_inverse=True)
-    low_counts = np.bincount(at, weights=counts)
+    low, low_counts = np.unique(np.unique(keys & _MASKS[3]) & _MASKS[2], return_counts=True)
     for context in np.unique(keys >> np.uint64(8)):
         asked = (context << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert np.exp(code_lengths(asked, keys, counts, low, low_counts)).sum() == pytest.approx(1)
+    assert len(keys[0:1]) and int(keys.max()) < 1 << 8 * (ORDER + 1)
+
+
+def test_ppm_learns_across_words(spark):
+    """Another order of the words has another score, and held-out texts score above the base of single words."""
+    from weftline.llm.ppm import score_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r for r in score_documents(docs).collect()}
+    out = [r for r in found.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.1 * sum(r["n_tokens"] for r in out)
+    small = spark.createDataFrame([(k, "the old river runs to the cold sea by the stone mill") for k in range(8)] + [(100, "the cold sea by the old mill"), (101, "mill old the by sea cold the")], "doc_id long, text string")
+    a, b = (r["score"] for r in score_documents(small, held=lambda c, *_: c >= 100).filter("doc_id >= 100").orderBy("doc_id").collect())
+    assert a > b + 1
 
 
 def test_token_counts(docs, empty, rows, vocabulary, library):
@@ -349,10 +334,10 @@ def test_token_counts(docs, empty, rows, vocabulary, library):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
-def test_piece_encoder_agrees_with_the_library(vocabulary, library):
-    from weftline.llm.wavelet import PieceEncoder
+def test_word_encoder_agrees_with_the_library(vocabulary, library):
+    from weftline.llm.wavelet import WordEncoder
 
-    encoder, r = PieceEncoder(vocabulary), random.Random(2)
+    encoder, r = WordEncoder(vocabulary), random.Random(2)
     for _ in range(400):
         text = "".join(r.choice(["a", "the", " ", " of", "  ", "\n", "\x00", "\x1c", "\x85", " ", "'s", "é", "漢字", "12", "!?", "<|endoftext|>", "\U0001f600"]) for _ in range(r.randrange(1, 14)))
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
