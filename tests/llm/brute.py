@@ -92,37 +92,64 @@ def deleted_lines(rows, least=50):
 
 
 def vector(text):
+    """The transformed statistics of a text, and the variances of its own counts."""
     import math
 
     n, chars, symbols, dup, repeat, _ = quality(text)
     lines = len([x for x in (text or "").split("\n") if words(x)])
-    return [math.log(max(chars, 1) / max(n, 1)), math.sqrt(symbols / max(chars, 1)), math.sqrt(dup / max(lines, 1)), math.sqrt(repeat / max(n, 1))]
+    angle = lambda k, of: math.asin(math.sqrt((k + 0.375) / (of + 0.75))) - math.asin(math.sqrt(0.375 / (of + 0.75)))
+    v = [math.log(max(chars, 1) / max(n, 1)), angle(symbols / 5, chars / 5), angle(dup, lines), angle(repeat / 25, n / 25)]
+    return v, [0.25 / max(n, 1), 1 / (4 * chars / 5 + 2), 1 / (4 * lines + 2), 1 / (4 * n / 25 + 2)]
 
 
-def kept(rows, floors, keep, steps, consistency, inner, outer):
+def mcd(x, keep=0.75, consistency=0.75 / 0.5047, inner=11.1433, noise=1e-8):
+    """Centre and covariance of least determinant over three starts, reweighted."""
+    import numpy as np
+
+    rank = lambda v, p: np.sort(v, axis=0)[max(1, int(np.ceil(p * len(v)))) - 1]
+    ridge = np.eye(x.shape[1]) * noise
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    med = rank(x, 0.5)
+    spread = np.maximum(1.4826 * rank(abs(x - med), 0.5), noise**0.5)
+    unit = (x - med) / spread
+    norm2 = (unit**2).sum(1)
+    unit = unit[norm2 > 0] / np.sqrt(norm2[norm2 > 0])[:, None]
+    signs = unit.T @ unit / max(len(unit), 1) * np.outer(spread, spread) + ridge
+    found = []
+    for m, c in ((med, np.diag(spread**2)), (x.mean(0), np.cov(x.T, bias=True) + ridge), (med, signs)):
+        was = np.inf
+        for _ in range(100):
+            d = dist(m, c)
+            core = x[d <= rank(d, keep)]
+            m, c = core.mean(0), np.cov(core.T, bias=True) * consistency + ridge
+            now = np.linalg.slogdet(c)[1]
+            if abs(now - was) < 1e-9:
+                break
+            was = now
+        found.append((now, m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    core = x[dist(m, c) <= inner]
+    return core.mean(0), np.cov(core.T, bias=True) + ridge
+
+
+def kept(rows, least=40, outer=23.5127):
     """Ids that pass the base rules and the robust distance, of (doc_id, text, lang, source) rows."""
     import numpy as np
 
-    groups = defaultdict(list)
-    for r in rows:
-        if not quality(r[1])[5]:
-            groups[r[2], r[3]].append((r[0], vector(r[1])))
+    good = [(r[0], (r[2], r[3]), *map(np.array, vector(r[1]))) for r in rows if not quality(r[1])[5]]
+    levels = [lambda g: g, lambda g: g[0], lambda g: ()]
     out = set()
-    floor = np.diag([v * v for v in floors])
-    for members in groups.values():
-        x = np.array([v for _, v in members])
-        dist = lambda m, c, x=x: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        cov = lambda core: np.cov(core.T, bias=True) if len(core) > 1 else np.zeros((4, 4))
-        d = dist(np.sort(x, axis=0)[(len(x) - 1) // 2], floor)
-        for _ in range(steps):
-            core = x[d <= np.sort(d)[int(np.ceil(keep * len(x))) - 1]]
-            d = dist(core.mean(0), cov(core) * consistency + floor)
-        core = x[d <= inner]
-        if not len(core):
-            out |= {i for i, _ in members}
-            continue
-        d = dist(core.mean(0), cov(core) + floor)
-        out |= {i for (i, _), v in zip(members, d, strict=True) if v <= outer}
+    for i, g, v, own in good:
+        for name in levels:
+            x = np.array([w for _, h, w, _ in good if name(h) == name(g)])
+            if len(x) >= least:
+                m, c = mcd(x)
+                if (v - m) @ np.linalg.inv(c + np.diag(own)) @ (v - m) > outer:
+                    break
+                out.add(i)
+                break
+        else:
+            out.add(i)
     return out
 
 

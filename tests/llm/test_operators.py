@@ -367,27 +367,70 @@ def test_quality_rules(spark, docs, rows, empty):
     assert judged(empty).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Groups of their own, groups that fall back to their language or to all, and names that clash."""
+    from weftline.llm.outliers import judged
+
+    r = random.Random(3)
+    size = {("en", "a"): 60, ("en", "b"): 45, ("en", None): 5, ("de", "a"): 20, ("de", "b"): 25, (None, "a"): 3, ("fr", "c"): 1}
+    keys = [(lang, source, k) for (lang, source), n in size.items() for k in range(n)]
+    rows = [(i, plain(r, 50 + r.randrange(150), k), lang, source) for i, (lang, source, k) in enumerate(keys)]
+    rows += [(1000, None, "en", "a"), (1001, "", None, None), rows[3]]
+    names = "m_0 double, l_00 double, g_lang string, z_0 int, d2 int, kept int, v_len int, `a.b` int"
+    docs = spark.createDataFrame([(*x, 0.5, 1.5, "g", 4, 5, 6, 7, 8) for x in rows], f"doc_id long, text string, lang string, source string, {names}").repartition(3)
+    found = judged(docs)
+    got = found.collect()
+    assert {x["doc_id"] for x in got if x["kept"]} == brute.kept(rows) and len(got) == len(rows)
+    assert 0 < sum(not x["kept"] and not x["base_failed"] for x in got) < 40
+    assert {(x["m_0"], x["l_00"], x["g_lang"], x["z_0"], x["d2"], x["v_len"], x["a.b"]) for x in got} == {(0.5, 1.5, "g", 4, 5, 7, 8)}
+    few = judged(docs.filter("lang = 'fr' OR lang IS NULL"))
+    assert {x["kept"] for x in few.filter("NOT base_failed").collect()} == {True}
+
+
+def plain(r, n, k):
+    """Prose in lines; now and then with long words, signs or a repeated passage."""
+    words = [r.choice(("stone", "river", "walks", "blue", "hill", "tree")) + (str(r.randrange(900)) if r.random() < 0.8 else "") for _ in range(n)]
+    if k % 11 == 3:
+        words = [w * 4 for w in words]
+    if k % 13 == 5:
+        words = [w + "#$%" for w in words]
+    if k % 17 == 6:
+        words = words[: n // 3] + words[: n // 7]  + words[n // 3 :]
+    return "\n".join(" ".join(words[a : a + 12]) for a in range(0, len(words), 12))
+
+
 def test_outliers_against_numpy(spark):
-    """The distance of each row is that of a numpy version of the same estimate, and planted rows are told."""
+    """The estimate is a plain one's and no random start finds a much smaller determinant; covariance decides, not a radius."""
     from weftline.llm import outliers
 
     r = np.random.default_rng(4)
-    good = r.multivariate_normal([1.6, 0.05, 0.1, 0.1], np.diag([0.02, 0.001, 0.004, 0.004]) + 0.0005, 400)
-    bad = r.normal([2.6, 0.6, 0.1, 0.1], 0.02, (60, 4))
-    x = np.vstack([good, bad])
-    names = list(outliers.FLOORS)
-    rows = spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{n} double" for n in names))
-    floor = np.diag([v**2 for v in outliers.FLOORS.values()])
-    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    d = dist(np.sort(x, axis=0)[(len(x) - 1) // 2], floor)
-    for _ in range(outliers.STEPS):
-        core = x[d <= np.sort(d)[int(np.ceil(outliers.KEEP * len(x))) - 1]]
-        d = dist(core.mean(0), np.cov(core.T, bias=True) * outliers.CONSISTENCY + floor)
-    core = x[d <= outliers.CHI2[0.975]]
-    want = np.sort(dist(core.mean(0), np.cov(core.T, bias=True) + floor))
-    got = np.sort([v["d2"] for v in outliers._with_distance(rows, outliers.estimates(rows)).collect()])
-    assert got == pytest.approx(want, rel=1e-6)
-    assert (got > outliers.CHI2[0.9999]).sum() == 60
+    shape = np.array([[0.04, 0.035, 0, 0], [0.035, 0.04, 0, 0], [0, 0, 0.01, -0.004], [0, 0, -0.004, 0.01]])
+    good = r.multivariate_normal([1.6, 0.05, 0.1, 0.1], shape, 400)
+    bad = r.normal([2.9, 0.6, 0.1, 0.1], 0.02, (60, 4))
+    x = {"one": np.vstack([good, bad]), "two": np.vstack([good[:90] * 3, np.array([[0.0, 0, 0, 0]] * 200)]), "flat": np.c_[good[:50, :1], np.zeros((50, 3))]}
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, vs in x.items() for v in vs], "gid string, " + ", ".join(f"{n} double" for n in outliers.VECTOR)).repartition(3)
+    found = {e["gid"]: e for e in outliers.estimates(rows).collect()}
+    for g, vs in x.items():
+        m, c = brute.mcd(vs)
+        assert [found[g][f"m_{i}"] for i in range(4)] == pytest.approx(m.tolist(), abs=1e-9), g
+        assert [found[g][f"c_{i}{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(4) for j in range(i + 1)], abs=1e-9), g
+    m, c = brute.mcd(x["one"])
+    best = np.inf
+    for _ in range(200):  # concentration from random starts
+        core = x["one"][r.choice(460, 5, replace=False)]
+        for _ in range(30):
+            a, b = core.mean(0), np.cov(core.T, bias=True) + np.eye(4) * 1e-8
+            d = np.einsum("ij,jk,ik->i", x["one"] - a, np.linalg.inv(b), x["one"] - a)
+            core = x["one"][d <= np.sort(d)[344]]
+        best = min(best, np.linalg.slogdet(np.cov(core.T, bias=True) * outliers.CONSISTENCY)[1])
+    start = outliers.estimates(rows.filter("gid = 'one'"))
+    d2 = np.array([v["d2"] for v in outliers._near(rows.filter("gid = 'one'"), start, ["gid"]).collect()])
+    assert (d2 > outliers.CHI2[0.9999]).sum() == 60
+    inner = x["one"][np.argsort(np.einsum("ij,jk,ik->i", x["one"] - m, np.linalg.inv(c), x["one"] - m))[:345]]
+    assert np.linalg.slogdet(np.cov(inner.T, bias=True) * outliers.CONSISTENCY)[1] < best + 0.05
+    probe = spark.createDataFrame([("one", 1.6 + 0.5, 0.05 + 0.5, 0.1, 0.1), ("one", 1.6 + 0.5, 0.05 - 0.5, 0.1, 0.1)], rows.schema)
+    along, across = (v["d2"] for v in outliers._near(probe, start, ["gid"]).orderBy(F.desc("v_sym")).collect())
+    assert along < outliers.CHI2[0.9999] < across
 
 
 def test_components(spark):

@@ -34,13 +34,11 @@ def documents():
 
 
 def test_pipeline(spark, tmp_path):
-    from weftline.llm import outliers
-
     rows, items = documents()
     spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_words string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    good = brute.kept(rows, list(outliers.FLOORS.values()), outliers.KEEP, outliers.STEPS, outliers.CONSISTENCY, outliers.CHI2[0.975], outliers.CHI2[0.9999])
+    good = brute.kept(rows)
     one = [r for r in rows if r[0] in good]
     alone = brute.components([(r[0], r[1]) for r in one])
     two = [r for r in one if alone[r[0]][1] == r[0]]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
+from ..functions.staging import settled
 
 #: Rows below which a table of aggregates is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -19,27 +18,9 @@ BATCH_ROWS = 256
 _SPACES = ("\t", "\n", "\x0b", "\x0c", "\r")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a new local one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage with files that outlive any executor. The table's path is
-    new each time; it is left in place, since later lazy reads may need it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder, read back (see :func:`settled`)."""
+    return settled(df, name, codec)
 
 
 def drop_staged(df: DataFrame) -> None:
@@ -90,6 +71,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
 
+def carried(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns ``read``, and all others in one struct ``q__rest``, so that no name of theirs meets an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    return docs.select(*[c for c in read if c in docs.columns], (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("q__rest"))
+
+
+def restored(docs: DataFrame, *read: str) -> list[Column]:
+    """The columns of ``docs`` in their order, taken from what :func:`carried` made of it."""
+    return [F.col(c) if c in read else F.col("q__rest").getField(c).alias(c) for c in docs.columns]
+
+
 def append_arrow(batch, **columns):
     """An Arrow batch with more columns at its end; those there keep their exact types and nulls."""
     import pyarrow as pa

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, python_batches, without
+from .common import append_arrow, carried, python_batches, restored, without
 
 WINDOW = 13
 #: Words of window starts in one broadcast block of the benchmark.
@@ -147,3 +147,9 @@ def n_hit() -> Column:
 def is_contaminated() -> Column:
     """At least one word in twenty is inside an occurrence."""
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns alone."""
+    found = benchmark_hits(carried(docs, "doc_id", "text"), benchmark, **options)
+    return found.filter(~is_contaminated()).select(*restored(docs, "doc_id", "text"))

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stage, unit_hash, words
+from .common import carried, join_small, restored, stage, unit_hash, without, words
 
 #: Production parameters: weights by source order, repeated; share of all words; limit of repetition.
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_REPEAT = 2.0
 SEED = "mix-1"
+#: Columns that the mix reads.
+READ = ("doc_id", "text", "source")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MAX_REPEAT) -> DataFrame:
@@ -48,21 +50,33 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MA
     return levels.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
+def _copied(docs: DataFrame, seed: str, **targets) -> DataFrame:
+    """``source, doc_id, text``, the rest as one struct, and size, source's size, target and copies under names of their own."""
+    rows = carried(docs, *READ).withColumn("q__size", F.size(words(F.col("text"))).cast("long"))
+    plan = stage(source_targets(rows.select("source", F.col("q__size").alias("size")), **targets), "mix-targets")
+    plan = plan.select(*[F.col(c).alias(f"q__p_{c}") for c in plan.columns])
+    joined = join_small(rows, plan, F.col("source").eqNullSafe(F.col("q__p_source")))
+    whole = F.floor("q__p_rate")
+    # a null id draws by its text
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x1f"), F.coalesce("text", F.lit(""))))
+    return joined.withColumn("q__copies", whole + (unit_hash(F.lit(seed), drawn) < F.col("q__p_rate") - whole).cast("long"))
+
+
 def with_copies(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies`` appended.
 
     Null texts count no words, null sources form one source. Rows that repeat an
-    id draw alike, so reruns agree whatever the partitioning. A document's copies
-    never pass the repetition limit rounded up.
+    id draw alike, so reruns agree whatever the partitioning; rows without an id
+    draw by their text. A document's copies never pass the repetition limit rounded
+    up. Own columns of these four names are replaced, all others are kept whatever
+    their names. An empty table gives no rows.
     """
-    sized = docs.select("source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    plan = stage(source_targets(sized, **targets), "mix-targets").select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    joined = join_small(docs.withColumn("mix_size", F.size(words(F.col("text"))).cast("long")), plan, F.col("source").eqNullSafe(F.col("mix_source")))
-    whole = F.floor("mix_rate")
-    extra = unit_hash(F.lit(seed), F.col("doc_id")) < F.col("mix_rate") - whole
-    return joined.withColumn("mix_copies", whole + extra.cast("long")).drop("mix_source", "mix_rate")
+    docs = without(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    made = {"mix_size": "q__size", "mix_source_size": "q__p_source_size", "mix_target": "q__p_target", "mix_copies": "q__copies"}
+    return _copied(docs, seed, **targets).select(*restored(docs, *READ), *[F.col(q).alias(c) for c, q in made.items()])
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as many times as the mix takes it."""
-    return with_copies(docs, **options).withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+def mix(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
+    """The mixture itself: each row of ``docs``, with its own columns alone, as many times as the mix takes it."""
+    copies = F.when(F.col("q__copies") > 0, F.sequence(F.lit(1), F.col("q__copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return _copied(docs, seed, **targets).withColumn("q__copy", F.explode(copies)).select(*restored(docs, *READ))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, python_batches, stage
+from .common import carried, join_small, python_batches, restored, stage
 from .graph import connected_components
 
 SHINGLE = 3
@@ -390,14 +390,16 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -
     """``docs`` with one document of each component: the one with the least id.
 
     Only ids of removed documents are joined back. Rows of a null id stay. Of rows
-    that repeat an id the one of the least text stays.
+    that repeat an id one of the least text stays. Other columns are of any type and
+    name and are not looked at.
     """
     found = stage(join_components(docs, percent, width), "join-result")
-    gone = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "join-gone")
-    kept = join_small(docs, gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    repeated = stage(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("gone_id")), "join-repeated")
-    if repeated.isEmpty():
-        return kept
-    once = join_small(kept, repeated, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    again = join_small(kept, repeated, F.col("doc_id").cast("long") == F.col("gone_id"), "left_semi")
-    return once.unionByName(again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("s")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"s.{c}") for c in docs.columns]))
+    gone = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("q__gone")).distinct(), "join-gone")
+    rows = carried(docs, "doc_id", "text")
+    same = F.col("doc_id").cast("long") == F.col("q__gone")
+    kept = join_small(rows, gone, same, "left_anti")
+    repeated = stage(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("q__gone")), "join-repeated")
+    if not repeated.isEmpty():
+        again = join_small(kept, repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", "q__rest"), F.struct(F.col("text").isNotNull(), "text")).alias("q__s"))
+        kept = join_small(kept, repeated, same, "left_anti").unionByName(again.select("doc_id", "q__s.text", "q__s.q__rest"))
+    return kept.select(*restored(docs, "doc_id", "text"))

@@ -1,10 +1,15 @@
 """Quality rules by robust multivariate outliers, with DataFrame operations only.
 
 Each document gives a vector of transformed text statistics. Per language and
-source a minimum-covariance-determinant estimate (concentration steps from a
-median start, then one reweighting) gives a centre and a covariance; documents
-far from it by Mahalanobis distance are rejected. A step is one aggregation with
-a row per group: hot groups are summed map-side and no group meets in one task.
+source the minimum-covariance-determinant estimate gives a centre and a covariance:
+concentration steps run from several deterministic starts until they stand still,
+and the least determinant wins. Documents far from it by Mahalanobis distance are
+rejected. A step is two aggregations with a row per group and start: hot groups are
+summed map-side and no group meets in one task.
+
+A statistic of a short text is known only within its counting noise, so a
+document's distance is taken under the group's covariance plus the variances of its
+own counts; the covariance itself has a floor at numerical noise alone.
 """
 
 from __future__ import annotations
@@ -12,16 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, spaced, stage, without, words
+from .common import carried, join_small, let, restored, spaced, stage, without, words
 
 SYMBOLS = "#*$%&|<>"
-#: Vector entries and the least spread that each is given, so that a group whose
-#: documents agree in an entry does not turn tiny differences into outliers.
-FLOORS = {"v_len": 0.15, "v_sym": 0.04, "v_dup": 0.15, "v_rep": 0.12}
-#: Share of a group that a concentration step keeps, and the number of steps.
-KEEP, STEPS = 0.75, 3
-#: Chi-square quantiles with four degrees of freedom: 0.5, 0.75, 0.975 and 0.9999.
-CHI2 = {0.5: 3.3567, 0.75: 5.3853, 0.975: 11.1433, 0.9999: 23.5127}
+VECTOR = ("v_len", "v_sym", "v_dup", "v_rep")
+#: Counts that come together: characters of a run of symbols, and words of a repeated passage.
+SYMBOL_RUN, PASSAGE_WORDS = 5, 25
+#: Variance of the log word length within a text.
+LENGTH_VARIANCE = 0.25
+#: Variance added to each entry against rounding.
+NOISE = 1e-8
+#: Share of a group that a concentration step keeps; bound of steps; change of the log determinant at which a start stands still.
+KEEP, MOST_STEPS, STILL = 0.75, 30, 1e-6
+#: Rows that a group needs for an estimate of its own, ten for each entry of the vector.
+MIN_GROUP = 10 * len(VECTOR)
+#: Chi-square quantiles with four degrees of freedom: 0.975 and 0.9999.
+CHI2 = {0.975: 11.1433, 0.9999: 23.5127}
 #: Consistency of a covariance that was taken over the inner 75 % in four dimensions:
 #: 0.75 / P(chi2 with six degrees <= the 0.75 quantile with four).
 CONSISTENCY = 0.75 / 0.5047
@@ -84,81 +95,174 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
 
 
+def _excess(count: Column, of: Column) -> Column:
+    """The angle of a share (variance-stabilised), above that of a text of this size without any."""
+    angle = lambda k: F.asin(F.sqrt((k + 0.375) / (of + 0.75)))
+    return angle(count) - angle(F.lit(0.0))
+
+
+def _sizes() -> dict[str, Column]:
+    """Independent counts behind each share."""
+    return {"v_sym": F.col("word_chars") / SYMBOL_RUN, "v_dup": F.col("n_lines").cast("double"), "v_rep": F.col("n_words") / PASSAGE_WORDS}
+
+
 def vectors() -> dict[str, Column]:
-    """The transformed statistics: log mean word length and square roots of three shares."""
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    """The transformed statistics: log mean word length, and angles of the shares of symbols, repeated lines and repeated words."""
+    of = _sizes()
     return {
         "v_len": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
-        "v_sym": share("n_symbols", "word_chars"),
-        "v_dup": share("n_dup_lines", "n_lines"),
-        "v_rep": share("n_repeat_words", "n_words"),
+        "v_sym": _excess(F.col("n_symbols") / SYMBOL_RUN, of["v_sym"]),
+        "v_dup": _excess(F.col("n_dup_lines").cast("double"), of["v_dup"]),
+        "v_rep": _excess(F.col("n_repeat_words") / PASSAGE_WORDS, of["v_rep"]),
     }
 
 
-def _estimate(rows: DataFrame, scale: float) -> DataFrame:
-    """Per group the mean and the Cholesky factor of the floored, scaled covariance of ``rows``."""
-    names, n = list(FLOORS), len(FLOORS)
-    sums = [F.avg(v).alias(f"m_{i}") for i, v in enumerate(names)] + [F.covar_pop(names[i], names[j]).alias(f"c_{i}{j}") for i in range(n) for j in range(i + 1)]
-    out = rows.groupBy("lang", "source").agg(*sums)
-    for i in range(n):
-        for j in range(i + 1):
-            value = F.coalesce(F.col(f"c_{i}{j}"), F.lit(0.0)) * F.lit(scale) + F.lit(FLOORS[names[i]] ** 2 if i == j else 0.0)
-            for k in range(j):
-                value = value - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}{j}"))
-    return out.select("lang", "source", *[f"m_{i}" for i in range(n)], *[f"l_{i}{j}" for i in range(n) for j in range(i + 1)])
-
-
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance ``d2`` of each row to its group's estimate (forward substitution)."""
-    names, n = list(FLOORS), len(FLOORS)
-    known = estimate.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    out = rows.join(known, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    d2 = F.lit(0.0)
-    for i, v in enumerate(names):
+def count_noise() -> dict[str, Column]:
+    """Variance of each entry by the counts of the document alone."""
+    return {"v_len": F.lit(LENGTH_VARIANCE) / F.greatest(F.col("n_words"), F.lit(1))} | {v: 1 / (4 * n + 2) for v, n in _sizes().items()}
+
+
+_N = range(len(VECTOR))
+_PAIRS = [(i, j) for i in _N for j in range(i + 1)]
+
+
+def _factored(covariance: dict[tuple[int, int], Column], out: DataFrame) -> DataFrame:
+    """``out`` with the Cholesky factor ``l_ij`` of a covariance and its ``log_det``."""
+    for i, j in _PAIRS:
+        value = covariance[i, j]
+        for k in range(j):
+            value = value - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(value, F.lit(NOISE * 1e-3))) if i == j else value / F.col(f"l_{j}{j}"))
+    return out.withColumn("log_det", sum((2 * F.log(f"l_{i}{i}") for i in _N), F.lit(0.0)))
+
+
+def _estimate(rows: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Per key the means ``m_i``, covariances ``c_ij`` and their factor of ``rows``."""
+    sums = [F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)] + [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}{j}") for i, j in _PAIRS]
+    out = rows.groupBy(*keys).agg(*sums)
+    for i, j in _PAIRS:
+        out = out.withColumn(f"c_{i}{j}", F.col(f"c_{i}{j}") * F.lit(scale) + F.lit(NOISE if i == j else 0.0))
+    return _factored({(i, j): F.col(f"c_{i}{j}") for i, j in _PAIRS}, out)
+
+
+def _squared_distance() -> Column:
+    """The Mahalanobis distance of the vector to ``m_i`` under the factor ``l_ij``, squared (forward substitution)."""
+    z: list[Column] = []
+    for i, v in enumerate(VECTOR):
         value = F.col(v) - F.col(f"m_{i}")
         for k in range(i):
-            value = value - F.col(f"l_{i}{k}") * F.col(f"z_{k}")
-        out = out.withColumn(f"z_{i}", value / F.col(f"l_{i}{i}"))
-        d2 = d2 + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+            value = value - F.col(f"l_{i}{k}") * z[k]
+        z.append(value / F.col(f"l_{i}{i}"))
+    return sum((x * x for x in z), F.lit(0.0))
+
+
+def _near(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``d2`` by the estimate of their key."""
+    known = estimate.select(*[F.col(k).alias(f"e_{k}") for k in keys], *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS])
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"e_{k}"))
+    return join_small(rows, known, on).select(*rows.columns, _squared_distance().alias("d2"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three starts per ``gid``: medians with median deviations, mean and covariance, and the covariance of spatial signs."""
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    centre = stage(rows.groupBy("gid").agg(*[median(F.col(v)).alias(f"m_{i}") for i, v in enumerate(VECTOR)]).withColumnRenamed("gid", "c_gid"), "mcd-median")
+    off = [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)]
+    spread = join_small(rows, centre, F.col("gid") == F.col("c_gid")).groupBy("c_gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in _N], *[F.greatest(1.4826 * median(o), F.lit(NOISE**0.5)).alias(f"s_{i}") for i, o in enumerate(off)])
+    spread = stage(spread, "mcd-spread")
+    zero = F.lit(0.0)
+    first = _factored({(i, j): F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else zero for i, j in _PAIRS}, spread.withColumnRenamed("c_gid", "gid")).withColumn("start", F.lit(1))
+    second = _estimate(rows, ["gid"]).withColumn("start", F.lit(2))
+    unit = [(F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, v in enumerate(VECTOR)]
+    norm2 = sum((u * u for u in unit), zero)
+    signs = join_small(rows, spread, F.col("gid") == F.col("c_gid")).select("gid", *[f"m_{i}" for i in _N], *[f"s_{i}" for i in _N], *[F.try_divide(unit[i] * unit[j], norm2).alias(f"u_{i}{j}") for i, j in _PAIRS])
+    shape = signs.groupBy("gid").agg(*[F.first(x).alias(x) for i in _N for x in (f"m_{i}", f"s_{i}")], *[F.coalesce(F.avg(f"u_{i}{j}"), zero).alias(f"u_{i}{j}") for i, j in _PAIRS])
+    third = _factored({(i, j): F.col(f"u_{i}{j}") * F.col(f"s_{i}") * F.col(f"s_{j}") + (NOISE if i == j else 0.0) for i, j in _PAIRS}, shape).withColumn("start", F.lit(3))
+    kept = ["gid", "start", *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS], "log_det"]
+    return first.select(*kept).unionByName(second.select(*kept)).unionByName(third.select(*kept))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per ``lang, source`` from rows with the vector entries.
+    """Minimum-covariance-determinant estimate per ``gid`` from rows with the vector entries: ``gid, m_i, c_ij, l_ij, log_det``.
+
+    A concentration step keeps the rows within the group's quantile of the distance
+    and estimates anew, for all starts at once, until no determinant moves. The one
+    of least determinant is reweighted: the result is taken from the rows within its
+    0.975 chi-square quantile. The quantiles are of Spark's mergeable sketch (exact up
+    to 10,000 rows), so no group is sorted in one place; ties at one all stay.
+    """
+    keys = ["gid", "start"]
+    now = stage(_starts(rows), "mcd-start")
+    tried = rows.withColumn("start", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    for _ in range(MOST_STEPS):
+        far = _near(tried, now, keys)
+        inner = stage(far.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2")).withColumnsRenamed({k: f"i_{k}" for k in keys}), "mcd-inner")
+        core = join_small(far, inner, (F.col("gid") == F.col("i_gid")) & (F.col("start") == F.col("i_start"))).filter(F.col("d2") <= F.col("inner_d2"))
+        before, now = now, stage(_estimate(core, keys, CONSISTENCY), "mcd-step")
+        moved = now.join(before.select(*keys, F.col("log_det").alias("was")), keys).filter(F.abs(F.col("log_det") - F.col("was")) > STILL)
+        if moved.isEmpty():
+            break
+    best = now.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
+    chosen = stage(now.join(best, keys).drop("start"), "mcd-best")
+    return stage(_estimate(_near(rows, chosen, ["gid"]).filter(F.col("d2") <= CHI2[0.975]), ["gid"]), "mcd-final")
 
-    Starts from medians with the floors as spreads, then each concentration step
-    keeps the rows within the group's quantile of the distance and estimates anew;
-    the last estimate is taken from rows within the 0.975 chi-square quantile. The
-    quantiles are of Spark's mergeable sketch, so no group is sorted in one place.
-    Each step's few rows are staged; the plan stays short.
+
+def _group_of(level: int) -> Column:
+    """The name of a row's group: its language and source, its language, or all."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *[F.col(c) for c in ("lang", "source")[: 2 - level]]))
+
+
+def grouped(fitted: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The group that judges each ``lang, source`` of ``every`` (``g_lang, g_source, gid``), and the rows ``gid`` and vector that fit those groups.
+
+    A group with fewer than ``MIN_GROUP`` fitted rows is judged by its language, a
+    language with fewer by all rows, and nobody by fewer than that.
     """
-    names, n = list(FLOORS), len(FLOORS)
-    start = rows.groupBy("lang", "source").agg(*[F.percentile_approx(v, 0.5, 10_000).alias(f"m_{i}") for i, v in enumerate(names)])
-    for i in range(n):
-        for j in range(i + 1):
-            start = start.withColumn(f"l_{i}{j}", F.lit(FLOORS[names[i]] if i == j else 0.0))
-    now = stage(start, "mcd-start")
-    for _ in range(STEPS):
-        far = _with_distance(rows, now)
-        inner = far.groupBy("lang", "source").agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2")).withColumnsRenamed({"lang": "h_lang", "source": "h_source"})
-        core = far.join(inner, F.col("lang").eqNullSafe(F.col("h_lang")) & F.col("source").eqNullSafe(F.col("h_source"))).filter(F.col("d2") <= F.col("inner_d2"))
-        now = stage(_estimate(core, CONSISTENCY), "mcd-step")
-    return stage(_estimate(_with_distance(rows, now).filter(F.col("d2") <= CHI2[0.975]), 1.0), "mcd-final")
+    own = fitted.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n0"))
+    pairs = stage(every.select("lang", "source").distinct(), "mcd-pairs")
+    a = own.groupBy("lang").agg(F.sum("n0").alias("n1")).withColumnRenamed("lang", "l_lang")
+    total = own.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n2")).withColumn("one", F.lit(1))
+    o = own.withColumnsRenamed({"lang": "o_lang", "source": "o_source"})
+    sized = pairs.join(o, F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")), "left").join(a, F.col("lang").eqNullSafe(F.col("l_lang")), "left").withColumn("q__one", F.lit(1)).join(F.broadcast(total), F.col("q__one") == F.col("one"))
+    gid = F.when(F.col("n0") >= MIN_GROUP, _group_of(0)).when(F.col("n1") >= MIN_GROUP, _group_of(1)).when(F.col("n2") >= MIN_GROUP, _group_of(2))
+    groups = stage(sized.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), gid.alias("gid")), "mcd-groups")
+    named = fitted.select(F.explode(F.array(*[_group_of(k) for k in range(3)])).alias("of"), *VECTOR)
+    used = stage(groups.filter("gid IS NOT NULL").select("gid").distinct(), "mcd-used")
+    return groups, join_small(named, used, F.col("of") == F.col("gid")).select("gid", *VECTOR)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, ``outlier_d2`` and ``kept``.
 
     ``kept`` is false where a base rule fails, else true within the 0.9999
-    chi-square quantile of the group's estimate. Groups are fitted on documents
-    that pass the base rules; null language or source form groups of their own,
-    and documents of a group without such rows have no distance and follow the
-    base rules alone. Ties at the quantile all stay in a concentration step.
-    Repeated rows are judged alike. Empty tables give no rows.
+    chi-square quantile of the group's estimate, widened by the document's own
+    counting noise. Groups are fitted on documents that pass the base rules; null
+    language or source form groups of their own, small groups fall back to their
+    language and then to all, and where no group has rows enough the base rules
+    decide alone. Repeated rows are judged alike. Own columns of the names that are
+    added are replaced, all others are kept whatever their names. Empty tables give
+    no rows.
     """
-    docs = without(docs, "base_failed", "outlier_d2", "kept", "d2", *FLOORS)
-    rows = stage(text_statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()), "quality-stats")
-    fitted = estimates(rows.filter(~F.col("base_failed")).select("lang", "source", *FLOORS))
-    far = _with_distance(rows, fitted).withColumnRenamed("d2", "outlier_d2")
-    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("outlier_d2") <= CHI2[0.9999], F.lit(True))).drop(*FLOORS)
+    read = ("doc_id", "text", "lang", "source")
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "outlier_d2", "kept")
+    docs = without(docs, *added)
+    rows = stage(text_statistics(carried(docs, *read)).withColumn("base_failed", base_failed()).withColumns(vectors()), "quality-stats")
+    groups, fitted = grouped(rows.filter(~F.col("base_failed")).select("lang", "source", *VECTOR), rows)
+    fit = stage(fitted, "quality-fit")
+    known = estimates(fit).select(F.col("gid").alias("e_gid"), *[f"m_{i}" for i in _N], *[f"c_{i}{j}" for i, j in _PAIRS])
+    by_group = stage(groups.join(known, F.col("gid") == F.col("e_gid"), "left").drop("gid", "e_gid"), "quality-groups")
+    near = join_small(rows, by_group, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    noise = count_noise()
+    near = _factored({(i, j): F.col(f"c_{i}{j}") + (noise[VECTOR[i]] if i == j else F.lit(0.0)) for i, j in _PAIRS}, near)
+    far = near.withColumn("outlier_d2", _squared_distance())
+    kept = ~F.col("base_failed") & F.coalesce(F.col("outlier_d2") <= CHI2[0.9999], F.lit(True))
+    return far.select(*restored(docs, *read), *added[:-1], kept.alias("kept"))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, with their own columns alone."""
+    read = ("doc_id", "text", "lang", "source")
+    rows = carried(docs, *read)
+    return judged(rows).filter("kept").select(*restored(docs, *read))

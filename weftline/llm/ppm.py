@@ -12,8 +12,9 @@ The trie is never in one place. Documents are packed in chunks; a chunk's distin
 counts. The corpus' distinct keys are then dealt by the last three bytes of their
 context over buckets, where all that predicts them is local but for the contexts
 of two bytes and less (at most 2**24 counts, broadcast). Answers go back the same
-way. Frequent contexts are thus split before they are counted, and a bucket grows
-with what is distinct, not with the corpus. All training bytes count; nothing is
+way. Frequent contexts are thus split before they are counted, and a bucket holds
+what is distinct, not with the corpus; the numbers of parts and buckets follow the number
+of chunks, so tasks stay of one size. All training bytes count; nothing is
 pruned. Words, for the base score, travel with the keys as 64-bit hashes.
 """
 
@@ -217,7 +218,7 @@ _TRIE = "part long, bucket long, keys binary, counts binary, n_seen long, n_all
 _WORDS = -1
 
 
-def trie_rows(rows: DataFrame, buckets: int) -> DataFrame:
+def trie_rows(rows: DataFrame, parts: int, buckets: int) -> DataFrame:
     """``part, bucket, keys, counts``: distinct keys of the corpus with trained counts, and words as bucket -1; ``n_seen, n_all`` count the latter's."""
 
     def added(key, table):
@@ -228,10 +229,10 @@ def trie_rows(rows: DataFrame, buckets: int) -> DataFrame:
         out = [(bucket, keys[order[a:b]], counts[order[a:b]], 0, 0) for bucket, a, b in spans] + [(_WORDS, words, word_counts, int((word_counts > 0).sum()), int(word_counts.sum()))]
         return pa.table({"part": pa.array([part] * len(out), pa.int64()), "bucket": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([_packed_keys(x[1]) for x in out], pa.binary()), "counts": pa.array([_squeezed(x[2]) for x in out], pa.binary()), "n_seen": pa.array([x[3] for x in out], pa.int64()), "n_all": pa.array([x[4] for x in out], pa.int64())})
 
-    return rows.groupBy("part").applyInArrow(added, _TRIE)
+    return rows.repartition(parts, "part").groupBy("part").applyInArrow(added, _TRIE)
 
 
-def short_contexts(trie: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def short_contexts(trie: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """In how many trained contexts of three bytes each (two bytes of context, symbol) was seen: at most 2**24 rows.
 
     A key of three bytes of context is in one bucket, so the buckets' numbers add up.
@@ -242,7 +243,7 @@ def short_contexts(trie: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         low, n = np.unique(np.unique(np.concatenate(keys)) & _MASKS[LOCAL - 1], return_counts=True)
         return pa.table({"low": pa.array(low.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    found = trie.filter(F.col("bucket") != _WORDS).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(seen, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).toPandas()
+    found = trie.filter(F.col("bucket") != _WORDS).select("bucket", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(seen, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).toPandas()
     return found["low"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.float64)
 
 
@@ -307,7 +308,7 @@ def code_lengths(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, low_ke
     return np.where(open_, out - np.log(np.maximum(1.0, 256 - gone)), out)
 
 
-def answered(trie: DataFrame, low_keys: np.ndarray, low_counts: np.ndarray) -> DataFrame:
+def answered(trie: DataFrame, buckets: int, low_keys: np.ndarray, low_counts: np.ndarray) -> DataFrame:
     """``part, keys, logs``: the log probability of each key of the corpus."""
     shared = trie.sparkSession.sparkContext.broadcast((low_keys, low_counts))
 
@@ -317,10 +318,10 @@ def answered(trie: DataFrame, low_keys: np.ndarray, low_counts: np.ndarray) -> D
         logs = np.split(code_lengths(keys, keys, counts, *shared.value).astype(np.float32), np.cumsum([len(x) for x in lists])[:-1])
         return pa.table({"part": table.column("part"), "keys": table.column("keys"), "logs": pa.array([_squeezed(x) for x in logs], pa.binary())})
 
-    return trie.filter(F.col("bucket") != _WORDS).groupBy("bucket").applyInArrow(solved, "part long, keys binary, logs binary")
+    return trie.filter(F.col("bucket") != _WORDS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(solved, "part long, keys binary, logs binary")
 
 
-def returned(rows: DataFrame, trie: DataFrame, answers: DataFrame) -> DataFrame:
+def returned(rows: DataFrame, parts: int, trie: DataFrame, answers: DataFrame) -> DataFrame:
     """``k_chunk, keys, logs, words, word_counts``: the corpus' answers to each chunk's rows."""
     words = trie.filter(F.col("bucket") == _WORDS).select("part", "keys", F.lit(None).cast("binary").alias("logs"), "counts")
     known = words.unionByName(answers.select("part", "keys", "logs", F.lit(None).cast("binary").alias("counts")))
@@ -341,7 +342,7 @@ def returned(rows: DataFrame, trie: DataFrame, answers: DataFrame) -> DataFrame:
         return pa.table({"k_chunk": left.column("chunk"), "keys": left.column("keys"), "logs": pa.array(out_logs, pa.binary()), "words": left.column("words"), "word_counts": pa.array(out_counts, pa.binary())})
 
     asked = rows.select("chunk", "part", "keys", "words")
-    return asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(found, "k_chunk long, keys binary, logs binary, words binary, word_counts binary")
+    return asked.repartition(parts, "part").groupBy("part").cogroup(known.repartition(parts, "part").groupBy("part")).applyInArrow(found, "k_chunk long, keys binary, logs binary, words binary, word_counts binary")
 
 
 class _Places:
@@ -384,15 +385,19 @@ def score_documents(docs: DataFrame, held=held_out, of: int = 5, rest: int = 1,
     chunks = stage(packed(rows, chunk_bytes), "ppm-chunks", codec="none")
     parts = max(1, chunks.count())
     keys = stage(key_rows(chunks, parts), "ppm-keys", codec="none")
-    trie = stage(trie_rows(keys, math.ceil(parts / BUCKET_CHUNKS)), "ppm-trie", codec="none")
+    buckets = math.ceil(parts / BUCKET_CHUNKS)
+    trie = stage(trie_rows(keys, parts, buckets), "ppm-trie", codec="none")
     size = trie.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_seen"), F.lit(0)).alias("distinct")).first()
-    known = returned(keys, trie, answered(trie, *short_contexts(trie)))
+    known = returned(keys, parts, trie, answered(trie, buckets, *short_contexts(trie, buckets)))
     train, below = size["tokens"], size["tokens"] + 0.5 * (size["distinct"] + 1)
 
     def scored(left, right):
         places = _Places(np.concatenate([_read_keys(k) for k in right.column("keys")]))
         logs = np.concatenate([_spread(x, np.float32) for x in right.column("logs")]).astype(np.float64) / math.log(10)
-        counts = dict(zip(np.concatenate([_read_keys(k) for k in right.column("words")]).tolist(), np.concatenate([_spread(x, np.int64) for x in right.column("word_counts")]).tolist(), strict=True))
+        hashes = np.concatenate([_read_keys(k) for k in right.column("words")])
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], np.concatenate([_spread(x, np.int64) for x in right.column("word_counts")])[order]
+        of_end = counts[np.searchsorted(hashes, word_hash([b""]))[0]]
         out = []
         for k in range(left.num_rows):
             data = _spread(left.column("data")[k], np.uint8)
@@ -406,13 +411,13 @@ def score_documents(docs: DataFrame, held=held_out, of: int = 5, rest: int = 1,
                 # a text's stream ends in its one line feed, so the block's words in order are all but the ends
                 words = block.tobytes().split()
                 distinct = list(set(words))
-                of_word = {w: counts[h] for w, h in zip(distinct, word_hash(distinct).tolist(), strict=True)}
+                of_word = dict(zip(distinct, counts[np.searchsorted(hashes, word_hash(distinct))].tolist(), strict=True))
                 seen = np.zeros(int(n_tokens[a:b].sum()), np.int64)
                 ends = np.cumsum(n_tokens[a:b]) - 1
                 inner = np.ones(len(seen), bool)
                 inner[ends] = False
                 seen[inner] = np.fromiter(map(of_word.__getitem__, words), np.int64, len(words))
-                seen[ends] = counts[int(word_hash([b""])[0])]
+                seen[ends] = of_end
                 firsts = ends + 1 - n_tokens[a:b]
                 base.append(np.add.reduceat(np.log10((seen + 0.5) / below), firsts))
                 n_known.append(np.add.reduceat((seen > 0).astype(np.int64), firsts))
@@ -420,4 +425,4 @@ def score_documents(docs: DataFrame, held=held_out, of: int = 5, rest: int = 1,
         return pa.concat_tables(out)
 
     texts = chunks.select("chunk", "doc_ids", "held", "n_tokens", "sizes", "data")
-    return texts.groupBy("chunk").cogroup(known.groupBy("k_chunk")).applyInArrow(scored, _SCORES)
+    return texts.repartition(parts, "chunk").groupBy("chunk").cogroup(known.repartition(parts, "k_chunk").groupBy("k_chunk")).applyInArrow(scored, _SCORES)
