@@ -2,53 +2,39 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet
 and read again as the next one's ``docs``. All but the last keep the columns of
-``documents``; columns that an operator does not read travel in one struct, so
-their names cannot clash with an operator's own.
+``documents``; an operator carries columns that it does not read whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm.common import stage
-from weftline.llm.decontaminate import benchmark_hits, is_contaminated
+from weftline.llm.decontaminate import uncontaminated
 from weftline.llm.mixing import mix
 from weftline.llm.ngram_join import one_of_each
-from weftline.llm.outliers import judged
+from weftline.llm.outliers import passing
 from weftline.llm.wavelet import read_documents, write_shards
 
-READ = ("doc_id", "text", "lang", "source")
-
-
-def _carried(docs: DataFrame) -> DataFrame:
-    rest = [c for c in docs.columns if c not in READ]
-    return docs.select(*READ, F.struct(*[F.col(c) for c in rest]).alias("carried") if rest else F.lit(None).cast("string").alias("carried"))
-
-
-def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*[F.col(c) if c in READ else F.col("carried").getField(c).alias(c) for c in docs.columns])
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source."""
-    return _restored(judged(_carried(docs)).filter("kept"), docs)
+    return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by three-word shingles at a similarity of 0.9."""
-    return _restored(one_of_each(_carried(docs)), docs)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty lies in a benchmark window."""
-    found = benchmark_hits(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _restored(found.filter(~is_contaminated()), docs)
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them."""
-    return _restored(mix(_carried(docs)), docs)
+    return mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
