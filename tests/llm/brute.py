@@ -194,3 +194,109 @@ def ppm_score(stream, trie, order=5):
         else:
             total -= math.log10(256 - len(gone))
     return total
+
+
+def page(source):
+    """Text, title, language and links of a page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    blocks = set("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr table article section nav header footer main aside body html head blockquote pre form figure".split())
+    out, title, known = [], [], {"lang": "", "links": 0, "silent": None, "titles": 0}
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if known["silent"]:
+                return
+            if tag in ("script", "style", "noscript", "template", "title"):
+                known["silent"] = tag
+                known["titles"] += tag == "title"
+            if tag in blocks:
+                out.append("\x1e")
+            names = dict(attrs)
+            known["links"] += tag == "a" and "href" in names
+            if tag == "html" and not known["lang"]:
+                known["lang"] = (names.get("lang") or "").lower()
+
+        def handle_endtag(self, tag):
+            if known["silent"]:
+                known["silent"] = None if tag == known["silent"] else known["silent"]
+            elif tag in blocks:
+                out.append("\x1e")
+
+        def handle_data(self, data):
+            if not known["silent"]:
+                out.append(data)
+            elif known["silent"] == "title" and known["titles"] == 1:
+                title.append(data)
+
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    lines = [" ".join(x.split()) for x in "".join(out).split("\x1e")]
+    return "\n".join(x for x in lines if x), " ".join("".join(title).split()), known["lang"], known["links"]
+
+
+GLYPHS = dict(zip("аеорсхуіѕјԁոкмтвнαοιντκυεıɑɡⅼ", "aeopcxyisjdnkmtbhaoivtkueiagl")) | {"ρ": "p"}
+SIGNS = dict(zip("01345789@$!€", "oieastbgasie"))
+
+
+def fold(text):
+    """Letters by word, blanks around each, sign by sign."""
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    text = "".join(GLYPHS.get(c, chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else c) for c in (text or "").lower() if c not in "\u200b\u200c\u200d\u2060\ufeff\xad")
+    out, i = list(text), 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in "0123456789@$!€":
+            j += 1
+        n = j - i if i < j < len(text) and i and letter(text[i - 1]) and letter(text[j]) else 0
+        for k in (2, 1):
+            word = text[i + k : i + k + 2]
+            if not n and all(c in "0134579@$" for c in text[i : i + k]) and not (i and letter(text[i - 1])) and len(word) == 2 and letter(word[0]) and word[1].isalnum():
+                n = k
+        out[i : i + n] = [SIGNS.get(c, c) for c in text[i : i + n]]
+        i += n or 1
+    return " " + " ".join("".join(c if letter(c) else " " for c in out).split()) + " "
+
+
+def lexicon(rows, least=5, weight=1.2, g2=24.0, phrase=4, share=0.25):
+    """Weights of entries and exception phrases from (text, toxic) rows by plain counting."""
+    import math
+
+    toxic = sum(t for _, t in rows)
+    clean = len(rows) - toxic
+    held = []
+    for text, t in rows:
+        w = set(fold(text).split())
+        held.append(({f" {x} " for x in w if len(x) > 2} | {f" {x[:k]}" for x in w for k in range(4, 9) if len(x) > k}, t))
+    weights = {}
+    log = lambda k, n, p: (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
+    for e in {e for found, t in held if t for e in found}:
+        a, b = (sum(e in found for found, t in held if t == y) for y in (1, 0))
+        both = (a + b) / (toxic + clean)
+        odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        ratio = 2 * (log(a, toxic, a / toxic) + log(b, clean, b / clean) - log(a, toxic, both) - log(b, clean, both))
+        if a >= least and odds >= weight and ratio >= g2:
+            weights[e] = odds
+    phrases = defaultdict(Counter)
+    for text, t in rows:
+        w = fold(text).split()
+        hit = lambda x: f" {x} " in weights or any(f" {x[:k]}" in weights for k in range(4, 9))
+        for p in {f" {a} {b} " for a, b in zip(w, w[1:]) if hit(a) or hit(b)}:
+            phrases[p][t] += 1
+    return weights, {p for p, n in phrases.items() if n.total() >= phrase and n[1] < share * n.total()}
+
+
+def lexicon_features(text, weights, exceptions):
+    """Heaviest weight, log of the sum and sum per square root of words, by looking for each entry at each place."""
+    import math
+
+    text = fold(text)
+    best, covered = {}, []
+    for at in range(len(text)):
+        for e, w in weights.items():
+            if text.startswith(e, at):
+                best[at] = max(w, best.get(at, 0.0))
+        covered += [(at, at + len(p) - 1) for p in exceptions if text.startswith(p, at)]
+    found = [w for at, w in best.items() if not any(a <= at < b for a, b in covered)]
+    return max(found, default=0.0), math.log1p(sum(found)), sum(found) / math.sqrt(max(1, text.count(" ") - 1))

@@ -124,6 +124,65 @@ def test_mixing(spark, docs, empty, rows):
     assert with_copies(empty).count() == 0
 
 
+CLASHES = "q__rest int, mix_source string, mix_rate double, mix_size string, mix_copies int, gone_id int, gone_row int, gone_pos int, row string, line int, b int, `a.b` map<string,int>"
+
+
+def test_names_that_clash(spark):
+    """Columns of an operator's own names and of any type come back as they were, once per row; null ids are rows like others."""
+    from weftline.llm.decontaminate import uncontaminated
+    from weftline.llm.line_dedup import dedup_lines
+    from weftline.llm.mixing import mix, with_copies
+    from weftline.llm.ngram_join import one_of_each
+    from weftline.llm.outliers import passing
+
+    own = (1, "m", 0.5, "s", 7, 2, 3, 4, "r", 5, 6, {"k": 1})
+    ids = [1, 1, 2, None, None, 3]
+    data = [(i, prose(20 + k, 60), "en", "s", *own) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, {CLASHES}")
+    benchmark = spark.createDataFrame([(1, "no such words at all")], "item_id long, text string")
+    for out, n in ((mix(docs), None), (one_of_each(docs), 5), (passing(docs), 6), (uncontaminated(docs, benchmark), 6)):
+        rows = out.collect()
+        assert out.columns == docs.columns and {str(tuple(r)[4:]) for r in rows} == {str(own)} and len(rows) == (n or len(rows))
+    sized = with_copies(docs)
+    assert sized.columns == [c for c in docs.columns if c not in ("mix_size", "mix_copies")] + ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    assert {r["mix_size"] for r in sized.collect()} == {60} and len(mix(docs).collect()) == sum(r["mix_copies"] for r in sized.collect())
+    lines = dedup_lines(docs)
+    assert {(r["row"], r["gone_row"], r["gone_pos"], r["line"], str(r["a.b"])) for r in lines.collect()} == {("r", 3, 4, 5, "{'k': 1}")} and lines.count() == 6
+    many = spark.createDataFrame([(None, f"w{k} x", "s") for k in range(400)] + [(k, "y", "t") for k in range(400)], "doc_id long, text string, source string")
+    assert len({r["mix_copies"] for r in with_copies(many).filter("source = 's'").collect()}) == 2
+
+
+def test_toxicity_against_plain_python(spark):
+    """Entries, exceptions, features and scores are those of plain counting and searching, and the curve is the ridge optimum."""
+    import math
+
+    from weftline.llm import toxicity as X
+
+    r = random.Random(9)
+    mild = ["river", "stone", "walks", "tree", "hill", "grüße", "Étage"]
+    rude = ["idiot", "ID10T", "1diot", "scumbag", "scumbags", "ѕcumbag", "sсum\u200bbag!", "$cumbag", "moron5", "m0rons"]
+    rows = [(k, " ".join([r.choice(mild) for _ in range(r.randrange(3, 30))] + ([r.choice(rude) for _ in range(r.randrange(1, 4))] if k % 3 == 0 else [])), int(k % 3 == 0)) for k in range(240)]
+    rows += [(300 + k, "a scumbag proof lock on the hill", 0) for k in range(9)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, ""), (902, "12 !! ??"), (903, "x" * 50000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(5, None), (None, 1), (900, 1)], "doc_id long, toxic int")
+    found = X.learn(docs, labels)
+    weights, exceptions = brute.lexicon([(t, y) for _, t, y in rows])
+    assert weights and exceptions and found.weights == pytest.approx(weights) and set(found.exceptions) == exceptions
+    signs = "aeiou ab 0123456789@$!€._-ѕ\u200bÉ漢²"
+    for _ in range(3000):
+        text = "".join(r.choice(signs) for _ in range(r.randrange(12)))
+        assert X.folded(text) == brute.fold(text), repr(text)
+    x = np.array([(1.0, *brute.lexicon_features(t, weights, exceptions)) for _, t, _ in rows])
+    curve, y = np.array(found.curve), np.array([y for *_, y in rows])
+    p = 1 / (1 + np.exp(-x @ curve))
+    assert np.abs(x.T @ (y - p) - np.array([1e-6, 0.5, 0.5, 0.5]) * curve).max() < 1e-4
+    scores = {s["doc_id"]: s["tox_score"] for s in X.score_texts(docs, found).collect()}
+    for (k, *_), z in zip(rows, x @ curve, strict=True):
+        assert scores[k] == pytest.approx(1 / (1 + math.exp(-z)))
+    assert {scores[k] for k in (900, 901, 902, 903)} == {pytest.approx(1 / (1 + math.exp(-curve[0])))} and scores[900] < 0.3
+    assert X.learn(docs, labels.limit(0)).weights == {} and X.score_texts(docs.limit(0), found).count() == 0
+
+
 def test_warc(spark):
     from weftline.llm.warc import derived_records, rendered, responses_from_pages
 
@@ -133,7 +192,7 @@ def test_warc(spark):
     assert len(got) == 8
     one = {r["warc_type"]: r for r in got if r["source_id"] == 1}
     assert one["conversion"]["block"] == "Hi you&me\nl"
-    assert one["metadata"]["block"] == "title: T &amp; x\r\nlanguage: de\r\noutlinks: 1\r\n"
+    assert one["metadata"]["block"] == "title: T & x\r\nlanguage: de\r\noutlinks: 1\r\n"
     assert one["metadata"]["refers_to"] == one["conversion"]["refers_to"] != one["conversion"]["record_id"]
     assert one["conversion"]["source_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
     empty = [r for r in got if r["source_id"] == 2 and r["warc_type"] == "conversion"][0]
@@ -158,6 +217,37 @@ def test_warc_references_and_headers(spark):
         assert [x[25:] for x in head if x.startswith("WARC-Source-HTTP-Header: ")] == ["HTTP/1.1 203 Other", "Server: x", "Content-Type: text/html", "Set-Cookie: a=1", "Set-Cookie: b=2"]
 
 
+def test_warc_against_a_parser(spark):
+    """Random pages, the given ones and awkward ones have the text, title, language and links that the standard library's parser finds."""
+    from weftline.llm.warc import derived_records, read_page, responses_from_pages
+
+    r = random.Random(8)
+    parts = ["<p>", "</p>", "<div class='a > b'>", "</div>", "<b>", "</b>", "<br/>", "<a href=x>", '<A title="1>0" HREF="/y">', "</a>", "<script>if (a < b) { '<p>' }</script>", "<style>p{}</style >", "<!-- <p>no</p> -->", "<!DOCTYPE html>", "<title>T&eacute; x</title>", "<html lang='De-AT'>", "<noscript>gone</noscript>", "&copy;", "&#8217;", "&#xE9", "&amp;lt;", "&nbsp;", "&bogus;", " word ", "a<1", "\n\t", "é", "<li>", "<h2>", "<pre>", "<img src='q'>", "<template>t</template>"]
+    pages = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(300)]
+    pages += ["<p>open<script>never closed", "<title>never closed", "<p>x<style>", "", "<p" + "y" * 5000 + ">z", "long " * 30000]
+    given = [x["html"] for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    source = spark.createDataFrame(list(enumerate(pages + given)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {(x["source_id"], x["warc_type"]): x["block"] for x in derived_records(responses_from_pages(source)).collect()}
+    for k, page in enumerate(pages + given):
+        text, title, lang, links = brute.page(page)
+        assert got[k, "conversion"] == text, page
+        assert got[k, "metadata"] == f"title: {title}\r\nlanguage: {lang}\r\noutlinks: {links}\r\n", page
+    assert read_page("a<!-- never closed")[0] == "a" and read_page("<p title='x>y")[0] == "y" and read_page(None) == ("", "", "", 0)
+    assert not any("&copy;" in got[k + len(pages), "conversion"] for k in range(len(given)))
+
+
+def test_warc_files(spark, tmp_path):
+    """Records that are written and read back are what was written."""
+    from weftline.llm.warc import derived_records, read_records, responses_from_pages, write_records
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(spark.createDataFrame([(900, None, None), (901, "http://x", "<p>é &amp;<p>two")], "page_id long, url string, html string"))
+    records = derived_records(responses_from_pages(pages))
+    write_records(records.repartition(3), f"{tmp_path}/warc")
+    back = read_records(spark, f"{tmp_path}/warc")
+    rows = lambda df: sorted((tuple(x) for x in df.select(*back.columns).collect()), key=repr)
+    assert rows(back) == rows(records) and back.count() == 2 * pages.count()
+
+
 def check_join(spark, docs, rows):
     from weftline.llm.ngram_join import join_components
 
@@ -265,7 +355,8 @@ def test_toxicity(spark, empty):
     assert " idiot " in lexicon.weights and any(e.startswith(" grum") for e in lexicon.weights)
     asked = spark.createDataFrame([(1, "what a m0r0n"), (2, "you idiоt you"), (3, "a tree walks"), (4, None), (5, ""), (6, "grumpler")], "doc_id long, text string")
     got = {r["doc_id"]: r["tox_score"] for r in score_texts(asked, lexicon).collect()}
-    assert min(got[1], got[2], got[6]) > 0.5, got and got[3] == got[4] == got[5] < 0.3
+    assert min(got[1], got[2], got[6]) > 0.5, got
+    assert got[3] == got[4] == got[5] < 0.3, got
     guarded = Lexicon({" trash ": 3.0}, [" trash can "])
     a = guarded.automaton()
     assert guarded.features(folded("the trash can"), a)[0] == 0 and guarded.features(folded("you trash you"), a)[0] == 3.0
@@ -424,12 +515,12 @@ def test_outliers_against_numpy(spark):
             core = x["one"][d <= np.sort(d)[344]]
         best = min(best, np.linalg.slogdet(np.cov(core.T, bias=True) * outliers.CONSISTENCY)[1])
     start = outliers.estimates(rows.filter("gid = 'one'"))
-    d2 = np.array([v["d2"] for v in outliers._near(rows.filter("gid = 'one'"), start, ["gid"]).collect()])
+    d2 = np.array([v["d2"] for v in outliers._near(rows.filter("gid = 'one'"), start, ["gid"], True).collect()])
     assert (d2 > outliers.CHI2[0.9999]).sum() == 60
     inner = x["one"][np.argsort(np.einsum("ij,jk,ik->i", x["one"] - m, np.linalg.inv(c), x["one"] - m))[:345]]
     assert np.linalg.slogdet(np.cov(inner.T, bias=True) * outliers.CONSISTENCY)[1] < best + 0.05
     probe = spark.createDataFrame([("one", 1.6 + 0.5, 0.05 + 0.5, 0.1, 0.1), ("one", 1.6 + 0.5, 0.05 - 0.5, 0.1, 0.1)], rows.schema)
-    along, across = (v["d2"] for v in outliers._near(probe, start, ["gid"]).orderBy(F.desc("v_sym")).collect())
+    along, across = (v["d2"] for v in outliers._near(probe, start, ["gid"], True).orderBy(F.desc("v_sym")).collect())
     assert along < outliers.CHI2[0.9999] < across
 
 

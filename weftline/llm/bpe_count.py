@@ -42,6 +42,9 @@ class MergeCounter:
             spec = json.load(f)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space") or spec.get("normalizer") or any(spec["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError("only files of a byte-level pre-tokenizer without a normalizer are counted")
         self.symbols = byte_symbols()
         self.split = regex.compile(PATTERN).findall
         added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)

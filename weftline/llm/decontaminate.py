@@ -4,8 +4,9 @@ A pattern is a window of 13 consecutive words of a benchmark item (a shorter ite
 is one pattern). Block shift tables skip positions where no pattern can end,
 buckets by the last block select the patterns to test, and a direct comparison
 confirms them. The benchmark is the query set: it is compiled in blocks of a
-bounded number of words and each block is broadcast; documents stream past it in
-one pass a block, without a shuffle.
+bounded number of windows and each block is broadcast; documents stream past it in
+one pass a block, without a shuffle. After a pass its result is staged and its
+broadcast given up, so one block is alive at a time.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, carried, python_batches, restored, without
+from .common import append_arrow, carried, python_batches, restored, stage, without
 
 WINDOW = 13
-#: Words of window starts in one broadcast block of the benchmark.
+#: Windows in one broadcast block of the benchmark.
 BLOCK_WORDS = 1_000_000
 #: Pattern lengths are searched in classes, so that one short pattern does not shorten every skip.
 LENGTH_CLASSES = (13, 8, 4, 2, 1)
@@ -41,13 +42,14 @@ class WuManber:
         self.least, self.block = least, min(2, least)
         self.default = least - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], set[str]]]] = defaultdict(list)
+        #: Patterns by the last block of their least length, and by their first words.
+        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(list))
         for p, items in patterns.items():
             for end in range(self.block, least + 1):
                 key = p[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.default), least - end)
-            self.bucket[p[least - self.block : least]].append((p, items))
-        self.bucket = dict(self.bucket)
+            self.bucket[p[least - self.block : least]][p[: self.block]].append((p, items))
+        self.bucket = {k: dict(v) for k, v in self.bucket.items()}
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
         """Start, end and items of each occurrence."""
@@ -60,8 +62,8 @@ class WuManber:
                 at += skip
                 continue
             start = at - back
-            for p, items in self.bucket[key]:
-                if words[start] == p[0] and tuple(words[start : start + len(p)]) == p:
+            for p, items in self.bucket[key].get(tuple(words[start : start + block]), ()):
+                if tuple(words[start : start + len(p)]) == p:
                     yield start, start + len(p), items
             at += 1
 
@@ -111,9 +113,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     python_batches(docs.sparkSession)
     docs = without(docs, *_FOUND.names)
-    out = docs
+    out, old = docs, None
     for searchers in pattern_blocks(benchmark, window, block_words):
-        known = docs.sparkSession.sparkContext.broadcast(searchers)
+        if old is not None:  # another block follows
+            out = stage(out, "benchmark-hits")
+            old.unpersist()
+        known = old = docs.sparkSession.sparkContext.broadcast(searchers)
 
         def search(batches, known=known):
             for batch in batches:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stage, without, words
+from .common import carried, join_small, restored, stage, without, words
 
 #: Words that a repeated run needs.
 MIN_WORDS = 50
@@ -99,17 +99,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run is at least ``min_words`` words in consecutive lines that have words; the
     first copy by document id (null first) and place stays. Rows that repeat an id
     are documents of their own. Null and empty texts have no lines; the null stays
-    null. Blank lines are neither counted nor deleted. Own columns of these names
-    are replaced. A text without deletions is unchanged.
+    null. Blank lines are neither counted nor deleted. Own columns of these three
+    names are replaced, all others are kept whatever their names. A text without
+    deletions is unchanged. An empty table gives no rows.
     """
-    docs = without(docs, "dedup_text", "n_lines", "n_deleted", "row")
-    held = stage(docs.withColumn("row", F.monotonically_increasing_id()), "line-docs")
+    docs = without(docs, "dedup_text", "n_lines", "n_deleted")
+    held = stage(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "line-docs")
     lines = stage(numbered_lines(held.select("row", "doc_id", "text")), "line-lines")
     gone = later_copies(lines.select("row", "doc_id", "line", "words", "id_a", "id_b"), min_words)
     gone = gone.select("row", F.explode(F.sequence("line", F.col("line") + F.col("length") - 1)).alias("line")).distinct()
-    places = gone.join(lines.select("row", "line", "pos"), ["row", "line"]).groupBy("row").agg(F.collect_set("pos").alias("gone_pos")).withColumnRenamed("row", "gone_row")
-    out = join_small(held, stage(places, "line-gone"), F.col("row") == F.col("gone_row"), "left")
+    places = gone.join(lines.select("row", "line", "pos"), ["row", "line"]).groupBy("row").agg(F.collect_set("pos").alias("q__gone")).withColumnRenamed("row", "q__gone_row")
+    out = join_small(held, stage(places, "line-gone"), F.col("row") == F.col("q__gone_row"), "left")
     split = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone_pos").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone_pos", i)), "\n"))
+    kept = F.when(F.col("q__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("q__gone", i)), "\n"))
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.size(words(x)) > 0)).cast("long")
-    return out.select(*docs.columns, kept.alias("dedup_text"), n_lines.alias("n_lines"), F.when(F.col("gone_pos").isNull(), 0).otherwise(F.size("gone_pos")).cast("long").alias("n_deleted"))
+    return out.select(*restored(docs, "doc_id", "text"), kept.alias("dedup_text"), n_lines.alias("n_lines"), F.when(F.col("q__gone").isNull(), 0).otherwise(F.size("q__gone")).cast("long").alias("n_deleted"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, join_small, let, restored, spaced, stage, without, words
+from .common import BROADCAST_ROWS, carried, join_small, let, restored, spaced, stage, without, words
 
 SYMBOLS = "#*$%&|<>"
 VECTOR = ("v_len", "v_sym", "v_dup", "v_rep")
@@ -156,28 +156,50 @@ def _squared_distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
-def _near(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``d2`` by the estimate of their key."""
-    known = estimate.select(*[F.col(k).alias(f"e_{k}") for k in keys], *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS])
+def _eliminated(covariance: dict[tuple[int, int], Column], off: list[Column]) -> Column:
+    """``off`` times the inverse of a row's own covariance times ``off``: eliminated an entry at a time, each value evaluated once."""
+    n = len(off)
+
+    def step(s: Column) -> Column:
+        c, v = (lambda i, j: s[f"c_{i}{j}"]), (lambda i: s[f"v_{i}"])
+        first = v(0) * v(0) / c(0, 0)
+        if n == 1:
+            return first
+        smaller = {(i - 1, j - 1): c(i, j) - c(i, 0) * c(j, 0) / c(0, 0) for i in range(1, n) for j in range(1, i + 1)}
+        return first + _eliminated(smaller, [v(i) - c(i, 0) * v(0) / c(0, 0) for i in range(1, n)])
+
+    held = F.struct(*[x.alias(f"c_{i}{j}") for (i, j), x in covariance.items()], *[x.alias(f"v_{i}") for i, x in enumerate(off)])
+    return let(held, step)
+
+
+def _joined(rows: DataFrame, known: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with the row of ``known`` of their key; ``few``: there are so few keys that it is broadcast."""
+    renamed = known.withColumnsRenamed({k: f"e_{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"e_{k}"))
-    return join_small(rows, known, on).select(*rows.columns, _squared_distance().alias("d2"))
+    return rows.join(F.broadcast(renamed) if few else renamed, on).drop(*[f"e_{k}" for k in keys])
+
+
+def _near(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with ``d2`` by the estimate of their key."""
+    known = estimate.select(*keys, *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS])
+    return _joined(rows, known, keys, few).select(*rows.columns, _squared_distance().alias("d2"))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Three starts per ``gid``: medians with median deviations, mean and covariance, and the covariance of spatial signs."""
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    centre = stage(rows.groupBy("gid").agg(*[median(F.col(v)).alias(f"m_{i}") for i, v in enumerate(VECTOR)]).withColumnRenamed("gid", "c_gid"), "mcd-median")
+    centre = rows.groupBy("gid").agg(*[median(F.col(v)).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
     off = [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)]
-    spread = join_small(rows, centre, F.col("gid") == F.col("c_gid")).groupBy("c_gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in _N], *[F.greatest(1.4826 * median(o), F.lit(NOISE**0.5)).alias(f"s_{i}") for i, o in enumerate(off)])
+    spread = _joined(rows, centre, ["gid"], few).groupBy("gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in _N], *[F.greatest(1.4826 * median(o), F.lit(NOISE**0.5)).alias(f"s_{i}") for i, o in enumerate(off)])
     spread = stage(spread, "mcd-spread")
     zero = F.lit(0.0)
-    first = _factored({(i, j): F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else zero for i, j in _PAIRS}, spread.withColumnRenamed("c_gid", "gid")).withColumn("start", F.lit(1))
+    first = _factored({(i, j): F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else zero for i, j in _PAIRS}, spread).withColumn("start", F.lit(1))
     second = _estimate(rows, ["gid"]).withColumn("start", F.lit(2))
     unit = [(F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, v in enumerate(VECTOR)]
     norm2 = sum((u * u for u in unit), zero)
-    signs = join_small(rows, spread, F.col("gid") == F.col("c_gid")).select("gid", *[f"m_{i}" for i in _N], *[f"s_{i}" for i in _N], *[F.try_divide(unit[i] * unit[j], norm2).alias(f"u_{i}{j}") for i, j in _PAIRS])
+    signs = _joined(rows, spread, ["gid"], few).select("gid", *[f"m_{i}" for i in _N], *[f"s_{i}" for i in _N], *[F.try_divide(unit[i] * unit[j], norm2).alias(f"u_{i}{j}") for i, j in _PAIRS])
     shape = signs.groupBy("gid").agg(*[F.first(x).alias(x) for i in _N for x in (f"m_{i}", f"s_{i}")], *[F.coalesce(F.avg(f"u_{i}{j}"), zero).alias(f"u_{i}{j}") for i, j in _PAIRS])
     third = _factored({(i, j): F.col(f"u_{i}{j}") * F.col(f"s_{i}") * F.col(f"s_{j}") + (NOISE if i == j else 0.0) for i, j in _PAIRS}, shape).withColumn("start", F.lit(3))
     kept = ["gid", "start", *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS], "log_det"]
@@ -194,19 +216,20 @@ def estimates(rows: DataFrame) -> DataFrame:
     to 10,000 rows), so no group is sorted in one place; ties at one all stay.
     """
     keys = ["gid", "start"]
-    now = stage(_starts(rows), "mcd-start")
+    few = rows.select("gid").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    now = stage(_starts(rows, few), "mcd-start")
     tried = rows.withColumn("start", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     for _ in range(MOST_STEPS):
-        far = _near(tried, now, keys)
-        inner = stage(far.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2")).withColumnsRenamed({k: f"i_{k}" for k in keys}), "mcd-inner")
-        core = join_small(far, inner, (F.col("gid") == F.col("i_gid")) & (F.col("start") == F.col("i_start"))).filter(F.col("d2") <= F.col("inner_d2"))
+        far = _near(tried, now, keys, few)
+        inner = far.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2"))
+        core = _joined(far, inner, keys, few).filter(F.col("d2") <= F.col("inner_d2"))
         before, now = now, stage(_estimate(core, keys, CONSISTENCY), "mcd-step")
         moved = now.join(before.select(*keys, F.col("log_det").alias("was")), keys).filter(F.abs(F.col("log_det") - F.col("was")) > STILL)
         if moved.isEmpty():
             break
     best = now.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
-    chosen = stage(now.join(best, keys).drop("start"), "mcd-best")
-    return stage(_estimate(_near(rows, chosen, ["gid"]).filter(F.col("d2") <= CHI2[0.975]), ["gid"]), "mcd-final")
+    chosen = now.join(best, keys).drop("start")
+    return stage(_estimate(_near(rows, chosen, ["gid"], few).filter(F.col("d2") <= CHI2[0.975]), ["gid"]), "mcd-final")
 
 
 def _group_of(level: int) -> Column:
@@ -255,8 +278,8 @@ def judged(docs: DataFrame) -> DataFrame:
     by_group = stage(groups.join(known, F.col("gid") == F.col("e_gid"), "left").drop("gid", "e_gid"), "quality-groups")
     near = join_small(rows, by_group, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     noise = count_noise()
-    near = _factored({(i, j): F.col(f"c_{i}{j}") + (noise[VECTOR[i]] if i == j else F.lit(0.0)) for i, j in _PAIRS}, near)
-    far = near.withColumn("outlier_d2", _squared_distance())
+    widened = {(i, j): F.col(f"c_{i}{j}") + (noise[VECTOR[i]] if i == j else F.lit(0.0)) for i, j in _PAIRS}
+    far = near.withColumn("outlier_d2", _eliminated(widened, [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]))
     kept = ~F.col("base_failed") & F.coalesce(F.col("outlier_d2") <= CHI2[0.9999], F.lit(True))
     return far.select(*restored(docs, *read), *added[:-1], kept.alias("kept"))
 

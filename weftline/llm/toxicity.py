@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, python_batches, without
+from .common import append_arrow, python_batches, stage, without
 
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "κ": "k", "υ": "u", "ε": "e", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}
@@ -127,7 +127,8 @@ def _likelihood_ratio(t: int, toxic: int, c: int, clean: int) -> float:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """Fit a lexicon on at most ``rows`` labelled documents (``labels``: ``doc_id, toxic``).
 
-    The sample is by a hash of the id, so it is the same in each run. Counting runs
+    The sample is by a hash of the id, so it is the same in each run; its texts are
+    staged once and all counts are taken from there. Counting runs
     on executors; the driver gets what the sample bounds: entries seen in its toxic
     documents and three numbers a row. Null labels and texts are left out. Without
     toxic rows the lexicon is empty and all scores are low and alike.
@@ -137,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     total = known.count()
     if total > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.97 * rows / total))
-    fit = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    fit = stage(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-fit")
     size = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:

@@ -1,23 +1,70 @@
 """WARC derivatives: linked metadata and plain-text conversion records from response records.
 
 A response is a row of ``record_id, target_uri, date, http_headers, payload``. Each
-gives two records that refer to it, with the source's headers and digests kept.
-All of it is one projection without a shuffle; only character references are read in Python.
+gives two records that refer to it, with the source's headers and digests kept. It
+is one pass without a shuffle: a page is read once, in Python, for its text, title,
+language and links; ids, digests and records are made by Spark's own functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import python_batches
 
 #: Elements that begin a new line of text, and elements without text.
-BLOCK_TAGS = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|body|html|head|blockquote|pre|form|figure"
+BLOCK_TAGS = frozenset("p div br hr li ul ol dl dt dd h1 h2 h3 h4 h5 h6 tr table article section nav header footer main aside body html head blockquote pre form figure".split())
 SILENT_TAGS = ("script", "style", "noscript", "template", "title")
-#: The names that the SQL of the query reads; :func:`decoded` reads all.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 CRAWL_DATE = "2024-01-01T00:00:00Z"
+#: Stand for a line break that an element makes, and for other markup until references are read; in the page itself they are blanks.
+_BREAK, _NOTHING = "\x1e", "\x1f"
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: A comment, a silent element with what is in it, a tag, or another declaration. What is not closed ends with the page.
+_MARKUP = re.compile(rf"""<(?:!--.*?(?:--!?>|\Z)|({"|".join(SILENT_TAGS)})(?=[\s/>])(?:{_ATTRIBUTES}|[^>]*)>(.*?)(?:</\1\s*[^>]*>|\Z)|(/?)([a-z][^\s/>]*)({_ATTRIBUTES}|[^>]*)>|[!?/][^>]*(?:>|\Z))""", re.S | re.I)
+_HREF = re.compile(r"""\shref\s*=""", re.I)
+_LANG = re.compile(r"""\slang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+
+
+def read_page(page: str | None) -> tuple[str, str, str, int]:
+    """Text, title, declared language (lower case) and number of links out of an HTML page.
+
+    Blocks begin lines, other tags and comments leave nothing, character references
+    are read once, and white space of any kind is one blank.
+    """
+    found = {"title": None, "lang": None, "links": 0}
+
+    def instead(m: re.Match) -> str:
+        silent, inner, closing, name, attributes = m.groups()
+        if name is None:
+            if silent and found["title"] is None and silent.lower() == "title":
+                found["title"] = inner
+            return _NOTHING
+        name = name.lower()
+        if not closing:
+            if name == "a" and _HREF.search(attributes):
+                found["links"] += 1
+            elif name == "html" and found["lang"] is None and (lang := _LANG.search(attributes)):
+                found["lang"] = lang[1]
+        return _BREAK if name in BLOCK_TAGS else _NOTHING
+
+    text = html.unescape(_MARKUP.sub(instead, (page or "").replace(_BREAK, " ").replace(_NOTHING, " ")))
+    lines = [" ".join(x.split()) for x in text.replace(_NOTHING, "").split(_BREAK)]
+    return "\n".join(x for x in lines if x), " ".join(html.unescape(found["title"] or "").split()), (found["lang"] or "").lower(), found["links"]
+
+
+def _pages(payload: Column) -> Column:
+    """:func:`read_page` as a struct ``text, title, lang, links``, a batch at a time."""
+
+    def read(pages: pa.Array) -> pa.Array:
+        rows = [read_page(x) for x in pages.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["text", "title", "lang", "links"])
+
+    return F.arrow_udf(read, "text string, title string, lang string, links long", F.ArrowUDFType.SCALAR)(payload)
 
 
 def _digest(text: Column) -> Column:
@@ -37,67 +84,61 @@ def responses_from_pages(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
     return pages.select(F.col("page_id").alias("source_id"), record_id("response", F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), F.col("html").alias("payload"))
 
 
-def decoded(text: Column) -> Column:
-    """Each character reference of HTML once: decimal and hexadecimal numbers and all names; white space of a reference is a blank."""
-    def read(texts):
-        import html
-        import re
-        from functools import lru_cache
-
-        import pyarrow as pa
-
-        one = lru_cache(4096)(lambda ref: re.sub("[\t\n\f\r\xa0]", " ", html.unescape(ref)))
-        refs = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});?")
-        return pa.array([x if x is None or "&" not in x else refs.sub(lambda m: one(m.group()), x) for x in texts.to_pylist()], pa.string())
-
-    return F.arrow_udf(read, "string", F.ArrowUDFType.SCALAR)(text)
-
-
-def plain_text(html: Column) -> Column:
-    """Text of an HTML page: silent elements and comments go, blocks begin lines, entities are read."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
-    for tag in SILENT_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")
-    text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(decoded(text), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n+", "\n"), F.lit(" \n"))
-
-
-def metadata_block(payload: Column) -> Column:
-    """``application/warc-fields``: title, declared language, and the number of links out."""
-    html = F.coalesce(payload, F.lit(""))
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)
-    lang = F.regexp_extract(html, r"(?i)<html[^>]* lang=[\"']?([A-Za-z-]+)", 1)
-    links = F.size(F.regexp_extract_all(html, F.lit(r"(?i)(<a\s[^>]*href=)"), F.lit(1)))
-    return F.concat(F.lit("title: "), F.trim(F.regexp_replace(title, r"[ \t\r\n]+", " ")), F.lit("\r\nlanguage: "), F.lower(lang), F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"))
-
-
 def derived_records(responses: DataFrame) -> DataFrame:
     """A ``metadata`` and a ``conversion`` record for each response.
 
     Columns: ``source_id, warc_type, record_id, refers_to, target_uri, date,
     content_type, source_content_type, source_length, source_digest, block_digest,
-    content_length, block, http_headers``, the last being the source's as they are. A null payload counts as empty and gives an empty
-    conversion; a null address stays null; repeated rows give repeated records of
-    the same ids. Other columns are not kept. An empty table gives no rows.
+    content_length, block, http_headers``, the last being the source's as they are. A
+    null payload counts as empty and gives an empty conversion; a null address stays
+    null; repeated rows give repeated records of the same ids. Other columns are not
+    kept. An empty table gives no rows.
     """
     python_batches(responses.sparkSession)
     content_type = F.regexp_extract("http_headers", r"(?i)content-type:[ \t]*([^\r\n]*)", 1)
-    base = responses.select("source_id", "record_id", "target_uri", "date", content_type.alias("source_content_type"), F.octet_length(F.coalesce("payload", F.lit(""))).cast("long").alias("source_length"), _digest(F.col("payload")).alias("source_digest"), "payload", "http_headers")
-    made = [F.struct(F.lit(kind).alias("warc_type"), record_id(kind, F.col("record_id")).alias("new_id"), F.lit(kind_type).alias("content_type"), block.alias("block")) for kind, kind_type, block in (("metadata", "application/warc-fields", metadata_block(F.col("payload"))), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))]
+    payload = F.coalesce("payload", F.lit(""))
+    base = responses.select("source_id", "record_id", "target_uri", "date", content_type.alias("source_content_type"), F.octet_length(payload).cast("long").alias("source_length"), _digest(F.col("payload")).alias("source_digest"), "http_headers", _pages(payload).alias("page"))
+    fields = F.concat(F.lit("title: "), F.col("page.title"), F.lit("\r\nlanguage: "), F.col("page.lang"), F.lit("\r\noutlinks: "), F.col("page.links").cast("string"), F.lit("\r\n"))
+    made = [F.struct(F.lit(kind).alias("warc_type"), record_id(kind, F.col("record_id")).alias("new_id"), F.lit(kind_type).alias("content_type"), block.alias("block")) for kind, kind_type, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", F.col("page.text")))]
     rows = base.select("*", F.explode(F.array(*made)).alias("r"))
     return rows.select("source_id", "r.warc_type", F.col("r.new_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "r.content_type", "source_content_type", "source_length", "source_digest", _digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"), "r.block", "http_headers")
 
 
+#: WARC fields by column; each line of the source's headers follows as a field of its own.
+_FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "block_digest": "WARC-Block-Digest", "source_content_type": "WARC-Source-Content-Type", "source_digest": "WARC-Source-Payload-Digest", "content_type": "Content-Type", "content_length": "Content-Length"}
+_SOURCE_LINE = "WARC-Source-HTTP-Header: "
+_VERSION, _GAP = "WARC/1.1\r\n", "\r\n\r\n"
+
+
 def rendered(records: DataFrame) -> DataFrame:
     """``record_id, record``: each derived record as WARC/1.1 text, ready to be written one after another.
 
     Each line of the source's headers, its status line first, is a ``WARC-Source-HTTP-Header`` of its own.
     """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-    fields = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Content-Type", "source_content_type"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    source = F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), r"\r?\n"), lambda x: x != ""), lambda x: F.concat(F.lit("WARC-Source-HTTP-Header: "), x, F.lit("\r\n")))
-    head = F.concat(F.lit("WARC/1.1\r\n"), *[line(n, F.col(c)) for n, c in fields], F.array_join(source, ""), F.lit("\r\n"))
-    return records.select("record_id", F.concat(head, "block", F.lit("\r\n\r\n")).alias("record"))
+    source = F.transform(F.filter(F.split(F.coalesce("http_headers", F.lit("")), r"\r?\n"), lambda x: x != ""), lambda x: F.concat(F.lit(_SOURCE_LINE), x, F.lit("\r\n")))
+    head = F.concat(F.lit(_VERSION), *[line(n, F.col(c)) for c, n in _FIELDS.items()], F.array_join(source, ""), F.lit("\r\n"))
+    return records.select("record_id", F.concat(head, "block", F.lit(_GAP)).alias("record"))
+
+
+def write_records(records: DataFrame, folder: str) -> None:
+    """Write the records as WARC files, a file a partition."""
+    whole = rendered(records).select(F.expr(f"left(record, length(record) - {len(_GAP)})").alias("value"))
+    whole.write.option("lineSep", _GAP).text(folder)
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of WARC files of :func:`write_records`: the fields' columns, ``http_headers`` and ``block``.
+
+    Files are split between records. A block whose length is not the stated one fails the read.
+    """
+    raw = spark.read.option("lineSep", _GAP + _VERSION).text(folder).select(F.regexp_replace("value", rf"\A{re.escape(_VERSION)}", "").alias("v"))
+    head = F.substring_index("v", _GAP, 1)
+    field = lambda name: F.regexp_extract(head, rf"(?:\A|\n){name}: ([^\r\n]*)", 1)
+    length = field("Content-Length").cast("long")
+    rest = F.expr(f"substring(v, length(substring_index(v, '{_GAP}', 1)) + {len(_GAP) + 1})".replace("\r", "\\r").replace("\n", "\\n"))
+    block = F.regexp_replace(rest, r"(?:\r\n){2}\z", "")
+    block = F.when(F.octet_length(rest) == length, rest).when(F.octet_length(block) == length, block).otherwise(F.raise_error(F.lit("a record's block is not as long as it says")))
+    lines = F.regexp_extract_all(head, F.lit(rf"(?:\A|\n){_SOURCE_LINE}([^\r\n]*)"), F.lit(1))
+    columns = [(length if c == "content_length" else F.when(head.contains(f"\n{n}: ") | head.startswith(f"{n}: "), field(n))).alias(c) for c, n in _FIELDS.items()]
+    return raw.select(*columns, F.concat(F.array_join(lines, "\r\n"), F.lit(_GAP)).alias("http_headers"), block.alias("block"))
