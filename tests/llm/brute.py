@@ -243,6 +243,8 @@ SIGNS = dict(zip("01345789@$!€", "oieastbgasie"))
 def fold(text):
     """Letters by word, blanks around each, sign by sign."""
     letter = lambda c: c.isalnum() and not c.isdecimal()
+    if not text:
+        return " "
     text = "".join(GLYPHS.get(c, chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else c) for c in (text or "").lower() if c not in "\u200b\u200c\u200d\u2060\ufeff\xad")
     out, i = list(text), 0
     while i < len(text):

@@ -14,6 +14,8 @@ own counts; the covariance itself has a floor at numerical noise alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +139,12 @@ def _factored(covariance: dict[tuple[int, int], Column], out: DataFrame) -> Data
 
 
 def _estimate(rows: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
-    """Per key the means ``m_i``, covariances ``c_ij`` and their factor of ``rows``."""
-    sums = [F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)] + [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}{j}") for i, j in _PAIRS]
-    out = rows.groupBy(*keys).agg(*sums)
-    for i, j in _PAIRS:
-        out = out.withColumn(f"c_{i}{j}", F.col(f"c_{i}{j}") * F.lit(scale) + F.lit(NOISE if i == j else 0.0))
+    """Per key the means ``m_i``, covariances ``c_ij`` and their factor of ``rows``, summed around the ``m_i`` that they come with."""
+    off = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
+    sums = [F.first(f"m_{i}").alias(f"m_{i}") for i in _N] + [F.avg(off[i]).alias(f"a_{i}") for i in _N] + [F.avg(off[i] * off[j]).alias(f"p_{i}{j}") for i, j in _PAIRS]
+    made = rows.groupBy(*keys).agg(*sums)
+    covariance = {(i, j): F.greatest(F.col(f"p_{i}{j}") - F.col(f"a_{i}") * F.col(f"a_{j}"), F.lit(0.0)) * scale + NOISE if i == j else (F.col(f"p_{i}{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * scale for i, j in _PAIRS}
+    out = made.select(*keys, *[(F.col(f"m_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in _N], *[c.alias(f"c_{i}{j}") for (i, j), c in covariance.items()])
     return _factored({(i, j): F.col(f"c_{i}{j}") for i, j in _PAIRS}, out)
 
 
@@ -184,19 +187,19 @@ def _joined(rows: DataFrame, known: DataFrame, keys: list[str], few: bool) -> Da
 def _near(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """``rows`` with ``d2`` by the estimate of their key."""
     known = estimate.select(*keys, *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS])
-    return _joined(rows, known, keys, few).select(*rows.columns, _squared_distance().alias("d2"))
+    return _joined(rows, known, keys, few).select(*rows.columns, *[f"m_{i}" for i in _N], _squared_distance().alias("d2"))
 
 
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Three starts per ``gid``: medians with median deviations, mean and covariance, and the covariance of spatial signs."""
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    centre = rows.groupBy("gid").agg(*[median(F.col(v)).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
+    centre = stage(rows.groupBy("gid").agg(*[median(F.col(v)).alias(f"m_{i}") for i, v in enumerate(VECTOR)]), "mcd-median")
     off = [F.abs(F.col(v) - F.col(f"m_{i}")) for i, v in enumerate(VECTOR)]
     spread = _joined(rows, centre, ["gid"], few).groupBy("gid").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in _N], *[F.greatest(1.4826 * median(o), F.lit(NOISE**0.5)).alias(f"s_{i}") for i, o in enumerate(off)])
     spread = stage(spread, "mcd-spread")
     zero = F.lit(0.0)
     first = _factored({(i, j): F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else zero for i, j in _PAIRS}, spread).withColumn("start", F.lit(1))
-    second = _estimate(rows, ["gid"]).withColumn("start", F.lit(2))
+    second = _estimate(_joined(rows, centre, ["gid"], few), ["gid"]).withColumn("start", F.lit(2))
     unit = [(F.col(v) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, v in enumerate(VECTOR)]
     norm2 = sum((u * u for u in unit), zero)
     signs = _joined(rows, spread, ["gid"], few).select("gid", *[f"m_{i}" for i in _N], *[f"s_{i}" for i in _N], *[F.try_divide(unit[i] * unit[j], norm2).alias(f"u_{i}{j}") for i, j in _PAIRS])
@@ -210,7 +213,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per ``gid`` from rows with the vector entries: ``gid, m_i, c_ij, l_ij, log_det``.
 
     A concentration step keeps the rows within the group's quantile of the distance
-    and estimates anew, for all starts at once, until no determinant moves. The one
+    and estimates anew, for all starts at once, each until its determinant stands
+    still; the next step is for those that moved. The one
     of least determinant is reweighted: the result is taken from the rows within its
     0.975 chi-square quantile. The quantiles are of Spark's mergeable sketch (exact up
     to 10,000 rows), so no group is sorted in one place; ties at one all stay.
@@ -219,16 +223,22 @@ def estimates(rows: DataFrame) -> DataFrame:
     few = rows.select("gid").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     now = stage(_starts(rows, few), "mcd-start")
     tried = rows.withColumn("start", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    still: list[DataFrame] = []
     for _ in range(MOST_STEPS):
         far = _near(tried, now, keys, few)
         inner = far.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2"))
         core = _joined(far, inner, keys, few).filter(F.col("d2") <= F.col("inner_d2"))
-        before, now = now, stage(_estimate(core, keys, CONSISTENCY), "mcd-step")
-        moved = now.join(before.select(*keys, F.col("log_det").alias("was")), keys).filter(F.abs(F.col("log_det") - F.col("was")) > STILL)
-        if moved.isEmpty():
+        step = _joined(_estimate(core, keys, CONSISTENCY), now.select(*keys, F.col("log_det").alias("was")), keys, few)
+        step = stage(step.withColumn("moved", F.abs(F.col("log_det") - F.col("was")) > STILL).drop("was"), "mcd-step")
+        still.append(step.filter("NOT moved"))
+        now = step.filter("moved")
+        if now.isEmpty():
             break
-    best = now.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
-    chosen = now.join(best, keys).drop("start")
+    else:
+        still.append(now)
+    ended = reduce(DataFrame.unionByName, still).drop("moved")
+    best = ended.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
+    chosen = ended.join(best, keys).drop("start")
     return stage(_estimate(_near(rows, chosen, ["gid"], few).filter(F.col("d2") <= CHI2[0.975]), ["gid"]), "mcd-final")
 
 

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -287,8 +287,11 @@ class Shard:
 _SHARDS = "part int, seq int, first_doc long, n_docs long, n_tokens long, shard binary"
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode ``doc_id, text`` and write wavelet shards in ascending id order; returns the staged table.
+def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, output: str | None = None) -> DataFrame:
+    """Encode ``doc_id, text`` and write wavelet shards in ascending id order; returns the table that was written.
+
+    It is written to ``output``, a new folder that all executors share, to be read with
+    :func:`open_shards`, or staged where none is given.
 
     Its columns: ``part, seq`` (the order of shards), ``first_doc, n_docs, n_tokens, shard``.
     ``path`` is of a ``tokenizer.json`` with ids below 65536 that executors can read;
@@ -327,7 +330,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_to
             yield row()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(shards, _SHARDS), "wavelet", codec="none")
+    made = ordered.mapInArrow(shards, _SHARDS)
+    if output is None:
+        return stage(made, "wavelet", codec="none")
+    made.write.option("compression", "none").parquet(output)
+    return open_shards(docs.sparkSession, output)
+
+
+def open_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards that :func:`write_shards` left in a folder."""
+    return spark.read.schema(_SHARDS).parquet(folder)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
