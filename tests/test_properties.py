@@ -93,15 +93,6 @@ def test_ranges_and_overlaps(spark):
     assert points == {(x[1], p) for x in real for p in range(x[2], x[3])}
 
 
-def test_contention_states(spark):
-    start = datetime(2024, 1, 1)
-    direct = [0, 5, 9, 9, 9, 9, 3, 1, 0, 1, 5, 8, 8, 8] + [9] * 40
-    ticks = spark.createDataFrame([("j", start + timedelta(seconds=10 * i), d, 6000 if i == 1 else 0) for i, d in enumerate(direct)], "job_id string, tick timestamp_ntz, direct int, oldest_wait_ms long")
-    states = [r["state"] for r in L.contention_states(ticks).orderBy("tick").collect()]
-    assert states[:14] == ["running", "cancel", "throttled", "throttled", "paused", "paused", "paused", "paused", "paused", "running", "throttled", "throttled", "throttled", "paused"]
-    assert states[13 + 29] == "paused" and states[13 + 30 :] == ["aborted"] * (len(direct) - 43)
-
-
 def test_closure_ends_in_a_cycle(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (4, 3)], "waiter long, blocker long")
     got = rows(L.blocking_closure(edges, spark.createDataFrame([(1,)], "root long")))
@@ -118,5 +109,114 @@ def test_feed_round_trip(spark):
 
 def test_layout_is_dealt(spark):
     df = frame(spark, [(k, k % 3, "x") for k in range(100)])
-    assert X.write_colocated.__doc__ and X.placed(df, "k", 6).rdd.getNumPartitions() == 6
+    assert X.placed(df, "k", 6).rdd.getNumPartitions() == 6
+    assert set(X.undistribute(X.distribute(df, "k", 4)).columns) == set(df.columns)
     assert X.rebalance_moves(spark.createDataFrame([(0, 0, 10), (1, 1, 10)], "shard int, node int, size long"), 2).count() == 0
+
+
+def test_written_buckets_join_without_an_exchange(spark):
+    df = frame(spark, [(k % 40, k, "x") for k in range(200)])
+    for name in ("bucket_a", "bucket_b"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        X.write_colocated(df, name, "k", 4)
+    joined = X.bucketed_join(spark, "bucket_a", "bucket_b", "k").groupBy("k").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r["count"] for r in joined.collect()} == {25} and joined.count() == 40
+    X.write_colocated(df.withColumn("k", F.col("k").cast("long")), "bucket_b", "k", 4)
+    with pytest.raises(C.Refused):
+        X.bucketed_join(spark, "bucket_a", "bucket_b", "k")
+    for name in ("bucket_a", "bucket_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_cycles_and_what_is_behind_them(spark):
+    """Nodes between two cycles are in none; a need in another state is told from a cycle."""
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (3, 4), (4, 5), (5, 4), (6, 1), (7, 8), (9, 10), (10, 11), (12, 12), (5, 13)], "node long, needs long")
+    assert {r["node"] for r in L.cycle_members(edges).collect()} == {1, 2, 4, 5, 12}
+    state = {8: "in_progress", 11: "applied", 13: "modified_after_apply"}
+    nodes = spark.createDataFrame([(k, state.get(k, "pending" if k % 2 else "failed")) for k in range(1, 14)], "node long, status string")
+    got = {r["node"]: r["kind"] for r in L.unorderable(edges, nodes).collect()}
+    assert got == {1: "cycle", 2: "cycle", 3: "blocked", 4: "cycle", 5: "state", 6: "blocked", 7: "state", 12: "cycle"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_are_the_strong_components(spark, seed):
+    r = random.Random(seed)
+    pairs = {(r.randrange(30), r.randrange(30)) for _ in range(34)}
+    reach = {a: {y for x, y in pairs if x == a} for a in range(30)}
+    for _ in range(30):
+        reach = {a: s | {z for y in s for z in reach[y]} for a, s in reach.items()}
+    got = {x["node"] for x in L.cycle_members(spark.createDataFrame(sorted(pairs), "node long, needs long")).collect()}
+    assert got == {a for a in reach if a in reach[a]}
+
+
+def test_blocking_summary(spark):
+    edges = spark.createDataFrame([(2, 1, 5), (3, 1, 3), (4, 2, 1), (1, 4, 2)], "waiter long, blocker long, s int").selectExpr("waiter", "blocker", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS waitstart")
+    got = {r["root"]: tuple(r)[1:] for r in L.blocking_summary(edges, spark.createDataFrame([(1,), (3,)], "root long"), "2024-01-01 00:00:10").collect()}
+    assert got == {1: (2, 3, 3, 7000, 12000), 3: (0, 0, None, 0, 0)}
+
+
+def test_subscription_goes_on(spark, tmp_path):
+    """Batches are applied once and in order over restarts, with and without something new, and after a compaction."""
+    from weftline.streaming import streams as R
+
+    target = frame(spark, [(1, 10, "a"), (2, 20, "b")])
+    schema = T + ", action string, seq int"
+    changes = [[(1, 99, "x", "U", 1)], [(3, 30, "c", "I", 1)], [(2, None, None, "D", 1), (1, 98, "y", "U", 2)], [(3, 31, "d", "U", 1)]]
+    want = [{1: (99, "x"), 2: (20, "b")}, {1: (99, "x"), 2: (20, "b"), 3: (30, "c")}, {1: (98, "y"), 3: (30, "c")}, {1: (98, "y"), 3: (31, "d")}]
+    run = lambda: {r["k"]: (r["v"], r["w"]) for r in R.subscribe(R.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1), target, ["k"], f"{tmp_path}/out", f"{tmp_path}/check", compact_after=3).collect()}
+    (tmp_path / "in").mkdir()
+    assert run() == {1: (10, "a"), 2: (20, "b")}
+    for new, state in zip(changes, want, strict=True):
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert run() == state
+        assert run() == state
+    assert len(list((tmp_path / "out").glob("copy=*"))) == 2
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from weftline.streaming import streams as R
+
+    start = datetime(2024, 1, 1)
+    batches = [[0, 10, 50], [70, 200], [210], [20, 220], [400]]  # minutes; 20 comes after its hour is closed
+    for b in batches:
+        spark.createDataFrame([(start + timedelta(minutes=m), "a") for m in b], "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = R.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], "ts timestamp_ntz, kind string").schema, 1)
+    R.write_batches(R.cagg_stream(stream, "ts", "1 hour", ["kind"], [F.count(F.lit(1)).alias("n")], "30 minutes"), f"{tmp_path}/out", f"{tmp_path}/check", {"rows": lambda x: x})
+    got = {(r["bucket"] - start).seconds // 3600: r["n"] for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()}
+    assert got == {0: 3, 1: 1, 3: 3}
+
+
+def test_indexes_differ_by_class_include_and_options(spark):
+    cols = "table string, name string, method string, is_unique boolean, columns array<string>, descending array<boolean>, predicate string, opclasses array<string>, include array<string>, options array<string>"
+    plain = ("t", "btree", False, ["a", "b"], [False, False], None)
+    made = {"i0": (None, None, None), "i1": (["", ""], [], []), "i2": (["x_ops", ""], None, None), "i3": (None, ["c"], None), "i4": (None, None, ["fillfactor=70"]), "i5": (None, ["d", "c"], None), "i6": (None, ["c", "d"], None)}
+    rows_ = [(plain[0], n, *plain[1:], *x) for n, x in made.items()]
+    assert rows(E.index_equivalence(spark.createDataFrame(rows_, cols))) == [("t", "i1", "i0"), ("t", "i6", "i5")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from weftline.functions import staging
+
+    class Context:
+        master = "spark://x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Session())
+    assert staging.shared_dir(spark)
+
+
+def test_merge_counts_are_the_snapshots(spark):
+    t, s = frame(spark, [(1, 1, "a"), (2, 2, "b"), (3, 3, "c"), (None, 4, "d")]), frame(spark, [(1, 1, "a"), (2, 9, "b"), (5, 5, "e"), (6, 6, "f")])
+    for rules in (("update", "insert", "nothing"), ("delete", "insert", "delete"), ("nothing", "insert", "delete")):
+        merged = C.delete_rows(C.merge_rows(t, s, ["k"], *rules), "k = 6")
+        counted = C.merge_counts(t, s, ["k"], *rules, then_delete="k = 6").first().asDict()
+        assert {k: v for k, v in C.change_counts(t.filter("k > 0"), merged.filter("k > 0"), ["k"]).first().asDict().items() if k == "inserted"} == {"inserted": counted["inserted"]}
+        assert counted["inserted"] + counted["updated"] + counted["unchanged"] == merged.count() and counted["considered"] == counted["deleted"] + merged.count()

@@ -9,16 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder is set only where there is none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a session in one process gets a new local folder; on a
+    cluster that would be another folder on each machine, so it is refused.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str = "settled") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: computed once, and not lost with an executor."""
+def settled(df: DataFrame, name: str = "settled", codec: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: computed once, and not lost with an executor.
+
+    Its folder is new each time and is left in place, since later lazy reads may need it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -120,13 +120,9 @@ def delete_rows(target: DataFrame, where: Column | str | None = None, keys: Data
     return target.filter(~holds(where)) if keys is None else target.join(keys.select(*key).distinct(), key, "left_anti")
 
 
-def merge_rows(target: DataFrame, source: DataFrame, key: list[str], when_matched: str = "update", when_not_matched: str = "insert", when_not_matched_by_source: str = "nothing", update_columns: list[str] | None = None, check: bool = True) -> DataFrame:
-    """The whole MERGE matrix in one full outer join on ``key``.
-
-    ``check`` proves that the key is unique on both sides. A by-source delete is only
-    right over the whole source. NULL keys match nothing.
-    """
-    rules = (when_matched, when_not_matched, when_not_matched_by_source)
+def _merged(target: DataFrame, source: DataFrame, key: list[str], rules: tuple[str, str, str], update_columns: list[str] | None, check: bool) -> DataFrame:
+    """Every row of the full outer join as the target's columns, with ``__was`` (it was there), ``__keep`` and ``__same`` (no value changes)."""
+    when_matched, when_not_matched, when_not_matched_by_source = rules
     if rules == ("nothing",) * 3:
         raise Refused("a merge that does nothing")
     for rule, known in zip(rules, (("update", "delete", "nothing"), ("insert", "nothing"), ("nothing", "delete")), strict=True):
@@ -143,9 +139,31 @@ def merge_rows(target: DataFrame, source: DataFrame, key: list[str], when_matche
     def value(c: str) -> Column:
         old, new = F.col(f"t.{c}"), F.col(f"s.{c}") if c in source.columns else F.lit(None)
         update = new if when_matched == "update" and c in changed else old
-        return F.when(in_t & in_s, update).when(in_s, new).otherwise(old).cast(target.schema[c].dataType).alias(c)
+        return F.when(in_t & in_s, update).when(in_s, new).otherwise(old).cast(target.schema[c].dataType)
+
+    same = reduce(lambda x, y: x & y, [F.col(f"t.{c}").eqNullSafe(value(c)) for c in target.columns if c not in key], F.lit(True))
+    return joined.select(*[value(c).alias(c) for c in target.columns], in_t.alias("__was"), keep.alias("__keep"), same.alias("__same"))
+
+
+def merge_rows(target: DataFrame, source: DataFrame, key: list[str], when_matched: str = "update", when_not_matched: str = "insert", when_not_matched_by_source: str = "nothing", update_columns: list[str] | None = None, check: bool = True) -> DataFrame:
+    """The whole MERGE matrix in one full outer join on ``key``.
 
-    return joined.filter(keep).select(*[value(c) for c in target.columns])
+    ``check`` proves that the key is unique on both sides. A by-source delete is only
+    right over the whole source. NULL keys match nothing.
+    """
+    rows = _merged(target, source, key, (when_matched, when_not_matched, when_not_matched_by_source), update_columns, check)
+    return rows.filter("__keep").select(*target.columns)
+
+
+def merge_counts(target: DataFrame, source: DataFrame, key: list[str], when_matched: str = "update", when_not_matched: str = "insert", when_not_matched_by_source: str = "nothing", update_columns: list[str] | None = None, check: bool = True, then_delete: Column | str = "false") -> DataFrame:
+    """One row ``considered, inserted, updated, deleted, unchanged`` of :func:`merge_rows`, counted in its one join.
+
+    Rows that hold ``then_delete`` after the merge are taken out too.
+    """
+    rows = _merged(target, source, key, (when_matched, when_not_matched, when_not_matched_by_source), update_columns, check)
+    stays = F.col("__keep") & ~holds(then_delete)
+    rows = rows.select("__was", "__same", stays.alias("__stays")).filter("__was OR __stays")
+    return rows.agg(F.count(F.lit(1)).alias("considered"), F.count_if(~F.col("__was")).alias("inserted"), F.count_if(F.col("__was") & F.col("__stays") & ~F.col("__same")).alias("updated"), F.count_if(F.col("__was") & ~F.col("__stays")).alias("deleted"), F.count_if(F.col("__was") & F.col("__stays") & F.col("__same")).alias("unchanged"))
 
 
 def backfill(target: DataFrame, set_: dict[str, Column | str], where: Column | str | bool | None = None) -> DataFrame:

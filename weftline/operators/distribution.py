@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .changes import Refused
@@ -40,8 +40,19 @@ def colocated_join(a: DataFrame, b: DataFrame, key: str, shards: int) -> DataFra
 
 
 def write_colocated(df: DataFrame, name: str, key: str, shards: int) -> None:
-    """A bucketed table; two with the same key and number join without an exchange."""
-    df.write.bucketBy(shards, key).sortBy(key).mode("overwrite").saveAsTable(name)
+    """A bucketed table under the session's warehouse; two with the same key and number join without an exchange."""
+    df.repartition(shards, key).write.bucketBy(shards, key).sortBy(key).mode("overwrite").saveAsTable(name)
+
+
+def bucketed_join(spark: SparkSession, a: str, b: str, key: str) -> DataFrame:
+    """Join of two tables of :func:`write_colocated` bucket by bucket; types must agree.
+
+    The hint keeps Spark from broadcasting a side, so the buckets decide at every size.
+    """
+    left, right = spark.table(a), spark.table(b)
+    if left.schema[key].dataType != right.schema[key].dataType:
+        raise Refused(f"{key} differs in type")
+    return left.hint("merge").join(right, key)
 
 
 def reference_join(fact: DataFrame, dim: DataFrame, on: Column) -> DataFrame:
@@ -56,6 +67,7 @@ def alter_distribution(frames: dict[str, DataFrame], name: str, shards: int, met
 
 
 def undistribute(df: DataFrame) -> DataFrame:
+    """The frame without its placing."""
     return df.drop("shard")
 
 

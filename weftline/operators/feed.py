@@ -28,7 +28,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFr
 def publish(feed: DataFrame, tables: list[str], operations: list[str], roots: DataFrame | None = None) -> DataFrame:
     """The chosen tables and operations of ``table, action, ...``; with ``roots`` (``leaf, root``) a leaf's name becomes its root's first."""
     if roots is not None:
-        feed = feed.join(F.broadcast(roots), F.col("table") == F.col("leaf"), "left").withColumn("table", F.coalesce("root", "table")).drop("leaf", "root")
+        feed = feed.join(roots, F.col("table") == F.col("leaf"), "left").withColumn("table", F.coalesce("root", "table")).drop("leaf", "root")
     return feed.filter(F.col("table").isin(tables) & F.col("action").isin(operations))
 
 

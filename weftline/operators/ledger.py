@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.staging import settled
 from .changes import Refused
 
-#: Waits that throttle, pause and resume, samples in a row, and the two time limits.
-THROTTLE, PAUSE, RESUME, IN_A_ROW, CANCEL_MS, ABORT_S = 4, 8, 1, 3, 5000, 300
+#: States of a spec that may be run; of a dependency in any other state but ``applied`` nothing can be ordered.
+RUNNABLE = ("pending", "failed")
 
 
 def applied_index(migrations: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -27,11 +27,15 @@ def classify_specs(specs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def gate_specs(specs: DataFrame, database: str, environments: DataFrame, releases: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Pending and failed ``specs`` with ``gate``: the first reason not to run them, or ``open``."""
-    e = environments.select(F.col("database").alias("e_db"), F.col("name").alias("e_name"))
-    r = releases.select(F.col("database").alias("r_db"), F.col("tag").alias("r_tag"), "ready")
-    p = epochs.select(F.col("database").alias("p_db"), F.col("name").alias("p_name"), "retired_at", F.lit(True).alias("known"))
-    j = specs.filter(F.col("status").isin("pending", "failed")).join(F.broadcast(e), F.col("e_db") == F.lit(database), "left").join(F.broadcast(r), (F.col("r_db") == F.lit(database)) & (F.col("r_tag") == F.col("release")), "left").join(F.broadcast(p), (F.col("p_db") == F.lit(database)) & (F.col("p_name") == F.col("epoch")), "left")
+    """Pending and failed ``specs`` with ``gate``: the first reason not to run them, or ``open``.
+
+    Only the one row of the database's environment is broadcast.
+    """
+    e = environments.filter(F.col("database") == F.lit(database)).agg(F.max("name").alias("e_name")).select(F.lit(1).alias("e_one"), "e_name")
+    r = releases.filter(F.col("database") == F.lit(database)).select(F.col("tag").alias("r_tag"), "ready")
+    p = epochs.filter(F.col("database") == F.lit(database)).select(F.col("name").alias("p_name"), "retired_at", F.lit(True).alias("known"))
+    waiting = specs.filter(F.col("status").isin(*RUNNABLE)).withColumn("one", F.lit(1))
+    j = waiting.join(F.broadcast(e), F.col("one") == F.col("e_one")).join(r, F.col("r_tag") == F.col("release"), "left").join(p, F.col("p_name") == F.col("epoch"), "left")
     gate = (
         F.when(F.col("database") != F.lit(database), "wrong_database")
         .when(F.col("environment").isNotNull() & ~F.col("environment").eqNullSafe(F.col("e_name")), "wrong_environment")
@@ -73,38 +77,91 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, bound: int = 10_000) -
     A round settles all nodes whose needs are settled; rounds are the depth of the graph.
     """
     inside = settled(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi"), "levels")
-    counts = nodes.join(inside.groupBy("node").agg(F.count(F.lit(1)).alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"))
-    front = settled(counts.filter("open = 0").select("node"), "levels")
-    waiting, done, level = settled(counts.filter("open > 0"), "levels"), None, 0
-    while not front.isEmpty():
+    counts = nodes.join(inside.groupBy("node").agg(F.count(F.lit(1)).alias("open")), "node", "left")
+    waiting, done, level = settled(counts.select("node", F.coalesce("open", F.lit(0)).alias("open")), "levels"), None, 0
+    while not (front := waiting.filter("open = 0").select("node")).isEmpty():
         level += 1
         if level > bound:
             raise Refused("too many levels")
         at = front.withColumn("level", F.lit(level))
         done = at if done is None else done.unionByName(at)
         met = inside.join(front.withColumnRenamed("node", "needs"), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-        waiting = settled(waiting.join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
-        front = settled(waiting.filter("open = 0").select("node"), "levels")
-        waiting = waiting.filter("open > 0")
+        waiting = settled(waiting.filter("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
     rest = waiting.select("node", F.lit(None).cast("int").alias("level"))
     return rest if done is None else done.unionByName(rest)
 
 
-def unorderable(edges: DataFrame, levels: DataFrame, bound: int = 10_000) -> DataFrame:
-    """``node, kind`` of the nodes without a level: ``cycle`` members, and those ``blocked`` behind one.
+def _both_sides(edges: DataFrame, bound: int) -> DataFrame:
+    """Edges between nodes that some node needs and that need some node, however often that is asked."""
+    n = edges.count()
+    for _ in range(bound):
+        ends = edges.select(F.col("needs").alias("node")).intersect(edges.select("node"))
+        edges = settled(edges.join(ends, "node", "left_semi").join(ends.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs"), "stuck")
+        before, n = n, edges.count()
+        if n == before:
+            return edges
+    raise Refused("too many rounds")
+
+
+def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
+    """``node``: those of ``edges`` (``node, needs``) that need themselves, directly or through others.
 
-    Nodes that no other unordered node needs are taken off until none is left; what stays feeds a cycle.
+    What is needed by nothing or needs nothing is trimmed off. The greatest id that
+    reaches a node colours it; a node of its own colour and what reaches it inside the
+    colour are one strong component, which is taken out before the next round.
     """
-    left = levels.filter("level IS NULL").select("node")
-    stuck = settled(edges.join(left, "node", "left_semi").join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs").distinct(), "stuck")
-    core = stuck
+    edges = settled(edges.select("node", "needs").distinct(), "stuck")
+    found = edges.filter("node = needs").select("node")
+    rest = edges.filter("node <> needs")
     for _ in range(bound):
-        after = settled(core.join(core.select(F.col("needs").alias("node")).distinct(), "node", "left_semi"), "stuck")
-        if after.count() == core.count():
-            break
-        core = after
-    members = core.select("node").distinct().withColumn("kind", F.lit("cycle"))
-    return left.join(members, "node", "left").select("node", F.coalesce("kind", F.lit("blocked")).alias("kind"))
+        rest = _both_sides(rest, bound)
+        if rest.isEmpty():
+            return found.distinct()
+        colours = settled(rest.select("node", F.col("node").alias("colour")).distinct(), "stuck")
+        for _ in range(bound):
+            reach = rest.join(colours, "node").groupBy(F.col("needs").alias("node")).agg(F.max("colour").alias("by"))
+            colours = settled(colours.join(reach, "node", "left").select("node", F.greatest("colour", "by").alias("colour"), (F.col("by") > F.col("colour")).alias("new")), "stuck")
+            if colours.filter("new").isEmpty():
+                break
+            colours = colours.select("node", "colour")
+        else:
+            raise Refused("too many rounds")
+        own = rest.join(colours.select("node", "colour"), "node").join(colours.select(F.col("node").alias("needs"), F.col("colour").alias("other")), "needs").filter("colour = other").select("node", "needs", "colour")
+        own = settled(own, "stuck")
+        front = part = settled(colours.filter("node = colour").select("node"), "stuck")
+        for _ in range(bound):
+            front = settled(own.join(front.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node").distinct().join(part, "node", "left_anti"), "stuck")
+            if front.isEmpty():
+                break
+            part = part.unionByName(front)
+        else:
+            raise Refused("too many rounds")
+        part = settled(part.join(colours.select("node", "colour"), "node"), "stuck")
+        large = part.groupBy("colour").count().filter("count > 1").select("colour")
+        found = found.unionByName(part.join(large, "colour", "left_semi").select("node"))
+        gone = part.select("node")
+        rest = settled(rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "needs"), "needs", "left_anti").select("node", "needs"), "stuck")
+    raise Refused("too many rounds")
+
+
+def unorderable(edges: DataFrame, nodes: DataFrame, bound: int = 10_000) -> DataFrame:
+    """``node, kind`` of the runnable ``nodes`` (``node, status``) that cannot be ordered by ``edges`` (``node, needs``).
+
+    A need that is applied is met. ``state``: needs a node that is neither applied nor
+    runnable. ``cycle``: needs itself. ``blocked``: behind one of those. Needs that are
+    not among the nodes are for :func:`missing_dependencies`.
+    """
+    status = nodes.select(F.col("node").alias("needs"), F.col("status").alias("of"))
+    runnable = nodes.filter(F.col("status").isin(*RUNNABLE)).select("node")
+    open_ = settled(edges.join(runnable, "node", "left_semi").join(status, "needs").filter("of <> 'applied'").select("node", "needs", F.col("of").isin(*RUNNABLE).alias("runs")).distinct(), "open")
+    held = open_.filter("NOT runs").select("node").distinct()
+    # a node that is held needs itself here, so that no level is given to it
+    levels = dependency_levels(open_.filter("runs").select("node", "needs").unionByName(held.select("node", F.col("node").alias("needs"))).distinct(), runnable, bound)
+    left = settled(levels.filter("level IS NULL").select("node"), "left")
+    stuck = open_.filter("runs").join(left, "node", "left_semi").join(left.withColumnRenamed("node", "needs"), "needs", "left_semi")
+    members = cycle_members(stuck, bound).withColumn("cycle", F.lit(True))
+    kinds = left.join(held.withColumn("state", F.lit(True)), "node", "left").join(members, "node", "left")
+    return kinds.select("node", F.when(F.col("state"), "state").when(F.col("cycle"), "cycle").otherwise("blocked").alias("kind"))
 
 
 def conflict_pairs(specs: DataFrame) -> DataFrame:
@@ -137,11 +194,20 @@ def content_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias("digest"))
 
 
+def _seconds(begin: str, end: str) -> Column:
+    return F.unix_timestamp(F.col(end).cast("timestamp")) - F.unix_timestamp(F.col(begin).cast("timestamp"))
+
+
+def step_timeline(steps: DataFrame) -> DataFrame:
+    """``job_id, ordinal, state, seconds, rows, rows_per_s`` of each step; one under way has no end and no seconds."""
+    rows = steps.select("job_id", "ordinal", "state", _seconds("started_at", "finished_at").alias("seconds"), F.col("rows_affected").alias("rows"))
+    return rows.withColumn("rows_per_s", F.when(F.col("seconds") > 0, F.col("rows") / F.col("seconds")))
+
+
 def job_timeline(jobs: DataFrame, steps: DataFrame) -> DataFrame:
-    """``job_id, steps, first_start, last_finish, seconds, rows, rows_per_s``; the first start is kept over retries."""
+    """``job_id, state, steps, first_start, last_finish, seconds, rows, rows_per_s`` (``jobs``: ``job_id, state``); the first start is kept over retries."""
     own = steps.groupBy("job_id").agg(F.count(F.lit(1)).alias("steps"), F.min("started_at").alias("first_start"), F.max("finished_at").alias("last_finish"), F.sum("rows_affected").alias("rows"))
-    seconds = F.unix_timestamp(F.col("last_finish").cast("timestamp")) - F.unix_timestamp(F.col("first_start").cast("timestamp"))
-    return jobs.select("job_id").join(own, "job_id").withColumn("seconds", seconds).withColumn("rows_per_s", F.when(F.col("seconds") > 0, F.col("rows") / F.col("seconds")))
+    return jobs.select("job_id", "state").join(own, "job_id").withColumn("seconds", _seconds("first_start", "last_finish")).withColumn("rows_per_s", F.when(F.col("seconds") > 0, F.col("rows") / F.col("seconds")))
 
 
 def dead_jobs(jobs: DataFrame, locks: DataFrame) -> DataFrame:
@@ -171,27 +237,19 @@ def blocking_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 16) ->
     return seen.filter("depth > 0")
 
 
-def contention_states(ticks: DataFrame) -> DataFrame:
-    """``job_id, tick, state`` of samples ``job_id, tick, direct, oldest_wait_ms`` in order.
+def blocking_summary(edges: DataFrame, roots: DataFrame, as_of: str, max_depth: int = 16) -> DataFrame:
+    """A row for each root: ``direct`` and ``transitive`` waiters, the earliest direct one and its wait, and all direct waits together.
 
-    ``throttled`` from 4 waits; ``paused`` after 3 samples in a row of 8 or more until
-    3 in a row of at most 1; ``cancel`` while the oldest wait is over 5000 ms;
-    ``aborted`` from 300 s of pause on. Runs are told by sums over windows, the
-    pause by the last of the two events; a job's samples are one window.
+    ``edges``: ``waiter, blocker, waitstart``. Milliseconds are up to ``as_of``; a root
+    without waiters has zeros and no waiter.
     """
-    w = Window.partitionBy("job_id").orderBy("tick")
-    last = w.rowsBetween(-(IN_A_ROW - 1), 0)
-    high = (F.count_if(F.col("direct") >= PAUSE).over(last) == IN_A_ROW).cast("int")
-    low = (F.count_if(F.col("direct") <= RESUME).over(last) == IN_A_ROW).cast("int")
-    rows = ticks.withColumns({"__on": high, "__off": low})
-    event = F.last(F.when(F.col("__on") == 1, F.lit(True)).when(F.col("__off") == 1, F.lit(False)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__paused", F.coalesce(event, F.lit(False)))
-    begins = F.when(F.col("__paused") & ~F.coalesce(F.lag("__paused").over(w), F.lit(False)), F.col("tick"))
-    rows = rows.withColumn("__since", F.last(begins, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    long = F.col("__paused") & (F.unix_timestamp(F.col("tick").cast("timestamp")) - F.unix_timestamp(F.col("__since").cast("timestamp")) >= ABORT_S)
-    rows = rows.withColumn("__aborted", F.max(long).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    state = F.when(F.col("__aborted"), "aborted").when(F.col("oldest_wait_ms") > CANCEL_MS, "cancel").when(F.col("__paused"), "paused").when(F.col("direct") >= THROTTLE, "throttled").otherwise("running")
-    return rows.select("job_id", "tick", state.alias("state"))
+    chain = blocking_closure(edges, roots, max_depth).filter("waiter <> root").groupBy("root").agg(F.count_distinct("waiter").alias("transitive"))
+    ms = F.unix_millis(F.to_timestamp(F.lit(as_of))) - F.unix_millis(F.col("waitstart").cast("timestamp"))
+    met = roots.join(edges, F.col("root") == F.col("blocker")).withColumn("ms", ms)
+    direct = met.groupBy("root").agg(F.count_distinct("waiter").alias("direct"), F.min_by("waiter", F.struct("waitstart", "waiter")).alias("blocking_waiter"), F.max("ms").alias("oldest_wait_ms"), F.sum("ms").alias("inflicted_ms"))
+    j = roots.select("root").distinct().join(direct, "root", "left").join(chain, "root", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return j.select("root", zero("direct"), zero("transitive"), "blocking_waiter", zero("oldest_wait_ms"), zero("inflicted_ms"))
 
 
 def exhaustion_budget(ticks: DataFrame, max_connections: int, reserved: int) -> DataFrame:

@@ -12,11 +12,19 @@ from ..functions.predicates import holds
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """``column, rows, nulls, distinct, min, max`` (as text) of every column, in one aggregation."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[a.alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, a in (("n", F.count_if(F.col(c).isNull())), ("d", distinct(F.col(c))), ("lo", F.min(c).cast("string")), ("hi", F.max(c).cast("string")))])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("nulls"), F.col(f"d_{i}").alias("distinct"), F.col(f"lo_{i}").alias("min"), F.col(f"hi_{i}").alias("max")) for i, c in enumerate(df.columns)])
-    return row.select("rows", F.explode(each).alias("r")).select("r.column", "rows", "r.nulls", "r.distinct", "r.min", "r.max")
+    """``column, rows, nulls, distinct, min, max`` (as text) of every column.
+
+    One aggregation without a shuffle of rows; exact distinct values are then counted
+    a column at a time, each in two levels, so rows are not multiplied by columns.
+    """
+    last = [("d", F.approx_count_distinct)] if approximate else []
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(F.col(c)).alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, f in [("n", lambda x: F.count_if(x.isNull())), ("lo", lambda x: F.min(x).cast("string")), ("hi", lambda x: F.max(x).cast("string")), *last]])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("nulls"), (F.col(f"d_{i}") if approximate else F.lit(None).cast("long")).alias("distinct"), F.col(f"lo_{i}").alias("min"), F.col(f"hi_{i}").alias("max")) for i, c in enumerate(df.columns)])
+    out = row.select("rows", F.explode(each).alias("r")).select("r.column", "rows", "r.nulls", "r.distinct", "r.min", "r.max")
+    if approximate or not df.columns:
+        return out
+    counts = [df.select(F.col(c).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("of"), "n") for c in df.columns]
+    return out.join(reduce(DataFrame.unionByName, counts), F.col("column") == F.col("of")).select("column", "rows", "nulls", F.col("n").alias("distinct"), "min", "max")
 
 
 def ext_ndistinct(df: DataFrame, columns: list[str]) -> DataFrame:

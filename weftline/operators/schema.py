@@ -150,11 +150,16 @@ def index_equivalence(indexes: DataFrame) -> DataFrame:
     """``table, name, same_as``: indexes that are one under two names.
 
     ``indexes``: ``table, name, method, is_unique, columns array, descending array of
-    booleans, predicate``. A full reverse order serves as well, for plain btrees.
+    booleans, predicate``, and where they are there ``opclasses`` (by column, in their
+    order), ``include`` and ``options`` (as sets); a missing one is as its default. A
+    full reverse order serves as well, for plain btrees.
     """
-    order = F.arrays_zip("columns", "descending")
-    back = F.transform(order, lambda c: F.struct(c["columns"].alias("columns"), (~c["descending"]).alias("descending")))
-    key = F.to_json(F.struct("table", "method", "is_unique", F.least(F.to_json(order), F.when(F.col("method") == "btree", F.to_json(back)).otherwise(F.to_json(order))).alias("order"), F.coalesce("predicate", F.lit("")).alias("predicate")))
+    has = lambda c: F.col(c) if c in indexes.columns else F.lit(None).cast("array<string>")
+    plain = F.transform("columns", lambda c: F.lit("").cast("string"))
+    order = F.arrays_zip("columns", "descending", F.coalesce(has("opclasses"), plain).alias("opclass"))
+    back = F.transform(order, lambda c: F.struct(c["columns"].alias("columns"), (~c["descending"]).alias("descending"), c["opclass"].alias("opclass")))
+    as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(has(c), F.array().cast("array<string>")))).alias(c)
+    key = F.to_json(F.struct("table", "method", "is_unique", F.least(F.to_json(order), F.when(F.col("method") == "btree", F.to_json(back)).otherwise(F.to_json(order))).alias("order"), F.coalesce("predicate", F.lit("")).alias("predicate"), as_set("include"), as_set("options")))
     keyed = indexes.select("table", "name", key.alias("key"))
     first = keyed.groupBy("key").agg(F.min("name").alias("same_as"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keyed.join(first, "key").filter(F.col("name") != F.col("same_as")).select("table", "name", "same_as")

@@ -16,9 +16,9 @@ def numbered_batches(df: DataFrame, key: list[str], n: int, where: Column | str
 
 
 def keyset_batches(df: DataFrame, key: list[str], n: int, where: Column | str = "true") -> DataFrame:
-    """``batch, first_key, last_key, rows`` of a keyset walk; a compound key is a struct."""
+    """``batch, first_key, last_key, rows`` of a keyset walk; a compound key is a struct. Only the key is ranked."""
     k = F.col(key[0]) if len(key) == 1 else F.struct(*key)
-    return numbered_batches(df, key, n, where).groupBy("batch").agg(F.min(k).alias("first_key"), F.max(k).alias("last_key"), F.count(F.lit(1)).alias("rows"))
+    return numbered_batches(df.filter(holds(where)).select(*key), key, n).groupBy("batch").agg(F.min(k).alias("first_key"), F.max(k).alias("last_key"), F.count(F.lit(1)).alias("rows"))
 
 
 def grouped_batches(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
@@ -26,7 +26,7 @@ def grouped_batches(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
 
     Places in a group are global places less the group's first, so no group is sorted in one task.
     """
-    ranked = global_rank(df, [group, key], "__rank")
+    ranked = global_rank(df.select(group, key), [group, key], "__rank")
     firsts = ranked.groupBy(group).agg(F.min("__rank").alias("__first"))
     batch = F.floor((F.col("__rank") - F.col("__first")) / n) + 1
     return ranked.join(firsts, group).groupBy(group, batch.alias("batch")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count(F.lit(1)).alias("rows"))

@@ -13,9 +13,7 @@ PICK = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_order
 @query("merge_flagship", "SELECT count(*) AS considered, count(*) FILTER (b.o_orderkey IS NULL) AS inserted, count(*) FILTER (b.o_orderkey IS NOT NULL AND a.o_orderkey IS NOT NULL AND (a.o_totalprice, a.o_orderstatus) IS DISTINCT FROM (b.o_totalprice, b.o_orderstatus)) AS updated, count(*) FILTER (a.o_orderkey IS NULL) AS deleted, count(*) FILTER (b.o_orderkey IS NOT NULL AND a.o_orderkey IS NOT NULL AND (a.o_totalprice, a.o_orderstatus) IS NOT DISTINCT FROM (b.o_totalprice, b.o_orderstatus)) AS unchanged FROM orders b FULL JOIN orders_v2 a ON a.o_orderkey = b.o_orderkey")
 def merge_flagship(spark, d):
     """Merge the delta, delete the dropped keys, and count what changed."""
-    before = table(spark, d, "orders")
-    merged = C.merge_rows(before, orders_delta(spark, d), KEY)
-    return C.change_counts(before, C.delete_rows(merged, "o_orderkey % 97 = 0"), KEY)
+    return C.merge_counts(table(spark, d, "orders"), orders_delta(spark, d), KEY, then_delete="o_orderkey % 97 = 0")
 
 
 @query("d1_insert_append", f"SELECT {PICK} FROM orders UNION ALL SELECT o_orderkey + 20000000, NULL, 'N', NULL, NULL, NULL FROM orders WHERE o_orderkey % 40 = 0")

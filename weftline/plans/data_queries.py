@@ -240,3 +240,10 @@ def v8(spark, d):
 @query("v9_quantized_knn", f"WITH s AS (SELECT q_id, id, q, v, list_sum(list_transform(list_zip(q, v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS h {PAIR}), f AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY h, id) AS n FROM s) SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place FROM f WHERE n <= 50) WHERE place <= 5")
 def v9(spark, d):
     return V.quantized_knn(*_vectors(spark, d), 5).select("q_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("v9_half_knn", f"WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x::DOUBLE / pow(2.0::DOUBLE, floor(log2(abs(x::DOUBLE))) - 10), 0) * pow(2.0::DOUBLE, floor(log2(abs(x::DOUBLE))) - 10) END) AS h FROM embeddings) SELECT vec_id AS id, list_sum(list_transform(h, lambda x: x * x)) AS norm2 FROM r")
+def v9_half(spark, d):
+    """The squared norms of vectors that are kept in half precision."""
+    v = table(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("id"), V.half(F.col("embedding")).alias("h")).select("id", F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))

@@ -66,7 +66,7 @@ CTES = {
     "orders_dups": "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 20 = 0",
     "spans": "SELECT event_id, user_id, ts AS lo, ts + to_hours(CAST(event_id % 5 AS INTEGER)) AS hi FROM events",
     "raw_text": "SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS raw FROM events",
-    "wait_edges": "SELECT event_id AS waiter, event_id // 2 AS blocker FROM events WHERE event_id > 0 AND event_id < 4000 UNION ALL SELECT 2, 5",
+    "wait_edges": "SELECT event_id AS waiter, event_id // 2 AS blocker FROM events WHERE event_id > 0 UNION ALL SELECT 2, 5",
 }
 
 

@@ -1,5 +1,7 @@
 """Queries of partitions and chunks (P) and of distribution (X)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import distribution as X
@@ -141,6 +143,15 @@ def x2(spark, d):
     return X.colocated_join(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", 16).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("x2_written_colocated", "SELECT o_orderkey, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def x2_written(spark, d):
+    """Both sides are written in buckets; the join and the count after it then need no exchange."""
+    names = [f"colocated_{uuid.uuid4().hex}" for _ in range(2)]
+    X.write_colocated(table(spark, d, "orders").select("o_orderkey"), names[0], "o_orderkey", 16)
+    X.write_colocated(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), names[1], "o_orderkey", 16)
+    return X.bucketed_join(spark, *names, "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("x3_reference_join", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def x3(spark, d):
     return X.reference_join(table(spark, d, "customer"), table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")

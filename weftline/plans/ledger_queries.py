@@ -7,19 +7,19 @@ from .frames import table, wait_edges
 from .registry import query
 
 STATE = "CASE o_orderkey % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'succeeded' END"
-MIG = "SELECT o_orderkey AS migration_id, 's' || CAST(o_custkey % 400 AS VARCHAR) AS spec_id, 'd' || CAST(o_orderkey % 3 AS VARCHAR) AS spec_digest, 'e' || CAST(o_custkey % 400 % 3 AS VARCHAR) AS epoch FROM orders"
+MIG = "SELECT o_orderkey AS migration_id, 's' || CAST(o_custkey % 80 AS VARCHAR) AS spec_id, 'd' || CAST(o_orderkey % 3 AS VARCHAR) AS spec_digest, 'e' || CAST(o_custkey % 80 % 3 AS VARCHAR) AS epoch FROM orders"
 IDX = f"SELECT epoch, spec_id, list_sort(list(DISTINCT spec_digest)) AS seen, list_sort(coalesce(list(DISTINCT spec_digest) FILTER (state = 'succeeded'), [])) AS succeeded, list_sort(coalesce(list(DISTINCT spec_digest) FILTER (state = 'running'), [])) AS running, list_sort(coalesce(list(DISTINCT spec_digest) FILTER (state = 'failed'), [])) AS failed FROM (SELECT m.*, CASE WHEN m.migration_id % 5 > 0 THEN {STATE} END AS state FROM ({MIG}) m JOIN orders ON o_orderkey = migration_id) GROUP BY ALL"
-SPEC = "SELECT 's' || CAST(c_custkey % 500 AS VARCHAR) AS spec_id, 'd' || CAST(c_custkey // 500 AS VARCHAR) AS digest, 'e' || CAST(c_custkey % 500 % 3 AS VARCHAR) AS epoch, CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment, CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS VARCHAR) END AS release FROM customer WHERE c_custkey < 1500"
+SPEC = "SELECT 's' || CAST(c_custkey % 100 AS VARCHAR) AS spec_id, 'd' || CAST(c_custkey // 100 AS VARCHAR) AS digest, 'e' || CAST(c_custkey % 100 % 3 AS VARCHAR) AS epoch, CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment, CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS VARCHAR) END AS release FROM customer"
 
 
-def index(spark, d):
+def index(spark, d, state=STATE):
     o = table(spark, d, "orders")
-    migrations = o.selectExpr("o_orderkey AS migration_id", "'s' || CAST(o_custkey % 400 AS string) AS spec_id", "'d' || CAST(o_orderkey % 3 AS string) AS spec_digest", "'e' || CAST(o_custkey % 400 % 3 AS string) AS epoch")
-    return L.applied_index(migrations, o.filter("o_orderkey % 5 > 0").selectExpr("o_orderkey AS migration_id", f"{STATE} AS state"))
+    migrations = o.selectExpr("o_orderkey AS migration_id", "'s' || CAST(o_custkey % 80 AS string) AS spec_id", "'d' || CAST(o_orderkey % 3 AS string) AS spec_digest", "'e' || CAST(o_custkey % 80 % 3 AS string) AS epoch")
+    return L.applied_index(migrations, o.filter("o_orderkey % 5 > 0").selectExpr("o_orderkey AS migration_id", f"{state} AS state"))
 
 
 def specs(spark, d):
-    return table(spark, d, "customer").selectExpr("'s' || CAST(c_custkey % 500 AS string) AS spec_id", "'d' || CAST(c_custkey div 500 AS string) AS digest", "'e' || CAST(c_custkey % 500 % 3 AS string) AS epoch", "CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment", "CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS string) END AS release")
+    return table(spark, d, "customer").selectExpr("'s' || CAST(c_custkey % 100 AS string) AS spec_id", "'d' || CAST(c_custkey div 100 AS string) AS digest", "'e' || CAST(c_custkey % 100 % 3 AS string) AS epoch", "CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE 'main' END AS database", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'test' ELSE 'prod' END AS environment", "CASE WHEN c_custkey % 4 = 0 THEN 'r' || CAST(c_custkey % 3 AS string) END AS release")
 
 
 STATUS = f"SELECT s.*, CASE WHEN list_contains(i.running, digest) THEN 'in_progress' WHEN list_contains(i.succeeded, digest) THEN 'applied' WHEN len(i.succeeded) > 0 THEN 'modified_after_apply' WHEN list_contains(i.failed, digest) THEN 'failed' ELSE 'pending' END AS status FROM ({SPEC}) s LEFT JOIN ({IDX}) i USING (epoch, spec_id)"
@@ -44,11 +44,16 @@ def l3(spark, d):
     return L.gate_specs(l2(spark, d), "main", env, rel, ep)
 
 
-@query("l4_ledger_drift", f"SELECT epoch, spec_id, CASE WHEN len(succeeded) > 0 OR len(running) > 0 THEN 'drift' ELSE 'note' END AS kind FROM ({IDX}) WHERE epoch <> 'e1' AND spec_id NOT IN (SELECT spec_id FROM ({SPEC}) WHERE digest = 'd1' AND epoch <> 'e9') AND len(succeeded) + len(running) + len(failed) > 0")
+#: Specs of every tenth number failed only; files lack every fifth number and all of epoch e2; e1 is retired.
+STATE4 = f"CASE WHEN o_custkey % 80 % 10 = 0 THEN 'failed' ELSE {STATE} END"
+FILES4 = f"SELECT epoch, spec_id FROM ({SPEC}) WHERE CAST(substr(spec_id, 2) AS INTEGER) % 5 > 0 AND epoch <> 'e2'"
+
+
+@query("l4_ledger_drift", f"SELECT epoch, spec_id, CASE WHEN len(succeeded) > 0 OR len(running) > 0 THEN 'drift' ELSE 'note' END AS kind FROM ({IDX.replace(STATE, STATE4)}) i WHERE epoch <> 'e1' AND epoch IN (SELECT epoch FROM ({FILES4})) AND NOT EXISTS (SELECT 1 FROM ({FILES4}) f WHERE f.epoch = i.epoch AND f.spec_id = i.spec_id) AND len(succeeded) + len(running) + len(failed) > 0")
 def l4(spark, d):
-    s = specs(spark, d).filter("digest = 'd1'")
+    s = specs(spark, d).filter("CAST(substr(spec_id, 2) AS int) % 5 > 0 AND epoch <> 'e2'")
     epochs = table(spark, d, "region").filter("r_regionkey = 1").selectExpr("'e1' AS name", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS retired_at")
-    return L.ledger_drift(s, index(spark, d), epochs)
+    return L.ledger_drift(s, index(spark, d, STATE4), epochs)
 
 
 @query("l5_duplicate_ids", f"SELECT spec_id, count(*) AS files, CASE WHEN count(DISTINCT digest) = 1 THEN 'identical' ELSE 'different' END AS kind FROM ({SPEC}) GROUP BY 1 HAVING count(*) > 1")
@@ -56,7 +61,7 @@ def l5(spark, d):
     return L.duplicate_ids(specs(spark, d))
 
 
-@query("l6_missing_dependencies", f"WITH n AS (SELECT 's' || CAST(c_custkey AS VARCHAR) AS spec_id, unnest(['s' || CAST(c_custkey + 300 AS VARCHAR), 's' || CAST(c_custkey // 3 AS VARCHAR)]) AS depends_on FROM customer WHERE c_custkey < 500) SELECT * FROM n WHERE depends_on NOT IN (SELECT 's' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 500) AND depends_on NOT IN (SELECT spec_id FROM ({IDX}) WHERE len(succeeded) > 0)")
+@query("l6_missing_dependencies", f"WITH n AS (SELECT 's' || CAST(c_custkey AS VARCHAR) AS spec_id, unnest(['s' || CAST(c_custkey + 300 AS VARCHAR), 's' || CAST(c_custkey // 3 AS VARCHAR)]) AS depends_on FROM customer) SELECT * FROM n WHERE depends_on NOT IN (SELECT 's' || CAST(c_custkey AS VARCHAR) FROM customer) AND depends_on NOT IN (SELECT spec_id FROM ({IDX}) WHERE len(succeeded) > 0)")
 def l6(spark, d):
     s = table(spark, d, "customer").selectExpr("'s' || CAST(c_custkey AS string) AS spec_id", "array('s' || CAST(c_custkey + 300 AS string), 's' || CAST(c_custkey div 3 AS string)) AS depends_on")
     return L.missing_dependencies(s, index(spark, d))
@@ -78,10 +83,20 @@ def l7(spark, d):
     return L.dependency_levels(*_dag(spark, d))
 
 
-@query("l8_unorderable", f"WITH RECURSIVE {DAG} SELECT node, CASE WHEN node >= (SELECT m - 1 FROM m) THEN 'cycle' ELSE 'blocked' END AS kind FROM bad")
+#: The DAG's nodes but for applied ones and one that is in progress, and the needs that are open; two cycles have a bridge.
+DAG8 = DAG.partition(", bad AS")[0] + ", st AS (SELECT node, CASE WHEN node % 50 = 7 THEN 'in_progress' WHEN node % 4 = 3 AND node < (SELECT m - 9 FROM m) THEN 'applied' WHEN node % 4 = 2 THEN 'failed' ELSE 'pending' END AS status FROM nodes), x AS (SELECT node, needs FROM e UNION SELECT m - 5, m - 4 FROM m UNION SELECT m - 4, m - 5 FROM m UNION SELECT m - 5, m - 3 FROM m UNION SELECT m - 3, m FROM m), o AS (SELECT x.node, needs, b.status FROM x JOIN st a ON a.node = x.node JOIN st b ON b.node = needs WHERE a.status IN ('pending', 'failed') AND b.status <> 'applied'), h AS (SELECT DISTINCT node FROM o WHERE status = 'in_progress'), s0 AS (SELECT node, needs FROM o WHERE status <> 'in_progress'), cy AS (SELECT m AS node FROM m UNION SELECT m - 1 FROM m UNION SELECT m - 4 FROM m UNION SELECT m - 5 FROM m), bad AS (SELECT node FROM cy UNION SELECT node FROM h UNION SELECT s0.node FROM s0 JOIN bad ON s0.needs = bad.node)"
+
+
+@query("l8_unorderable", f"WITH RECURSIVE {DAG8} SELECT node, CASE WHEN node IN (SELECT node FROM h) THEN 'state' WHEN node IN (SELECT node FROM cy) THEN 'cycle' ELSE 'blocked' END AS kind FROM bad")
 def l8(spark, d):
-    edges, nodes = _dag(spark, d)
-    return L.unorderable(edges, L.dependency_levels(edges, nodes))
+    """The top has two cycles with a bridge of one node between them."""
+    edges, c = _dag(spark, d)
+    m = c.agg(F.max("node").alias("m"))
+    more = [m.selectExpr(f"m - {a} AS node", f"m - {b} AS needs") for a, b in ((5, 4), (4, 5), (5, 3), (3, 0))]
+    for x in more:
+        edges = edges.unionByName(x)
+    status = F.when(F.col("node") % 50 == 7, "in_progress").when((F.col("node") % 4 == 3) & (F.col("node") < F.col("m") - 9), "applied").when(F.col("node") % 4 == 2, "failed").otherwise("pending")
+    return L.unorderable(edges.distinct(), c.join(F.broadcast(m.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("node", status.alias("status")))
 
 
 @query("l9_conflict_pairs", "WITH s AS (SELECT c_custkey, c_nationkey % 3 AS level, 'db' || CAST(c_custkey % 2 AS VARCHAR) AS database, c_custkey % 150 AS r FROM customer), x AS (SELECT c_custkey, level, database, unnest(['t' || CAST(r AS VARCHAR), 't' || CAST(r % 70 AS VARCHAR)]) AS relation FROM s WHERE c_custkey <> 77), d AS (SELECT DISTINCT * FROM x), p AS (SELECT a.c_custkey AS a, b.c_custkey AS b, list_sort(list(DISTINCT a.relation)) AS shared FROM d a JOIN d b ON a.level = b.level AND a.database = b.database AND a.relation = b.relation AND a.c_custkey < b.c_custkey GROUP BY 1, 2) SELECT * FROM p UNION ALL SELECT least(a.c_custkey, b.c_custkey), greatest(a.c_custkey, b.c_custkey), CAST([] AS VARCHAR[]) FROM s a JOIN s b ON a.level = b.level AND a.database = b.database AND a.c_custkey = 77 AND b.c_custkey <> 77")
@@ -97,15 +112,22 @@ def l10(spark, d):
     return L.relation_closure(table(spark, d, "customer").selectExpr("c_custkey AS spec_id", "'n' || CAST(c_nationkey AS string) AS relation"), f)
 
 
-@query("l11_content_digest", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}'), 1, 12))::BIGINT) AS DECIMAL(38,0)) AS digest FROM nation""")
+@query("l11_content_digest", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 12))::BIGINT) AS DECIMAL(38,0)) AS digest FROM orders""")
 def l11(spark, d):
-    return L.content_digest(table(spark, d, "nation"))
+    return L.content_digest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
-@query("l12_job_timeline", "WITH s AS (SELECT l_orderkey AS job_id, count(*) AS steps, min(l_shipdate) AS first_start, max(l_shipdate + INTERVAL 1 HOUR) AS last_finish, sum(l_suppkey) AS rows FROM lineitem GROUP BY 1) SELECT job_id, steps, first_start, last_finish, CAST(rows AS BIGINT) AS rows, CAST(epoch(last_finish) - epoch(first_start) AS BIGINT) AS seconds, rows::DOUBLE / (epoch(last_finish) - epoch(first_start)) AS rows_per_s FROM s JOIN orders ON o_orderkey = job_id")
+STEPS = ("l_orderkey AS job_id", "CAST(l_linenumber AS int) AS ordinal", "CASE WHEN l_linestatus = 'F' THEN 'succeeded' ELSE 'running' END AS state", "l_shipdate AS started_at", "CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL 1 HOUR END AS finished_at", "l_suppkey AS rows_affected")
+
+
+@query("l12_job_timeline", "WITH s AS (SELECT l_orderkey AS job_id, count(*) AS steps, min(l_shipdate) AS first_start, max(CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL 1 HOUR END) AS last_finish, sum(l_suppkey) AS rows FROM lineitem GROUP BY 1) SELECT job_id, o_orderstatus AS state, steps, first_start, last_finish, CAST(rows AS BIGINT) AS rows, CAST(epoch(last_finish) - epoch(first_start) AS BIGINT) AS seconds, CASE WHEN last_finish > first_start THEN rows::DOUBLE / (epoch(last_finish) - epoch(first_start)) END AS rows_per_s FROM s JOIN orders ON o_orderkey = job_id")
 def l12(spark, d):
-    steps = table(spark, d, "lineitem").selectExpr("l_orderkey AS job_id", "l_shipdate AS started_at", "l_shipdate + INTERVAL 1 HOUR AS finished_at", "l_suppkey AS rows_affected")
-    return L.job_timeline(table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")), steps)
+    return L.job_timeline(table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("state")), table(spark, d, "lineitem").selectExpr(*STEPS))
+
+
+@query("l12_step_timeline", "SELECT l_orderkey AS job_id, CAST(l_linenumber AS INTEGER) AS ordinal, CASE WHEN l_linestatus = 'F' THEN 'succeeded' ELSE 'running' END AS state, CASE WHEN l_linestatus = 'F' THEN 3600::BIGINT END AS seconds, l_suppkey AS rows, CASE WHEN l_linestatus = 'F' THEN l_suppkey / 3600.0::DOUBLE END AS rows_per_s FROM lineitem")
+def l12_steps(spark, d):
+    return L.step_timeline(table(spark, d, "lineitem").selectExpr(*STEPS))
 
 
 @query("l13_dead_jobs", "SELECT o_orderkey AS job_id FROM orders o WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = o_orderkey % 25 AND TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 900 AS INTEGER)) <= o_orderdate)")
@@ -120,24 +142,27 @@ def l14(spark, d):
     return L.last_state(table(spark, d, "orders").selectExpr("o_custkey AS spec_id", "o_orderkey AS job_id", "o_orderstatus AS state", "o_orderdate AS started_at"))
 
 
-@query("l15_blocking_closure", "WITH RECURSIVE r(root, waiter, depth) AS (SELECT DISTINCT blocker, waiter, 1 FROM wait_edges WHERE blocker IN (1, 2, 40) UNION SELECT r.root, w.waiter, r.depth + 1 FROM r JOIN wait_edges w ON w.blocker = r.waiter WHERE r.depth < 16) SELECT root, waiter, min(depth) AS depth FROM r WHERE waiter <> root GROUP BY 1, 2")
-def l15(spark, d):
-    roots = table(spark, d, "events").select(F.col("event_id").alias("root")).filter("root IN (1, 2, 40)")
-    return L.blocking_closure(wait_edges(spark, d), roots, max_depth=64)
+#: Roots are the first event, two in the cycle, and every thousandth one.
+ROOTS = "event_id IN (1, 2, 40) OR event_id % 1000 = 7"
 
 
-def ticks(spark, d):
-    return table(spark, d, "events").selectExpr("event_type AS job_id", "ts AS tick", "CAST(event_id DIV 40 % 12 AS int) AS direct", "CAST(event_id % 997 * 6 AS long) AS oldest_wait_ms", "CAST(event_id % 90 AS int) AS current_backends", "event_id")
+def _roots(spark, d):
+    return table(spark, d, "events").filter(ROOTS).select(F.col("event_id").alias("root"))
 
 
-def paced_ticks(spark, d):
-    """Samples five seconds apart, in waves that pause a job and let it go on."""
-    return ticks(spark, d).withColumns({"tick": F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id * 5)"), "direct": F.expr("CAST(event_id DIV 10 % 12 AS int)")})
+@query("l15_blocking_closure", f"WITH RECURSIVE r(root, waiter, depth) AS (SELECT DISTINCT blocker, waiter, 1 FROM wait_edges WHERE blocker IN (SELECT event_id FROM events WHERE {ROOTS}) UNION SELECT r.root, w.waiter, r.depth + 1 FROM r JOIN wait_edges w ON w.blocker = r.waiter WHERE r.depth < 16) SELECT root, waiter, min(depth) AS depth FROM r WHERE waiter <> root GROUP BY 1, 2")
+def l15(spark, d):
+    return L.blocking_closure(wait_edges(spark, d), _roots(spark, d))
 
 
-@query("l16_contention_states")
-def l16(spark, d):
-    return L.contention_states(paced_ticks(spark, d))
+@query("l15_blocking_summary", f"WITH RECURSIVE w AS (SELECT waiter, blocker, TIMESTAMP '2024-01-01' + to_seconds(waiter % 100000) AS waitstart FROM wait_edges), g AS (SELECT event_id AS root FROM events WHERE {ROOTS}), r(root, waiter, depth) AS (SELECT DISTINCT blocker, waiter, 1 FROM w WHERE blocker IN (SELECT root FROM g) UNION SELECT r.root, w.waiter, r.depth + 1 FROM r JOIN w ON w.blocker = r.waiter WHERE r.depth < 16), t AS (SELECT root, count(DISTINCT waiter) AS transitive FROM r WHERE waiter <> root GROUP BY 1), x AS (SELECT blocker AS root, count(DISTINCT waiter) AS direct, arg_min(waiter, (waitstart, waiter)) AS blocking_waiter, max(epoch_ms(TIMESTAMP '2024-01-03') - epoch_ms(waitstart)) AS oldest_wait_ms, CAST(sum(epoch_ms(TIMESTAMP '2024-01-03') - epoch_ms(waitstart)) AS BIGINT) AS inflicted_ms FROM w GROUP BY 1) SELECT root, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive, blocking_waiter, coalesce(oldest_wait_ms, 0) AS oldest_wait_ms, coalesce(inflicted_ms, 0) AS inflicted_ms FROM g LEFT JOIN x USING (root) LEFT JOIN t USING (root)")
+def l15_summary(spark, d):
+    edges = wait_edges(spark, d).withColumn("waitstart", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, waiter % 100000)"))
+    return L.blocking_summary(edges, _roots(spark, d), "2024-01-03 00:00:00")
+
+
+def ticks(spark, d):
+    return table(spark, d, "events").selectExpr("event_type AS job_id", "ts AS tick", "CAST(event_id % 90 AS int) AS current_backends")
 
 
 @query("l18_exhaustion_budget", "WITH t AS (SELECT event_type AS job_id, ts AS tick, event_id % 90 AS cur, lag(event_id % 90) OVER w AS old, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER w AS secs FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)) SELECT job_id, tick, CAST(97 - cur AS INTEGER) AS headroom, CASE WHEN cur > old AND secs > 0 THEN (97 - cur)::DOUBLE / ((cur - old)::DOUBLE / secs) END AS seconds_left FROM t")

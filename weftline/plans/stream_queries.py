@@ -1,4 +1,4 @@
-"""Queries that run as streams over all that is available (E6, C15, P16, B10, L17, F5)."""
+"""Queries that run as streams over all that is available (E6, C15, P16, B10, F5)."""
 
 import uuid
 
@@ -16,10 +16,20 @@ def _folder(spark, name):
     return f"{base}/data", f"{base}/checkpoint"
 
 
-def _streamed(spark, df, name, files=4):
-    """``df`` written in a few files and read back as a stream of one file a batch."""
+def _streamed(spark, df, name, files=4, order=None):
+    """``df`` written in a few files and read back as a stream of one file a batch.
+
+    With ``order`` the files are ranges of it, in turn: file ``n`` is written after file
+    ``n - 1``, in the order in which a stream takes them.
+    """
     folder, checkpoint = _folder(spark, name)
-    df.repartition(files).write.parquet(f"{folder}/in")
+    if order is None:
+        df.repartition(files).write.parquet(f"{folder}/in")
+    else:
+        cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / files) for i in range(1, files))}), 10000) AS c").first()["c"]
+        place = sum((F.col(order) > F.lit(c)).cast("int") for c in cuts)
+        for n in range(files):
+            df.filter(place == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return R.read_stream(spark, f"{folder}/in", df.schema, 1), folder, checkpoint
 
 
@@ -37,11 +47,20 @@ def c15(spark, d):
     return spark.read.parquet(f"{folder}/rejected").select("o_orderkey", F.array_join("failed", ",").alias("failed"))
 
 
-@query("p16_cagg_stream", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING bucket + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)")
+CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("p16_cagg_stream", f"SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING bucket + INTERVAL 6 HOUR <= {CLOSED}")
 def p16(spark, d):
-    """One batch holds all rows here, so none is late; the closed buckets come out of the batch after it."""
-    events = table(spark, d, "events").select("ts", "event_type")
-    stream, folder, checkpoint = _streamed(spark, events, "cagg", files=1)
+    """The events come in four files by time, one a batch; then every fiftieth of the first half comes once more.
+
+    A bucket is kept over batches until it is closed, and what comes for it afterwards
+    is late and dropped.
+    """
+    events = table(spark, d, "events").select("ts", "event_type", "event_id")
+    stream, folder, checkpoint = _streamed(spark, events, "cagg", order="ts")
+    half = events.selectExpr("percentile_approx(ts, 0.5)").first()[0]
+    events.filter((F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit(half))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     R.write_batches(R.cagg_stream(stream, "ts", "6 hours", ["event_type"], [F.count(F.lit(1)).alias("n")], "1 hour"), folder, checkpoint, {"rows": lambda b: b})
     return spark.read.parquet(f"{folder}/rows").select("bucket", "event_type", "n")
 
@@ -52,16 +71,9 @@ def b10(spark, d):
     return R.incremental_apply(stream, lambda b: b.filter("o_orderstatus = 'O'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled")), folder, checkpoint)
 
 
-@query("l17_contention_stream")
-def l17(spark, d):
-    from .ledger_queries import paced_ticks
-
-    stream, folder, checkpoint = _streamed(spark, paced_ticks(spark, d).drop("event_id", "current_backends"), "contention", files=1)
-    R.write_batches(R.contention_stream(stream), folder, checkpoint, {"rows": lambda b: b})
-    return spark.read.parquet(f"{folder}/rows").select("job_id", F.col("tick").cast("timestamp_ntz").alias("tick"), "state")
-
-
 @query("f5_subscribe", f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 > 0 UNION ALL {ADDED}")
 def f5(spark, d):
-    stream, folder, checkpoint = _streamed(spark, _feed(spark, d), "subscribe", files=1)
-    return R.subscribe(stream, table(spark, d, "orders"), KEY, f"{folder}/target", checkpoint)
+    """The feed's four rounds come in a batch each; the subscription is then started again with nothing new."""
+    stream, folder, checkpoint = _streamed(spark, _feed(spark, d), "subscribe", order="seq")
+    R.subscribe(stream, table(spark, d, "orders"), KEY, f"{folder}/target", checkpoint, compact_after=3)
+    return R.subscribe(stream, table(spark, d, "orders"), KEY, f"{folder}/target", checkpoint, compact_after=3)

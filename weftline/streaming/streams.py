@@ -1,4 +1,4 @@
-"""The changes as streams: filled, validated, rolled up, applied and watched as rows arrive.
+"""The changes as streams: filled, validated, rolled up and applied as rows arrive.
 
 A sink writes a micro-batch under its batch number, so a batch that is run again
 replaces what it wrote before.
@@ -6,17 +6,16 @@ replaces what it wrote before.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.predicates import column
-from ..functions.shipping import ship_package
 from ..operators.constraints import failed_names
-from ..operators.feed import apply_feed
-from ..operators.ledger import ABORT_S, CANCEL_MS, IN_A_ROW, PAUSE, RESUME, THROTTLE
+from ..operators.feed import apply_feed, last_changes
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -65,63 +64,41 @@ def incremental_apply(stream: DataFrame, change: Callable[[DataFrame], DataFrame
     return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def subscribe(stream: DataFrame, target: DataFrame, key: list[str], folder: str, checkpoint: str, sequence: str = "seq") -> DataFrame:
-    """Apply a feed's micro-batches to ``target`` in order; version ``n`` of the table is made from version ``n - 1``.
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers ``n`` of the finished tables ``folder/name=n``, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or [])
 
-    A batch that is run again reads the same version and writes the same one, so
-    each change takes effect once.
+
+def subscribe(stream: DataFrame, target: DataFrame, key: list[str], folder: str, checkpoint: str, sequence: str = "seq", compact_after: int = 16) -> DataFrame:
+    """Apply a feed's micro-batches to ``target``, each change once, and return the table as it is then.
+
+    ``target`` is copied when the folder is new. A micro-batch writes the last change
+    per key under its number, so running it again replaces it; the table is never
+    rewritten for a batch. After ``compact_after`` batches they are folded into a new
+    copy. A restart goes on from what the folder and the checkpoint hold, also when
+    nothing new has come. A later batch wins over an earlier one whatever its ``seq``.
     """
     spark = target.sparkSession
-    target.write.mode("overwrite").parquet(f"{folder}/version=-1")
-    last = {"n": -1}
+    if not _numbers(spark, folder, "copy"):
+        target.write.mode("overwrite").parquet(f"{folder}/copy=-1")
+
+    def table() -> tuple[DataFrame, int]:
+        """The newest copy with the changes after it, and how many batches those are."""
+        last = _numbers(spark, folder, "copy")[-1]
+        copy = spark.read.schema(target.schema).parquet(f"{folder}/copy={last}")
+        after = [n for n in _numbers(spark, folder, "changes") if n > last]
+        if not after:
+            return copy, 0
+        parts = [spark.read.parquet(f"{folder}/changes={n}").withColumn(sequence, F.struct(F.lit(n).alias("n"), F.col(sequence).alias("s"))) for n in after]
+        return apply_feed(copy, reduce(DataFrame.unionByName, parts), key, sequence), len(after)
 
     def one(batch: DataFrame, n: int) -> None:
-        before = spark.read.schema(target.schema).parquet(f"{folder}/version={n - 1}")
-        apply_feed(before, batch, key, sequence).write.mode("overwrite").parquet(f"{folder}/version={n}")
-        last["n"] = n
+        last_changes(batch, key, sequence).write.mode("overwrite").parquet(f"{folder}/changes={n}")
+        now, batches = table()
+        if batches >= compact_after:
+            now.write.mode("overwrite").parquet(f"{folder}/copy={n}")
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(target.schema).parquet(f"{folder}/version={last['n']}")
-
-
-class Contention:
-    """The throttle of one job, sample by sample."""
-
-    def __init__(self, high: int = 0, low: int = 0, paused: bool = False, since: float = 0.0, aborted: bool = False):
-        self.high, self.low, self.paused, self.since, self.aborted = high, low, paused, since, aborted
-
-    def see(self, seconds: float, direct: int, oldest_wait_ms: int) -> str:
-        """The state after a sample of ``direct`` waits at ``seconds``."""
-        self.high = self.high + 1 if direct >= PAUSE else 0
-        self.low = self.low + 1 if direct <= RESUME else 0
-        if self.high >= IN_A_ROW and not self.paused:
-            self.paused, self.since = True, seconds
-        elif self.low >= IN_A_ROW:
-            self.paused = False
-        if self.paused and seconds - self.since >= ABORT_S:
-            self.aborted = True
-        if self.aborted:
-            return "aborted"
-        if oldest_wait_ms > CANCEL_MS:
-            return "cancel"
-        return "paused" if self.paused else "throttled" if direct >= THROTTLE else "running"
-
-    def kept(self) -> tuple:
-        return self.high, self.low, self.paused, self.since, self.aborted
-
-
-def contention_stream(ticks: DataFrame) -> DataFrame:
-    """``job_id, tick, state`` of a stream of samples, with each job's throttle kept across micro-batches."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    ship_package(ticks.sparkSession)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        throttle = Contention(*state.get) if state.exists else Contention()
-        rows = pd.concat(list(frames)).sort_values("tick")
-        seen = [throttle.see(float(int(t.timestamp())), d, w) for t, d, w in zip(rows["tick"], rows["direct"], rows["oldest_wait_ms"], strict=True)]
-        state.update(throttle.kept())
-        yield pd.DataFrame({"job_id": [key[0]] * len(rows), "tick": list(rows["tick"]), "state": seen})
-
-    return ticks.select("job_id", F.col("tick").cast("timestamp").alias("tick"), "direct", "oldest_wait_ms").groupBy("job_id").applyInPandasWithState(step, "job_id string, tick timestamp, state string", "high int, low int, paused boolean, since double, aborted boolean", "append", GroupStateTimeout.NoTimeout)
+    return table()[0]
