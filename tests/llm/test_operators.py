@@ -332,14 +332,47 @@ def test_line_dedup_random(spark):
     assert {r["doc_id"]: r["n_deleted"] for r in got} == {k: len(gone.get(k, ())) for k, _ in rows}
 
 
-def test_suffix_ranks_follow_the_lines(spark):
-    from weftline.llm.line_dedup import numbered_lines, prefix_doubling
-
-    docs = spark.createDataFrame([(0, 0, "a\nb\na\nb\nc"), (1, 1, "b\na\nb\nc")], "row long, doc_id long, text string")
-    levels = prefix_doubling(numbered_lines(docs), 2)
-    at = [{(r["row"], r["line"]): r["rank"] for r in x.collect()} for x in levels]
-    assert at[0][0, 0] == at[0][0, 2] and at[1][0, 1] == at[1][1, 0] and at[2] == {(0, 1): at[2][0, 1], (1, 0): at[2][0, 1]}
-    assert (at[1][0, 0] < at[1][0, 1]) == (at[0][0, 0] < at[0][0, 1])
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_array_against_a_plain_one(spark, seed):
+    """Order, neighbours' common prefixes and maximal runs are those of sorted lists of lines."""
+    from weftline.llm import line_dedup as D
+
+    r = random.Random(seed)
+    texts = ["\n".join(r.choice("abc") + (f" {k}{j}" if r.random() < 0.1 else "") for j in range(r.randrange(1, 40))) for k in range(12)]
+    texts += [texts[0], "a\n" * 30, "b\na\n" * 9]
+    docs = spark.createDataFrame([(k, 7 - k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
+    lines = D.numbered_lines(docs)
+    own = {(x["row"], x["line"]): (x["id_a"], x["id_b"]) for x in lines.collect()}
+    times = {}
+    for i in own.values():
+        times[i] = times.get(i, 0) + 1
+    suffixes = {}
+    for row, line in own:
+        end = line
+        while (row, end) in own and times[own[row, end]] > 1:
+            end += 1
+        if end > line:
+            suffixes[row, line] = [own[row, x] for x in range(line, end)]
+    order = sorted(suffixes, key=lambda at: (suffixes[at], 7 - at[0], at))
+    level = D.prefix_doubling(lines)
+    placed = D.suffix_array(level)
+    assert [(x["row"], x["line"]) for x in placed.orderBy("place").collect()] == order
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for least in (1, 4):
+        want = {}
+        for a, b in zip(order, order[1:]):
+            n = shared(suffixes[a], suffixes[b])
+            w = sum(len(texts[b[0]].split("\n")[x].split()) for x in range(b[1], b[1] + n))
+            if w >= least:
+                want[b] = (a, n, w)
+        prefixes = D.common_prefixes(level, placed, least)
+        assert {(x["row"], x["line"]): ((x["p_row"], x["p_line"]), x["lcp"], x["lcp_words"]) for x in prefixes.collect()} == want
+    longest = {}
+    for b, (a, n, _) in want.items():
+        for at in (a, b):
+            longest[at] = max(n, longest.get(at, 0))
+    maximal = {(*at, n) for at, n in longest.items() if longest.get((at[0], at[1] - 1)) != n + 1}
+    assert {(x["row"], x["line"], x["length"]) for x in D.maximal_runs(prefixes).collect()} == maximal
 
 
 def test_toxicity(spark, empty):

@@ -1,17 +1,22 @@
 """Line dedup over a suffix array of line ids, with DataFrame operations only.
 
-Lines get ids in a global order, prefix doubling ranks the runs of 1, 2, 4, ...
-lines by pairs of the ranks before, and suffixes whose common prefix reaches a
-run's length form a longest-common-prefix interval, named by the two ranks that
-overlap over it. All runs of an interval but the first are later copies; the
-lines under them are deleted. Only runs that repeat stay in the next doubling.
+Suffixes begin at lines that repeat and end before the next line that does not, as
+no repeat goes past one. Prefix doubling ranks them by their first 1, 2, 4, ... lines
+until no class splits, which gives the suffix array. The longest common prefixes of
+neighbours in it tell for each line the longest run from there that occurs again;
+those with enough words are the maximal repeated runs. Over their lines, runs of
+just enough words are named by two ranks that overlap over them: all but the first
+of a name are later copies, and the lines under them are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank
 from .common import carried, join_small, restored, stage, without, words
 
 #: Words that a repeated run needs.
@@ -28,32 +33,91 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return lines.select("row", "doc_id", "line", F.col("r.pos").alias("pos"), F.col("r.words").alias("words"), F.xxhash64("r.x").alias("id_a"), F.xxhash64(F.lit("line"), F.col("r.x")).alias("id_b"))
 
 
-def _ranked(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Distinct ``keys`` that occur at least twice, with an order-keeping number ``rank``.
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """The lines that occur at least twice, with ``island`` (they are consecutive in it) and ``rank`` in the order of line ids.
 
-    A range shuffle sorts them over all partitions; the number of a partition and
-    of a row in it together grow in that order.
+    A range shuffle sorts the distinct ids over all partitions; the number of a
+    partition and of a row in it together grow in that order.
     """
-    found = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
-    return stage(found.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+    found = lines.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id_a").alias("r_a"), F.col("id_b").alias("r_b"))
+    ranks = stage(found.repartitionByRange("r_a", "r_b").sortWithinPartitions("r_a", "r_b").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+    kept = join_small(lines, ranks, (F.col("id_a") == F.col("r_a")) & (F.col("id_b") == F.col("r_b"))).drop("id_a", "id_b", "r_a", "r_b")
+    return kept.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line")))
 
 
-def prefix_doubling(lines: DataFrame, levels: int) -> list[DataFrame]:
-    """For each level ``k`` a table ``row, line, rank`` of the runs of ``2**k`` lines that repeat.
+def prefix_doubling(lines: DataFrame) -> DataFrame:
+    """``row, doc_id, island, line, words, ranks, sums`` of the lines that repeat.
 
-    Equal runs have equal ranks and ranks follow the order of the runs' line ids, so
-    the last level is the suffix array up to its run length. ``lines`` keeps its
-    other columns in level 0.
+    ``ranks[k]`` orders the suffixes by their first ``2**k`` lines (the island's end is
+    before all lines), ``sums[k]`` are the words of those. The last rank orders whole
+    suffixes: doubling ends when no class splits. A level is a sort of distinct pairs
+    of ranks and a join.
     """
-    first = lines.join(_ranked(lines, "id_a", "id_b"), ["id_a", "id_b"]).drop("id_a", "id_b")
-    out = [stage(first, "line-level")]
-    for k in range(levels):
-        step = 1 << k
-        by_row = Window.partitionBy("row").orderBy("line")
-        pairs = out[-1].select("row", "line", F.col("rank").alias("left"), F.lead("rank", step).over(by_row).alias("right"), F.lead("line", step).over(by_row).alias("at")).filter(F.col("at") == F.col("line") + step).drop("at")
+    first = repeated_lines(lines).select("row", "doc_id", "island", "line", "words", F.array("rank").alias("ranks"), F.array(F.col("words").cast("long")).alias("sums"))
+    level, classes, step = stage(first, "line-level"), -1, 1
+    by_island = Window.partitionBy("row", "island").orderBy("line")
+    while True:
+        pairs = level.select("*", F.element_at("ranks", -1).alias("left"), F.coalesce(F.lead(F.element_at("ranks", -1), step).over(by_island), F.lit(-1)).alias("right"), (F.element_at("sums", -1) + F.coalesce(F.lead(F.element_at("sums", -1), step).over(by_island), F.lit(0))).alias("sum"))
         pairs = stage(pairs, "line-pairs")
-        out.append(stage(pairs.join(_ranked(pairs, "left", "right"), ["left", "right"]).select("row", "line", "rank"), "line-level"))
-    return out
+        found = pairs.groupBy("left", "right").agg(F.lit(1)).select(F.col("left").alias("f_left"), F.col("right").alias("f_right"))
+        ranks = stage(found.repartitionByRange("f_left", "f_right").sortWithinPartitions("f_left", "f_right").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+        before, classes = classes, ranks.count()
+        if classes == before:
+            return level
+        joined = join_small(pairs, ranks, (F.col("left") == F.col("f_left")) & (F.col("right") == F.col("f_right")))
+        level = stage(joined.select("row", "doc_id", "island", "line", "words", F.array_append("ranks", F.col("rank")).alias("ranks"), F.array_append("sums", F.col("sum")).alias("sums")), "line-level")
+        step *= 2
+
+
+def suffix_array(level: DataFrame) -> DataFrame:
+    """``level`` with ``place``: 1, 2, ... in the order of suffixes; equal ones by document, row and line."""
+    return global_rank(level.withColumn("rank", F.element_at("ranks", -1)), ["rank", "doc_id", "row", "line"], "place")
+
+
+def _power(k: Column) -> Column:
+    """Lines of a run of level ``k``."""
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def common_prefixes(level: DataFrame, placed: DataFrame, min_words: int) -> DataFrame:
+    """``place, row, line, p_row, p_line, lcp, lcp_words`` of neighbours in the suffix array that share at least ``min_words`` words.
+
+    The prefix grows by the longest power of two that still agrees: classes of equal
+    first lines are looked up where the prefix ends, for pairs that can still reach
+    the words.
+    """
+    rank, most = F.element_at("ranks", -1), F.size("ranks")
+    here = placed.select("place", "row", "line", "ranks", "sums", rank.alias("last"))
+    prev = placed.select((F.col("place") + 1).alias("place"), F.col("row").alias("p_row"), F.col("line").alias("p_line"), F.col("ranks").alias("p_ranks"), rank.alias("p_last"))
+    agreed = F.size(F.filter(F.zip_with("ranks", "p_ranks", lambda a, b: a == b), lambda x: x))
+    pairs = here.join(prev, "place").withColumn("agreed", agreed).filter("agreed > 0")
+    # two suffixes that are one to their ends agree in all levels, and the last sum is of the whole suffix
+    reach = F.element_at("sums", F.least(F.col("agreed") + 1, most))
+    pairs = stage(pairs.filter(reach >= min_words).withColumn("lcp", F.lit(0)).withColumn("lcp_words", F.lit(0).cast("long")), "line-neighbours")
+    left = level.groupBy("row", "island").agg(F.max("line").alias("end"))
+    ends = stage(level.select("row", "line", "island").join(left, ["row", "island"]).select("row", "line", (F.col("end") - F.col("line") + 1).alias("left")), "line-ends")
+    whole = pairs.filter("last = p_last").join(ends, ["row", "line"]).select("place", "row", "line", "p_row", "p_line", F.col("left").cast("int").alias("lcp"), F.element_at("sums", -1).alias("lcp_words"))
+    done, rest = [whole], pairs.filter("last <> p_last")
+    look = level.select("row", "line", "ranks", "sums")
+    while True:
+        grown = rest.select("place", "row", "line", "p_row", "p_line", (F.col("lcp") + _power(F.col("agreed") - 1)).alias("lcp"), (F.col("lcp_words") + F.element_at("sums", F.col("agreed"))).alias("lcp_words"))
+        a = look.select(F.col("row").alias("a_row"), F.col("line").alias("a_line"), "ranks", "sums")
+        b = look.select(F.col("row").alias("b_row"), F.col("line").alias("b_line"), F.col("ranks").alias("p_ranks"))
+        met = grown.join(a, (F.col("row") == F.col("a_row")) & (F.col("line") + F.col("lcp") == F.col("a_line")), "left").join(b, (F.col("p_row") == F.col("b_row")) & (F.col("p_line") + F.col("lcp") == F.col("b_line")), "left")
+        met = stage(met.withColumn("agreed", F.coalesce(agreed, F.lit(0))).drop("a_row", "a_line", "b_row", "b_line", "p_ranks"), "line-prefixes")
+        done.append(met.filter("agreed <= 0").select("place", "row", "line", "p_row", "p_line", "lcp", "lcp_words"))
+        rest = met.filter("agreed > 0").filter(F.col("lcp_words") + F.element_at("sums", F.least(F.col("agreed") + 1, F.size("ranks"))) >= min_words)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done).filter(F.col("lcp_words") >= min_words)
+
+
+def maximal_runs(prefixes: DataFrame) -> DataFrame:
+    """``row, line, length``: the longest run from each line that occurs again, where the line before does not begin a longer one of it."""
+    both = prefixes.select("row", "line", "lcp").unionByName(prefixes.select(F.col("p_row").alias("row"), F.col("p_line").alias("line"), "lcp"))
+    longest = both.groupBy("row", "line").agg(F.max("lcp").alias("length"))
+    before = Window.partitionBy("row").orderBy("line")
+    part = (F.lag("line").over(before) == F.col("line") - 1) & (F.lag("length").over(before) == F.col("length") + 1)
+    return longest.withColumn("part", F.coalesce(part, F.lit(False))).filter("NOT part").drop("part")
 
 
 def least_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -76,21 +140,33 @@ def least_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return both.select("row", "doc_id", F.explode(F.array_distinct(F.array_compact(ends))).alias("r")).select("row", "doc_id", "r.line", "r.length").distinct()
 
 
+def _named(length: Column) -> Column:
+    """The level whose runs overlap over one of ``length`` lines."""
+    return F.floor(F.log2(length) + 1e-9).cast("int")
+
+
 def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row, line, length``: least repeated runs that are not the first of their interval by ``doc_id, row, line``."""
-    levels = prefix_doubling(lines, max(0, min_words.bit_length() - 1))
-    runs = stage(least_runs(levels[0], min_words), "line-runs")
-    ranks = levels[0].select("row", "line", F.lit(0).alias("k"), "rank")
-    for k, level in enumerate(levels[1:], 1):
-        ranks = ranks.unionByName(level.select("row", "line", F.lit(k).alias("k"), "rank"))
-    k = F.floor(F.log2("length") + 1e-9).cast("int")
-    asked = runs.withColumn("k", k).withColumn("second", F.col("line") + F.col("length") - F.pow(F.lit(2), F.col("k")).cast("int"))
-    left = asked.join(ranks.withColumnRenamed("rank", "left"), ["row", "line", "k"])
-    both = left.join(ranks.select("row", F.col("line").alias("second"), "k", F.col("rank").alias("right")), ["row", "second", "k"])
+    """``row, line, length``: least runs of repeated lines that are not the first of their kind by ``doc_id, row, line``.
+
+    A maximal run is the union of the least runs in it, so the lines under them are
+    those of the later copies of all maximal repeated runs.
+    """
+    level = prefix_doubling(lines)
+    runs = maximal_runs(common_prefixes(level, suffix_array(level), min_words)).withColumnsRenamed({"row": "m_row", "line": "m_line"})
+    runs = stage(runs, "line-maximal")
+    before = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    inside = level.select("row", "doc_id", "line", "words").join(runs, (F.col("row") == F.col("m_row")) & (F.col("line") == F.col("m_line")), "left").withColumn("upto", F.max(F.col("line") + F.col("length")).over(before)).filter(F.col("line") < F.col("upto")).select("row", "doc_id", "line", "words")
+    k = _named(F.col("length"))
+    asked = least_runs(inside, min_words).withColumn("k", k).withColumn("second", F.col("line") + F.col("length") - _power(k))
+    look = level.select("row", "line", "ranks")
+    left = asked.join(look, ["row", "line"]).withColumn("left", F.element_at("ranks", F.col("k") + 1)).drop("ranks")
+    both = left.join(look.withColumnRenamed("line", "second"), ["row", "second"]).withColumn("right", F.element_at("ranks", F.col("k") + 1))
     both = stage(both.select("row", "doc_id", "line", "length", "left", "right"), "line-intervals")
     at = F.struct("doc_id", "row", "line")
-    intervals = both.groupBy("length", "left", "right").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return both.join(intervals, ["length", "left", "right"]).filter(~at.eqNullSafe(F.col("first"))).select("row", "line", "length")
+    kinds = both.groupBy("length", "left", "right").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    kinds = stage(kinds.withColumnsRenamed({c: f"k_{c}" for c in ("length", "left", "right")}), "line-kinds")
+    on = (F.col("length") == F.col("k_length")) & (F.col("left") == F.col("k_left")) & (F.col("right") == F.col("k_right"))
+    return join_small(both, kinds, on).filter(~at.eqNullSafe(F.col("first"))).select("row", "line", "length")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
