@@ -220,3 +220,10 @@ def test_merge_counts_are_the_snapshots(spark):
         counted = C.merge_counts(t, s, ["k"], *rules, then_delete="k = 6").first().asDict()
         assert {k: v for k, v in C.change_counts(t.filter("k > 0"), merged.filter("k > 0"), ["k"]).first().asDict().items() if k == "inserted"} == {"inserted": counted["inserted"]}
         assert counted["inserted"] + counted["updated"] + counted["unchanged"] == merged.count() and counted["considered"] == counted["deleted"] + merged.count()
+
+
+def test_sparse_vectors_and_dimensions(spark):
+    most = V.MOST_NONZERO
+    df = spark.createDataFrame([(1, [1.0] * 3), (2, [1.0] * (most + 1)), (3, None), (4, [1.0, None])], "id int, v array<double>")
+    assert rows(V.check_dims(df, "v", 3, "sparsevec").select("id", "problem")) == [(2, "too_many_nonzero"), (3, "null")]
+    assert rows(V.check_dims(df.filter("id <> 2"), "v", 2).select("id", "problem")) == [(1, "length"), (3, "null"), (4, "null_element")]

@@ -37,10 +37,11 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert canon([tuple(r) for r in got.collect()], got.columns) == canon(want.fetchall(), want.columns)
 
 
-def test_lists_find_nine_tenths_of_neighbours(spark):
+@pytest.mark.parametrize("name", ["v8_ivf_search", "v9_half_knn"])
+def test_lists_find_nine_tenths_of_neighbours(spark, name):
     large = "/root/testdata/sf0.1"
     exact = {(r.q_id, r.id) for r in QUERIES["v7_knn_l2"](spark, large).collect()}
-    found = {(r.q_id, r.id) for r in QUERIES["v8_ivf_search"](spark, large).collect()}
+    found = {(r.q_id, r.id) for r in QUERIES[name](spark, large).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
 
 

@@ -242,8 +242,11 @@ def v9(spark, d):
     return V.quantized_knn(*_vectors(spark, d), 5).select("q_id", "id", F.col("place").cast("long").alias("place"))
 
 
-@query("v9_half_knn", f"WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x::DOUBLE / pow(2.0::DOUBLE, floor(log2(abs(x::DOUBLE))) - 10), 0) * pow(2.0::DOUBLE, floor(log2(abs(x::DOUBLE))) - 10) END) AS h FROM embeddings) SELECT vec_id AS id, list_sum(list_transform(h, lambda x: x * x)) AS norm2 FROM r")
+HALF = "list_transform({0}, lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x / pow(2.0::DOUBLE, floor(log2(abs(x))) - 10), 0) * pow(2.0::DOUBLE, floor(log2(abs(x))) - 10) END)"
+
+
+@query("v9_half_knn", f"SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place FROM (SELECT q_id, id, {HALF.format('q')} AS q, {HALF.format('v')} AS v {PAIR})) WHERE place <= 5")
 def v9_half(spark, d):
-    """The squared norms of vectors that are kept in half precision."""
-    v = table(spark, d, "embeddings")
-    return v.select(F.col("vec_id").alias("id"), V.half(F.col("embedding")).alias("h")).select("id", F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+    """Neighbours among vectors that are kept in half precision, as queries are."""
+    q, v = _vectors(spark, d)
+    return V.knn(q.withColumn("q", V.half(F.col("q"))), v.withColumn("v", V.half(F.col("v"))), 5).select("q_id", "id", F.col("place").cast("long").alias("place"))
