@@ -51,22 +51,27 @@ def prefix_doubling(lines: DataFrame) -> DataFrame:
     ``ranks[k]`` orders the suffixes by their first ``2**k`` lines (the island's end is
     before all lines), ``sums[k]`` are the words of those. The last rank orders whole
     suffixes: doubling ends when no class splits. A level is a sort of distinct pairs
-    of ranks and a join.
+    of ranks and a join, of narrow rows; the levels are put together at the end.
     """
-    first = repeated_lines(lines).select("row", "doc_id", "island", "line", "words", F.array("rank").alias("ranks"), F.array(F.col("words").cast("long")).alias("sums"))
-    level, classes, step = stage(first, "line-level"), -1, 1
+    base = stage(repeated_lines(lines).select("row", "doc_id", "island", "line", "words", "rank"), "line-base", codec="lz4")
+    level = base.select("row", "island", "line", "rank", F.col("words").cast("long").alias("sum"))
+    levels, classes, step = [level], -1, 1
     by_island = Window.partitionBy("row", "island").orderBy("line")
     while True:
-        pairs = level.select("*", F.element_at("ranks", -1).alias("left"), F.coalesce(F.lead(F.element_at("ranks", -1), step).over(by_island), F.lit(-1)).alias("right"), (F.element_at("sums", -1) + F.coalesce(F.lead(F.element_at("sums", -1), step).over(by_island), F.lit(0))).alias("sum"))
-        pairs = stage(pairs, "line-pairs")
+        ahead = lambda c, none, step=step: F.coalesce(F.lead(c, step).over(by_island), F.lit(none))
+        pairs = levels[-1].select("row", "island", "line", F.col("rank").alias("left"), ahead("rank", -1).alias("right"), (F.col("sum") + ahead("sum", 0)).alias("sum"))
+        pairs = stage(pairs, "line-pairs", codec="lz4")
         found = pairs.groupBy("left", "right").agg(F.lit(1)).select(F.col("left").alias("f_left"), F.col("right").alias("f_right"))
-        ranks = stage(found.repartitionByRange("f_left", "f_right").sortWithinPartitions("f_left", "f_right").withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
+        ranks = stage(found.repartitionByRange("f_left", "f_right").sortWithinPartitions("f_left", "f_right").withColumn("rank", F.monotonically_increasing_id()), "line-ranks", codec="lz4")
         before, classes = classes, ranks.count()
         if classes == before:
-            return level
+            break
         joined = join_small(pairs, ranks, (F.col("left") == F.col("f_left")) & (F.col("right") == F.col("f_right")))
-        level = stage(joined.select("row", "doc_id", "island", "line", "words", F.array_append("ranks", F.col("rank")).alias("ranks"), F.array_append("sums", F.col("sum")).alias("sums")), "line-level")
+        levels.append(stage(joined.select("row", "island", "line", "rank", "sum"), "line-level", codec="lz4"))
         step *= 2
+    each = reduce(DataFrame.unionByName, [x.select("row", "line", F.struct(F.lit(k).alias("k"), "rank", "sum").alias("x")) for k, x in enumerate(levels)])
+    ladder = each.groupBy("row", "line").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return stage(base.drop("rank").join(ladder, ["row", "line"]).select("row", "doc_id", "island", "line", "words", F.col("x.rank").alias("ranks"), F.col("x.sum").alias("sums")), "line-suffixes", codec="lz4")
 
 
 def suffix_array(level: DataFrame) -> DataFrame:
