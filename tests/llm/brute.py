@@ -302,3 +302,34 @@ def lexicon_features(text, weights, exceptions):
         covered += [(at, at + len(p) - 1) for p in exceptions if text.startswith(p, at)]
     found = [w for at, w in best.items() if not any(a <= at < b for a, b in covered)]
     return max(found, default=0.0), math.log1p(sum(found)), sum(found) / math.sqrt(max(1, text.count(" ") - 1))
+
+
+def planted_words(doc_id, text):
+    """The words of a text with the periodic end that the contract gives to a tenth of the ids."""
+    w, h = words(text), zlib.crc32(str(doc_id).encode())
+    n, g = len(w), h // 10
+    if h % 10 or not n or doc_id is None:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+
+
+def periodic_runs(w, min_length=24, min_periods=3):
+    """All runs ``(start, length, period)`` by comparing each word with the one a period on."""
+    n, least = len(w), {}
+    for q in range(1, n // min_periods + 1):
+        k = 0
+        while k + q < n:
+            s = k
+            while k + q < n and w[k] == w[k + q]:
+                k += 1
+            if k + q - s >= max(min_length, min_periods * q):
+                least.setdefault((s, k + q - s), q)
+            k += 1
+    return sorted(((s, n, q) for (s, n), q in least.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, runs):
+    gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+    return b" ".join(x for k, x in enumerate(w) if k not in gone)
