@@ -102,7 +102,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
 
 
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
+    "op13_hilbert_negatives": op13_hilbert_negatives,
     "op11_periodic_runs": op11_periodic_runs,
     "op7_ppm_scores": op7_ppm_scores,
     "op3_warc_derivatives": op3_warc_derivatives,
@@ -177,4 +186,18 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid) LEFT JOIN g USING (rid)
 """
 
-ORACLES = {"op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_benchmark_hits": OP9_SQL, "op2_mix_sources": OP2_SQL}
+OP13_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id, br) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.other_id, s.br) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.ar = s.ar WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLES = {"op13_hilbert_negatives": OP13_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_benchmark_hits": OP9_SQL, "op2_mix_sources": OP2_SQL}
