@@ -110,7 +110,15 @@ def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op12_bm25_packing": op12_bm25_packing,
     "op13_hilbert_negatives": op13_hilbert_negatives,
     "op11_periodic_runs": op11_periodic_runs,
     "op7_ppm_scores": op7_ppm_scores,
