@@ -2,7 +2,7 @@
 
 Documents become token ids, which are the terms of the index too; their document
 frequencies over the whole corpus are at most one row a token. Documents are dealt by
-the term that weighs most in them, so that near texts meet, and each task cuts what it
+a term that weighs much in them, so that near texts meet, and each task cuts what it
 gets into shards with an inverted index each. In a shard each document in turn seeds a
 window; neighbours go in by falling score, the last one is cut where the window ends,
 and its rest stays for other windows.
@@ -35,16 +35,17 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (16-bit integers): the library's ids of each text and ``end_id`` after them."""
+    """``doc_id, n_tokens, topic, ids`` (16-bit integers): the library's ids of each text and ``end_id`` after them."""
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches):
         encoder = word_encoder(path)
         for batch in batches:
             ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            topics = [topic(np.frombuffer(x, "<u2")) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(topics, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "topic", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, topic int, ids binary")
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +55,15 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return held[starts], np.diff(np.append(starts, len(held)))
 
 
+def topic(ids: np.ndarray) -> int:
+    """The term that weighs most by its count and its place in the vocabulary, where frequent ones come first; -1 for none.
+
+    It only says which shard a document goes to, and is known before the corpus is counted.
+    """
+    terms, counts = term_counts(ids)
+    return int(terms[np.argmax(np.log1p(terms.astype(float)) * counts / (counts + K1))]) if len(terms) else -1
+
+
 class Weights:
     """BM25 weights by the statistics of the whole corpus."""
 
@@ -65,13 +75,6 @@ class Weights:
     def of(self, terms: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean_length))
 
-    def topic(self, ids: np.ndarray) -> int:
-        """The term that weighs most of those that other documents have too; -1 for none."""
-        terms, counts = term_counts(ids)
-        shared = self.frequency[terms] > 1
-        terms, counts = terms[shared], counts[shared]
-        return int(terms[np.argmax(self.of(terms, counts, len(ids)))]) if len(terms) else -1
-
 
 def corpus_weights(tokens: DataFrame) -> Weights:
     """Document frequencies, summed in each task first: one row a token comes to the driver."""
@@ -190,7 +193,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
     shard, where lengths are powers of two; none needs padding then. Null and empty texts are the end id
     alone, and go where there is space. Rows that repeat an id are documents of their own, null
     ids are kept. Further columns are not read; an empty table gives no rows. Order in a
-    task is by the heaviest term, id and tokens, so a task that runs again packs alike.
+    task is by topic, id and tokens, so a task that runs again packs alike.
     """
     if window < 1:
         raise ValueError("a window has at least one token")
@@ -201,11 +204,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
     shared = spark.sparkContext.broadcast(weights)
     parts = int(min(MOST_PARTITIONS, max(1, weights.mean_length * tokens.count() // PARTITION_TOKENS)))
 
-    def dealt(batches):
-        for batch in batches:
-            topics = [shared.value.topic(np.frombuffer(x, "<u2")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(topics, pa.int32())], names=[*batch.schema.names, "topic"])
-
     def packed(batches):
         sequence = TaskContext.get().partitionId() << 33
         names, held, total = [], [], 0
@@ -237,7 +235,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
             yield from emit()
 
     order = ["topic", "doc_id", "ids"]
-    ranged = tokens.mapInArrow(dealt, "doc_id long, n_tokens long, ids binary, topic int").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    ranged = tokens.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     return ranged.mapInArrow(packed, PIECE)
 
 
