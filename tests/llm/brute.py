@@ -1,9 +1,12 @@
 """Plain Python versions of the corpus operators' contracts, for small inputs."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 SPACED = rb"[^\x20\x09-\x0D]+"
 
 
@@ -92,64 +95,78 @@ def deleted_lines(rows, least=50):
 
 
 def vector(text):
-    """The transformed statistics of a text, and the variances of its own counts."""
-    import math
+    """The statistics of a text before they are scaled, and its number of words."""
+    w = [x.decode() for x in words(text)]
+    n = len(w)
+    counts = [sum(len(x) <= 3 for x in w), sum(any(c.isupper() for c in x) for x in w), sum(not x.isalpha() for x in w), sum(len(set(w[k : k + 50])) for k in range(0, n, 50))]
+    return [math.log(max(sum(map(len, w)), 1) / max(n, 1)), *[math.log((k + 0.5) / (n - k + 0.5)) for k in counts]], n
+
+
+def rank(v, p):
+    return np.sort(v, axis=0)[max(1, int(np.ceil(p * len(v)))) - 1]
 
-    n, chars, symbols, dup, repeat, _ = quality(text)
-    lines = len([x for x in (text or "").split("\n") if words(x)])
-    angle = lambda k, of: math.asin(math.sqrt((k + 0.375) / (of + 0.75))) - math.asin(math.sqrt(0.375 / (of + 0.75)))
-    v = [math.log(max(chars, 1) / max(n, 1)), angle(symbols / 5, chars / 5), angle(dup, lines), angle(repeat / 25, n / 25)]
-    return v, [0.25 / max(n, 1), 1 / (4 * chars / 5 + 2), 1 / (4 * lines + 2), 1 / (4 * n / 25 + 2)]
 
+def scale(x, n):
+    """Medians, variances between long texts and variances of one word."""
+    centre, cut = rank(x, 0.5), rank(n, 0.5)
+    off, lo, hi = abs(x - centre), n <= cut, n > cut
+    least = np.array([0.01, 4, 4, 4, 4])
+    a, u = (1.4826 * rank(off[lo], 0.5)) ** 2, (1 / n[lo]).mean()
+    if hi.any():
+        b, v = (1.4826 * rank(off[hi], 0.5)) ** 2, (1 / n[hi]).mean()
+        word = np.maximum((a - b) / (u - v), least)
+        return centre, np.maximum(b - word * v, 0.1 * word / cut), word
+    word = np.maximum(a / u, least)
+    return centre, 0.1 * word / cut, word
 
-def mcd(x, keep=0.75, consistency=0.75 / 0.5047, inner=11.1433, noise=1e-8):
-    """Centre and covariance of least determinant over three starts, reweighted."""
-    import numpy as np
 
-    rank = lambda v, p: np.sort(v, axis=0)[max(1, int(np.ceil(p * len(v)))) - 1]
-    ridge = np.eye(x.shape[1]) * noise
+def mcd(x, keep=0.75, consistency=0.75 / 0.531135, inner=12.8325, unit=0.1, still=1e-4):
+    """Centre and regularised covariance of least determinant over two starts, reweighted."""
+    k = x.shape[1]
     dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    mixed = lambda y, f: np.cov(y.T, bias=True) * f * (1 - unit) + unit * np.eye(k)
     med = rank(x, 0.5)
-    spread = np.maximum(1.4826 * rank(abs(x - med), 0.5), noise**0.5)
-    unit = (x - med) / spread
-    norm2 = (unit**2).sum(1)
-    unit = unit[norm2 > 0] / np.sqrt(norm2[norm2 > 0])[:, None]
-    signs = unit.T @ unit / max(len(unit), 1) * np.outer(spread, spread) + ridge
+    off = x - med
+    norm2 = (off**2).sum(1)
+    off = off[norm2 > 0] / np.sqrt(norm2[norm2 > 0])[:, None]
     found = []
-    for m, c in ((med, np.diag(spread**2)), (x.mean(0), np.cov(x.T, bias=True) + ridge), (med, signs)):
-        was = np.inf
-        for _ in range(100):
+    for c in (np.eye(k), off.T @ off / len(off) * k * (1 - unit) + unit * np.eye(k)):
+        m, was = med, np.linalg.slogdet(c)[1]
+        for _ in range(30):
             d = dist(m, c)
             core = x[d <= rank(d, keep)]
-            m, c = core.mean(0), np.cov(core.T, bias=True) * consistency + ridge
+            m, c = core.mean(0), mixed(core, consistency)
             now = np.linalg.slogdet(c)[1]
-            if abs(now - was) < 1e-9:
+            if abs(now - was) <= still:
                 break
             was = now
         found.append((now, m, c))
     _, m, c = min(found, key=lambda f: f[0])
     core = x[dist(m, c) <= inner]
-    return core.mean(0), np.cov(core.T, bias=True) + ridge
+    return core.mean(0), mixed(core, 1.055533)
 
 
-def kept(rows, least=40, outer=23.5127):
+def kept(rows, far=45.7946, language=50, source=20, drawn=50):
     """Ids that pass the base rules and the robust distance, of (doc_id, text, lang, source) rows."""
-    import numpy as np
-
-    good = [(r[0], (r[2], r[3]), *map(np.array, vector(r[1]))) for r in rows if not quality(r[1])[5]]
-    levels = [lambda g: g, lambda g: g[0], lambda g: ()]
+    good = [(r[0], (r[2], r[3]), *vector(r[1])) for r in rows if not quality(r[1])[5]]
     out = set()
-    for i, g, v, own in good:
-        for name in levels:
-            x = np.array([w for _, h, w, _ in good if name(h) == name(g)])
-            if len(x) >= least:
-                m, c = mcd(x)
-                if (v - m) @ np.linalg.inv(c + np.diag(own)) @ (v - m) > outer:
-                    break
-                out.add(i)
-                break
-        else:
-            out.add(i)
+    for i, g, v, n in good:
+        pool = [r for r in good if r[1][0] == g[0]]
+        if len(pool) < language:
+            pool = good
+        if len(pool) >= language:
+            centre, between, word = scale(np.array([r[2] for r in pool]), np.array([r[3] for r in pool]))
+            y = lambda some: (np.array([r[2] for r in some]) - centre) / np.sqrt(between + word / np.array([r[3] for r in some])[:, None])  # noqa: B023, E731
+            m, c = mcd(y(pool))
+            own = [r for r in good if r[1] == g]
+            if len(own) >= source:
+                m2, c2 = mcd(y(own))
+                part = len(own) / (len(own) + drawn)
+                m, c = part * m2 + (1 - part) * m, part * c2 + (1 - part) * c
+            z = y([(i, g, v, n)])[0] - m
+            if z @ np.linalg.inv(c) @ z > far:
+                continue
+        out.add(i)
     return out
 
 
@@ -173,7 +190,6 @@ def ppm_trie(streams, order=5):
 
 def ppm_score(stream, trie, order=5):
     """Log10 probability of a stream by method D with symbol exclusion."""
-    import math
 
     s, total = b"\t" * order + b" " + stream, 0.0
     for j in range(order + 1, len(s)):
@@ -263,7 +279,6 @@ def fold(text):
 
 def lexicon(rows, least=5, weight=1.2, g2=24.0, phrase=4, share=0.25):
     """Weights of entries and exception phrases from (text, toxic) rows by plain counting."""
-    import math
 
     toxic = sum(t for _, t in rows)
     clean = len(rows) - toxic
@@ -291,7 +306,6 @@ def lexicon(rows, least=5, weight=1.2, g2=24.0, phrase=4, share=0.25):
 
 def lexicon_features(text, weights, exceptions):
     """Heaviest weight, log of the sum and sum per square root of words, by looking for each entry at each place."""
-    import math
 
     text = fold(text)
     best, covered = {}, []

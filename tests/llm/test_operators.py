@@ -502,13 +502,13 @@ def test_quality_verdicts(spark):
     keys = [(lang, source, k) for (lang, source), n in size.items() for k in range(n)]
     rows = [(i, plain(r, 50 + r.randrange(150), k), lang, source) for i, (lang, source, k) in enumerate(keys)]
     rows += [(1000, None, "en", "a"), (1001, "", None, None), rows[3]]
-    names = "m_0 double, l_00 double, g_lang string, z_0 int, d2 int, kept int, v_len int, `a.b` int"
+    names = "m_0 double, l_00 double, g_lang string, s_0 int, d2 int, kept int, v_len int, `a.b` int"
     docs = spark.createDataFrame([(*x, 0.5, 1.5, "g", 4, 5, 6, 7, 8) for x in rows], f"doc_id long, text string, lang string, source string, {names}").repartition(3)
     found = judged(docs)
     got = found.collect()
     assert {x["doc_id"] for x in got if x["kept"]} == brute.kept(rows) and len(got) == len(rows)
     assert 0 < sum(not x["kept"] and not x["base_failed"] for x in got) < 40
-    assert {(x["m_0"], x["l_00"], x["g_lang"], x["z_0"], x["d2"], x["v_len"], x["a.b"]) for x in got} == {(0.5, 1.5, "g", 4, 5, 7, 8)}
+    assert {(x["m_0"], x["l_00"], x["g_lang"], x["s_0"], x["d2"], x["v_len"], x["a.b"]) for x in got} == {(0.5, 1.5, "g", 4, 5, 7, 8)}
     few = judged(docs.filter("lang = 'fr' OR lang IS NULL"))
     assert {x["kept"] for x in few.filter("NOT base_failed").collect()} == {True}
 
@@ -530,33 +530,72 @@ def test_outliers_against_numpy(spark):
     from weftline.llm import outliers
 
     r = np.random.default_rng(4)
-    shape = np.array([[0.04, 0.035, 0, 0], [0.035, 0.04, 0, 0], [0, 0, 0.01, -0.004], [0, 0, -0.004, 0.01]])
-    good = r.multivariate_normal([1.6, 0.05, 0.1, 0.1], shape, 400)
-    bad = r.normal([2.9, 0.6, 0.1, 0.1], 0.02, (60, 4))
-    x = {"one": np.vstack([good, bad]), "two": np.vstack([good[:90] * 3, np.array([[0.0, 0, 0, 0]] * 200)]), "flat": np.c_[good[:50, :1], np.zeros((50, 3))]}
+    shape = np.eye(5)
+    shape[0, 1] = shape[1, 0] = 0.9
+    shape[2, 3] = shape[3, 2] = -0.4
+    good = r.multivariate_normal(np.zeros(5), shape, 400)
+    bad = r.normal([9, 9, 0, 0, 3], 0.2, (60, 5))
+    x = {"one": np.vstack([good, bad]), "two": np.vstack([good[:90] * 3, np.zeros((200, 5))]), "flat": np.c_[good[:50, :1], np.zeros((50, 4))]}
     rows = spark.createDataFrame([(g, *map(float, v)) for g, vs in x.items() for v in vs], "gid string, " + ", ".join(f"{n} double" for n in outliers.VECTOR)).repartition(3)
     found = {e["gid"]: e for e in outliers.estimates(rows).collect()}
     for g, vs in x.items():
         m, c = brute.mcd(vs)
-        assert [found[g][f"m_{i}"] for i in range(4)] == pytest.approx(m.tolist(), abs=1e-9), g
-        assert [found[g][f"c_{i}{j}"] for i in range(4) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(4) for j in range(i + 1)], abs=1e-9), g
+        assert [found[g][f"m_{i}"] for i in range(5)] == pytest.approx(m.tolist(), abs=1e-9), g
+        assert [found[g][f"c_{i}{j}"] for i in range(5) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(5) for j in range(i + 1)], abs=1e-9), g
     m, c = brute.mcd(x["one"])
+    mixed = lambda y: np.cov(y.T, bias=True) * outliers.CONSISTENCY * 0.9 + np.eye(5) * 0.1
     best = np.inf
     for _ in range(200):  # concentration from random starts
-        core = x["one"][r.choice(460, 5, replace=False)]
+        core = x["one"][r.choice(460, 6, replace=False)]
         for _ in range(30):
-            a, b = core.mean(0), np.cov(core.T, bias=True) + np.eye(4) * 1e-8
+            a, b = core.mean(0), mixed(core)
             d = np.einsum("ij,jk,ik->i", x["one"] - a, np.linalg.inv(b), x["one"] - a)
             core = x["one"][d <= np.sort(d)[344]]
-        best = min(best, np.linalg.slogdet(np.cov(core.T, bias=True) * outliers.CONSISTENCY)[1])
-    start = outliers.estimates(rows.filter("gid = 'one'"))
-    d2 = np.array([v["d2"] for v in outliers._near(rows.filter("gid = 'one'"), start, ["gid"], True).collect()])
-    assert (d2 > outliers.CHI2[0.9999]).sum() == 60
+        best = min(best, np.linalg.slogdet(mixed(core))[1])
+    estimate = outliers.estimates(rows.filter("gid = 'one'"))
+    d2 = np.array([v["d2"] for v in outliers._near(rows.filter("gid = 'one'"), estimate, ["gid"], True).collect()])
+    assert (d2 > outliers.FAR).sum() == 60
     inner = x["one"][np.argsort(np.einsum("ij,jk,ik->i", x["one"] - m, np.linalg.inv(c), x["one"] - m))[:345]]
-    assert np.linalg.slogdet(np.cov(inner.T, bias=True) * outliers.CONSISTENCY)[1] < best + 0.05
-    probe = spark.createDataFrame([("one", 1.6 + 0.5, 0.05 + 0.5, 0.1, 0.1), ("one", 1.6 + 0.5, 0.05 - 0.5, 0.1, 0.1)], rows.schema)
-    along, across = (v["d2"] for v in outliers._near(probe, start, ["gid"], True).orderBy(F.desc("v_sym")).collect())
-    assert along < outliers.CHI2[0.9999] < across
+    assert np.linalg.slogdet(mixed(inner))[1] < best + 0.05
+    probe = spark.createDataFrame([("one", 5.5, 5.5, 0.0, 0.0, 0.0), ("one", 5.5, -5.5, 0.0, 0.0, 0.0)], rows.schema)
+    along, across = (v["d2"] for v in outliers._near(probe, estimate, ["gid"], True).orderBy(F.desc("v_short")).collect())
+    assert along < outliers.FAR < across
+
+
+def test_estimates_of_documents(spark):
+    """On the given documents every entry varies in every group, sources have estimates of their own, and two groups judge one vector differently."""
+    from weftline.llm import outliers as o
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = o.text_statistics(docs).withColumn("fits", ~o.base_failed()).withColumns(o.statistics()).cache()
+    groups = o.groups_of(rows)
+    named = rows.filter("fits").join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("fits")
+    scale = o.scales(named)
+    fit = named.join(scale, "t_id").withColumns(o.scaled()).select(F.explode(F.array_compact(F.array("t_id", "gid"))).alias("gid"), *o.VECTOR)
+    known = o.estimates(fit.cache()).collect()
+    assert sum("source" in e["gid"] for e in known) > 10 and sum("language" in e["gid"] for e in known) == 4
+    for e in known:
+        c = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                c[i, j] = c[j, i] = e[f"c_{i}{j}"]
+        own = (c - o.UNIT * np.eye(5)) / (1 - o.UNIT)
+        assert np.diag(own).min() > 0.1 and np.linalg.eigvalsh(own).min() > 0.005, e["gid"]
+        assert min(e[f"l_{i}{i}"] for i in range(5)) > o.UNIT**0.5 / 2
+    scales = {r["t_id"]: r for r in scale.collect()}
+    assert len({round(r["s_0"], 3) for r in scales.values()}) > 1
+    judges = o.drawn_estimates(groups, o.estimates(fit)).filter("g_lang = 'en'").select("g_source", *[f"m_{i}" for i in range(5)], *[f"l_{i}{j}" for i in range(5) for j in range(i + 1)])
+    probe = judges.withColumns({v: F.lit(x) for v, x in zip(o.VECTOR, (3.0, -2.0, 2.0, 3.0, -2.0), strict=True)}).select(o._squared_distance().alias("d2")).collect()
+    assert max(r["d2"] for r in probe) > 1.1 * min(r["d2"] for r in probe)
+
+
+def test_quality_of_labelled_documents(spark):
+    """Of the labelled documents that pass the base rules all bad ones go and all good ones stay."""
+    from weftline.llm.outliers import judged
+
+    at = "/root/testdata/sf0.01"
+    found = judged(spark.read.parquet(f"{at}/documents.parquet")).filter("NOT base_failed").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    assert {(r["quality"], r["kept"]) for r in found.select("quality", "kept").distinct().collect()} == {(0, False), (1, True)}
 
 
 def test_components(spark):
