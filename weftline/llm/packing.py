@@ -24,7 +24,7 @@ from .wavelet import word_encoder
 #: Saturation of a term's count and share of length in it.
 K1, B = 1.2, 0.75
 #: Terms of a seed that ask, those that weigh most; neighbours that are ranked at first.
-QUERY_TERMS, NEIGHBOURS = 32, 32
+QUERY_TERMS, NEIGHBOURS = 32, 16
 #: Tokens and documents after which a shard is closed; tokens a partition is made for, and the most partitions (they grow instead).
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1 << 15
 PARTITION_TOKENS, MOST_PARTITIONS = 1 << 22, 20_000
@@ -35,15 +35,24 @@ PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, topic, ids`` (16-bit integers): the library's ids of each text and ``end_id`` after them."""
+    """``doc_id, n_tokens, topic, ids`` (16-bit integers): the library's ids of each text and ``end_id`` after them.
+
+    A task closes with a row of -1 tokens whose ``ids`` are the number of its documents
+    that have each term (32-bit integers), so that texts are read once.
+    """
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches):
-        encoder = word_encoder(path)
+        encoder, frequency = word_encoder(path), np.zeros(VOCABULARY, "<u4")
         for batch in batches:
             ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
-            topics = [topic(np.frombuffer(x, "<u2")) for x in ids]
+            topics = []
+            for x in ids:
+                terms, counts = term_counts(np.frombuffer(x, "<u2"))
+                frequency[terms] += 1
+                topics.append(topic(terms, counts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(topics, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "topic", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([-1], pa.int32()), pa.array([frequency.tobytes()])], names=["doc_id", "n_tokens", "topic", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, topic int, ids binary")
 
@@ -55,12 +64,11 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return held[starts], np.diff(np.append(starts, len(held)))
 
 
-def topic(ids: np.ndarray) -> int:
+def topic(terms: np.ndarray, counts: np.ndarray) -> int:
     """The term that weighs most by its count and its place in the vocabulary, where frequent ones come first; -1 for none.
 
     It only says which shard a document goes to, and is known before the corpus is counted.
     """
-    terms, counts = term_counts(ids)
     return int(terms[np.argmax(np.log1p(terms.astype(float)) * counts / (counts + K1))]) if len(terms) else -1
 
 
@@ -68,7 +76,7 @@ class Weights:
     """BM25 weights by the statistics of the whole corpus."""
 
     def __init__(self, n_docs: int, n_tokens: int, frequency: np.ndarray):
-        self.frequency = frequency
+        self.n_tokens = n_tokens
         self.idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
         self.mean_length = max(1.0, n_tokens / max(1, n_docs))
 
@@ -77,20 +85,20 @@ class Weights:
 
 
 def corpus_weights(tokens: DataFrame) -> Weights:
-    """Document frequencies, summed in each task first: one row a token comes to the driver."""
+    """Weights by the documents that have each term, summed over the tasks' own counts: one row a token comes to the driver."""
 
-    def counted(batches):
+    def unpacked(batches):
         found = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                found[term_counts(np.frombuffer(ids, "<u2"))[0]] += 1
+            for counts in batch.column("ids").to_pylist():
+                found += np.frombuffer(counts, "<u4")
         terms = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(found[terms])], names=["term", "n"])
 
     frequency = np.zeros(VOCABULARY, np.int64)
-    for row in tokens.select("ids").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in tokens.filter("n_tokens < 0").select("ids").mapInArrow(unpacked, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         frequency[row["term"]] = row["n"]
-    n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_docs, n_tokens = tokens.filter("n_tokens >= 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     return Weights(n_docs, n_tokens, frequency)
 
 
@@ -116,19 +124,22 @@ class Index:
             terms = terms[np.argpartition(weights, -QUERY_TERMS)[-QUERY_TERMS:]]
         if not len(terms):
             return np.zeros(self.n)
-        bounds = list(zip(self.places[terms].tolist(), self.places[terms.astype(np.int64) + 1].tolist(), strict=True))
-        return np.bincount(np.concatenate([self.docs[a:b] for a, b in bounds]), np.concatenate([self.posted[a:b] for a, b in bounds]), self.n)
+        begins, ends = self.places[terms], self.places[terms.astype(np.int64) + 1]
+        sizes = ends - begins
+        at = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+        return np.bincount(self.docs[at], self.posted[at], self.n)
 
     def neighbours(self, doc: int, left: np.ndarray) -> Iterator[int]:
         """Documents with tokens left, but not ``doc``, by falling score, then place; those without a common term come last."""
         scores = np.where(left > 0, self.scores(doc), -1.0)
         scores[doc] = -1.0
-        first = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        least = scores[first].min()
-        # all that tie with the last one wait for the full order
-        ahead = first[scores[first] > least]
-        yield from ahead[np.lexsort((ahead, -scores[ahead]))].tolist()
-        rest = np.flatnonzero((scores >= 0) & (scores <= least))
+        for _ in range(NEIGHBOURS):
+            best = int(scores.argmax())
+            if scores[best] < 0:
+                return
+            yield best
+            scores[best] = -1.0
+        rest = np.flatnonzero(scores >= 0)
         yield from rest[np.lexsort((rest, -scores[rest]))].tolist()
 
 
@@ -202,7 +213,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
     tokens = stage(encoded(docs, path, end_id), "packing-tokens")
     weights = corpus_weights(tokens)
     shared = spark.sparkContext.broadcast(weights)
-    parts = int(min(MOST_PARTITIONS, max(1, weights.mean_length * tokens.count() // PARTITION_TOKENS)))
+    parts = int(min(MOST_PARTITIONS, max(1, weights.n_tokens // PARTITION_TOKENS)))
 
     def packed(batches):
         sequence = TaskContext.get().partitionId() << 33
@@ -235,7 +246,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
             yield from emit()
 
     order = ["topic", "doc_id", "ids"]
-    ranged = tokens.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    ranged = tokens.filter("n_tokens >= 0").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     return ranged.mapInArrow(packed, PIECE)
 
 
