@@ -51,12 +51,28 @@ def key_is_unique(df: DataFrame, key: list[str]) -> DataFrame:
     return counts.select(((F.col("repeated_keys") == 0) & (F.col("null_keys") == 0)).alias("unique"), "repeated_keys", "null_keys")
 
 
+def insert_refusals(target: DataFrame, source: DataFrame, conflict_target: list[str], on_conflict: str = "refuse", conflict_where: str | None = None) -> DataFrame:
+    """The key columns and ``why`` of source rows for which an insert is refused: ``given twice``, and with ``refuse`` also ``in the target``.
+
+    Every rule but ``append`` refuses a key that is given twice, as the first of its
+    rows would make a conflict of the second. NULL keys, and rows outside ``conflict_where``, are never refused.
+    """
+    arbiter = holds(conflict_where) if conflict_where else F.lit(True)
+    keyed = source.filter(arbiter).dropna(subset=conflict_target)
+    twice = duplicate_source_keys(keyed, conflict_target).select(*conflict_target, F.lit("given twice").alias("why"))
+    if on_conflict != "refuse":
+        return twice
+    there = keyed.join(target.filter(arbiter), conflict_target, "left_semi").select(*conflict_target).distinct()
+    return twice.unionByName(there.withColumn("why", F.lit("in the target")))
+
+
 def insert_rows(target: DataFrame, source: DataFrame, on_conflict: str = "append", conflict_target: list[str] | None = None, update_columns: list[str] | None = None, conflict_where: str | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
     """Insert ``source`` into ``target`` by a stated conflict rule.
 
     ``append`` adds all rows. With ``conflict_target``: ``refuse`` raises if a key is
-    in the target or twice in the source, ``skip`` keeps the target's row, ``update``
-    changes ``update_columns`` (else all source columns but the key). With
+    in the target, ``skip`` keeps the target's row, ``update``
+    changes ``update_columns`` (else all source columns but the key). A key twice in
+    the source is refused by all three (see :func:`insert_refusals`). With
     ``conflict_where`` only rows that satisfy it on both sides can conflict.
     NULL keys never conflict.
     """
@@ -68,15 +84,14 @@ def insert_rows(target: DataFrame, source: DataFrame, on_conflict: str = "append
     arbiter = holds(conflict_where) if conflict_where else F.lit(True)
     keyed, rest = rows.filter(arbiter), rows.filter(~arbiter)
     known = target.filter(arbiter)
+    if on_conflict not in ("refuse", "skip", "update"):
+        raise Refused(f"no conflict rule {on_conflict}")
+    _refuse_if_any(insert_refusals(target, rows, conflict_target, on_conflict, conflict_where), "a key is given twice or in the target")
     if on_conflict == "refuse":
-        _refuse_if_any(duplicate_source_keys(keyed.dropna(subset=conflict_target), conflict_target), "a key is given twice")
-        _refuse_if_any(keyed.join(known, conflict_target, "left_semi"), "a key is in the target")
         return target.unionByName(rows)
     new = keyed.alias("s").join(known.select(*conflict_target).alias("t"), same_key("s", "t", conflict_target), "left_anti").unionByName(rest)
     if on_conflict == "skip":
         return target.unionByName(new)
-    if on_conflict != "update":
-        raise Refused(f"no conflict rule {on_conflict}")
     changed = update_columns or [c for c in source.columns if c not in conflict_target]
     if missing := [c for c in changed if c not in source.columns]:
         raise Refused(f"the source has no column {missing}")

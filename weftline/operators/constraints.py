@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import all_present, column, holds, violated
-from .changes import Refused
+from ..functions.predicates import all_present, holds, violated
+from ..functions.ranks import in_order, place_in, running_max, unplaced
+from ..functions.staging import settled
+from .changes import Refused, duplicate_source_keys
 
 
 def summary(rows: DataFrame, bad: Column, name: str) -> DataFrame:
@@ -75,49 +78,92 @@ def enum_order(df: DataFrame, name: str, labels: list[str]) -> DataFrame:
 
 
 def check_foreign_key(child: DataFrame, columns: list[str], parent: DataFrame, refs: list[str]) -> DataFrame:
-    """Orphans by MATCH SIMPLE: a NULL in any part passes. The lists must be of one length."""
+    """Orphans by MATCH SIMPLE: a NULL in any part passes. The lists must be of one length, and ``refs`` a unique key of the parent (NULLs apart), else the constraint is refused."""
     if len(columns) != len(refs):
         raise Refused("a key and its reference differ in length")
-    keys = parent.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(refs)]).distinct()
+    if not duplicate_source_keys(parent.dropna(subset=refs), refs).isEmpty():
+        raise Refused("the reference is no unique key")
+    keys = parent.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(refs)])
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{i}") for i, c in enumerate(columns)])
     return child.filter(all_present(columns)).join(keys, on, "left_anti")
 
 
 def merged_ranges(df: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
-    """``key, lo, hi``: the union of half-open ranges per key, as ranges apart. Empty and NULL ranges are left out."""
-    order = Window.partitionBy(*key).orderBy("lo", "hi")
+    """``key, lo, hi``: the union of half-open ranges per key, as ranges apart. Empty and NULL ranges are left out.
+
+    A range begins an island where it begins past all before it; it is in the island
+    that began last. Both are running maxima, so a key may be of any size.
+    """
     rows = df.select(*key, F.col(lo).alias("lo"), F.col(hi).alias("hi")).filter(F.col("lo") < F.col("hi"))
-    starts = rows.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    island = starts.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    far = running_max(in_order(rows, [*key, "lo", "hi"]), key, F.col("hi"), "__far")
+    begins = F.when(F.coalesce(F.col("lo") > F.col("__far"), F.lit(True)), F.col("lo"))
+    return running_max(far, key, begins, "__island", inclusive=True).groupBy(*key, "__island").agg(F.max("hi").alias("hi")).withColumnRenamed("__island", "lo").select(*key, "lo", "hi")
 
 
 def check_foreign_key_period(child: DataFrame, parent: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
-    """Child rows whose range the union of the parent's ranges of the same key does not cover. Empty and NULL ranges pass."""
-    cover = merged_ranges(parent, key, lo, hi).withColumnsRenamed({"lo": "__lo", "hi": "__hi"} | {k: f"__{k}" for k in key})
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in key])
+    """Child rows whose range the union of the parent's ranges of the same key does not cover. Empty and NULL ranges, and NULL keys, pass.
+
+    Islands and children are put in one order; each child meets the last island that
+    begins at or before it, which is the only one that can cover it.
+    """
     real = child.filter(all_present(key) & (F.col(lo) < F.col(hi)))
-    return real.join(cover, on & (F.col("__lo") <= F.col(lo)) & (F.col(hi) <= F.col("__hi")), "left_anti")
+    own = F.struct(*real.columns)
+    kind = real.select(own.alias("r")).schema["r"].dataType
+    cover = merged_ranges(parent, key, lo, hi).select(*key, F.col("lo").alias("__lo"), F.lit(0).alias("__child"), F.col("hi").alias("__hi"), F.lit(None).cast(kind).alias("__row"))
+    asked = real.select(*key, F.col(lo).alias("__lo"), F.lit(1).alias("__child"), F.lit(None).cast(cover.schema["__hi"].dataType).alias("__hi"), own.alias("__row"))
+    placed = in_order(cover.unionByName(asked), [*key, "__lo", "__child"])
+    # islands of a key are apart, so the last one also ends last
+    met = running_max(placed, key, F.col("__hi"), "__end").filter("__child = 1")
+    return met.filter(F.col("__end").isNull() | (F.col(f"__row.{hi}") > F.col("__end"))).select("__row.*")
 
 
 def check_without_overlaps(df: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
-    """Rows whose range begins inside an earlier row's range of the same key: a running maximum, not a join."""
-    before = Window.partitionBy(*key).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    """Rows whose range begins inside an earlier row's range of the same key: a running maximum over all partitions, not a join."""
     real = df.filter(all_present(key) & (F.col(lo) < F.col(hi)))
-    return real.withColumn("__far", F.max(hi).over(before)).filter(F.col(lo) < F.col("__far")).drop("__far")
+    return unplaced(running_max(in_order(real, [*key, lo, hi]), key, F.col(hi), "__far").filter(F.col(lo) < F.col("__far")).drop("__far"))
+
+
+#: Rows of a bin of ranges, and the most bins.
+BIN_ROWS, MOST_BINS = 500, 10_000
+
+
+def _binned(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``rows`` once for each bin (``__bin``) that their range meets, with their first bin ``__first``.
+
+    Cuts are quantiles of where ranges begin, so dense stretches have narrow bins. Empty and NULL ranges are left out.
+    """
+    real = rows.filter(F.col(lo) < F.col(hi))
+    bins = max(1, min(MOST_BINS, real.count() // BIN_ROWS))
+    plain = lambda c: c if real.schema[lo].dataType.simpleString() not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(c.cast("timestamp"))
+    cuts = sorted(set(real.select(F.percentile_approx(plain(F.col(lo)), [k / bins for k in range(1, bins)], 10_000)).first()[0] or ())) if bins > 1 else []
+    if not cuts:
+        return real.withColumns({"__first": F.lit(0), "__bin": F.lit(0)})
+    marks = rows.sparkSession.createDataFrame([(cuts,)], f"__cuts array<{real.select(plain(F.col(lo)).alias('v')).schema['v'].dataType.simpleString()}>")
+    first = place_in(F.col("__cuts"), len(cuts), lambda c: c <= plain(F.col(lo)))
+    last = place_in(F.col("__cuts"), len(cuts), lambda c: c < plain(F.col(hi)))
+    met = real.join(F.broadcast(marks)).withColumns({"__first": first, "__last": last}).drop("__cuts")
+    return met.withColumn("__bin", F.explode(F.sequence("__first", "__last"))).drop("__last")
 
 
 def check_exclusion(df: DataFrame, identity: str, elements: list[tuple[str, str]], where: Column | str | None = None) -> DataFrame:
     """``id_a, id_b``: pairs for which every element's operator holds.
 
-    An element is (column, ``=``/``<>``) or (``lo,hi``, ``&&``). Equal elements are
-    the join key, the others its residual; a NULL makes no conflict. The constraint
-    forbids the pairs, so a table near validity has few.
+    An element is (column, ``=``/``<>``) or (``lo,hi``, ``&&``). Equal elements and the bins of
+    the first range are the join key, the others its residual: a range is in all bins that
+    it meets, and a pair is reported in the first that both meet, so neither a table without
+    equal elements nor a hot key is compared pair by pair. A NULL makes no conflict. The constraint
+    forbids the pairs, so a table near validity has few. With ``<>`` alone nearly all pairs are the result.
     """
     rows = df if where is None else df.filter(holds(where))
     used = {c for e, _ in elements for c in e.split(",")}
-    a, b = (rows.select(F.col(identity).alias(f"id_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in used]) for s in "ab")
+    ranges = [e for e, op in elements if op == "&&"]
+    rows = rows.select(identity, *[c for c in used if c != identity])
+    if ranges:
+        rows = _binned(rows, *ranges[0].split(","))
+    a, b = (rows.select(F.col(identity).alias(f"id_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in (*used, *(("__first", "__bin") if ranges else ()))]) for s in "ab")
     on = F.col("id_a") < F.col("id_b")
+    if ranges:
+        on &= (F.col("a___bin") == F.col("b___bin")) & (F.col("a___bin") == F.greatest("a___first", "b___first"))
     for expression, op in elements:
         if op == "&&":
             lo, hi = expression.split(",")
@@ -128,21 +174,91 @@ def check_exclusion(df: DataFrame, identity: str, elements: list[tuple[str, str]
     return a.join(b, on).select("id_a", "id_b")
 
 
-def delete_with_references(parent: DataFrame, keys: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]], on_delete: str = "restrict", default=None) -> dict[str, DataFrame]:
-    """Delete parents and act on each child (frame, column): restrict, cascade, set null or set default."""
-    gone = keys.select(F.col(key).alias("__gone")).distinct()
-    out = {"parent": parent.join(gone, F.col(key) == F.col("__gone"), "left_anti")}
-    for name, (child, c) in children.items():
-        hit = F.col(c) == F.col("__gone")
-        if on_delete in ("restrict", "no action"):
-            if not child.join(gone, hit, "left_semi").isEmpty():
-                raise Refused(f"{name} still refers to a deleted key")
-            out[name] = child
-        elif on_delete == "cascade":
-            out[name] = child.join(gone, hit, "left_anti")
-        else:
-            value = F.lit(default if on_delete == "set default" else None).cast(child.schema[c].dataType)
-            out[name] = child.join(gone, hit, "left").withColumn(c, F.when(F.col("__gone").isNotNull(), value).otherwise(F.col(c))).drop("__gone")
+@dataclass(frozen=True)
+class Reference:
+    """A foreign key: ``columns`` of ``child`` refer to ``refs`` of ``parent``; ``default`` has a value for each column (for ``set default``)."""
+
+    child: str
+    columns: tuple[str, ...]
+    parent: str
+    refs: tuple[str, ...]
+    on_delete: str = "no action"
+    default: tuple = ()
+
+
+ACTIONS = ("no action", "restrict", "cascade", "set null", "set default")
+
+
+def _referring(reference: Reference, child: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``child`` that refer to rows of ``gone``, by MATCH SIMPLE."""
+    keys = gone.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(reference.refs)]).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{i}") for i, c in enumerate(reference.columns)])
+    return child.join(keys, on, "left_semi")
+
+
+def delete_with_references(tables: dict[str, tuple[DataFrame, list[str]]], references: list[Reference], table: str, keys: DataFrame, most_rounds: int = 10_000) -> dict[str, DataFrame]:
+    """All ``tables`` after the rows of ``table`` with ``keys`` are deleted and every reference has acted.
+
+    ``tables`` has a frame and its primary key by name. ``cascade`` deletes the rows that
+    refer, and what refers to them, through all levels and tables, a table that refers to
+    itself included, until nothing is new. Then ``set null`` and ``set default`` change the
+    rows that stay. Checks come last: ``restrict`` refuses if any row referred to a deleted
+    one, even one that went itself, ``no action`` if one that stays does, ``set default`` if the default
+    is not in the parent. NULLs refer to nothing. A column that an action sets must not
+    be referred to itself.
+
+    A round joins the keys that are new with the references alone and stages them; rounds are as many as
+    the longest chain of cascades.
+    """
+    names = {r.on_delete for r in references} - set(ACTIONS)
+    if names:
+        raise Refused(f"no action {names}")
+    if bad := [r for r in references for q in references if r.on_delete.startswith("set") and q.parent == r.child and set(q.refs) & set(r.columns)]:
+        raise Refused(f"a column that is referred to would be set: {bad[0].columns}")
+    used = {n: {*pk, *(c for r in references if r.child == n for c in r.columns), *(c for r in references if r.parent == n for c in r.refs)} for n, (_, pk) in tables.items()}
+    narrow = {n: settled(df.select(*sorted(used[n])), "references") for n, (df, _) in tables.items()}
+    pk = {n: key for n, (_, key) in tables.items()}
+    cascades = [r for r in references if r.on_delete == "cascade"]
+    front = {table: settled(narrow[table].join(keys.select(*pk[table]).distinct(), pk[table], "left_semi"), "deleted")}
+    gone = dict(front)
+    for _ in range(most_rounds):
+        met: dict[str, DataFrame] = {}
+        for r in cascades:
+            if r.parent in front:
+                hit = _referring(r, narrow[r.child], front[r.parent])
+                met[r.child] = hit if r.child not in met else met[r.child].unionByName(hit)
+        front = {}
+        for n, hit in met.items():
+            new = hit.distinct() if n not in gone else hit.distinct().join(gone[n].select(*pk[n]), pk[n], "left_anti")
+            new = settled(new.select(*narrow[n].columns), "deleted")
+            if not new.isEmpty():
+                front[n] = new
+                gone[n] = new if n not in gone else gone[n].unionByName(new)
+        if not front:
+            break
+    else:
+        raise Refused("too many rounds")
+    kept = lambda n, df: df if n not in gone else df.join(gone[n].select(*pk[n]), pk[n], "left_anti").select(*df.columns)
+    out = {n: kept(n, df) for n, (df, _) in tables.items()}
+    for r in references:
+        if r.parent not in gone or r.on_delete == "cascade":
+            continue
+        rows = narrow[r.child] if r.on_delete == "restrict" else kept(r.child, narrow[r.child])
+        if r.on_delete in ("restrict", "no action"):
+            if not _referring(r, rows, gone[r.parent]).isEmpty():
+                raise Refused(f"{r.child} refers to a deleted row of {r.parent}")
+            continue
+        # which rows change is found in the references as they were, so two actions on one row do not meet
+        hit = _referring(r, rows, gone[r.parent]).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(pk[r.child])], F.lit(True).alias("__hit")).distinct()
+        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(pk[r.child])])
+        values = dict(zip(r.columns, r.default if r.on_delete == "set default" else (None,) * len(r.columns), strict=True))
+        if r.on_delete == "set default" and None not in values.values() and not hit.isEmpty():
+            there = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(r.refs, values.values(), strict=True)])
+            if kept(r.parent, narrow[r.parent]).filter(there).isEmpty():
+                raise Refused(f"the default is not in {r.parent}")
+        old = out[r.child]
+        changed = old.join(hit, on, "left")
+        out[r.child] = changed.select(*[(F.when(F.col("__hit"), F.lit(values[c]).cast(old.schema[c].dataType)).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in old.columns])
     return out
 
 

@@ -169,20 +169,20 @@ def view_impact(edges: DataFrame, roots: DataFrame, bound: int = 32) -> DataFram
     """``view, depth``: what to rebuild when ``roots`` (``relation``) change; the depth is the longest path, deepest dropped first.
 
     ``edges``: ``view`` reads ``relation``. Levels are joined until none is new;
-    beyond ``bound`` levels the edges have a cycle and the call is refused.
+    views deeper than ``bound`` are refused, as are edges with a cycle, which have no end.
     """
     from ..functions.staging import settled
 
     level = roots.select(F.col("relation").alias("view")).distinct()
     found = None
-    for depth in range(1, bound + 1):
+    for depth in range(1, bound + 2):
         level = settled(edges.join(level.withColumnRenamed("view", "relation"), "relation").select("view").distinct(), "views")
         if level.isEmpty():
             break
+        if depth > bound:
+            raise Refused("the views do not end")
         at = level.withColumn("depth", F.lit(depth))
         found = at if found is None else found.unionByName(at)
-    else:
-        raise Refused("the views do not end")
     if found is None:
         return edges.select("view", F.lit(0).alias("depth")).limit(0)
     return found.groupBy("view").agg(F.max("depth").alias("depth"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import column, holds
-from ..functions.ranks import global_rank
+from ..functions.ranks import global_rank, in_order, running_max
+from ..functions.staging import settled
+from .changes import Refused
 
 
 def numbered_batches(df: DataFrame, key: list[str], n: int, where: Column | str = "true") -> DataFrame:
@@ -35,32 +37,46 @@ def grouped_batches(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
 def byte_budget_batches(df: DataFrame, group: str, key: str, bytes_: str, budget: int, n: int) -> DataFrame:
     """``group, batch, first_key, last_key, rows, bytes``: cut before the key that passes the budget, at ``n`` keys, never empty.
 
-    The cut depends on all cuts before, so a group's keys and sizes are read in order
-    as a stream in one task; rows themselves are not moved.
+    A cut depends on all cuts before it in the group, yet no group is read in one task.
+    Keys get places and sums of bytes in one order over all partitions. The batch that would begin at
+    a place ends where the sum passes its own by the budget, which is found for all places by sorting
+    sums and limits together. The cuts are the places reached from each group's first, by pointers
+    that double: rounds are the logarithm of the most batches of a group. Rows themselves are not moved.
+    A NULL size counts 0; negative ones are refused.
     """
-    import pyarrow as pa
-
-    def cut(batches):
-        state = None  # group, number, first key, last key, rows, bytes
-        for batch in batches:
-            out = []
-            for g, k, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if state and (state[0] != g or state[4] >= n or state[5] + size > budget):
-                    out.append(tuple(state))
-                    state = [g, state[1] + 1 if state[0] == g else 1, k, k, 1, size]
-                elif state:
-                    state[3], state[4], state[5] = k, state[4] + 1, state[5] + size
-                else:
-                    state = [g, 1, k, k, 1, size]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in state], names=names)
-
-    names = [group, "batch", "first_key", "last_key", "rows", "bytes"]
-    kinds = [df.schema[c].dataType.simpleString() for c in (group, key)]
-    rows = df.select(F.col(group), F.col(key), F.col(bytes_).cast("long")).repartition(group).sortWithinPartitions(group, key)
-    return rows.mapInArrow(cut, f"{group} {kinds[0]}, batch long, first_key {kinds[1]}, last_key {kinds[1]}, rows long, bytes long")
+    if not df.filter(F.col(bytes_) < 0).isEmpty():
+        raise Refused("a size is negative")
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.coalesce(F.col(bytes_).cast("long"), F.lit(0)).alias("size"))
+    placed = in_order(rows, ["g", "k", "size"])
+    inside = Window.partitionBy("__part").orderBy("__at")
+    per_part = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    before = Window.orderBy("__part")
+    offsets = per_part.select("__part", (F.sum("n").over(before) - F.col("n")).alias("__n"), (F.sum("s").over(before) - F.col("s")).alias("__s"))
+    summed = placed.withColumn("__own", F.sum("size").over(inside)).join(F.broadcast(offsets), "__part")
+    at = settled(summed.select("g", "k", "size", (F.col("__n") + F.col("__at")).alias("place"), (F.col("__s") + F.col("__own")).alias("upto")), "budget")
+    ends = settled(at.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")), "budget")
+    # sums before limits of the same value: all places whose sum is within the limit are passed
+    sums = at.select(F.col("upto").alias("v"), F.lit(0).alias("asks"), "place")
+    limits = at.select((F.col("upto") - F.col("size") + budget).alias("v"), F.lit(1).alias("asks"), "place")
+    order = in_order(sums.unionByName(limits), ["v", "asks", "place"])
+    met = running_max(order, [], F.when(F.col("asks") == 0, F.col("place")), "fits").filter("asks = 1").select("place", "fits")
+    stop = F.least(F.greatest(F.col("fits"), F.col("place")), F.col("place") + (n - 1), F.col("last")) + 1
+    found = at.join(met, "place").join(ends.withColumnRenamed("g", "e_g"), F.col("g").eqNullSafe(F.col("e_g")))
+    stops = settled(found.select("place", "g", F.col("k").alias("first_key"), (F.col("upto") - F.col("size")).alias("begin"), stop.alias("stop"), "first", "last"), "budget")
+    jumps = stops.filter("stop <= last").select("place", F.col("stop").alias("to"))
+    cuts = ends.select(F.col("first").alias("place"))
+    while True:
+        reached = cuts.join(jumps, "place").select(F.col("to").alias("place"))
+        cuts = settled(cuts.unionByName(reached).distinct(), "cuts")
+        jumps = settled(jumps.join(jumps.select(F.col("place").alias("to"), F.col("to").alias("next")), "to").select("place", F.col("next").alias("to")), "jumps")
+        if jumps.isEmpty():
+            break
+    tail = at.select((F.col("place") + 1).alias("stop"), F.col("k").alias("last_key"), F.col("upto").alias("end"))
+    whole = stops.join(cuts, "place").join(tail, "stop")
+    ranked = global_rank(whole, ["place"], "rank")
+    firsts = ranked.filter("place = first").select(F.col("first").alias("f_first"), F.col("rank").alias("f_rank"))
+    numbered = ranked.join(firsts, F.col("first") == F.col("f_first"))
+    return numbered.select(F.col("g").alias(group), (F.col("rank") - F.col("f_rank") + 1).alias("batch"), "first_key", "last_key", (F.col("stop") - F.col("place")).alias("rows"), (F.col("end") - F.col("begin")).alias("bytes"))
 
 
 def upper_bound(df: DataFrame, key: str) -> DataFrame:
@@ -96,9 +112,3 @@ def commit_reasons(batches: DataFrame, interval_ms: int, cap: int) -> DataFrame:
     """``reason, batches`` of ``rows, elapsed_ms, waiters, group_end, final``: a waiter before the interval, then the cap."""
     reason = F.when(F.col("waiters") > 0, "lock_waiter").when(F.col("elapsed_ms") >= interval_ms, "interval").when(F.col("rows") >= cap, "batch_cap").when(column("group_end"), "group_end").otherwise("final")
     return batches.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("batches"))
-
-
-def last_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row per keys."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")

@@ -33,6 +33,12 @@ def d3(spark, d):
     return C.insert_rows(table(spark, d, "orders"), orders_delta(spark, d), "skip", KEY)
 
 
+@query("d3_refused_keys", "SELECT o_orderkey, 'given twice' AS why FROM orders_dups WHERE o_totalprice > 50000 GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT o_orderkey, 'in the target' FROM orders_dups WHERE o_totalprice > 50000 AND o_orderkey % 3 = 0")
+def d3_refused(spark, d):
+    """Why an insert of rows with repeated keys is refused, under a partial key; skipping refuses those given twice all the same."""
+    return C.insert_refusals(table(spark, d, "orders").filter("o_orderkey % 3 = 0"), orders_dups(spark, d), KEY, "refuse", "o_totalprice > 50000")
+
+
 @query("d4_upsert_columns", f"SELECT o.* REPLACE (CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_totalprice ELSE o.o_totalprice END AS o_totalprice) FROM orders o LEFT JOIN orders_delta s ON o.o_orderkey = s.o_orderkey UNION ALL SELECT {PICK} FROM orders_delta WHERE {NOT_IN}")
 def d4(spark, d):
     return C.insert_rows(table(spark, d, "orders"), orders_delta(spark, d), "update", KEY, ["o_totalprice"])

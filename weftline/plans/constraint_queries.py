@@ -65,17 +65,51 @@ def c11(spark, d):
     return C.check_exclusion(s, "event_id", [("user_id", "="), ("lo,hi", "&&"), ("event_type", "<>")])
 
 
+@query("c11_exclusion_without_equal", "WITH s AS (SELECT event_id, event_type, ts AS lo, ts + to_seconds(CAST(event_id % 5 AS INTEGER) * 20) AS hi FROM events) SELECT a.event_id AS id_a, b.event_id AS id_b FROM s a JOIN s b ON a.event_type <> b.event_type AND a.event_id < b.event_id AND a.lo < b.hi AND b.lo < a.hi AND a.lo < a.hi AND b.lo < b.hi")
+def c11b(spark, d):
+    """No element is an equality: ranges meet in bins of time alone."""
+    s = table(spark, d, "events").select("event_id", "event_type", F.col("ts").alias("lo"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 5 * 20).cast("decimal(18,6)"))).alias("hi"))
+    return C.check_exclusion(s, "event_id", [("lo,hi", "&&"), ("event_type", "<>")])
+
+
+def _deleted(spark, d, action):
+    c = table(spark, d, "customer")
+    tables = {"customer": (c, ["c_custkey"]), "orders": (table(spark, d, "orders"), ["o_orderkey"])}
+    made_by = C.Reference("orders", ("o_custkey",), "customer", ("c_custkey",), action)
+    return C.delete_with_references(tables, [made_by], "customer", c.filter("c_custkey % 9 = 0"))["orders"]
+
+
 @query("c12_delete_set_null", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0) THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
 def c12(spark, d):
-    c = table(spark, d, "customer")
-    out = C.delete_with_references(c, c.filter("c_custkey % 9 = 0"), "c_custkey", {"orders": (table(spark, d, "orders"), "o_custkey")}, "set null")
-    return out["orders"].select("o_orderkey", "o_custkey")
+    return _deleted(spark, d, "set null").select("o_orderkey", "o_custkey")
 
 
 @query("c12_delete_cascade", "SELECT * FROM orders WHERE o_custkey % 9 <> 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def c12b(spark, d):
-    c = table(spark, d, "customer")
-    return C.delete_with_references(c, c.filter("c_custkey % 9 = 0"), "c_custkey", {"orders": (table(spark, d, "orders"), "o_custkey")}, "cascade")["orders"]
+    return _deleted(spark, d, "cascade")
+
+
+@query("c12_delete_levels", """WITH RECURSIVE gone(k) AS (SELECT c_custkey FROM customer WHERE c_custkey IN (2, 7) UNION SELECT c_custkey FROM customer JOIN gone ON c_custkey // 3 = k AND c_custkey > 2),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM gone)), c AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone))
+SELECT 'customer' AS "table", c_custkey AS key, CASE WHEN c_custkey > 2 AND c_custkey // 3 IN (SELECT c_custkey FROM customer) THEN c_custkey // 3 END AS reference FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone)
+UNION ALL SELECT 'orders', o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'events', event_id, CASE WHEN user_id IN (SELECT k FROM gone) THEN 1 ELSE user_id END FROM events""")
+def c12c(spark, d):
+    """Two customers go: with them all whom they referred, through all levels, their orders and the lines of those; events change to customer 1."""
+    customer = table(spark, d, "customer").withColumn("referrer", F.when(F.col("c_custkey") > 2, F.expr("c_custkey div 3")))
+    customer = customer.join(customer.select(F.col("c_custkey").alias("referrer"), F.lit(True).alias("there")), "referrer", "left").select("c_custkey", F.when(F.col("there"), F.col("referrer")).alias("referrer"))
+    events = table(spark, d, "events").select("event_id", "user_id")
+    tables = {"customer": (customer, ["c_custkey"]), "orders": (table(spark, d, "orders"), ["o_orderkey"]), "lineitem": (table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]), "events": (events, ["event_id"])}
+    references = [
+        C.Reference("customer", ("referrer",), "customer", ("c_custkey",), "cascade"),
+        C.Reference("orders", ("o_custkey",), "customer", ("c_custkey",), "cascade"),
+        C.Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",), "cascade"),
+        C.Reference("events", ("user_id",), "customer", ("c_custkey",), "set default", (1,)),
+    ]
+    out = C.delete_with_references(tables, references, "customer", customer.filter("c_custkey IN (2, 7)"))
+    long = lambda name, key, ref: out[name].select(F.lit(name).alias("table"), F.col(key).cast("long").alias("key"), F.col(ref).cast("long").alias("reference"))
+    return long("customer", "c_custkey", "referrer").unionByName(long("orders", "o_orderkey", "o_custkey")).unionByName(long("lineitem", "l_orderkey", "l_linenumber")).unionByName(long("events", "event_id", "user_id"))
 
 
 @query("c13_policy_write", "SELECT * FROM orders_holes WHERE (o_totalprice > 200000) IS NOT TRUE")
@@ -95,9 +129,11 @@ def c15(spark, d):
     return C.quarantine(o, F.size("failed") > 0)[1].select("o_orderkey", "failed")
 
 
-@query("c16_constraint_impact", "SELECT 'pk' || CAST(n_regionkey AS VARCHAR) AS object, 'fk' || CAST(n_nationkey AS VARCHAR) AS blocked_by, 'key' AS kind FROM nation UNION ALL SELECT 'r' || CAST(n_regionkey AS VARCHAR), 'fk' || CAST(n_nationkey AS VARCHAR), 'table' FROM nation UNION ALL SELECT 'r' || CAST(n_regionkey AS VARCHAR), 'v' || n_name, 'view' FROM nation")
+@query("c16_constraint_impact", "SELECT 'pk' || CAST(c_custkey AS VARCHAR) AS object, 'fk' || CAST(o_orderkey AS VARCHAR) AS blocked_by, 'key' AS kind FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'fk' || CAST(o_orderkey AS VARCHAR), 'table' FROM orders UNION ALL SELECT 'o' || CAST(l_orderkey AS VARCHAR), 'v' || CAST(l_partkey AS VARCHAR), 'view' FROM lineitem")
 def c16(spark, d):
-    n = table(spark, d, "nation")
-    keys = table(spark, d, "region").selectExpr("'r' || CAST(r_regionkey AS string) AS table", "'pk' || CAST(r_regionkey AS string) AS name")
-    fks = n.selectExpr("'fk' || CAST(n_nationkey AS string) AS name", "'n' || CAST(n_nationkey AS string) AS table", "'r' || CAST(n_regionkey AS string) AS ref_table", "'pk' || CAST(n_regionkey AS string) AS ref_constraint")
-    return C.constraint_impact(keys, fks, n.selectExpr("'v' || n_name AS view", "'r' || CAST(n_regionkey AS string) AS relation"))
+    """A catalogue in which each customer is a table with a key, each order one that refers to it, and parts are views over orders."""
+    o = table(spark, d, "orders")
+    keys = table(spark, d, "customer").selectExpr("'c' || CAST(c_custkey AS string) AS table", "'pk' || CAST(c_custkey AS string) AS name")
+    fks = o.selectExpr("'fk' || CAST(o_orderkey AS string) AS name", "'o' || CAST(o_orderkey AS string) AS table", "'c' || CAST(o_custkey AS string) AS ref_table", "'pk' || CAST(o_custkey AS string) AS ref_constraint")
+    views = table(spark, d, "lineitem").selectExpr("'v' || CAST(l_partkey AS string) AS view", "'o' || CAST(l_orderkey AS string) AS relation")
+    return C.constraint_impact(keys, fks, views)

@@ -31,6 +31,13 @@ def p1b(spark, d):
     return hashed.groupBy(F.col("list").alias("partition"), "sub").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("p1_route_table", "SELECT o_orderkey, coalesce('p' || CAST(c_custkey AS VARCHAR), 'rest') AS partition FROM orders LEFT JOIN customer ON o_custkey >= c_custkey AND o_custkey < c_custkey + 1 AND c_custkey % 3 < 2")
+def p1c(spark, d):
+    """A range for two of three customers: as many bounds as the table has."""
+    bounds = table(spark, d, "customer").filter("c_custkey % 3 < 2").selectExpr("'p' || CAST(c_custkey AS string) AS partition", "'range' AS kind", "c_custkey AS lo", "c_custkey + 1 AS hi")
+    return P.route_rows(table(spark, d, "orders"), "o_custkey", bounds, "rest").select("o_orderkey", "partition")
+
+
 @query("p2_check_attach", "SELECT o_orderkey, o_totalprice FROM orders_holes WHERE (o_totalprice >= 100000 AND o_totalprice < 300000) IS NOT TRUE")
 def p2(spark, d):
     return P.check_attach(orders_holes(spark, d), "o_totalprice", RANGES["mid"]).select("o_orderkey", "o_totalprice")
@@ -71,14 +78,28 @@ def p8(spark, d):
     return P.chunk_catalog(table(spark, d, "events"), "ts", "1 day")
 
 
-@query("p9_set_chunk_interval", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' THEN date_trunc('day', ts)::TIMESTAMP ELSE time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') END AS chunk_start, count(*) AS rows FROM events GROUP BY 1")
+@query("p9_set_chunk_interval", """WITH c AS (SELECT DISTINCT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS lo FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00'),
+g AS (SELECT ts, time_bucket(INTERVAL '5 days', ts, TIMESTAMP '1970-01-01') AS s FROM events)
+SELECT coalesce(c.lo, greatest(s, (SELECT max(lo) FROM c WHERE lo <= ts) + INTERVAL 7 DAY)) AS chunk_start, coalesce(c.lo + INTERVAL 7 DAY, least(s + INTERVAL 5 DAY, coalesce((SELECT min(lo) FROM c WHERE lo > ts), s + INTERVAL 5 DAY))) AS chunk_end, count(*) AS rows FROM g LEFT JOIN c ON ts >= c.lo AND ts < c.lo + INTERVAL 7 DAY GROUP BY 1, 2""")
 def p9(spark, d):
-    return P.set_chunk_interval(table(spark, d, "events"), "ts", "1 day", "12 hours", "2024-01-15 00:00:00").groupBy("chunk_start").agg(F.count(F.lit(1)).alias("rows"))
+    """Chunks of seven days are there up to the middle of the month; what lies outside them goes to new ones of five days, the first of which is cut."""
+    events = table(spark, d, "events")
+    chunks = P.chunk_catalog(events.filter("ts < TIMESTAMP_NTZ '2024-01-15 12:00:00'"), "ts", "7 days")
+    return P.set_chunk_interval(events, "ts", chunks, "5 days").groupBy("chunk_start", "chunk_end").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("p10_retention", f"SELECT count(*) FILTER ({DAY} + INTERVAL 1 DAY <= TIMESTAMP '2024-01-13 06:00:00') AS rows_dropped, count(DISTINCT {DAY}) FILTER ({DAY} + INTERVAL 1 DAY <= TIMESTAMP '2024-01-13 06:00:00') AS chunks_dropped FROM events")
 def p10(spark, d):
-    return P.retention(table(spark, d, "events"), "ts", "1 day", "7 days", "2024-01-20 06:00:00", data_loss_ok=True)[1]
+    return P.retention(table(spark, d, "events"), "ts", "1 day", "7 days", "2024-01-20 06:00:00", data_loss_ok=True)[1].drop("rows_without_time")
+
+
+@query("p10_rows_without_time", f"WITH e AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN ts END AS ts FROM events), o AS (SELECT *, coalesce({DAY} + INTERVAL 1 DAY <= TIMESTAMP '2024-01-13 06:00:00', false) AS old FROM e) SELECT 'kept' AS side, event_id FROM o WHERE NOT old UNION ALL SELECT 'without_time', count(*) FROM o WHERE ts IS NULL UNION ALL SELECT 'dropped', count(*) FROM o WHERE old")
+def p10b(spark, d):
+    """A ninth of the rows has no time: they are kept and counted."""
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("ts")).alias("ts"))
+    kept, report = P.retention(e, "ts", "1 day", "7 days", "2024-01-20 06:00:00", data_loss_ok=True, no_time="keep")
+    counted = report.select(F.explode(F.array(F.struct(F.lit("without_time").alias("side"), F.col("rows_without_time").alias("event_id")), F.struct(F.lit("dropped").alias("side"), F.col("rows_dropped").alias("event_id")))).alias("r")).select("r.*")
+    return kept.select(F.lit("kept").alias("side"), "event_id").unionByName(counted)
 
 
 @query("p11_columnstore", "SELECT user_id, event_id, ts FROM events")
@@ -170,12 +191,6 @@ def x5(spark, d):
     return X.shard_stats(table(spark, d, "events"), "user_id", 8, "modulo")
 
 
-@query("x6_rebalance_moves", "WITH s AS (SELECT CAST(user_id % 32 AS INTEGER) AS shard, CAST(user_id % 32 % 3 AS INTEGER) AS node, count(*) AS size FROM events GROUP BY ALL), t AS (SELECT *, least(3, CAST(floor((sum(size) OVER (ORDER BY size DESC, shard) - size) * 4 / sum(size) OVER ()) AS INTEGER)) AS target FROM s) SELECT shard, node, target FROM t WHERE node <> target")
-def x6(spark, d):
-    shards = X.distribute(table(spark, d, "events"), "user_id", 32, "modulo").groupBy("shard", (F.col("shard") % 3).alias("node")).agg(F.count(F.lit(1)).alias("size"))
-    return X.rebalance_moves(shards, 4)
-
-
 @query("x6_salted_heavy_keys", "WITH h AS (SELECT event_type FROM events GROUP BY 1 HAVING count(*) > 0.2 * (SELECT count(*) FROM events)) SELECT event_type, CAST(CASE WHEN event_type IN (SELECT event_type FROM h) THEN event_id % 8 ELSE 0 END AS INTEGER) AS salt, count(*) AS rows FROM events GROUP BY ALL")
 def x6b(spark, d):
     e = table(spark, d, "events")
