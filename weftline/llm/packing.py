@@ -60,8 +60,17 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids before the end id, ascending, and how often each occurs."""
     held = np.sort(ids[:-1], kind="stable")
-    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
-    return held[starts], np.diff(np.append(starts, len(held)))
+    n = len(held)
+    if not n:
+        return held, np.zeros(0, np.int64)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    starts = new.nonzero()[0]
+    counts = np.empty(len(starts), np.int64)
+    counts[-1] = n - starts[-1]
+    np.subtract(starts[1:], starts[:-1], out=counts[:-1])
+    return held[starts], counts
 
 
 def topic(terms: np.ndarray, counts: np.ndarray) -> int:

@@ -52,16 +52,23 @@ def _has_double_space(text: str) -> bool:
 
 
 class _Kept(dict):
-    """Ids by word; a word that is not there is encoded, and kept unless it is long."""
+    """Ids by word; a word that is not there is encoded, and kept unless it is long.
+
+    When half of the words that may be kept are there, they become the old ones, and
+    those that are asked again come back from them; the rest is dropped at the next turn.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
         if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= KEPT_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
