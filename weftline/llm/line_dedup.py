@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import global_rank
-from .common import carried, join_small, restored, stage, without, words
+from .common import carried, drop_staged, join_small, restored, stage, without, words
 
 #: Words that a repeated run needs.
 MIN_WORDS = 50
@@ -51,7 +51,8 @@ def prefix_doubling(lines: DataFrame) -> DataFrame:
     ``ranks[k]`` orders the suffixes by their first ``2**k`` lines (the island's end is
     before all lines), ``sums[k]`` are the words of those. The last rank orders whole
     suffixes: doubling ends when no class splits. A level is a sort of distinct pairs
-    of ranks and a join, of narrow rows; the levels are put together at the end.
+    of ranks and a join, of narrow rows; what it was made of is deleted when it is
+    written, and the levels when they are put together at the end.
     """
     base = stage(repeated_lines(lines).select("row", "doc_id", "island", "line", "words", "rank"), "line-base", codec="lz4")
     level = base.select("row", "island", "line", "rank", F.col("words").cast("long").alias("sum"))
@@ -65,13 +66,21 @@ def prefix_doubling(lines: DataFrame) -> DataFrame:
         ranks = stage(found.repartitionByRange("f_left", "f_right").sortWithinPartitions("f_left", "f_right").withColumn("rank", F.monotonically_increasing_id()), "line-ranks", codec="lz4")
         before, classes = classes, ranks.count()
         if classes == before:
+            drop_staged(pairs)
+            drop_staged(ranks)
             break
         joined = join_small(pairs, ranks, (F.col("left") == F.col("f_left")) & (F.col("right") == F.col("f_right")))
         levels.append(stage(joined.select("row", "island", "line", "rank", "sum"), "line-level", codec="lz4"))
+        drop_staged(pairs)
+        drop_staged(ranks)
         step *= 2
     each = reduce(DataFrame.unionByName, [x.select("row", "line", F.struct(F.lit(k).alias("k"), "rank", "sum").alias("x")) for k, x in enumerate(levels)])
     ladder = each.groupBy("row", "line").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return stage(base.drop("rank").join(ladder, ["row", "line"]).select("row", "doc_id", "island", "line", "words", F.col("x.rank").alias("ranks"), F.col("x.sum").alias("sums")), "line-suffixes", codec="lz4")
+    whole = stage(base.drop("rank").join(ladder, ["row", "line"]).select("row", "doc_id", "island", "line", "words", F.col("x.rank").alias("ranks"), F.col("x.sum").alias("sums")), "line-suffixes", codec="lz4")
+    drop_staged(base)
+    for x in levels[1:]:
+        drop_staged(x)
+    return whole
 
 
 def suffix_array(level: DataFrame) -> DataFrame:
@@ -157,8 +166,11 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     those of the later copies of all maximal repeated runs.
     """
     level = prefix_doubling(lines)
-    runs = maximal_runs(common_prefixes(level, suffix_array(level), min_words)).withColumnsRenamed({"row": "m_row", "line": "m_line"})
-    runs = stage(runs, "line-maximal")
+    placed = suffix_array(level)
+    prefixes = common_prefixes(level, placed, min_words)
+    runs = stage(maximal_runs(prefixes).withColumnsRenamed({"row": "m_row", "line": "m_line"}), "line-maximal")
+    drop_staged(prefixes)
+    drop_staged(placed)
     before = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     inside = level.select("row", "doc_id", "line", "words").join(runs, (F.col("row") == F.col("m_row")) & (F.col("line") == F.col("m_line")), "left").withColumn("upto", F.max(F.col("line") + F.col("length")).over(before)).filter(F.col("line") < F.col("upto")).select("row", "doc_id", "line", "words")
     k = _named(F.col("length"))
@@ -167,6 +179,8 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = asked.join(look, ["row", "line"]).withColumn("left", F.element_at("ranks", F.col("k") + 1)).drop("ranks")
     both = left.join(look.withColumnRenamed("line", "second"), ["row", "second"]).withColumn("right", F.element_at("ranks", F.col("k") + 1))
     both = stage(both.select("row", "doc_id", "line", "length", "left", "right"), "line-intervals")
+    drop_staged(level)
+    drop_staged(runs)
     at = F.struct("doc_id", "row", "line")
     kinds = both.groupBy("length", "left", "right").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     kinds = stage(kinds.withColumnsRenamed({c: f"k_{c}" for c in ("length", "left", "right")}), "line-kinds")
@@ -190,7 +204,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = later_copies(lines.select("row", "doc_id", "line", "words", "id_a", "id_b"), min_words)
     gone = gone.select("row", F.explode(F.sequence("line", F.col("line") + F.col("length") - 1)).alias("line")).distinct()
     places = gone.join(lines.select("row", "line", "pos"), ["row", "line"]).groupBy("row").agg(F.collect_set("pos").alias("q__gone")).withColumnRenamed("row", "q__gone_row")
-    out = join_small(held, stage(places, "line-gone"), F.col("row") == F.col("q__gone_row"), "left")
+    places = stage(places, "line-gone")
+    drop_staged(gone)
+    drop_staged(lines)
+    out = join_small(held, places, F.col("row") == F.col("q__gone_row"), "left")
     split = F.split("text", "\n", -1)
     kept = F.when(F.col("q__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("q__gone", i)), "\n"))
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.size(words(x)) > 0)).cast("long")
