@@ -1,7 +1,8 @@
 """Line dedup over a suffix array of line ids, with DataFrame operations only.
 
-Suffixes begin at lines that repeat and end before the next line that does not, as
-no repeat goes past one. Prefix doubling ranks them by their first 1, 2, 4, ... lines
+Suffixes begin at lines that repeat and end before the next line that does not, or the
+next two neighbours that stand together nowhere else, as no repeat goes past them;
+stretches with too few words for a run are left out. Prefix doubling ranks them by their first 1, 2, 4, ... lines
 until no class splits, which gives the suffix array. The longest common prefixes of
 neighbours in it tell for each line the longest run from there that occurs again;
 those with enough words are the maximal repeated runs. Over their lines, runs of
@@ -45,8 +46,27 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return kept.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line")))
 
 
-def prefix_doubling(lines: DataFrame) -> DataFrame:
-    """``row, doc_id, island, line, words, ranks, sums`` of the lines that repeat.
+def long_stretches(repeated: DataFrame, min_words: int) -> DataFrame:
+    """``repeated`` with its islands cut between neighbours that stand together only once, without those of fewer than ``min_words`` words.
+
+    A repeated run holds no such neighbours, and lies in one stretch; so all runs of ``min_words`` words are left.
+    """
+    by_island = Window.partitionBy("row", "island").orderBy("line")
+    pairs = stage(repeated.withColumn("next", F.lead("rank").over(by_island)), "line-pairs", codec="lz4")
+    again = pairs.filter("next IS NOT NULL").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("a_rank"), F.col("next").alias("a_next"))
+    again = stage(again, "line-again", codec="lz4")
+    marked = join_small(pairs, again, (F.col("rank") == F.col("a_rank")) & (F.col("next") == F.col("a_next")), "left")
+    # an island goes on where the line before stands together with this one elsewhere too
+    begins = F.coalesce(F.lag(F.col("a_rank").isNull()).over(by_island), F.lit(False))
+    cut = marked.withColumn("begins", begins.cast("int")).withColumn("part", F.sum("begins").over(by_island))
+    whole = cut.withColumn("all_words", F.sum("words").over(Window.partitionBy("row", "island", "part")))
+    kept = whole.filter(F.col("all_words") >= min_words)
+    # islands are told apart by the line at which they would begin
+    return kept.withColumn("island", F.min("line").over(Window.partitionBy("row", "island", "part"))).select(*repeated.columns)
+
+
+def prefix_doubling(lines: DataFrame, min_words: int | None = None) -> DataFrame:
+    """``row, doc_id, island, line, words, ranks, sums`` of the lines that repeat; with ``min_words`` in their :func:`long_stretches` alone.
 
     ``ranks[k]`` orders the suffixes by their first ``2**k`` lines (the island's end is
     before all lines), ``sums[k]`` are the words of those. The last rank orders whole
@@ -54,7 +74,8 @@ def prefix_doubling(lines: DataFrame) -> DataFrame:
     of ranks and a join, of narrow rows; what it was made of is deleted when it is
     written, and the levels when they are put together at the end.
     """
-    base = stage(repeated_lines(lines).select("row", "doc_id", "island", "line", "words", "rank"), "line-base", codec="lz4")
+    repeated = repeated_lines(lines).select("row", "doc_id", "island", "line", "words", "rank")
+    base = stage(long_stretches(repeated, min_words) if min_words else repeated, "line-base", codec="lz4")
     level = base.select("row", "island", "line", "rank", F.col("words").cast("long").alias("sum"))
     levels, classes, step = [level], -1, 1
     by_island = Window.partitionBy("row", "island").orderBy("line")
@@ -165,7 +186,7 @@ def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A maximal run is the union of the least runs in it, so the lines under them are
     those of the later copies of all maximal repeated runs.
     """
-    level = prefix_doubling(lines)
+    level = prefix_doubling(lines, min_words)
     placed = suffix_array(level)
     prefixes = common_prefixes(level, placed, min_words)
     runs = stage(maximal_runs(prefixes).withColumnsRenamed({"row": "m_row", "line": "m_line"}), "line-maximal")
