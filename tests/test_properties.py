@@ -54,7 +54,7 @@ def test_merge_is_the_dict_model(spark, seed, rules):
 
 def test_refusals(spark):
     t, s = frame(spark, [(1, 1, "a")]), frame(spark, [(1, 2, "b"), (1, 3, "c")])
-    for bad in (lambda: C.merge_rows(t, s, ["k"]), lambda: C.merge_rows(t, t, ["k"], "nothing", "nothing", "nothing"), lambda: C.insert_rows(t, t, "refuse", ["k"]), lambda: C.backfill(t, {"v": "1"}), lambda: C.insert_identified(t, t, "k"), lambda: E.add_column(t, "x", "int", nullable=False), lambda: E.rename_column(t, "v", "w"), lambda: P.retention(t, "k", "1 day", "1 day", "2024-01-01"), lambda: X.distribute(frame(spark, [(None, 1, "a")]), "k", 4), lambda: X.colocated_join(t, t.withColumn("k", F.col("k").cast("long")), "k", 2), lambda: S.import_tables(spark, "", [], ["a"], ["b"]), lambda: S.literal_rows(spark, ["k"], [[1, 2]], t.schema), lambda: D.replica_identity(D.snapshot_diff(t, s.limit(1), ["k"]), "nothing", ["k"]), lambda: V.ivf(t, 0)):
+    for bad in (lambda: C.merge_rows(t, s, ["k"]), lambda: C.merge_rows(t, t, ["k"], "nothing", "nothing", "nothing"), lambda: C.insert_rows(t, t, "refuse", ["k"]), lambda: C.backfill(t, {"v": "1"}), lambda: C.insert_identified(t, t, "k"), lambda: E.add_column(t, "x", "int", nullable=False), lambda: E.rename_column(t, "v", "w"), lambda: P.retention(t, "k", "1 day", "1 day", "2024-01-01"), lambda: X.distribute(frame(spark, [(None, 1, "a")]), "k", 4), lambda: X.colocated_join(t, t.withColumn("k", F.col("k").cast("long")), "k", 2), lambda: S.import_tables(spark, "", [], ["a"], ["b"]), lambda: S.literal_rows(spark, ["k"], [[1, 2]], t.schema), lambda: D.replica_identity(D.snapshot_diff(t, s.limit(1), ["k"]), "nothing", ["k"]), lambda: V.ivf_write(t, "", 0)):
         with pytest.raises(C.Refused):
             bad()
 
@@ -107,11 +107,96 @@ def test_feed_round_trip(spark):
     assert rows(D.apply_feed(before, feed, ["k"])) == rows(after)
 
 
+@pytest.mark.parametrize("rule", ["skip", "update", "refuse"])
+def test_a_key_given_twice_is_refused(spark, rule):
+    """As is; NULL keys and rows outside the partial key may repeat."""
+    t = frame(spark, [(1, 10, "a"), (2, 20, "b")])
+    with pytest.raises(C.Refused):
+        C.insert_rows(t, frame(spark, [(3, 31, "c"), (3, 32, "d")]), rule, ["k"])
+    with pytest.raises(C.Refused):
+        C.insert_rows(t, frame(spark, [(1, 11, "p"), (1, 12, "p")]), rule, ["k"], conflict_where="w = 'p'")
+    free = [(None, 1, "n"), (None, 2, "n"), (5, 1, "q"), (5, 2, "q")]
+    assert rows(C.insert_rows(t, frame(spark, free), rule, ["k"], conflict_where="w <> 'q'")) == sorted([(1, 10, "a"), (2, 20, "b"), *free], key=repr)
+    why = C.insert_refusals(t, frame(spark, [(1, 1, "x"), (3, 1, "x"), (3, 2, "x"), (4, 1, "x"), (None, 1, "x"), (None, 1, "x")]), ["k"])
+    assert rows(why) == [(1, "in the target"), (3, "given twice")]
+
+
+def test_views_to_the_last_level(spark):
+    chain = lambda n: spark.createDataFrame([(f"v{k}", f"v{k - 1}" if k > 1 else "t") for k in range(1, n + 1)], "view string, relation string")
+    roots = spark.createDataFrame([("t",)], "relation string")
+    assert {(r["view"], r["depth"]) for r in E.view_impact(chain(6), roots, 6).collect()} == {(f"v{k}", k) for k in range(1, 7)}
+    for bad in (chain(7), chain(3).unionByName(spark.createDataFrame([("v1", "v3")], "view string, relation string"))):
+        with pytest.raises(C.Refused):
+            E.view_impact(bad, roots, 6)
+
+
+def test_a_reference_is_a_unique_key(spark):
+    child, parent = frame(spark, [(1, 1, "a"), (9, 2, "b"), (None, 3, "c")]), frame(spark, [(1, 1, "x"), (2, 2, "y"), (None, 1, "z"), (None, 1, "z")])
+    assert rows(K.check_foreign_key(child, ["k"], parent, ["k"])) == [(9, 2, "b")]
+    with pytest.raises(C.Refused):
+        K.check_foreign_key(child, ["k"], parent, ["v"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deletes_are_those_of_a_model(spark, seed):
+    """Three tables, one of which refers to itself, with any action on each reference."""
+    r = random.Random(seed)
+    action = lambda: r.choice(["cascade", "cascade", "set null", "set default", "no action", "restrict"])
+    some = lambda n: r.choice([None, *range(n)])
+    a = {k: [some(k)] for k in range(8)}  # a.up -> a
+    b = {k: [some(8), some(8)] for k in range(12)}  # b.x -> a, b.y -> a
+    c = {k: [some(12)] for k in range(15)}  # c.b -> b
+    acts = [action() for _ in range(4)]
+    edges = [("a", 0, "a", acts[0]), ("b", 0, "a", acts[1]), ("b", 1, "a", acts[2]), ("c", 0, "b", acts[3])]
+    tables = {"a": a, "b": b, "c": c}
+    gone = {"a": set(r.sample(range(1, 8), 2)), "b": set(), "c": set()}
+    while True:
+        new = [(t, k) for t, i, p, act in edges if act == "cascade" for k, v in tables[t].items() if v[i] in gone[p] and k not in gone[t]]
+        if not new:
+            break
+        for t, k in new:
+            gone[t].add(k)
+    first = set(gone["a"])
+    want, refused = {t: {k: list(v) for k, v in rows_.items() if k not in gone[t]} for t, rows_ in tables.items()}, False
+    for t, i, p, act in edges:
+        if act == "cascade":
+            continue
+        hit = [k for k, v in tables[t].items() if v[i] in gone[p] and (act == "restrict" or k not in gone[t])]
+        refused |= bool(hit) and (act in ("no action", "restrict") or act == "set default" and 0 in gone[p])
+        for k in hit:
+            if k in want[t]:
+                want[t][k][i] = 0 if act == "set default" else None
+    start = r.sample(sorted(first), len(first))
+    made = {"a": (frame(spark, [(k, *v) for k, v in a.items()], "id int, up int"), ["id"]), "b": (frame(spark, [(k, *v) for k, v in b.items()], "id int, x int, y int"), ["id"]), "c": (frame(spark, [(k, *v) for k, v in c.items()], "id int, b int"), ["id"])}
+    names = {"a": ["up"], "b": ["x", "y"], "c": ["b"]}
+    references = [K.Reference(t, (names[t][i],), p, ("id",), act, (0,) if act == "set default" else ()) for t, i, p, act in edges]
+    run = lambda: K.delete_with_references(made, references, "a", frame(spark, [(k,) for k in start], "id int"))
+    if refused:
+        with pytest.raises(C.Refused):
+            run()
+        return
+    out = run()
+    assert {t: {x[0]: list(x)[1:] for x in out[t].collect()} for t in out} == want
+
+
+def test_deletes_by_compound_keys_and_chains(spark):
+    """A chain of twelve rows of one table goes whole; a key of two columns with a NULL part refers to nothing."""
+    chain = frame(spark, [(k, k - 1 if k else None, "x") for k in range(12)])
+    out = K.delete_with_references({"t": (chain, ["k"])}, [K.Reference("t", ("v",), "t", ("k",), "cascade")], "t", frame(spark, [(3,)], "k int"))
+    assert {x["k"] for x in out["t"].collect()} == {0, 1, 2}
+    parent, child = frame(spark, [(1, 1, "p"), (1, 2, "p")]), frame(spark, [(10, 1, "a"), (11, 2, "b"), (12, None, "c")]).withColumn("one", F.lit(1))
+    both = K.Reference("child", ("one", "v"), "parent", ("k", "v"), "cascade")
+    out = K.delete_with_references({"parent": (parent, ["k", "v"]), "child": (child, ["k"])}, [both], "parent", frame(spark, [(1, 2)], "k int, v int"))
+    assert {x["k"] for x in out["child"].collect()} == {10, 12} and out["child"].columns == child.columns
+    for bad in ([K.Reference("child", ("one", "v"), "parent", ("k", "v"), "vanish")], [K.Reference("child", ("k",), "parent", ("v",), "set null"), K.Reference("parent", ("k",), "child", ("k",), "cascade")]):
+        with pytest.raises(C.Refused):
+            K.delete_with_references({"parent": (parent, ["k", "v"]), "child": (child, ["k"])}, bad, "parent", parent)
+
+
 def test_layout_is_dealt(spark):
     df = frame(spark, [(k, k % 3, "x") for k in range(100)])
     assert X.placed(df, "k", 6).rdd.getNumPartitions() == 6
     assert set(X.undistribute(X.distribute(df, "k", 4)).columns) == set(df.columns)
-    assert X.rebalance_moves(spark.createDataFrame([(0, 0, 10), (1, 1, 10)], "shard int, node int, size long"), 2).count() == 0
 
 
 def test_written_buckets_join_without_an_exchange(spark):
@@ -182,11 +267,34 @@ def test_late_rows_are_dropped(spark, tmp_path):
     for b in batches:
         spark.createDataFrame([(start + timedelta(minutes=m), "a") for m in b], "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = R.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], "ts timestamp_ntz, kind string").schema, 1)
-    R.write_batches(R.cagg_stream(stream, "ts", "1 hour", ["kind"], [F.count(F.lit(1)).alias("n")], "30 minutes"), f"{tmp_path}/out", f"{tmp_path}/check", {"rows": lambda x: x})
+    R.write_batches(R.cagg_stream(stream, "ts", "1 hour", ["kind"], {"n": F.count(F.lit(1))}, "30 minutes"), f"{tmp_path}/out", f"{tmp_path}/check", {"rows": lambda x: x})
     got = {(r["bucket"] - start).seconds // 3600: r["n"] for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()}
     assert got == {0: 3, 1: 1, 3: 3}
 
 
+@pytest.mark.parametrize("kind", ["session", "sliding"])
+def test_window_streams(spark, tmp_path, kind):
+    """A session spans three batches and a restart, two others are joined by a row between them, and a row for a closed window is late."""
+    from weftline.streaming import streams as R
+
+    start = datetime(2024, 1, 1)
+    schema = "ts timestamp_ntz, kind string"
+    batches = [[0, 100], [25], [50, 75, 140], [90, 120, 300], [10, 700], [701]]  # minutes; 10 comes after all windows of its hour are closed
+    for n, b in enumerate(batches):
+        spark.createDataFrame([(start + timedelta(minutes=m), "a") for m in b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n in (1, 3, 5):  # the stream is started again and goes on from its state
+            stream = R.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1)
+            windows = R.window_stream(stream, "ts", kind, "30 minutes" if kind == "session" else "1 hour", ["kind"], "60 minutes", "30 minutes")
+            R.write_batches(windows, f"{tmp_path}/out", f"{tmp_path}/check", {"rows": lambda x: x})
+    minutes = lambda t: int((t - start).total_seconds() // 60)
+    got = sorted((minutes(r["start"]), minutes(r["end"]), r["rows"]) for r in spark.read.parquet(f"{tmp_path}/out/rows").collect())
+    if kind == "session":
+        assert got == [(0, 170, 8), (300, 330, 1)]
+    else:
+        on_time = [0, 100, 25, 50, 75, 140, 90, 120, 300]
+        assert got == sorted((w, w + 60, n) for w in range(-30, 330, 30) if (n := sum(w <= m < w + 60 for m in on_time)))
+
+
 def test_indexes_differ_by_class_include_and_options(spark):
     cols = "table string, name string, method string, is_unique boolean, columns array<string>, descending array<boolean>, predicate string, opclasses array<string>, include array<string>, options array<string>"
     plain = ("t", "btree", False, ["a", "b"], [False, False], None)

@@ -37,9 +37,10 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert canon([tuple(r) for r in got.collect()], got.columns) == canon(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["v8_ivf_search", "v9_half_knn"])
-def test_lists_find_nine_tenths_of_neighbours(spark, name):
-    large = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["v8_ivf_search", "v9_half_knn", "v9_quantized_knn"])
+def test_nine_tenths_of_neighbours_are_found(spark, name, scale):
+    large = f"/root/testdata/{scale}"
     exact = {(r.q_id, r.id) for r in QUERIES["v7_knn_l2"](spark, large).collect()}
     found = {(r.q_id, r.id) for r in QUERIES[name](spark, large).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
@@ -72,11 +73,14 @@ def test_closure_from_the_first_event_has_all(spark):
 
 
 @pytest.mark.parametrize("search", ["knn", "quantized_knn"])
-def test_neighbours_in_blocks_of_queries(spark, search):
+def test_neighbours_in_blocks_of_queries(spark, monkeypatch, search):
     from weftline.operators import search as V
     from weftline.plans.data_queries import _vectors
 
     q, v = _vectors(spark, DATA)
     rows = lambda df: sorted((r.q_id, r.id, r.dist, r.place) for r in df.collect())
     once = rows(getattr(V, search)(q, v, 5))
-    assert len(once) == 5 * q.count() and rows(getattr(V, search)(q, v.repartition(3), 5, most_queries=3)) == once
+    blocks = {"most_queries": 3} if search == "knn" else {}
+    monkeypatch.setattr(V, "MATRIX_QUERIES", 3)
+    monkeypatch.setattr(V, "HELD", 20)
+    assert len(once) == 5 * q.count() and rows(getattr(V, search)(q, v.repartition(3), 5, **blocks)) == once

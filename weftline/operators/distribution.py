@@ -95,3 +95,35 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 def per_tenant_apply(df: DataFrame, tenant: str, change, schema) -> DataFrame:
     """Run ``change`` (pandas frame to pandas frame) on one tenant's rows at a time; a tenant must fit a task."""
     return df.groupBy(tenant).applyInPandas(change, schema)
+
+
+def per_tenant_batches(df: DataFrame, tenant: str, order: list[str], step, schema: str) -> DataFrame:
+    """Run ``step`` over each tenant's rows in ``order``, an Arrow batch at a time, with state carried from one to the next.
+
+    ``step(state, batch)`` gets None for a tenant's first batch and gives the next state and a
+    batch of ``schema``; batches never span tenants. A tenant's rows are read by one task
+    in order, but only one batch of them is held, so a tenant may be larger than a task's memory.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        state, now, begun = None, None, False
+        for batch in batches:
+            keys = batch.column(tenant).to_pylist()
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if not begun or keys[at] != now:
+                    state, now, begun = None, keys[at], True
+                state, out = step(state, batch.slice(at, to - at))
+                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                at = to
+
+    return df.repartition(tenant).sortWithinPartitions(tenant, *order).mapInArrow(run, schema)
+
+
+def union_fleet(frames: dict[str, DataFrame], provenance: str = "database") -> DataFrame:
+    """One frame of many databases with their name kept."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(provenance, F.lit(n)) for n, df in frames.items()])

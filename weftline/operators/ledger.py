@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.staging import settled
+from ..functions.staging import settled, shared_dir
 from .changes import Refused
 
 #: States of a spec that may be run; of a dependency in any other state but ``applied`` nothing can be ordered.
@@ -75,20 +78,30 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, bound: int = 10_000) -
     """``node, level``: 1 plus the highest level of what a node (``node``) needs (``edges``: ``node, needs``); NULL in or behind a cycle.
 
     A round settles all nodes whose needs are settled; rounds are the depth of the graph.
+    It writes only the nodes that are settled and those that have met some of their needs and
+    wait for others; untouched nodes are not written again.
     """
-    inside = settled(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi"), "levels")
-    counts = nodes.join(inside.groupBy("node").agg(F.count(F.lit(1)).alias("open")), "node", "left")
-    waiting, done, level = settled(counts.select("node", F.coalesce("open", F.lit(0)).alias("open")), "levels"), None, 0
-    while not (front := waiting.filter("open = 0").select("node")).isEmpty():
-        level += 1
-        if level > bound:
+    spark, folder = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/levels-{uuid.uuid4().hex}"
+    nodes = nodes.select("node").distinct()
+    inside = settled(edges.join(nodes.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs"), "levels")
+    counts = settled(nodes.join(inside.groupBy("node").agg(F.count(F.lit(1)).alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")), "levels")
+    schema = T.StructType([counts.schema["node"], T.StructField("open", T.LongType()), T.StructField("met", T.LongType())])
+
+    def written(rows: DataFrame, level: int) -> DataFrame:
+        rows.select("node", F.col("open").cast("long").alias("open"), F.col("met").cast("long").alias("met")).write.parquet(f"{folder}/level={level}")
+        return spark.read.schema(schema).parquet(f"{folder}/level={level}")
+
+    level = 1
+    last = written(counts.filter("open = 0").withColumn("met", F.lit(0)), level)
+    while not (front := last.filter("met = open")).isEmpty():
+        if level >= bound:
             raise Refused("too many levels")
-        at = front.withColumn("level", F.lit(level))
-        done = at if done is None else done.unionByName(at)
-        met = inside.join(front.withColumnRenamed("node", "needs"), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-        waiting = settled(waiting.filter("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "levels")
-    rest = waiting.select("node", F.lit(None).cast("int").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+        hits = inside.join(front.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+        total = last.filter("met < open").select("node", "met").unionByName(hits).groupBy("node").agg(F.sum("met").alias("met"))
+        level += 1
+        last = written(total.join(counts, "node"), level)
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(folder)
+    return nodes.join(every.filter("met = open").select("node", "level"), "node", "left")
 
 
 def _both_sides(edges: DataFrame, bound: int) -> DataFrame:
@@ -177,21 +190,117 @@ def conflict_pairs(specs: DataFrame) -> DataFrame:
     return shared.unionByName(denied)
 
 
+def conflict_classes(specs: DataFrame) -> DataFrame:
+    """``database, level, relation, spec_id, members, links`` of ``spec_id, database, level, relations``: who shares what, without pairs.
+
+    A class are the specs of one level and database that touch one relation, and has
+    ``links`` pairs; each of its specs has a row, so the result is no longer than the relations. Specs without relations (incomplete evidence) are a class
+    with a NULL relation, linked with each other and with all others of their level.
+    """
+    touched = specs.select("database", "level", F.explode(F.array_distinct("relations")).alias("relation"), "spec_id")
+    sizes = touched.groupBy("database", "level", "relation").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    pairs = lambda n: (F.col(n) * (F.col(n) - 1) / 2).cast("long")
+    shared = touched.join(sizes.withColumn("links", pairs("members")), ["database", "level", "relation"])
+    per_level = specs.groupBy("database", "level").agg(F.count_if(F.size("relations") == 0).alias("members"), F.count_if(F.size("relations") > 0).alias("others"))
+    held = per_level.withColumn("links", pairs("members") + F.col("members") * F.col("others")).filter("links > 0")
+    blank = specs.filter(F.size("relations") == 0).select("database", "level", "spec_id").join(held, ["database", "level"])
+    names = ["database", "level", "relation", "spec_id", "members", "links"]
+    return shared.select(*names).unionByName(blank.withColumn("relation", F.lit(None).cast("string")).select(*names))
+
+
+def conflicts_of(specs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``a, b, shared`` for the pairs of the ``asked`` specs (``spec_id``) alone; see :func:`conflict_pairs`."""
+    some = specs.join(asked.select("spec_id").distinct(), "spec_id", "left_semi")
+    own = some.select(F.col("spec_id").alias("x"), "database", "level", F.explode("relations").alias("relation"))
+    rest = specs.select(F.col("spec_id").alias("y"), "database", "level", F.explode("relations").alias("relation"))
+    met = own.join(rest, ["database", "level", "relation"]).select("x", "y", "relation")
+    blank = lambda df, n: df.filter(F.size("relations") == 0).select(F.col("spec_id").alias(n), "database", "level")
+    every = lambda df, n: df.select(F.col("spec_id").alias(n), "database", "level")
+    denied = blank(some, "x").join(every(specs, "y"), ["database", "level"]).select("x", "y").unionByName(every(some, "x").join(blank(specs, "y"), ["database", "level"]).select("x", "y"))
+    both = met.unionByName(denied.withColumn("relation", F.lit(None).cast("string"))).filter("x <> y")
+    return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.array_sort(F.collect_set("relation")).alias("shared"))
+
+
 def relation_closure(relations: DataFrame, fk_edges: DataFrame) -> DataFrame:
     """``spec_id, relation``: what a change touches, and its foreign-key neighbours both ways."""
     both = fk_edges.select("relation", "other").unionByName(fk_edges.select(F.col("other").alias("relation"), F.col("relation").alias("other")))
     return relations.unionByName(relations.join(both, "relation").select("spec_id", F.col("other").alias("relation"))).distinct()
 
 
+#: Largest whole number that every reader of JSON keeps; larger ones are written as text.
+SAFE_INTEGER = (1 << 53) - 1
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string: the two signs and the control characters escaped, all else as it is."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    rest = out
+    for code in range(32):
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
+        rest = F.replace(rest, F.lit(chr(code)), F.lit(short))
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1f]"), rest).otherwise(out), F.lit('"'))
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """The canonical JSON text of a value, by its type; ``null`` for NULL.
+
+    Fields of structs and entries of maps are in the order of their UTF-16 names at every
+    depth. Whole numbers and decimals without a fraction are digits (text beyond 2**53), decimals are text
+    without trailing zeros, times are text of their microseconds (an instant ends in Z, a zoneless time is
+    written out), binary is text in hexadecimal. Floats have no one encoding and are refused, as are other types.
+    """
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
+        parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), canonical(value.getField(f.name), f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        named = lambda k: _quoted(k) if isinstance(kind.keyType, T.StringType) else _quoted(canonical(k, kind.keyType))
+        order = lambda k: F.hex(F.encode(k if isinstance(kind.keyType, T.StringType) else canonical(k, kind.keyType), "UTF-16BE"))
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(order(e["key"]).alias("o"), F.concat(named(e["key"]), F.lit(":"), canonical(e["value"], kind.valueType)).alias("t"))))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: e["t"]), ","), F.lit("}"))
+    elif isinstance(kind, T.BooleanType):
+        text = value.cast("string")
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        text = F.when(value.between(-SAFE_INTEGER, SAFE_INTEGER), value.cast("string")).otherwise(_quoted(value.cast("string")))
+    elif isinstance(kind, T.DecimalType):
+        # a value of a large scale is written with an exponent by a cast, so digits are taken one by one
+        digits = F.regexp_replace(F.format_number(value, kind.scale), ",", "")
+        plain = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
+        plain = F.when(plain.isin("-0", ""), F.lit("0")).otherwise(plain)
+        whole = ~plain.contains(".") & (F.length(plain) < 16)
+        text = F.when(whole, plain).otherwise(_quoted(plain))
+    elif isinstance(kind, T.StringType):
+        text = _quoted(value)
+    elif isinstance(kind, T.BinaryType):
+        text = _quoted(F.lower(F.hex(value)))
+    elif isinstance(kind, T.TimestampType):
+        text = _quoted(F.concat(F.unix_micros(value).cast("string"), F.lit("Z")))
+    elif isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        text = _quoted(value.cast("string"))
+    else:
+        raise Refused(f"no canonical form of {kind.simpleString()}")
+    return F.when(value.isNull(), F.lit("null")).otherwise(text)
+
+
 def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of a row's canonical JSON: columns by name, NULLs kept as absent."""
-    return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    """SHA-256 of a row's canonical JSON (see :func:`canonical`); a NULL column is ``null``."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name.encode("utf-16-be"))
+    parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), canonical(F.col(f"`{f.name}`"), f.dataType)) for f in fields]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """One row ``rows, digest``: a digest of the table that does not depend on the order of rows."""
-    part = F.conv(F.substring(row_digest(df), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias("digest"))
+    """One row ``rows, digest``: a digest of the table that does not depend on the order of rows, columns or nested fields.
+
+    The first 240 bits of each row's digest are four numbers, each summed over the
+    rows; the SHA-256 of the count and the four sums is the table's.
+    """
+    row = df.select(row_digest(df).alias("d"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{k}") for k in range(4)]
+    sums = row.agg(F.count(F.lit(1)).alias("rows"), *lanes)
+    return sums.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[f"s{k}" for k in range(4)]), 256).alias("digest"))
 
 
 def _seconds(begin: str, end: str) -> Column:

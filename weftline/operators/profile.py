@@ -7,16 +7,25 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.predicates import holds
 
 
+def _comparable(c: str, kind: T.DataType) -> Column:
+    """A column that can be ordered and counted: types that hold a map are taken as their JSON text, its entries in order where it is a map itself."""
+    if isinstance(kind, T.MapType) and "map<" not in kind.valueType.simpleString() and "map<" not in kind.keyType.simpleString():
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.col(c)))))
+    return F.to_json(F.col(c)) if "map<" in kind.simpleString() else F.col(c)
+
+
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """``column, rows, nulls, distinct, min, max`` (as text) of every column.
+    """``column, rows, nulls, distinct, min, max`` (as text) of every column; maps by their JSON text.
 
     One aggregation without a shuffle of rows; exact distinct values are then counted
     a column at a time, each in two levels, so rows are not multiplied by columns.
     """
+    df = df.select(*[_comparable(f"`{f.name}`", f.dataType).alias(f.name) for f in df.schema.fields])
     last = [("d", F.approx_count_distinct)] if approximate else []
     row = df.agg(F.count(F.lit(1)).alias("rows"), *[f(F.col(c)).alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, f in [("n", lambda x: F.count_if(x.isNull())), ("lo", lambda x: F.min(x).cast("string")), ("hi", lambda x: F.max(x).cast("string")), *last]])
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("nulls"), (F.col(f"d_{i}") if approximate else F.lit(None).cast("long")).alias("distinct"), F.col(f"lo_{i}").alias("min"), F.col(f"hi_{i}").alias("max")) for i, c in enumerate(df.columns)])

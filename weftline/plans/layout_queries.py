@@ -206,6 +206,23 @@ def x7(spark, d):
     return X.per_tenant_apply(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", placed, "user_id long, event_id long, place long")
 
 
+@query("x7_tenant_batches", "SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS place, CAST(sum(event_id % 11) OVER w AS BIGINT) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def x7_batches(spark, d):
+    """Places and running totals of each tenant, carried over batches."""
+
+    def step(state, batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place, total = state or (0, 0)
+        totals = pc.cumulative_sum(pa.array([e % 11 for e in batch.column("event_id").to_pylist()], pa.int64()), start=total)
+        out = pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), pa.array(range(place + 1, place + 1 + batch.num_rows), pa.int64()), totals], names=["user_id", "event_id", "place", "total"])
+        return (place + batch.num_rows, totals[-1].as_py()), out
+
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return X.per_tenant_batches(events, "user_id", ["ts", "event_id"], step, "user_id long, event_id long, place long, total long")
+
+
 @query("x8_union_fleet", "SELECT database, count(*) AS rows, count(s_name) AS named FROM (SELECT 'customers' AS database, NULL AS s_name FROM customer UNION ALL SELECT 'suppliers', s_name FROM supplier) GROUP BY 1")
 def x8(spark, d):
     return X.union_fleet({"customers": table(spark, d, "customer"), "suppliers": table(spark, d, "supplier")}).groupBy("database").agg(F.count(F.lit(1)).alias("rows"), F.count("s_name").alias("named"))

@@ -105,6 +105,30 @@ def l9(spark, d):
     return L.conflict_pairs(s)
 
 
+SPECS9 = """WITH s AS (SELECT c_custkey, c_nationkey % 3 AS level, 'db' || CAST(c_custkey % 2 AS VARCHAR) AS database, c_custkey % 150 AS r, c_custkey % 77 = 0 AS blank FROM customer),
+x AS (SELECT DISTINCT c_custkey, level, database, unnest(['t' || CAST(r AS VARCHAR), 't' || CAST(r % 70 AS VARCHAR)]) AS relation FROM s WHERE NOT blank)"""
+
+
+def _specs9(spark, d):
+    return table(spark, d, "customer").selectExpr("c_custkey AS spec_id", "c_nationkey % 3 AS level", "'db' || CAST(c_custkey % 2 AS string) AS database", "CASE WHEN c_custkey % 77 = 0 THEN CAST(array() AS array<string>) ELSE array('t' || CAST(c_custkey % 150 AS string), 't' || CAST(c_custkey % 150 % 70 AS string)) END AS relations")
+
+
+@query("l9_conflict_classes", SPECS9 + """, n AS (SELECT database, level, relation, count(*) AS members FROM x GROUP BY ALL HAVING count(*) > 1), b AS (SELECT database, level, count(*) FILTER (blank) AS members, count(*) AS every FROM s GROUP BY ALL)
+SELECT x.database, x.level, x.relation, c_custkey AS spec_id, members, CAST(members * (members - 1) // 2 AS BIGINT) AS links FROM x JOIN n ON x.database = n.database AND x.level = n.level AND x.relation = n.relation
+UNION ALL SELECT s.database, s.level, NULL, c_custkey, members, CAST(members * (members - 1) // 2 + members * (every - members) AS BIGINT) FROM s JOIN b ON s.database = b.database AND s.level = b.level WHERE blank""")
+def l9_classes(spark, d):
+    return L.conflict_classes(_specs9(spark, d))
+
+
+@query("l9_conflicts_of", SPECS9 + """, p AS (SELECT least(a.c_custkey, b.c_custkey) AS a, greatest(a.c_custkey, b.c_custkey) AS b, a.relation FROM x a JOIN x b ON a.database = b.database AND a.level = b.level AND a.relation = b.relation AND a.c_custkey <> b.c_custkey WHERE a.c_custkey IN (5, 77)
+UNION ALL SELECT least(a.c_custkey, b.c_custkey), greatest(a.c_custkey, b.c_custkey), NULL FROM s a JOIN s b ON a.database = b.database AND a.level = b.level AND a.c_custkey <> b.c_custkey AND (a.blank OR b.blank) WHERE a.c_custkey IN (5, 77))
+SELECT a, b, list_sort(list_distinct(coalesce(list(relation) FILTER (relation IS NOT NULL), []))) AS shared FROM p GROUP BY a, b""")
+def l9_of(spark, d):
+    """The pairs of two stated specs, one of which has no relations."""
+    s = _specs9(spark, d)
+    return L.conflicts_of(s, s.filter("spec_id IN (5, 77)"))
+
+
 @query("l10_relation_closure", "WITH r AS (SELECT c_custkey AS spec_id, 'n' || CAST(c_nationkey AS VARCHAR) AS relation FROM customer), f AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS relation, 'r' || CAST(n_regionkey AS VARCHAR) AS other FROM nation UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'n' || CAST(n_nationkey // 2 AS VARCHAR) FROM nation), b AS (SELECT * FROM f UNION ALL SELECT other, relation FROM f) SELECT spec_id, relation FROM r UNION SELECT spec_id, other FROM r JOIN b USING (relation)")
 def l10(spark, d):
     n = table(spark, d, "nation")
@@ -112,11 +136,23 @@ def l10(spark, d):
     return L.relation_closure(table(spark, d, "customer").selectExpr("c_custkey AS spec_id", "'n' || CAST(c_nationkey AS string) AS relation"), f)
 
 
-@query("l11_content_digest", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 12))::BIGINT) AS DECIMAL(38,0)) AS digest FROM orders""")
+_ROW11 = """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'"""
+_LANES11 = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("l11_content_digest", f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || ':' || {_LANES11}) AS digest FROM (SELECT sha256({_ROW11}) AS h FROM orders)")
 def l11(spark, d):
     return L.content_digest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
+@query("l11_row_digests", """SELECT l_orderkey, l_linenumber, sha256('{"a":[' || l_linenumber || ',null],"m":{"k1":"' || l_linestatus || '","k2":null},"s":{"part":' || l_partkey || ',"when":"' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') || '"}}') AS digest FROM lineitem""")
+def l11_rows(spark, d):
+    """Digests of nested rows whose fields and entries are not given in order."""
+    lines = table(spark, d, "lineitem")
+    nested = lines.select("l_orderkey", "l_linenumber", F.struct(F.col("l_shipdate").alias("when"), F.col("l_partkey").alias("part")).alias("s"), F.create_map(F.lit("k2"), F.lit(None).cast("string"), F.lit("k1"), F.col("l_linestatus")).alias("m"), F.array(F.col("l_linenumber"), F.lit(None)).alias("a"))
+    return nested.select("l_orderkey", "l_linenumber", L.row_digest(nested.select("s", "m", "a")).alias("digest"))
+
+
 STEPS = ("l_orderkey AS job_id", "CAST(l_linenumber AS int) AS ordinal", "CASE WHEN l_linestatus = 'F' THEN 'succeeded' ELSE 'running' END AS state", "l_shipdate AS started_at", "CASE WHEN l_linestatus = 'F' THEN l_shipdate + INTERVAL 1 HOUR END AS finished_at", "l_suppkey AS rows_affected")
 
 

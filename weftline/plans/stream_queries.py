@@ -4,12 +4,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.staging import shared_dir
+from ..functions.staging import settled, shared_dir
 from ..streaming import streams as R
 from .data_queries import ADDED, _feed
 from .frames import KEY, orders_holes, table
 from .registry import query
 
+#: Rows of a file that a stream reads.
+FILE_ROWS = 500_000
+
 
 def _folder(spark, name):
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -17,20 +20,22 @@ def _folder(spark, name):
 
 
 def _streamed(spark, df, name, files=4, order=None):
-    """``df`` written in a few files and read back as a stream of one file a batch.
+    """``df`` written in at least ``files`` files and read back as a stream of ``files`` batches or more.
 
-    With ``order`` the files are ranges of it, in turn: file ``n`` is written after file
-    ``n - 1``, in the order in which a stream takes them.
+    With ``order`` a batch is a range of it: ranges are written in turn, each in as many
+    files as its rows need, and a batch takes as many files as a range has.
     """
     folder, checkpoint = _folder(spark, name)
     if order is None:
         df.repartition(files).write.parquet(f"{folder}/in")
-    else:
-        cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / files) for i in range(1, files))}), 10000) AS c").first()["c"]
-        place = sum((F.col(order) > F.lit(c)).cast("int") for c in cuts)
-        for n in range(files):
-            df.filter(place == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return R.read_stream(spark, f"{folder}/in", df.schema, 1), folder, checkpoint
+        return R.read_stream(spark, f"{folder}/in", df.schema, 1), folder, checkpoint
+    cuts = df.selectExpr(f"percentile_approx({order}, array({', '.join(str(i / files) for i in range(1, files))}), 10000) AS c").first()["c"]
+    place = sum((F.col(order) > F.lit(c)).cast("int") for c in cuts)
+    each = max(1, min(1000, df.count() // (files * FILE_ROWS)))
+    ranged = settled(df.withColumn("__range", place).repartition(files, "__range"), "ranges")
+    for n in range(files):
+        ranged.filter(F.col("__range") == n).drop("__range").repartition(each).write.mode("append").parquet(f"{folder}/in")
+    return R.read_stream(spark, f"{folder}/in", df.schema, each), folder, checkpoint
 
 
 @query("e6_fill_new_rows", "SELECT o_orderkey, coalesce(o_custkey, CASE WHEN o_orderstatus = 'F' THEN 11 WHEN o_orderstatus = 'O' THEN 12 END) AS o_custkey FROM orders_holes")
@@ -61,10 +66,25 @@ def p16(spark, d):
     stream, folder, checkpoint = _streamed(spark, events, "cagg", order="ts")
     half = events.selectExpr("percentile_approx(ts, 0.5)").first()[0]
     events.filter((F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit(half))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    R.write_batches(R.cagg_stream(stream, "ts", "6 hours", ["event_type"], [F.count(F.lit(1)).alias("n")], "1 hour"), folder, checkpoint, {"rows": lambda b: b})
+    R.write_batches(R.cagg_stream(stream, "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))}, "1 hour"), folder, checkpoint, {"rows": lambda b: b})
     return spark.read.parquet(f"{folder}/rows").select("bucket", "event_type", "n")
 
 
+@query("p17_session_stream", f"WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS \"end\", user_id, count(*) AS rows FROM s GROUP BY user_id, i HAVING max(ts) + INTERVAL 3 HOUR <= {CLOSED}")
+def p17(spark, d):
+    """Sessions of the events, which come in four files by time; those that the watermark has closed at the end."""
+    stream, folder, checkpoint = _streamed(spark, table(spark, d, "events").select("ts", "user_id"), "sessions", order="ts")
+    R.write_batches(R.window_stream(stream, "ts", "session", "3 hours", ["user_id"], "1 hour"), folder, checkpoint, {"rows": lambda b: b})
+    return spark.read.parquet(f"{folder}/rows").select("start", "end", "user_id", "rows")
+
+
+@query("p17_sliding_stream", f"WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR]) AS s FROM events) SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS rows FROM w GROUP BY ALL HAVING s + INTERVAL 2 HOUR <= {CLOSED}")
+def p17b(spark, d):
+    stream, folder, checkpoint = _streamed(spark, table(spark, d, "events").select("ts", "event_type"), "sliding", order="ts")
+    R.write_batches(R.window_stream(stream, "ts", "sliding", "2 hours", ["event_type"], "1 hour", "1 hour"), folder, checkpoint, {"rows": lambda b: b})
+    return spark.read.parquet(f"{folder}/rows").select("start", "end", "event_type", "rows")
+
+
 @query("b10_incremental_apply", "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus = 'O'")
 def b10(spark, d):
     stream, folder, checkpoint = _streamed(spark, table(spark, d, "orders"), "incremental")

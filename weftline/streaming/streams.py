@@ -45,17 +45,27 @@ def quarantine_stream(stream: DataFrame, constraints: dict[str, str], folder: st
     write_batches(marked, folder, checkpoint, {"clean": lambda b: b.filter(F.size("failed") == 0).drop("failed"), "rejected": lambda b: b.filter(F.size("failed") > 0)})
 
 
-def cagg_stream(stream: DataFrame, ts: str, bucket: str, keys: list[str], aggs: list[Column], delay: str) -> DataFrame:
-    """A time-bucketed rollup of a stream; rows later than ``delay`` are dropped, a bucket comes out once it is closed.
+def cagg_stream(stream: DataFrame, ts: str, bucket: str, keys: list[str], aggs: dict[str, Column], delay: str) -> DataFrame:
+    """A time-bucketed rollup of a stream (``aggs`` by name); rows later than ``delay`` are dropped, a bucket comes out once it is closed.
 
     Watermarks need a zoned time, so it is cast there and back (session zone UTC).
     """
     rows = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
-    return rows.groupBy(F.window("__ts", bucket).alias("w"), *keys).agg(*aggs).select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), *keys, *[c for c in _names(aggs)])
+    return rows.groupBy(F.window("__ts", bucket).alias("w"), *keys).agg(*[a.alias(n) for n, a in aggs.items()]).select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), *keys, *aggs)
 
 
-def _names(aggs: list[Column]) -> list[str]:
-    return [a._jc.toString().rpartition(" AS ")[2].strip("`") if hasattr(a, "_jc") else str(a).rpartition(" AS ")[2].rstrip("'>") for a in aggs]
+def window_stream(stream: DataFrame, ts: str, kind: str, duration: str, keys: list[str], delay: str, slide: str | None = None) -> DataFrame:
+    """``start, end``, keys and ``rows`` of tumbling, sliding or session windows of a stream.
+
+    A window comes out once the watermark, ``delay`` behind the latest time of the batches
+    before, is past its end; until then it is kept in the state, over batches and restarts, and a session
+    grows and merges with others as rows come. Later rows for a closed window are dropped.
+    """
+    if kind not in ("tumbling", "sliding", "session"):
+        raise ValueError(f"no kind of window {kind}")
+    rows = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+    w = F.session_window("__ts", duration) if kind == "session" else F.window("__ts", duration, slide or duration)
+    return rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("rows")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "rows")
 
 
 def incremental_apply(stream: DataFrame, change: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> DataFrame:
@@ -71,13 +81,19 @@ def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or [])
 
 
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def subscribe(stream: DataFrame, target: DataFrame, key: list[str], folder: str, checkpoint: str, sequence: str = "seq", compact_after: int = 16) -> DataFrame:
     """Apply a feed's micro-batches to ``target``, each change once, and return the table as it is then.
 
     ``target`` is copied when the folder is new. A micro-batch writes the last change
     per key under its number, so running it again replaces it; the table is never
     rewritten for a batch. After ``compact_after`` batches they are folded into a new
-    copy. A restart goes on from what the folder and the checkpoint hold, also when
+    copy; the copy before it stays for who reads it still, older copies and the changes in them are deleted. A restart goes on from what the folder and the checkpoint hold, also when
     nothing new has come. A later batch wins over an earlier one whatever its ``seq``.
     """
     spark = target.sparkSession
@@ -99,6 +115,9 @@ def subscribe(stream: DataFrame, target: DataFrame, key: list[str], folder: str,
         now, batches = table()
         if batches >= compact_after:
             now.write.mode("overwrite").parquet(f"{folder}/copy={n}")
+            *_, kept, _ = _numbers(spark, folder, "copy")
+            for name, first in (("copy", kept), ("changes", kept + 1)):
+                _delete(spark, [f"{folder}/{name}={m}" for m in _numbers(spark, folder, name) if m < first])
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return table()[0]
