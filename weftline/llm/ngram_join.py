@@ -363,7 +363,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, percent: int, width: int
 def join_components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs`` (``doc_id, text``).
 
-    Rows that repeat an id count as one document. Null, empty and wordless texts have
+    Ids are whole numbers; other text as an id fails the job. Rows that repeat an id count as one document. Null, empty and wordless texts have
     no shingles and stay alone; equal sets link; a null id gets no component and
     links nothing. The component is the least id reachable by links. All columns but
     the two are ignored; an empty table gives no rows. Sets are compared by 64-bit

@@ -211,7 +211,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Dat
 
     Each token lies in one piece. A sequence is shorter than the window only at the end of a
     shard, where lengths are powers of two; none needs padding then. Null and empty texts are the end id
-    alone, and go where there is space. Rows that repeat an id are documents of their own, null
+    alone, and go where there is space. Ids are whole numbers. Rows that repeat an id are documents of their own, null
     ids are kept. Further columns are not read; an empty table gives no rows. Order in a
     task is by topic, id and tokens, so a task that runs again packs alike.
     """

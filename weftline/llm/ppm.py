@@ -373,7 +373,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score_documents(docs: DataFrame, held=held_out, of: int = 5, rest: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of each row of ``docs`` (``doc_id, text``), learning from the rows that are not held out.
 
-    Null and empty texts are an end alone. Null ids are learnt from. Rows that
+    Null and empty texts are an end alone. Ids are whole numbers; other text as an id fails the job. Null ids are learnt from. Rows that
     repeat an id are rows of their own. ``base_score`` is of single tokens with half
     a count added; both scores are log10. Without a training row every byte is as
     likely as any. Other columns are ignored; an empty table gives no rows. Words

@@ -1,7 +1,7 @@
 """The thin queries of the corpus operators, and their SQL where SQL can express them.
 
 Reading HTML, with all its character references, is beyond SQL: op3 is tested against
-the parser of the standard library.
+the parser of the standard library, and the rest of its columns by ``warc_source_links``.
 """
 
 from __future__ import annotations
@@ -68,6 +68,14 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_records(responses_from_pages(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block", "http_headers")
 
 
+def warc_source_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, links and digests of the derived records that take no reading of HTML, which SQL can give."""
+    from .warc import derived_records, responses_from_pages
+
+    found = derived_records(responses_from_pages(_table(spark, sf_dir, "pages")))
+    return found.select(F.col("source_id").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "content_type", "source_content_type", "source_length", "source_digest")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join_components
 
@@ -123,6 +131,7 @@ QUERIES = {
     "op11_periodic_runs": op11_periodic_runs,
     "op7_ppm_scores": op7_ppm_scores,
     "op3_warc_derivatives": op3_warc_derivatives,
+    "warc_source_links": warc_source_links,
     "op5_line_dedup": op5_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
@@ -208,4 +217,14 @@ n AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES = {"op13_hilbert_negatives": OP13_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_benchmark_hits": OP9_SQL, "op2_mix_sources": OP2_SQL}
+WARC_SQL = r"""
+WITH h AS (SELECT *, md5('response' || chr(31) || CAST(page_id AS VARCHAR) || chr(31) || coalesce(url, '')) AS r FROM pages),
+i AS (SELECT *, '<urn:uuid:' || r[1:8] || '-' || r[9:12] || '-' || r[13:16] || '-' || r[17:20] || '-' || r[21:32] || '>' AS source FROM h),
+k AS (SELECT *, unnest(['metadata', 'conversion']) AS kind FROM i),
+m AS (SELECT *, md5(kind || chr(31) || source) AS d FROM k)
+SELECT page_id, kind AS warc_type, '<urn:uuid:' || d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-' || d[17:20] || '-' || d[21:32] || '>' AS record_id, source AS refers_to, url AS target_uri,
+  CASE kind WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain; charset=utf-8' END AS content_type, 'text/html; charset=utf-8' AS source_content_type,
+  CAST(strlen(coalesce(html, '')) AS BIGINT) AS source_length, 'sha256:' || sha256(coalesce(html, '')) AS source_digest FROM m
+"""
+
+ORACLES = {"warc_source_links": WARC_SQL, "op13_hilbert_negatives": OP13_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_benchmark_hits": OP9_SQL, "op2_mix_sources": OP2_SQL}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,3 +144,115 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.regexp_extract_all(head, F.lit(rf"(?:\A|\n){_SOURCE_LINE}([^\r\n]*)"), F.lit(1))
     columns = [(length if c == "content_length" else F.when(head.contains(f"\n{n}: ") | head.startswith(f"{n}: "), field(n))).alias(c) for c, n in _FIELDS.items()]
     return raw.select(*columns, F.concat(F.array_join(lines, "\r\n"), F.lit(_GAP)).alias("http_headers"), block.alias("block"))
+
+
+def _unpacked(data: bytes) -> bytes:
+    """A file's bytes; gzip members one after another are put together."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out, rest = [], data
+    while rest.strip(b"\0"):
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(rest) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        rest = member.unused_data
+    return b"".join(out)
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Fields of a head by lower-case name; the first of a name counts, and a line that begins with a blank goes on with the one before."""
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", head).splitlines()[1:]
+    found: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(b":")
+        if colon:
+            found.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
+    return found
+
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def split_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """Version, fields and block of each record of a WARC file, of any version; a block is as long as it says, whatever is in it."""
+    at = 0
+    while True:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(data):
+            return
+        end = _HEAD_END.search(data, at)
+        if not data.startswith(b"WARC/", at) or end is None:
+            raise ValueError(f"no record at byte {at}")
+        fields = _fields(data[at : end.start()])
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"no length of the record at byte {at}")
+        stop = end.end() + int(fields["content-length"])
+        if stop > len(data):
+            raise ValueError(f"the record at byte {at} is cut short")
+        yield data[at : end.start()].split(b"\n", 1)[0].strip().decode("latin-1"), fields, data[end.end() : stop]
+        at = stop
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (line := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n").match(body, at)) and (n := int(line[1], 16)):
+        out.append(body[line.end() : line.end() + n])
+        at = line.end() + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
+def _payload(http: dict[str, str], body: bytes) -> str:
+    """The text of an HTTP body: transfer chunks joined, gzip and deflate undone, decoded by its charset (else UTF-8); what cannot be read stays or is replaced."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    for coding, wbits in (("gzip", 31), ("deflate", 15)):
+        if coding in http.get("content-encoding", "").lower():
+            try:
+                body = zlib.decompress(body, wbits)
+            except zlib.error:
+                pass
+    charset = re.search(r"charset=\"?([\w.:-]+)", http.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+RESPONSE = "source_id string, record_id string, target_uri string, date string, http_headers string, payload string, warc_version string, file string"
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (``*.warc``, ``*.warc.gz``, any version, gzip by record or whole) as rows for :func:`derived_records`.
+
+    Other records are passed over. Records are read by their stated length, as bytes; a file that is cut short, or is none, fails the read with its name.
+    A file is read by Spark as one row, so it must fit a task's memory; such files are kept near 1 GB. The record's own id
+    is the ``source_id``. A response without HTTP headers has an empty payload.
+    """
+    python_batches(spark)
+
+    def read(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = []
+                try:
+                    for version, fields, block in split_records(_unpacked(content)):
+                        if fields.get("warc-type", "").lower() != "response":
+                            continue
+                        end = _HEAD_END.search(block)
+                        head, body = (block[: end.end()], block[end.end() :]) if end else (block, b"")
+                        rows.append((fields.get("warc-record-id"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("latin-1"), _payload(_fields(head), body), version, file))
+                        if len(rows) >= 256:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+                            rows = []
+                except (ValueError, zlib.error) as e:
+                    raise ValueError(f"{file}: {e}") from e
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+    names = [c.split(" ")[0] for c in RESPONSE.split(", ")]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    # Arrow batches are bounded by bytes, so a large file is a batch by itself
+    return files.select("path", "content").mapInArrow(read, RESPONSE)

@@ -304,7 +304,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = None, shard_to
     ``path`` is of a ``tokenizer.json`` with ids below 65536 that executors can read;
     ``end_id`` is put after each document. Null texts are empty, null ids come first,
     rows of one id stay next to each other in the order of their texts. A document
-    is never split, so a shard is as long as its last document makes it. Other
+    is never split, so a shard is as long as its last document makes it. Ids are whole numbers; other text as an id fails the job. Other
     columns are not read. An empty table gives no shard.
     """
     python_batches(docs.sparkSession)
