@@ -47,12 +47,13 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
 
 
 def long_stretches(repeated: DataFrame, min_words: int) -> DataFrame:
-    """``repeated`` with its islands cut between neighbours that stand together only once, without those of fewer than ``min_words`` words.
+    """``repeated``, staged, with its islands cut between neighbours that stand together only once, without those of fewer than ``min_words`` words.
 
     A repeated run holds no such neighbours, and lies in one stretch; so all runs of ``min_words`` words are left.
     """
     by_island = Window.partitionBy("row", "island").orderBy("line")
-    pairs = stage(repeated.withColumn("next", F.lead("rank").over(by_island)), "line-pairs", codec="lz4")
+    islands = repeated.withColumn("all_words", F.sum("words").over(Window.partitionBy("row", "island"))).filter(F.col("all_words") >= min_words).drop("all_words")
+    pairs = stage(islands.withColumn("next", F.lead("rank").over(by_island)), "line-pairs", codec="lz4")
     again = pairs.filter("next IS NOT NULL").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("a_rank"), F.col("next").alias("a_next"))
     again = stage(again, "line-again", codec="lz4")
     marked = join_small(pairs, again, (F.col("rank") == F.col("a_rank")) & (F.col("next") == F.col("a_next")), "left")
@@ -62,7 +63,10 @@ def long_stretches(repeated: DataFrame, min_words: int) -> DataFrame:
     whole = cut.withColumn("all_words", F.sum("words").over(Window.partitionBy("row", "island", "part")))
     kept = whole.filter(F.col("all_words") >= min_words)
     # islands are told apart by the line at which they would begin
-    return kept.withColumn("island", F.min("line").over(Window.partitionBy("row", "island", "part"))).select(*repeated.columns)
+    out = stage(kept.withColumn("island", F.min("line").over(Window.partitionBy("row", "island", "part"))).select(*repeated.columns), "line-base", codec="lz4")
+    drop_staged(pairs)
+    drop_staged(again)
+    return out
 
 
 def prefix_doubling(lines: DataFrame, min_words: int | None = None) -> DataFrame:
@@ -75,7 +79,7 @@ def prefix_doubling(lines: DataFrame, min_words: int | None = None) -> DataFrame
     written, and the levels when they are put together at the end.
     """
     repeated = repeated_lines(lines).select("row", "doc_id", "island", "line", "words", "rank")
-    base = stage(long_stretches(repeated, min_words) if min_words else repeated, "line-base", codec="lz4")
+    base = long_stretches(repeated, min_words) if min_words else stage(repeated, "line-base", codec="lz4")
     level = base.select("row", "island", "line", "rank", F.col("words").cast("long").alias("sum"))
     levels, classes, step = [level], -1, 1
     by_island = Window.partitionBy("row", "island").orderBy("line")
@@ -231,5 +235,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = join_small(held, places, F.col("row") == F.col("q__gone_row"), "left")
     split = F.split("text", "\n", -1)
     kept = F.when(F.col("q__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("q__gone", i)), "\n"))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.size(words(x)) > 0)).cast("long")
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^ \t\x0b\x0c\r]"))).cast("long")
     return out.select(*restored(docs, "doc_id", "text"), kept.alias("dedup_text"), n_lines.alias("n_lines"), F.when(F.col("q__gone").isNull(), 0).otherwise(F.size("q__gone")).cast("long").alias("n_deleted"))
