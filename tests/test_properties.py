@@ -199,6 +199,25 @@ def test_layout_is_dealt(spark):
     assert set(X.undistribute(X.distribute(df, "k", 4)).columns) == set(df.columns)
 
 
+def test_large_keys_are_many_files(spark, tmp_path):
+    """A key with nearly all rows is evened out over files, each sorted; a stated number is kept."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, "small").otherwise("hot").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        back = S.export_partitioned(df, f"{tmp_path}/even", ["k"], ["v"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {k: list((tmp_path / "even" / f"k={k}").glob("*.parquet")) for k in ("hot", "small")}
+    assert len(files["hot"]) >= 4 > len(files["small"]) and back.count() == 200_000
+    import pyarrow.parquet as pq
+
+    for f in files["hot"]:
+        v = pq.ParquetFile(f).read(columns=["v"]).column("v").to_pylist()
+        assert v == sorted(v)
+    S.export_partitioned(df, f"{tmp_path}/one", ["k"], ["v"], 1)
+    assert len(list((tmp_path / "one" / "k=hot").glob("*.parquet"))) == 1
+
+
 def test_written_buckets_join_without_an_exchange(spark):
     df = frame(spark, [(k % 40, k, "x") for k in range(200)])
     for name in ("bucket_a", "bucket_b"):

@@ -71,8 +71,16 @@ def import_tables(spark: SparkSession, folder: str, tables: list[str], limit_to:
     return [prefix + t for t in chosen]
 
 
-def export_partitioned(df: DataFrame, path: str, keys: list[str], order: list[str | Column], files_per_key: int = 1) -> DataFrame:
-    """A layout-aware write: one folder per key value, rows sorted inside; big keys take several files."""
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_key))
-    df.repartition(*keys, spread).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(path)
+def export_partitioned(df: DataFrame, path: str, keys: list[str], order: list[str | Column], files_per_key: int | None = None) -> DataFrame:
+    """A layout-aware write: one folder per key value, rows sorted inside each file.
+
+    Unless a number of files is stated, tasks are evened out by size: a key with many
+    rows is written by many tasks, and many small keys by one.
+    """
+    if files_per_key is None:
+        named = ", ".join(f"`{k}`" for k in keys)
+        dealt = df.sparkSession.sql(f"SELECT /*+ REBALANCE({named}) */ * FROM {{df}}", df=df)
+    else:
+        dealt = df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key)))
+    dealt.sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).parquet(path)
     return df.sparkSession.read.parquet(path)
