@@ -585,7 +585,7 @@ def test_estimates_of_documents(spark):
     scales = {r["t_id"]: r for r in scale.collect()}
     assert len({round(r["s_0"], 3) for r in scales.values()}) > 1
     judges = o.drawn_estimates(groups, o.estimates(fit)).filter("g_lang = 'en'").select("g_source", *[f"m_{i}" for i in range(5)], *[f"l_{i}{j}" for i in range(5) for j in range(i + 1)])
-    probe = judges.withColumns({v: F.lit(x) for v, x in zip(o.VECTOR, (3.0, -2.0, 2.0, 3.0, -2.0), strict=True)}).select(o._squared_distance().alias("d2")).collect()
+    probe = o.with_distance(judges.withColumns({v: F.lit(x) for v, x in zip(o.VECTOR, (3.0, -2.0, 2.0, 3.0, -2.0), strict=True)}), "d2").collect()
     assert max(r["d2"] for r in probe) > 1.1 * min(r["d2"] for r in probe)
 
 

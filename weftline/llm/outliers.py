@@ -136,25 +136,25 @@ def _factored(covariance: dict[tuple[int, int], Column], out: DataFrame) -> Data
     return out.withColumn("log_det", sum((2 * F.log(f"l_{i}{i}") for i in _N), F.lit(0.0)))
 
 
-def _estimate(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Per key the means ``m_i``, regularised covariances ``c_ij`` and their factor of ``rows``, summed around the ``m_i`` that they come with."""
+def _estimate(rows: DataFrame, around: DataFrame, keys: list[str], scale: float, few: bool) -> DataFrame:
+    """Per key the means ``m_i``, regularised covariances ``c_ij`` and their factor of ``rows``, summed around the ``m_i`` of ``around`` that they come with."""
     off = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
-    sums = [F.first(f"m_{i}").alias(f"m_{i}") for i in _N] + [F.avg(off[i]).alias(f"a_{i}") for i in _N] + [F.avg(off[i] * off[j]).alias(f"p_{i}{j}") for i, j in _PAIRS]
-    made = rows.groupBy(*keys).agg(*sums)
-    covariance = [((F.col(f"p_{i}{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * (scale * (1 - UNIT)) + (UNIT if i == j else 0.0)).alias(f"c_{i}{j}") for i, j in _PAIRS]
-    out = made.select(*keys, *[(F.col(f"m_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in _N], *covariance)
+    made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(off[i]).alias(f"a_{i}") for i in _N], *[F.sum(off[i] * off[j]).alias(f"p_{i}{j}") for i, j in _PAIRS])
+    met = _joined(made, around.select(*keys, *[f"m_{i}" for i in _N]), keys, few)
+    n = F.col("n")
+    covariance = [((F.col(f"p_{i}{j}") / n - F.col(f"a_{i}") / n * F.col(f"a_{j}") / n) * (scale * (1 - UNIT)) + (UNIT if i == j else 0.0)).alias(f"c_{i}{j}") for i, j in _PAIRS]
+    out = met.select(*keys, *[(F.col(f"m_{i}") + F.col(f"a_{i}") / n).alias(f"m_{i}") for i in _N], *covariance)
     return _factored({(i, j): F.col(f"c_{i}{j}") for i, j in _PAIRS}, out)
 
 
-def _squared_distance() -> Column:
-    """The Mahalanobis distance of the vector to ``m_i`` under the factor ``l_ij``, squared (forward substitution)."""
-    z: list[Column] = []
+def with_distance(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the squared Mahalanobis distance of the vector to ``m_i`` under the factor ``l_ij``, by forward substitution."""
     for i, v in enumerate(VECTOR):
         value = F.col(v) - F.col(f"m_{i}")
         for k in range(i):
-            value = value - F.col(f"l_{i}{k}") * z[k]
-        z.append(value / F.col(f"l_{i}{i}"))
-    return sum((x * x for x in z), F.lit(0.0))
+            value = value - F.col(f"l_{i}{k}") * F.col(f"z_{k}")
+        rows = rows.withColumn(f"z_{i}", value / F.col(f"l_{i}{i}"))
+    return rows.withColumn(name, sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in _N), F.lit(0.0))).drop(*[f"z_{i}" for i in _N])
 
 
 def _joined(rows: DataFrame, known: DataFrame, keys: list[str], few: bool) -> DataFrame:
@@ -169,7 +169,7 @@ def _joined(rows: DataFrame, known: DataFrame, keys: list[str], few: bool) -> Da
 def _near(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """``rows`` with ``d2`` by the estimate of their key."""
     known = estimate.select(*keys, *[f"m_{i}" for i in _N], *[f"l_{i}{j}" for i, j in _PAIRS])
-    return _joined(rows, known, keys, few).select(*rows.columns, *[f"m_{i}" for i in _N], _squared_distance().alias("d2"))
+    return with_distance(_joined(rows, known, keys, few), "d2").select(*rows.columns, *[f"m_{i}" for i in _N], "d2")
 
 
 def _starts(rows: DataFrame, few: bool) -> DataFrame:
@@ -207,7 +207,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         far = _near(tried, now, keys, few)
         inner = far.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 10_000).alias("inner_d2"))
         core = _joined(far, inner, keys, few).filter(F.col("d2") <= F.col("inner_d2"))
-        step = _joined(_estimate(core, keys, CONSISTENCY), now.select(*keys, F.col("log_det").alias("was")), keys, few)
+        step = _joined(_estimate(core, now, keys, CONSISTENCY, few), now.select(*keys, F.col("log_det").alias("was")), keys, few)
         step = stage(step.withColumn("moved", F.abs(F.col("log_det") - F.col("was")) > STILL).drop("was"), "mcd-step")
         still.append(step.filter("NOT moved"))
         now = step.filter("moved")
@@ -218,7 +218,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     ended = reduce(DataFrame.unionByName, still).drop("moved")
     best = ended.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
     chosen = ended.join(best, keys).drop("start")
-    return stage(_estimate(_near(rows, chosen, ["gid"], few).filter(F.col("d2") <= INNER), ["gid"], INNER_CONSISTENCY), "mcd-final")
+    return stage(_estimate(_near(rows, chosen, ["gid"], few).filter(F.col("d2") <= INNER), chosen, ["gid"], INNER_CONSISTENCY, few), "mcd-final")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def judged(docs: DataFrame) -> DataFrame:
     fit = stage(fit.select(F.explode(F.array_compact(F.array("t_id", "gid"))).alias("gid"), *VECTOR), "quality-fit")
     by_group = drawn_estimates(groups, estimates(fit)).join(scale.withColumnRenamed("t_id", "s_id"), F.col("t_id") == F.col("s_id"), "left").drop("t_id", "s_id", "log_det")
     near = join_small(rows, stage(by_group, "quality-groups"), same, "left").withColumns(scaled())
-    far = near.withColumn("outlier_d2", _squared_distance())
+    far = with_distance(near, "outlier_d2")
     kept = ~F.col("base_failed") & F.coalesce(F.col("outlier_d2") <= FAR, F.lit(True))
     return far.select(*restored(docs, *read), *STATISTICS, "base_failed", "outlier_d2", kept.alias("kept"))
 
