@@ -27,3 +27,14 @@ def test_progress_that_stands_still(spark):
     half = spark.range(10)
     assert tuple(B.walk_progress(half, "id", 4, 0.5, 60.0).first()) == (0.5, float("inf"))
     assert tuple(B.walk_progress(half, "id", 4, 0.7).first()) == (0.5, None)
+
+
+def test_many_bounds_are_not_copied_for_each_row(spark):
+    from weftline.functions.ranks import last_bound
+
+    bounds = spark.range(0, 10_000, 10).selectExpr("id AS lo", "'p' || CAST(id AS string) AS name")
+    keys = spark.range(0, 10_000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS key")
+    found = last_bound(keys, "key", bounds, "b")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.select("key", "b.name").collect()
+    assert len(rows) == 10_000 and all(r["name"] == (None if r["key"] is None else f"p{r['key'] // 10 * 10}") for r in rows)

@@ -70,16 +70,17 @@ def place_in(array: Column, n: int, below) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), F.struct(F.lit(0).alias("a"), F.lit(n).alias("b")), half)["a"]
 
 
-#: Bounds that are packed into one broadcast row; more are merged with the rows by a shuffle.
-MOST_PACKED = 100_000
+#: Bounds that are packed into one broadcast row, which is copied for each row that meets it; more are merged with the rows by a shuffle.
+MOST_PACKED = 64
 
 
 def last_bound(df: DataFrame, key: str, bounds: DataFrame, name: str, most_packed: int = MOST_PACKED) -> DataFrame:
     """``df`` with ``name``: of the ``bounds`` (a column ``lo``, and others) the row of the greatest ``lo`` at or below the key, as a struct; NULL for none or a NULL key.
 
     A NULL ``lo`` is below all values. Bounds are counted: up to ``most_packed`` are one
-    sorted array in a broadcast row, halved until the place is found (17 steps at
-    most); more are sorted together with the rows, and the last one is carried along.
+    sorted array in a broadcast row, halved until the place is found (7 steps at
+    most); more are sorted together with the rows, and the last one is carried along. Rows of
+    one key, or without one, are in as many ranges as their number asks.
     """
     rest = [c for c in bounds.columns if c != "lo"]
     sorted_ = F.struct(F.col("lo").isNotNull().alias("some"), "lo", *rest)
@@ -91,6 +92,7 @@ def last_bound(df: DataFrame, key: str, bounds: DataFrame, name: str, most_packe
         return found.withColumn(name, F.when(F.col("__n") > 0, F.get(F.col("__all"), F.col("__n") - 1))).drop("__all", "__n")
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     marks = bounds.select(F.col("lo").alias("__v"), F.lit(0).alias("__kind"), sorted_.alias("__b"), F.lit(None).cast(df.select(own.alias("r")).schema["r"].dataType).alias("__row"))
-    rows = df.select(F.col(key).alias("__v"), F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema["__b"].dataType).alias("__b"), own.alias("__row"))
-    met = running_max(in_order(marks.unionByName(rows), ["__v", "__kind"]), [], F.col("__b"), "__found").filter("__kind = 1")
+    rows = df.select(F.col(key).alias("__v"), F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema["__b"].dataType).alias("__b"), own.alias("__row"), F.monotonically_increasing_id().alias("__nth"))
+    both = marks.withColumn("__nth", F.lit(0).cast("long")).unionByName(rows)
+    met = running_max(in_order(both, ["__v", "__kind", "__nth"]), [], F.col("__b"), "__found").filter("__kind = 1")
     return met.select("__row.*", F.when(F.col("__v").isNotNull(), F.col("__found")).alias(name))
