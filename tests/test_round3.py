@@ -38,3 +38,32 @@ def test_many_bounds_are_not_copied_for_each_row(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     rows = found.select("key", "b.name").collect()
     assert len(rows) == 10_000 and all(r["name"] == (None if r["key"] is None else f"p{r['key'] // 10 * 10}") for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_over_parts(spark, monkeypatch, seed):
+    """Random graphs with cycles in parts of seven nodes, against plain Python; a long chain in few rounds."""
+    import random
+
+    from weftline.operators import ledger as L
+
+    r = random.Random(seed)
+    monkeypatch.setattr(L, "PART_NODES", 7)
+    pairs = [(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(55)) if a >= b or r.random() < 0.06] + [(5, 99)]
+    needs = {k: {b for a, b in pairs if a == k and b < 60} for k in range(60)}
+    want: dict = {}
+    while more := {k: 1 + max((want[b] for b in needs[k]), default=0) for k in needs if k not in want and needs[k] <= want.keys()}:
+        want |= more
+    got = L.dependency_levels(spark.createDataFrame(pairs, "node long, needs long"), spark.range(60).toDF("node"))
+    assert {x["node"]: x["level"] for x in got.collect()} == {k: want.get(k) for k in range(60)}
+
+
+def test_a_chain_takes_as_many_rounds_as_parts(spark, monkeypatch):
+    from weftline.operators import ledger as L
+
+    monkeypatch.setattr(L, "PART_NODES", 250, raising=False)
+    chain = spark.range(1, 1000).selectExpr("id AS node", "id - 1 AS needs")
+    levels = L.dependency_levels(chain, spark.range(1000).toDF("node"), 5)
+    assert all(x["level"] == x["node"] + 1 for x in levels.collect())
+    closed = chain.union(spark.sql("SELECT 300L, 303L"))
+    assert {x["node"] for x in L.cycle_members(closed, 6).collect()} == {300, 301, 302, 303}

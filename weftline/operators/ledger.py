@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship_package
 from ..functions.staging import settled, shared_dir
 from .changes import Refused
 
@@ -74,46 +76,110 @@ def missing_dependencies(specs: DataFrame, index: DataFrame) -> DataFrame:
     return needs.join(known, "depends_on", "left_anti").select("spec_id", "depends_on")
 
 
+#: Nodes and edges of a part of a graph, which one task settles as far as it can.
+PART_NODES, PART_EDGES = 50_000, 200_000
+
+
+def _settle_part(rows):
+    """``id, level`` of what is newly settled in one part, from its rows ``part, kind, a, b``: sizes (0), open needs outside (1: node, number), edges inside (2: node, need), met needs (3: node, number; 4: node, level of a need), settled before (5: node)."""
+    import numpy as np
+    import pyarrow as pa
+
+    part, kind, x, y = (rows.column(n).to_numpy() for n in ("part", "kind", "a", "b"))
+    base = int(part[0]) << 33
+    n = int(x[kind == 0][0])
+    at = lambda k: (x[kind == k] - base, y[kind == k])
+    open_, level, old = np.zeros(n, "i8"), np.ones(n, "i8"), np.zeros(n, bool)
+    np.add.at(open_, *at(1))
+    node, need = at(2)
+    need = need - base
+    np.add.at(open_, node, 1)
+    np.subtract.at(open_, *at(3))
+    who, of = at(4)
+    np.maximum.at(level, who, of + 1)
+    old[at(5)[0]] = True
+    node = node[np.argsort(need, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(need, minlength=n))])
+    front = np.flatnonzero(open_ == 0)
+    while len(front):
+        many = first[front + 1] - first[front]
+        behind = node[np.repeat(first[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        np.maximum.at(level, behind, np.repeat(level[front], many) + 1)
+        np.subtract.at(open_, behind, 1)
+        front = np.unique(behind[open_[behind] == 0])
+    new = np.flatnonzero((open_ == 0) & ~old)
+    return pa.table({"part": pa.array(np.full(len(new), part[0], "i8")), "id": pa.array(new + base), "level": pa.array(level[new])})
+
+
 def dependency_levels(edges: DataFrame, nodes: DataFrame, bound: int = 10_000) -> DataFrame:
     """``node, level``: 1 plus the highest level of what a node (``node``) needs (``edges``: ``node, needs``); NULL in or behind a cycle.
 
-    A round settles all nodes whose needs are settled; rounds are the depth of the graph.
-    It writes only the nodes that are settled and those that have met some of their needs and
-    wait for others; untouched nodes are not written again.
+    Nodes are numbered in their order and dealt into parts of about ``PART_NODES`` (fewer where there are
+    many edges). In a round each part that heard of settled needs settles its nodes as far as it can,
+    over any number of levels, and what it settled is told to the parts that need it. So
+    rounds are how often a chain of needs goes from part to part, not its length; ``bound`` is
+    the most of them. A round reads only the parts that heard something.
     """
-    spark, folder = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/levels-{uuid.uuid4().hex}"
-    nodes = nodes.select("node").distinct()
-    inside = settled(edges.join(nodes.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs"), "levels")
-    counts = settled(nodes.join(inside.groupBy("node").agg(F.count(F.lit(1)).alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")), "levels")
-    schema = T.StructType([counts.schema["node"], T.StructField("open", T.LongType()), T.StructField("met", T.LongType())])
-
-    def written(rows: DataFrame, level: int) -> DataFrame:
-        rows.select("node", F.col("open").cast("long").alias("open"), F.col("met").cast("long").alias("met")).write.parquet(f"{folder}/level={level}")
-        return spark.read.schema(schema).parquet(f"{folder}/level={level}")
-
-    level = 1
-    last = written(counts.filter("open = 0").withColumn("met", F.lit(0)), level)
-    while not (front := last.filter("met = open")).isEmpty():
-        if level >= bound:
-            raise Refused("too many levels")
-        hits = inside.join(front.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
-        total = last.filter("met < open").select("node", "met").unionByName(hits).groupBy("node").agg(F.sum("met").alias("met"))
-        level += 1
-        last = written(total.join(counts, "node"), level)
-    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("level", T.IntegerType())])).parquet(folder)
-    return nodes.join(every.filter("met = open").select("node", "level"), "node", "left")
+    spark = nodes.sparkSession
+    ship_package(spark)
+    nodes = nodes.select("node").filter("node IS NOT NULL").distinct()
+    n, m = nodes.count(), edges.count()
+    parts = max(1, -(-n // PART_NODES), -(-m // PART_EDGES))
+    placed = nodes.repartitionByRange(parts, "node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id())
+    placed = settled(placed, "levels")
+    part = lambda c: F.shiftright(c, 33).alias("part")
+    inside = edges.select("node", "needs").distinct().join(placed.withColumnRenamed("id", "a"), "node").join(placed.select(F.col("node").alias("needs"), F.col("id").alias("b")), "needs").select("a", "b")
+    inside = settled(inside, "levels")
+    cross = inside.filter(F.shiftright("a", 33) != F.shiftright("b", 33))
+    kinds = [
+        placed.groupBy(part("id")).agg(F.count(F.lit(1)).alias("a")).select("part", F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b")),
+        cross.groupBy("a").agg(F.count(F.lit(1)).alias("b")).select(part("a"), F.lit(1).alias("kind"), "a", "b"),
+        inside.filter(F.shiftright("a", 33) == F.shiftright("b", 33)).select(part("a"), F.lit(2).alias("kind"), "a", "b"),
+    ]
+    folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, kinds).repartition(parts, "part").write.partitionBy("part").parquet(f"{folder}/parts")
+    cross.withColumn("from", F.shiftright("b", 33)).repartition(parts, "from").write.partitionBy("from").parquet(f"{folder}/cross")
+    pair = "kind int, a long, b long"
+    graph = spark.read.schema(f"{pair}, part long").parquet(f"{folder}/parts")
+    needed = spark.read.schema("a long, b long, from long").parquet(f"{folder}/cross")
+    done = f"{folder}/done"
+    every = spark.createDataFrame([], "part long, id long, level long")
+    heard: DataFrame | None = None
+    active = [r[0] for r in graph.select("part").distinct().collect()]
+    for k in range(bound + 1):
+        if not active:
+            return placed.join(every.select("id", F.col("level").cast("int").alias("level")), "id", "left").select("node", "level")
+        if k == bound:
+            break
+        rows = graph.filter(F.col("part").isin(active)).select("part", "kind", "a", "b")
+        if heard is not None:
+            mine = heard.filter(F.col("part").isin(active)).select("part", "kind", "a", "b")
+            before = every.filter(F.col("part").isin(active)).select("part", F.lit(5).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+            rows = rows.unionByName(mine).unionByName(before)
+        rows.groupBy("part").applyInArrow(_settle_part, "part long, id long, level long").write.parquet(f"{done}/round={k}")
+        new = spark.read.schema("part long, id long, level long").parquet(f"{done}/round={k}")
+        every = spark.read.schema("part long, id long, level long, round int").parquet(done).drop("round")
+        told = needed.filter(F.col("from").isin(active)).join(new.select(F.col("id").alias("b"), "level"), "b").groupBy("a").agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("level"))
+        told.select(part("a"), F.explode(F.array(F.struct(F.lit(3).alias("kind"), F.col("met").alias("b")), F.struct(F.lit(4).alias("kind"), F.col("level").alias("b")))).alias("m"), "a").select("part", "m.kind", "a", "m.b").write.parquet(f"{folder}/heard/round={k}")
+        heard = spark.read.schema("part long, kind int, a long, b long, round int").parquet(f"{folder}/heard")
+        active = [r[0] for r in spark.read.schema("part long").parquet(f"{folder}/heard/round={k}").distinct().collect()]
+    raise Refused("too many rounds")
 
 
 def _both_sides(edges: DataFrame, bound: int) -> DataFrame:
-    """Edges between nodes that some node needs and that need some node, however often that is asked."""
-    n = edges.count()
-    for _ in range(bound):
-        ends = edges.select(F.col("needs").alias("node")).intersect(edges.select("node"))
-        edges = settled(edges.join(ends, "node", "left_semi").join(ends.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs"), "stuck")
-        before, n = n, edges.count()
-        if n == before:
+    """Edges between nodes that some node needs and that need some node, however often that is asked.
+
+    What gets a level leads into no cycle; of the rest, what gets one with the edges turned is behind none.
+    """
+    for _ in range(2):
+        if edges.isEmpty():
             return edges
-    raise Refused("too many rounds")
+        ends = edges.select("node").union(edges.select("needs")).distinct()
+        levels = dependency_levels(edges, ends, bound)
+        stay = settled(levels.filter("level IS NULL").select("node"), "stuck")
+        kept = edges.join(stay, "node", "left_semi").join(stay.withColumnRenamed("node", "needs"), "needs", "left_semi")
+        edges = settled(kept.select(F.col("needs").alias("node"), F.col("node").alias("needs")), "stuck")
+    return edges
 
 
 def cycle_members(edges: DataFrame, bound: int = 10_000) -> DataFrame:
