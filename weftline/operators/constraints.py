@@ -125,12 +125,16 @@ def check_without_overlaps(df: DataFrame, key: list[str], lo: str, hi: str) -> D
 
 #: Rows of a bin of ranges, and the most bins.
 BIN_ROWS, MOST_BINS = 500, 10_000
+#: Bins that a range meets on average, at most.
+MOST_COPIES = 2
 
 
 def _binned(rows: DataFrame, lo: str, hi: str) -> DataFrame:
     """``rows`` once for each bin (``__bin``) that their range meets, with their first bin ``__first``.
 
-    Cuts are quantiles of where ranges begin, so dense stretches have narrow bins. Empty and NULL ranges are left out.
+    Cuts are quantiles of where ranges begin, so dense stretches have narrow bins. Where ranges are longer than
+    bins, neighbouring bins are put together until a range meets two at most, on average: copies grow as the rows, and
+    most rows that share a bin then overlap. Empty and NULL ranges are left out.
     """
     real = rows.filter(F.col(lo) < F.col(hi))
     bins = max(1, min(MOST_BINS, real.count() // BIN_ROWS))
@@ -142,6 +146,11 @@ def _binned(rows: DataFrame, lo: str, hi: str) -> DataFrame:
     first = place_in(F.col("__cuts"), len(cuts), lambda c: c <= plain(F.col(lo)))
     last = place_in(F.col("__cuts"), len(cuts), lambda c: c < plain(F.col(hi)))
     met = real.join(F.broadcast(marks)).withColumns({"__first": first, "__last": last}).drop("__cuts")
+    # every 2nd, 4th, ... cut: a bin's number is divided
+    widths = [1 << k for k in range(len(cuts).bit_length() + 1)]
+    copies = met.agg(F.count(F.lit(1)), *[F.sum(F.floor(F.col("__last") / w) - F.floor(F.col("__first") / w) + 1) for w in widths]).first()
+    width = next((w for w, n in zip(widths, copies[1:], strict=True) if n is None or n <= MOST_COPIES * copies[0]), widths[-1])
+    met = met.withColumns({c: F.floor(F.col(c) / width) for c in ("__first", "__last")})
     return met.withColumn("__bin", F.explode(F.sequence("__first", "__last"))).drop("__last")
 
 
