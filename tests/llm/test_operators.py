@@ -617,3 +617,47 @@ def test_components(spark):
     got = {x["node"]: x["root"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in nodes}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_in_parts(spark, monkeypatch):
+    """A small table is joined in one pass over it, parts of a larger one give the same."""
+    from weftline.llm import graph
+
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 500)]
+    want = {}
+    for e in edges:
+        own = set().union(*(want.get(n, {n}) for n in e))
+        want |= dict.fromkeys(own, own)
+    want = {n: min(c) for n, c in want.items() if len(c) > 1}
+    frame, staged = spark.createDataFrame(edges, "a long, b long"), []
+    monkeypatch.setattr(graph, "stage", lambda df, name, f=graph.stage: staged.append(name) or f(df, name))
+    for part, least in ((250_000, 0), (40, 3)):
+        staged.clear()
+        monkeypatch.setattr(graph, "PART_EDGES", part, raising=False)
+        assert {x["node"]: x["root"] for x in graph.connected_components(frame).collect()} == want
+        assert (len(staged) == 2) if part > 300 else (len(staged) > least)
+
+
+def test_join_of_a_chain_of_pairs(spark, monkeypatch):
+    """Candidate pairs in a long chain, few of them links, are compared pair by pair and not block by block."""
+    from weftline.llm import common, ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 10)
+    r = random.Random(6)
+    rows, w = [], prose(21, 100).split()
+    for k in range(160):
+        rows.append((k, " ".join(w)))
+        w = list(w)
+        for i in r.sample(range(100), 1 if k % 4 == 0 else 6):
+            w[i] = f"new{k}x{i}"
+    sent = []
+    monkeypatch.setattr(ngram_join, "_links", lambda tasks, percent, f=ngram_join._links: sent.append(tasks.count()) or f(tasks, percent))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for sieved in (False, True):
+        if sieved:
+            monkeypatch.setattr(ngram_join, "NARROW_ROWS", 5)
+            monkeypatch.setattr(ngram_join, "join_sieved", lambda *a, f=common.join_sieved, **b: f(*a, **b | {"rows": 3}), raising=False)
+        sent.clear()
+        check_join(spark, docs, rows)
+        assert sum(sent) < 5 * len(rows)

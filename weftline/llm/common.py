@@ -12,6 +12,8 @@ from ..functions.staging import settled
 
 #: Rows below which a table of aggregates is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Words of 64 bits of the table that is broadcast in place of a larger one.
+SIEVE_WORDS = 1 << 16
 #: Rows of an Arrow batch handed to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 256
 
@@ -66,6 +68,27 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner",
     return df.join(F.broadcast(small) if few else small, on, how)
 
 
+def join_sieved(df: DataFrame, key: Column | str, small: DataFrame, small_key: str, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`join_small` (inner or left_anti) for a wide or long ``df`` of which few rows meet a table that is too large to broadcast.
+
+    ``on`` holds only where the whole numbers ``key`` and ``small_key`` are equal. A table of one bit a
+    hash of the small keys, of at most ``SIEVE_WORDS`` rows, is broadcast instead; only rows of ``df`` whose bit
+    is set are shuffled. A larger small table lets more rows through, never fewer.
+    """
+    if small.limit(rows + 1).count() <= rows:
+        return df.join(F.broadcast(small), on, how)
+    key = F.col(key) if isinstance(key, str) else key
+    bit = lambda h: F.pmod(F.floor(h / SIEVE_WORDS), F.lit(64)).cast("int")
+    hashed = lambda k: F.pmod(F.xxhash64(k.cast("long")), F.lit(SIEVE_WORDS * 64))
+    sieve = small.select(hashed(F.col(small_key)).alias("h")).select((F.col("h") % SIEVE_WORDS).alias("q__word"), bit(F.col("h")).alias("b")).groupBy("q__word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("q__bits"))
+    sieve = stage(sieve, "sieve")
+    tried = df.withColumn("q__h", hashed(key)).withColumn("q__at", F.col("q__h") % SIEVE_WORDS).join(F.broadcast(sieve), F.col("q__at") == F.col("q__word"), "left")
+    some = F.coalesce(F.expr("shiftright(q__bits, cast(pmod(floor(q__h / %d), 64) as int)) & 1" % SIEVE_WORDS) == 1, F.lit(False))
+    tried = tried.withColumn("q__some", some).drop("q__h", "q__at", "q__word", "q__bits")
+    met = tried.filter("q__some").drop("q__some").join(small, on, how)
+    return tried.filter("NOT q__some").drop("q__some").unionByName(met) if how == "left_anti" else met
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under the same names."""
     return df.drop(*[n for n in names if n in df.columns])

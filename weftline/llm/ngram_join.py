@@ -4,10 +4,12 @@ Tokens are 64-bit hashes of word shingles. In a global order with rare tokens
 first, two sets at the threshold share part of their prefixes. Rare tokens are
 indexed alone, with prefixes extended so that partners share several of them;
 where a set has too few, its prefix goes on over the classes of frequent tokens,
-of which pairs are indexed. Sets that share enough signatures meet in a candidate
-class, whose members are compared exactly. Copies of one set are joined as one
-member, big classes are compared in blocks, and only links that join something
-are kept, so nothing grows with the square of a group.
+of which pairs are indexed. Sets that share enough signatures in short lists are
+candidate pairs, those of the long lists with one least set are a candidate group;
+both are compared exactly. Components of pairs are one task each, bigger ones are
+dealt by pairs, so that chains of pairs cost no more than their pairs. Copies of one
+set are joined as one member, big groups are compared in blocks, and only links that
+join something are kept.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, join_small, python_batches, restored, stage
+from .common import carried, join_sieved, join_small, python_batches, restored, stage
 from .graph import connected_components
 
 SHINGLE = 3
@@ -29,14 +31,14 @@ SHINGLE = 3
 PERCENT = 90
 #: Sets in whose windows a token must be to count as frequent.
 FREQUENT = 8
-#: Sets of one signature that are paired; longer lists are joined through their least set.
+#: Sets of one signature that are paired; longer lists are groups with their least set.
 SHORT_LIST = 16
 #: Frequent tokens of a prefix that fall in one subclass, about; pairs are made inside subclasses.
 SUBCLASS = 8
 #: Bytes and number of sets in one block of a candidate class, about.
 BLOCK_BYTES, BLOCK_SETS = 4 << 20, 1000
 #: Rows of two or three numbers below which a table is broadcast.
-NARROW_ROWS = 300_000
+NARROW_ROWS = 50_000
 #: The same for rows that hold a list of tokens.
 WIDE_ROWS = 1000
 #: Tokens shared by more sets than this are multiplied as a matrix, others are paired.
@@ -206,7 +208,8 @@ def document_sets(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE)
 
 def _whole_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Columns of ``members`` (with ``node``) and ``tokens``: the set of the document with that id, as bytes."""
-    wanted = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members, F.col("doc_id") == F.col("node")).drop("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = join_sieved(texts, "doc_id", members, "node", F.col("doc_id") == F.col("node")).drop("doc_id")
     extra = [f for f in wanted.schema.fields if f.name != "text"]
 
     def rows(batches):
@@ -242,19 +245,22 @@ def _frequent(sets: DataFrame) -> DataFrame:
     return counts.select("token", F.least(F.lit(5), F.floor(F.log2(F.col("n") / FREQUENT) / 3) + 1).cast("int").alias("level"))
 
 
-def _with_frequent(sets: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``sets`` with ``frequent``: which tokens of its window are frequent, with their levels."""
+def _matched(sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``node, token, level`` of the ``frequent`` tokens in the windows of ``sets``."""
     tokens = sets.select("node", F.explode("window").alias("token"))
-    found = join_small(tokens, frequent.withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), rows=NARROW_ROWS)
-    held = found.groupBy("node").agg(F.collect_set(F.struct("token", "level")).alias("frequent"))
+    return join_sieved(tokens, "token", frequent.withColumnRenamed("token", "f_token"), "f_token", F.col("token") == F.col("f_token"), rows=NARROW_ROWS).drop("f_token")
+
+
+def _with_frequent(sets: DataFrame, matched: DataFrame) -> DataFrame:
+    """``sets`` with ``frequent``: which tokens of its window are frequent, with their levels."""
+    held = matched.groupBy("node").agg(F.collect_set(F.struct("token", "level")).alias("frequent"))
     held = stage(held.withColumnRenamed("node", "f_node"), "join-held", codec="lz4")
     return join_small(sets, held, F.col("node") == F.col("f_node"), "left", rows=WIDE_ROWS).drop("f_node")
 
 
-def _dense(sets: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+def _dense(sets: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
     """``node, n_shingles`` of the sets whose window has fewer rare tokens than a prefix needs."""
-    tokens = sets.select("node", F.explode("window").alias("token"))
-    found = join_small(tokens, frequent.withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), rows=NARROW_ROWS).groupBy("node").agg(F.count(F.lit(1)).alias("n_frequent"))
+    found = matched.groupBy("node").agg(F.count(F.lit(1)).alias("n_frequent"))
     need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
     sized = sets.select("node", "n_shingles", F.size("window").alias("n_window")).join(found, "node")
     return sized.filter((F.col("n_window") - F.col("n_frequent") < need) & (F.col("n_window") < F.col("n_shingles"))).select("node", "n_shingles").distinct()
@@ -278,21 +284,25 @@ def signature_table(sets: DataFrame, docs: DataFrame, percent: int, width: int)
     all sets, so the order is one.
     """
     first = stage(_frequent(sets), "join-frequent")
-    dense = stage(_dense(sets, first, percent), "join-dense")
+    seen = stage(_matched(sets, first), "join-matched", codec="lz4")
+    dense = stage(_dense(sets, seen, percent), "join-dense")
     whole = stage(_whole_windows(docs, dense, width), "join-whole", codec="lz4")
     frequent = stage(first.unionByName(_frequent(whole)).groupBy("token").agg(F.max("level").alias("level")), "join-frequent")
-    more = stage(_dense(sets, frequent, percent).join(dense, "node", "left_anti"), "join-dense")
-    wholes = whole.unionByName(_whole_windows(docs, more, width))
+    added = stage(frequent.join(first, "token", "left_anti"), "join-frequent")
+    matched = stage(seen.unionByName(_matched(sets, added)).select("node", "token").join(frequent, "token"), "join-matched", codec="lz4")
+    more = stage(_dense(sets, matched, percent).join(dense, "node", "left_anti"), "join-dense")
+    wholes = whole.unionByName(stage(_whole_windows(docs, more, width), "join-whole", codec="lz4"))
     gone = stage(dense.unionByName(more).select(F.col("node").alias("d_node")).distinct(), "join-dense")
-    light = _signature_rows(join_small(_with_frequent(sets, frequent), gone, F.col("node") == F.col("d_node"), "left_anti", rows=NARROW_ROWS), percent, False)
-    return light.unionByName(_signature_rows(_with_frequent(wholes, frequent), percent, True))
+    light = _signature_rows(join_small(_with_frequent(sets, matched), gone, F.col("node") == F.col("d_node"), "left_anti", rows=NARROW_ROWS), percent, False)
+    return light.unionByName(_signature_rows(_with_frequent(wholes, _matched(wholes, frequent)), percent, True))
 
 
-def candidate_classes(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """``node, class, hub_score, n_shingles`` of the sets that may link, directly or through others.
+def candidates(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """What may link: pairs ``a, b``, and groups ``class, node, hub_score, n_shingles`` in which any two may.
 
     Sets in short lists are paired, and a pair stays if it shares as many signatures
-    as one of the two demands. Long lists are joined through their least set.
+    as one of the two demands. Two sets that share a long list are in the group of
+    its least set, whatever other lists they share.
     """
     rows = stage(signature_table(sets, docs, percent, width), "join-rows", codec="lz4")
     ends = rows.groupBy("sig").agg(F.min(F.struct("node", "least")).alias("x"), F.max(F.struct("node", "least")).alias("y"), F.count(F.lit(1)).alias("n"))
@@ -303,14 +313,11 @@ def candidate_classes(sets: DataFrame, docs: DataFrame, percent: int, width: int
     each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.filter("n = 2").select("x", "y").unionByName(short.select(F.explode(each).alias("p")).select("p.x", "p.y"))
     counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.least", "y.least")).alias("least"))
-    near = counted.filter((F.col("n") >= F.col("least")) & (F.col("a") != F.col("b"))).select("a", "b", "n")
-    hubs = longer.filter(F.col("n") > SHORT_LIST).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    met = stage(near.unionByName(hubs), "join-met")
-    classes = connected_components(met)
-    both = met.select(F.col("a").alias("node"), "n").unionByName(met.select(F.col("b").alias("node"), "n"))
+    near = counted.filter((F.col("n") >= F.col("least")) & (F.col("a") != F.col("b"))).select("a", "b")
+    hubs = longer.filter(F.col("n") > SHORT_LIST).groupBy(F.col("hub").alias("class"), "node").agg(F.count(F.lit(1)).alias("n"))
     sizes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    scores = both.groupBy("node").agg(F.sum("n").alias("n_met")).join(classes, "node").join(sizes, "node")
-    return scores.select("node", F.col("root").alias("class"), (F.col("n_met") / F.col("n_shingles")).alias("hub_score"), "n_shingles")
+    groups = hubs.join(sizes, "node").select("class", "node", (F.col("n") / F.col("n_shingles")).alias("hub_score"), "n_shingles")
+    return stage(near, "join-near"), stage(groups, "join-groups")
 
 
 def _links(tasks: DataFrame, percent: int) -> DataFrame:
@@ -325,22 +332,38 @@ def _links(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.groupBy("task").applyInArrow(compared, "a long, b long")
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """``a, b``: exact links that join all that is linked in each candidate class.
+def _n_blocks() -> Column:
+    """Blocks of about ``BLOCK_BYTES`` and ``BLOCK_SETS`` for the sets of a group of rows."""
+    return F.ceil(F.greatest(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES), F.count(F.lit(1)) / F.lit(BLOCK_SETS))).cast("int").alias("blocks")
+
+
+def _pair_tasks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``task, node``: both sets of each candidate pair in one task; a component of pairs within the block size is one task, a bigger one is dealt by pairs."""
+    roots = stage(connected_components(pairs), "join-roots").withColumnRenamed("node", "r_node")
+    blocks = stage(roots.join(sizes, F.col("r_node") == F.col("node")).groupBy("root").agg(_n_blocks()), "join-blocks")
+    one = roots.join(blocks.filter("blocks = 1"), "root").select(F.concat_ws("/", F.lit("one"), F.col("root").cast("string")).alias("task"), F.col("r_node").alias("node"))
+    of = pairs.join(roots, F.col("a") == F.col("r_node")).join(blocks.filter("blocks > 1"), "root")
+    at = F.pmod(F.xxhash64("a"), 2 * F.col("blocks"))
+    dealt = of.select(F.concat_ws("/", F.lit("pairs"), F.col("root").cast("string"), at.cast("string")).alias("task"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    return one.unionByName(dealt)
+
+
+def verified_links(docs: DataFrame, pairs: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame:
+    """``a, b``: exact links that join all that is linked in the candidate pairs and in each candidate group.
 
-    A class within the block size is one task. A bigger one is dealt in blocks, each
-    with the class's most shared sets as pivots; what is then still apart from the
+    A group within the block size is one task. A bigger one is dealt in blocks, each
+    with the group's most shared sets as pivots; what is then still apart from the
     largest linked part is compared with every block.
     """
-    classes = stage(classes, "join-classes")
-    blocks = classes.groupBy("class").agg(F.ceil(F.greatest(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES), F.count(F.lit(1)) / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
-    pivots = classes.groupBy("class", F.pmod(F.hash("node"), F.lit(16)).alias("slot")).agg(F.max(F.struct("hub_score", "node"))["node"].alias("node")).select("node", F.lit(True).alias("pivot"))
-    members = classes.join(blocks, "class").join(pivots, "node", "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0)))
+    blocks = groups.groupBy("class").agg(_n_blocks())
+    pivots = groups.groupBy("class", F.pmod(F.hash("node"), F.lit(16)).alias("slot")).agg(F.max(F.struct("hub_score", "node"))["node"].alias("node")).select("class", "node", F.lit(True).alias("pivot"))
+    members = groups.join(blocks, "class").join(pivots, ["class", "node"], "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0)))
     members = stage(members.select("node", "class", "blocks", "block", F.coalesce("pivot", F.lit(False)).alias("pivot")), "join-members")
-    sets = stage(_whole_sets(docs, members, width), "join-sets", codec="lz4")
     into = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("block").cast("int")))
-    tasks = sets.select("class", "node", "tokens", F.explode(into).alias("at")).select(F.concat_ws("/", F.col("class").cast("string"), F.col("at").cast("string")).alias("task"), "node", "tokens")
-    found = stage(_links(tasks, percent), "join-links")
+    placed = members.select("class", "node", F.explode(into).alias("at")).select(F.concat_ws("/", F.lit("group"), F.col("class").cast("string"), F.col("at").cast("string")).alias("task"), "node")
+    dealt = placed.unionByName(_pair_tasks(pairs, sizes)).groupBy("node").agg(F.collect_set("task").alias("tasks"))
+    sets = stage(_whole_sets(docs, stage(dealt, "join-tasks"), width), "join-sets", codec="lz4")
+    found = stage(_links(sets.select(F.explode("tasks").alias("task"), "node", "tokens"), percent), "join-links")
     big = members.filter(F.col("blocks") > 1).select("node", "class", "blocks", "block")
     if big.isEmpty():
         return found
@@ -376,10 +399,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     classes = usable.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = usable.select("doc_id", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"]).filter(F.col("doc_id") != F.col("node"))
     copies = stage(keyed.select(F.col("doc_id").alias("a"), F.col("node").alias("b"), F.col("sig_a").alias("c_a"), F.col("sig_b").alias("c_b")).distinct(), "join-copies")
-    once = join_small(usable, copies, (F.col("doc_id") == F.col("a")) & (F.col("sig_a") == F.col("c_a")) & (F.col("sig_b") == F.col("c_b")), "left_anti")
+    once = join_sieved(usable, "doc_id", copies, "a", (F.col("doc_id") == F.col("a")) & (F.col("sig_a") == F.col("c_a")) & (F.col("sig_b") == F.col("c_b")), "left_anti")
     linkable = once.filter(F.col("window").isNotNull()).select(F.col("doc_id").alias("node"), "n_shingles", "window")
-    found = candidate_classes(linkable, docs, percent, width)
-    links = verified_links(docs, found, percent, width)
+    pairs, groups = candidates(linkable, docs, percent, width)
+    sizes = linkable.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    links = verified_links(docs, pairs, groups, sizes, percent, width)
     same = copies.select("a", "b")
     roots = connected_components(links.unionByName(same))
     out = sets.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
@@ -397,7 +421,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -
     gone = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("q__gone")).distinct(), "join-gone")
     rows = carried(docs, "doc_id", "text")
     same = F.col("doc_id").cast("long") == F.col("q__gone")
-    kept = join_small(rows, gone, same, "left_anti")
+    kept = join_sieved(rows, F.col("doc_id").cast("long"), gone, "q__gone", same, "left_anti")
     repeated = stage(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("q__gone")), "join-repeated")
     if not repeated.isEmpty():
         again = join_small(kept, repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", "q__rest"), F.struct(F.col("text").isNotNull(), "text")).alias("q__s"))
